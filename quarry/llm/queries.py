@@ -2,25 +2,70 @@
 
 from __future__ import annotations
 
-from quarry.llm import mixing, quality, secret_scan
+import os
+
+from pyspark.sql import functions as F
+
+from quarry.llm import bpe, chat, ego_join, huffman, langid, mixing, quality, secret_scan
 from quarry.session import table
 
 
+def tokenizer_path() -> str:
+    """The byte-level BPE vocabulary; QUARRY_TOKENIZER names another file."""
+    if found := os.environ.get("QUARRY_TOKENIZER"):
+        return found
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_mix(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op2_bpe(spark, sf_dir):
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    both = bpe.decode(coded, tokenizer_path())
+    return both.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op3_embedding_dedup(spark, sf_dir):
+    return ego_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark, sf_dir):
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
+def op8_chat(spark, sf_dir):
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
+def op9_token_files(spark, sf_dir):
+    return huffman.token_report(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_secrets(spark, sf_dir):
     return secret_scan.scan_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_bpe": op2_bpe,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_quality": op4_quality,
+    "op5_language": op5_language,
+    "op8_chat": op8_chat,
+    "op9_token_files": op9_token_files,
     "op10_secrets": op10_secrets,
 }
 
