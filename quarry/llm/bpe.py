@@ -17,13 +17,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Entries that a worker's memo holds before it starts anew, and characters encoded at a time.
-MEMO_ENTRIES = 300_000
-CHARS_AT_ONCE = 4_000_000
+#: Words in one generation of a worker's memo, and bytes of text encoded at a time.
+MEMO_ENTRIES = 500_000
+BYTES_AT_ONCE = 8_000_000
 
 # Fixed value: the pattern that byte-level BPE vocabularies of this family split text with.
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -177,34 +178,58 @@ class Bpe:
                 put(before, key(tok[before], tok[at], before))
         return [t for t in tok if t >= 0]
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """The ids of each piece, merged as far as they go."""
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(pieces)
-        lengths = np.array([len(p) for p in pieces], np.int64)
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, merged as far as they go, as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(pieces)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         for i in np.flatnonzero(lengths > ROW_LIMIT):
             ids = self.byte_ids[np.frombuffer(pieces[i], np.uint8)]
-            out[i] = np.array(self.merge_long(ids.tolist()), np.int64)
+            out[i] = np.array(self.merge_long(ids.tolist()), "<u4").tobytes()
         low, width = 0, 2
         while width <= ROW_LIMIT:
             chosen = np.flatnonzero((lengths > low) & (lengths <= width))
             for part in (chosen[k : k + 200_000 // width] for k in range(0, len(chosen), 200_000 // width)):
                 rows = np.full((len(part), width), -1, np.int64)
                 inside = np.arange(width) < lengths[part][:, None]
-                rows[inside] = self.byte_ids[np.frombuffer(b"".join(pieces[i] for i in part), np.uint8)]
+                rows[inside] = self.byte_ids[np.frombuffer(b"".join([pieces[i] for i in part.tolist()]), np.uint8)]
                 done = self.merge_rows(rows)
                 kept = done >= 0
-                flat, ends = done[kept], np.cumsum(kept.sum(1))
-                for i, ids in zip(part, np.split(flat, ends[:-1]), strict=True):
-                    out[i] = ids
+                flat, ends = done[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
+                start = 0
+                for i, end in zip(part.tolist(), ends, strict=True):
+                    out[i] = flat[start:end]
+                    start = end
             low, width = width, 2 * width
         return out
 
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, special tokens included, as little-endian unsigned 32-bit integers."""
+        out = []
+        for text in texts:
+            parts = self.split_specials.split(text) if self.split_specials else [text]
+            ids = []
+            for k, part in enumerate(parts):
+                if k % 2:
+                    ids.append(np.array([self.specials[part]], "<u4").tobytes())
+                else:
+                    ids += self.encode_pieces([p.encode() for p in PIECES.findall(part)])
+            out.append(b"".join(ids))
+        return out
+
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as little-endian unsigned 32-bit integers. A word may hold several pieces."""
-        split = [PIECES.findall(w) for w in words]
-        distinct = list(dict.fromkeys(p for s in split for p in s))
-        coded = dict(zip(distinct, (x.astype("<u4").tobytes() for x in self.encode_pieces([p.encode() for p in distinct])), strict=True))
-        return [b"".join(map(coded.__getitem__, s)) for s in split]
+        """The same for words that hold no newline and no special token, split all at once with newlines between them."""
+        pieces = PIECES.findall("\n".join(words))
+        distinct = list(dict.fromkeys(pieces))
+        coded = dict(zip(distinct, self.encode_pieces([p.encode() for p in distinct]), strict=True))
+        out, held = [], []
+        for piece in pieces:
+            if piece == "\n":
+                out.append(held[0] if len(held) == 1 else b"".join(held))
+                held = []
+            else:
+                held.append(coded[piece])
+        out.append(held[0] if len(held) == 1 else b"".join(held))
+        return out if words else []
 
     # Decoding ------------------------------------------------------------------------------------------------------
 
@@ -223,89 +248,94 @@ def load(path: str) -> Bpe:
 
 
 class TextEncoder:
-    """Encodes whole texts by words, remembering the ids of words seen.
+    """Encodes whole texts by words, remembering the ids of words met.
 
-    A cut is made before each space and around each newline. Where such a cut could split white space that belongs
-    together, the whole text is given to `encode_words` instead, as one word.
+    A cut is made before each space and around each newline. A text in which such a cut could split white space that belongs together, or
+    that holds a special token, is encoded as a whole. The memo keeps two generations: a word that is not met while a generation fills is forgotten.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], special_ids: dict[str, bytes], split_specials=None):
-        self.encode_words, self.special_ids, self.split_specials = encode_words, special_ids, split_specials
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_texts: Callable[[list[str]], list[bytes]], specials: Iterable[str]):
+        self.encode_words, self.encode_texts, self.specials = encode_words, encode_texts, list(specials)
         self.memo: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
 
     @staticmethod
     def _safe(word: str) -> bool:
-        if word == "\n":
-            return True
-        return bool(word) and not word[-1].isspace() and not (word[1:2].isspace() if word[0] == " " else word[0].isspace())
-
-    def _words(self, text: str) -> list[str]:
-        if CUT in text:
-            return [""]  # unsafe, so it is encoded as a whole
-        words = text.replace(" ", CUT + " ").replace("\n", CUT + "\n" + CUT).split(CUT)
-        if len(words) > 1 and not words[-1]:
-            words.pop()
-        if len(words) > 1 and not words[0]:
-            del words[0]
-        return words
-
-    def _encode_plain(self, texts: list[str]) -> list[bytes]:
-        split = [self._words(t) for t in texts]
-        seen = set().union(*split) if split else set()
-        missing = [w for w in seen if w not in self.memo]
-        if len(self.memo) + len(missing) > MEMO_ENTRIES:
-            self.memo, missing = {}, list(seen)
-        self.memo |= dict.fromkeys(missing)
-        safe = [w for w in missing if self._safe(w)]
-        self.memo |= zip(safe, self.encode_words(safe), strict=True)
-        out, whole = [], []
-        for i, words in enumerate(split):
-            try:
-                out.append(b"".join(map(self.memo.__getitem__, words)))
-            except TypeError:  # a word that can't stand alone
-                out.append(b"")
-                whole.append(i)
-        for i, ids in zip(whole, self.encode_words([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        held: list[str] = []
-        chars = 0
-        for text in texts:
-            held.append(text or "")
-            chars += len(held[-1])
-            if chars > CHARS_AT_ONCE:
-                yield from self._encode_held(held)
-                held, chars = [], 0
-        yield from self._encode_held(held)
-
-    def _encode_held(self, texts: list[str]) -> Iterator[bytes]:
-        parts: list[str] = []
-        plan: list[list[int | bytes]] = []
-        for text in texts:
-            if not any(s in text for s in self.special_ids):
-                plan.append([len(parts)])
-                parts.append(text)
-                continue
-            mine: list[int | bytes] = []
-            for k, piece in enumerate(self.split_specials.split(text)):
-                if k % 2:
-                    mine.append(self.special_ids[piece])
-                elif piece:
-                    mine.append(len(parts))
-                    parts.append(piece)
-            plan.append(mine)
-        coded = self._encode_plain(parts)
-        for mine in plan:
-            yield coded[mine[0]] if len(mine) == 1 and isinstance(mine[0], int) else b"".join(x if isinstance(x, bytes) else coded[x] for x in mine)
+        return not word[-1].isspace() and not (word[1:2].isspace() if word[0] == " " else word[0].isspace())
+
+    def _ids_of(self, words: list[str]) -> list[bytes | None]:
+        """The ids of each distinct word; None if it can't stand alone."""
+        if len(self.memo) + len(words) > MEMO_ENTRIES:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        missing = [w for w in words if w not in memo]
+        new = []
+        for w in missing:
+            if w in older:
+                memo[w] = older[w]
+            elif not w:
+                memo[w] = b""
+            elif w == "\n":
+                memo[w] = self.encode_texts(["\n"])[0]
+            elif self._safe(w):
+                new.append(w)
+            else:
+                memo[w] = None
+        memo.update(zip(new, self.encode_words(new), strict=True))
+        return [memo[w] for w in words]
+
+    def _encode_slice(self, texts: pa.Array) -> pa.Array:
+        n = len(texts)
+        whole = np.zeros(n, bool)
+        for held in (CUT, *self.specials):
+            whole |= pc.match_substring(texts, held).to_numpy(zero_copy_only=False)
+        cut = pc.replace_substring(pc.replace_substring(texts, " ", CUT + " "), "\n", CUT + "\n" + CUT)
+        lists = pc.split_pattern(cut, CUT)
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        ids = self._ids_of(words)
+        # An empty word is one between two cuts; at either end of a text it means nothing.
+        unsafe = np.fromiter((x is None for x in ids), bool, len(ids))[at]
+        if "" in words:
+            inner = at == words.index("")
+            inner[bounds[:-1]] = False
+            inner[bounds[1:] - 1] = False
+            unsafe |= inner
+        whole |= np.logical_or.reduceat(unsafe, bounds[:-1])
+        flat = np.frombuffer(b"".join([x or b"" for x in ids]), "<u4")
+        sizes = np.fromiter((len(x or b"") // 4 for x in ids), np.int64, len(ids))
+        starts = np.cumsum(sizes) - sizes
+        word_sizes = sizes[at]
+        ends = np.cumsum(word_sizes)
+        gathered = flat[np.repeat(starts[at] - (ends - word_sizes), word_sizes) + np.arange(ends[-1])]
+        offsets = np.concatenate(([0], ends))[bounds] * 4
+        data = gathered.tobytes()
+        if not whole.any():
+            return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
+        out = [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        rows = np.flatnonzero(whole).tolist()
+        for i, own in zip(rows, self.encode_texts([texts[i].as_py() for i in rows]), strict=True):
+            out[i] = own
+        return pa.array(out, pa.binary())
+
+    def encode(self, texts: pa.Array) -> Iterator[pa.Array]:
+        """The ids of each text, as binary values, in slices of about BYTES_AT_ONCE of text. A null text has none."""
+        texts = texts.fill_null("") if texts.null_count else texts
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
+        start = 0
+        while start < len(texts):
+            done = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, done + BYTES_AT_ONCE, "right")))
+            yield self._encode_slice(texts.slice(start, end - start))
+            start = end
 
 
 @lru_cache(maxsize=2)
 def text_encoder(path: str) -> TextEncoder:
     """This worker's encoder by segment trees."""
     bpe = load(path)
-    return TextEncoder(bpe.encode_words, {t: np.array([i], "<u4").tobytes() for t, i in bpe.specials.items()}, bpe.split_specials)
+    return TextEncoder(bpe.encode_words, bpe.encode_texts, bpe.specials)
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -316,9 +346,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(path)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            ids = pa.array(encoder.encode(x.as_py() for x in texts), pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in rest), ids], [*rest, ids_col])
+            start = 0
+            for ids in encoder.encode(batch.column(batch.schema.get_field_index(text_col))):
+                part = batch.slice(start, len(ids))
+                start += len(ids)
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in rest), ids], [*rest, ids_col])
 
     return docs.select(*rest, text_col).mapInArrow(run, schema)
 

@@ -122,11 +122,28 @@ def _library_encoder(path: str) -> bpe.TextEncoder:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def words(texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    parts = bpe.load(path)
-    return bpe.TextEncoder(words, {t: np.array([i], "<u4").tobytes() for t, i in parts.specials.items()}, parts.split_specials)
+    newline = tokenizer.encode("\n", add_special_tokens=False).ids
+    specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def texts(items: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(items, add_special_tokens=False)]
+
+    def words(items: list[str]) -> list[bytes]:
+        # Words hold no newline, so many are encoded as one text with newlines between them.
+        if len(newline) != 1:
+            return texts(items)
+        out: list[bytes] = []
+        for k in range(0, len(items), 4000):
+            part = items[k : k + 4000]
+            ids = np.array(tokenizer.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == newline[0]), len(ids)).tolist()
+            flat, start = ids.tobytes(), 0
+            for end in ends:
+                out.append(flat[4 * start : 4 * end])
+                start = end + 1
+        return out
+
+    return bpe.TextEncoder(words, texts, specials)
 
 
 def _sorted_ids(docs: DataFrame, path: str, parts: int, id_col: str, text_col: str, end_id: int) -> DataFrame:
@@ -143,16 +160,18 @@ def _sorted_ids(docs: DataFrame, path: str, parts: int, id_col: str, text_col: s
         small = len(bpe.load(path).token_lengths) <= 1 << 16
         end = np.array([end_id], "<u2" if small else "<u4").tobytes()
         for batch in batches:
-            coded = encoder.encode(x.as_py() for x in batch.column(1))
-            if small:
-                coded = (np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in coded)
-            ids = pa.array((x + end for x in coded), pa.binary())
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)), batch.column(0), pa.array(np.full(n, 2 if small else 4, np.int32)), ids],
-                ["part", "seq", "doc_id", "bytes", "ids"],
-            )
-            seq += n
+            start = 0
+            for coded in encoder.encode(batch.column(1)):
+                n = len(coded)
+                each = (x.as_py() for x in coded)
+                if small:
+                    each = (np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in each)
+                ids = pa.array((x + end for x in each), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)), batch.column(0).slice(start, n), pa.array(np.full(n, 2 if small else 4, np.int32)), ids],
+                    ["part", "seq", "doc_id", "bytes", "ids"],
+                )
+                start, seq = start + n, seq + n
 
     return ordered.select("doc_id", "text").mapInArrow(run, "part int, seq long, doc_id long, bytes int, ids binary")
 
