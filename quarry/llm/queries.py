@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, ego_join, huffman, langid, mixing, quality, secret_scan
+from quarry.llm import bpe, chat, ego_join, huffman, langid, mixing, order_minhash, quality, secret_scan
 from quarry.session import table
 
 
@@ -46,6 +46,10 @@ def op5_language(spark, sf_dir):
     return langid.language_report(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark, sf_dir):
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_chat(spark, sf_dir):
     return chat.repair(table(spark, sf_dir, "conversations"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_quality": op4_quality,
     "op5_language": op5_language,
+    "op6_near_dedup": op6_near_dedup,
     "op8_chat": op8_chat,
     "op9_token_files": op9_token_files,
     "op10_secrets": op10_secrets,
