@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, ego_join, huffman, langid, mixing, order_minhash, quality, secret_scan
+from quarry.llm import bpe, chat, ego_join, huffman, langid, mixing, order_minhash, quality, secret_scan, suffix_dedup
 from quarry.session import table
 
 
@@ -50,6 +50,10 @@ def op6_near_dedup(spark, sf_dir):
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op8_chat(spark, sf_dir):
     return chat.repair(table(spark, sf_dir, "conversations"))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_language": op5_language,
     "op6_near_dedup": op6_near_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_chat": op8_chat,
     "op9_token_files": op9_token_files,
     "op10_secrets": op10_secrets,
