@@ -326,16 +326,16 @@ def _sql_mask() -> str:
 
 ORACLES = {
     "latency_totals": f"""WITH {LOG_SQL}, t AS (SELECT count(*) AS requests, round(avg(latency_ms), 1) AS avg_ms, round(min(latency_ms), 1) AS min_ms, round(max(latency_ms), 1) AS max_ms,
-        round(quantile_cont(latency_ms, 0.5), 1) AS p50_ms, round(quantile_cont(latency_ms, 0.9), 1) AS p90_ms, round(quantile_cont(latency_ms, 0.95), 1) AS p95_ms,
-        round(quantile_cont(latency_ms, 0.99), 1) AS p99_ms, count(*) FILTER (status_code >= 400) AS errors, count(*) FILTER (cache_hit) AS cache_hits,
+        round(round(quantile_cont(latency_ms, 0.5), 6), 1) AS p50_ms, round(round(quantile_cont(latency_ms, 0.9), 6), 1) AS p90_ms, round(round(quantile_cont(latency_ms, 0.95), 6), 1) AS p95_ms,
+        round(round(quantile_cont(latency_ms, 0.99), 6), 1) AS p99_ms, count(*) FILTER (status_code >= 400) AS errors, count(*) FILTER (cache_hit) AS cache_hits,
         sum(tokens_input)::BIGINT AS tokens_input, sum(tokens_output)::BIGINT AS tokens_output FROM log)
         SELECT *, round(errors::DOUBLE / requests, 4) AS error_rate, round(tokens_input / 1e6 * 0.3::DOUBLE + tokens_output / 1e6 * 2.5::DOUBLE, 6) AS cost_usd,
         round((tokens_input / 1e6 * 0.3::DOUBLE + tokens_output / 1e6 * 2.5::DOUBLE) / requests, 6) AS cost_per_request FROM t""",
-    "hourly_series": f"""WITH {LOG_SQL} SELECT date_trunc('hour', created_at) AS hour, count(*) AS requests, round(quantile_cont(latency_ms, 0.95), 1) AS p95_ms,
+    "hourly_series": f"""WITH {LOG_SQL} SELECT date_trunc('hour', created_at) AS hour, count(*) AS requests, round(round(quantile_cont(latency_ms, 0.95), 6), 1) AS p95_ms,
         round(count(*) FILTER (status_code >= 400)::DOUBLE / count(*), 4) AS error_rate, round(count(*) FILTER (cache_hit)::DOUBLE / count(*), 4) AS cache_hit_rate FROM log GROUP BY 1""",
     "stage_percentiles": f"""WITH {LOG_SQL}, s AS (SELECT unnest(json_keys(stages)) AS stage, stages FROM log WHERE stages IS NOT NULL),
         p AS (SELECT stage, quantile_cont(json_extract_string(stages, stage)::DOUBLE, 0.5) AS p50, quantile_cont(json_extract_string(stages, stage)::DOUBLE, 0.95) AS p95, count(*) AS samples FROM s GROUP BY 1)
-        SELECT stage, round(p50, 1) AS p50_ms, round(p95, 1) AS p95_ms, samples, round(p50 / sum(p50) OVER (), 4) AS share FROM p""",
+        SELECT stage, round(round(p50, 6), 1) AS p50_ms, round(round(p95, 6), 1) AS p95_ms, samples, round(p50 / sum(p50) OVER (), 4) AS share FROM p""",
     "cache_summary": f"""WITH {LOG_SQL}, t AS (SELECT count(*) FILTER (cache_hit) AS hits, count(*) AS lookups FROM log WHERE status_code < 400)
         SELECT hits, lookups, round(hits::DOUBLE / lookups, 4) AS hit_rate FROM t""",
     "slowest_requests": f"WITH {LOG_SQL} SELECT id, query, round(latency_ms) AS latency_ms, status_code FROM log ORDER BY log.latency_ms DESC, id LIMIT 5",

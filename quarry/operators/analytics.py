@@ -39,6 +39,11 @@ def _share(part: Column, whole: Column) -> Column:
     return F.round(F.coalesce(part.cast("double") / F.nullif(whole, F.lit(0)), F.lit(0.0)), 4)
 
 
+def _tenths(ms: Column) -> Column:
+    """Rounded to tenths by way of millionths, so that the last bits of an interpolation do not decide."""
+    return F.round(F.round(ms, 6), 1)
+
+
 def totals(log: DataFrame) -> DataFrame:
     """One row of counts, latencies, tokens and cost; zeros for an empty log."""
     flat = log.agg(
@@ -50,7 +55,7 @@ def totals(log: DataFrame) -> DataFrame:
         F.coalesce(F.sum("tokens_input"), F.lit(0)).alias("tokens_input"),
         F.coalesce(F.sum("tokens_output"), F.lit(0)).alias("tokens_output"),
     )
-    named = [F.round(F.coalesce(F.get("p", F.lit(i)), F.lit(0.0)), 1).alias(f"p{q}_ms") for i, q in enumerate((50, 90, 95, 99))]
+    named = [_tenths(F.coalesce(F.get("p", F.lit(i)), F.lit(0.0))).alias(f"p{q}_ms") for i, q in enumerate((50, 90, 95, 99))]
     cost = answer_cost(F.col("tokens_input"), F.col("tokens_output"))
     return flat.select(
         "requests", "avg_ms", "min_ms", "max_ms", *named, "errors", "cache_hits", "tokens_input", "tokens_output",
@@ -64,7 +69,7 @@ def hourly(log: DataFrame) -> DataFrame:
     """Hours that have rows."""
     return log.groupBy(F.date_trunc("HOUR", "created_at").alias("hour")).agg(
         F.count(F.lit(1)).alias("requests"),
-        F.round(F.percentile("latency_ms", F.lit(0.95)), 1).alias("p95_ms"),
+        _tenths(F.percentile("latency_ms", F.lit(0.95))).alias("p95_ms"),
         _share(F.count_if(F.col("status_code") >= 400), F.count(F.lit(1))).alias("error_rate"),
         _share(F.count_if("cache_hit"), F.count(F.lit(1))).alias("cache_hit_rate"),
     )
@@ -78,7 +83,7 @@ def stages(log: DataFrame) -> DataFrame:
     )
     # A row per stage name: this window is over the few stages there are.
     share = F.col("p")[0] / F.nullif(F.sum(F.col("p")[0]).over(Window.partitionBy()), F.lit(0.0))
-    return by.select("stage", F.round(F.col("p")[0], 1).alias("p50_ms"), F.round(F.col("p")[1], 1).alias("p95_ms"), "samples", F.round(share, 4).alias("share"))
+    return by.select("stage", _tenths(F.col("p")[0]).alias("p50_ms"), _tenths(F.col("p")[1]).alias("p95_ms"), "samples", F.round(share, 4).alias("share"))
 
 
 def cache_summary(log: DataFrame) -> DataFrame:

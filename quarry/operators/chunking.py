@@ -208,7 +208,7 @@ def pieces(docs: DataFrame) -> DataFrame:
     earlier = F.filter("divisions", lambda i: (i < F.col("p.a")) & (i < F.col("annex_start")))
     is_sub = lambda i: F.lower(line(i)).startswith("section")
     top = F.try_element_at(F.filter(earlier, lambda i: ~is_sub(i)), F.lit(-1))
-    sub = F.try_element_at(F.filter(earlier, lambda i: is_sub(i) & (i > F.coalesce(F.try_element_at(F.filter(earlier, lambda k: ~is_sub(k)), -1), F.lit(-1)))), F.lit(-1))
+    sub = F.try_element_at(F.filter(earlier, lambda i: is_sub(i) & (i > F.coalesce(F.try_element_at(F.filter(earlier, lambda k: ~is_sub(k)), F.lit(-1)), F.lit(-1)))), F.lit(-1))
     out = rows.withColumn("t", titled).select(
         "doc_id", "place", F.col("p.section").alias("section"), "t", named.alias("named"), F.when(top.isNotNull(), division_text(top)).alias("top"), F.when(sub.isNotNull(), division_text(sub)).alias("sub")
     )
@@ -300,7 +300,7 @@ def _merge_recitals(chunks: Column) -> Column:
     def renamed(x: Column) -> Column:
         numbers = F.regexp_extract_all(x["body"], F.lit(r"(?m)^\((\d+)\)"), F.lit(1))
         label = F.concat(
-            F.lit("Recitals ("), F.get(numbers, F.lit(0)), F.lit(")"), F.when(F.size(numbers) > 1, F.concat(F.lit("-("), F.try_element_at(numbers, -1), F.lit(")"))).otherwise("")
+            F.lit("Recitals ("), F.get(numbers, F.lit(0)), F.lit(")"), F.when(F.size(numbers) > 1, F.concat(F.lit("-("), F.try_element_at(numbers, F.lit(-1)), F.lit(")"))).otherwise("")
         )
         with_label = x.withField("label", label).withField("header", F.concat(F.regexp_replace(x["header"], r"(?s) \| (?:(?! \| ).)*$", ""), F.lit(" | "), label))
         return F.when((x["section"] == "preamble") & (F.size(numbers) > 0), with_label).otherwise(x)
@@ -327,7 +327,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def html_text(html: Column) -> Column:
     """The text of a page, a line for each paragraph; a table row of up to three cells is one line. Scripts, styles and comments go."""
     plain = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|^\s*<\?xml[^>]*\?>", ""), r"(?i)<br\s*/?>", "\n")
-    rows = F.regexp_replace(F.regexp_replace(plain, r"(?i)</td>\s*<td\b[^>]*>", " "), r"(?is)(<td\b[^>]*>)\s*<p\b[^>]*>(.*?)</p>\s*(?=</td>|\s)", "$1$2")
+    cells = F.regexp_replace(F.regexp_replace(plain, r"(?i)(<td\b[^>]*>)\s*<p\b[^>]*>", "$1"), r"(?i)</p>\s*(?=</td>)", "")
+    rows = F.regexp_replace(cells, r"(?i)</td>\s*<td\b[^>]*>", " ")
     marked = F.regexp_replace(rows, r"(?i)<p\b[^>]*>|</p\s*>|<tr\b[^>]*>|</tr\s*>|</?(?:div|table|article|nav|ul|li|h\d|title|body|head)\b[^>]*>", "\u0001")
     bare = F.regexp_replace(marked, r"(?s)<[^>]*>", "")
     known = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
