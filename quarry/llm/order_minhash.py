@@ -8,8 +8,8 @@ Candidates are verified by banded alignment of their distinct windows, each at i
 of L windows gives L / (m + n - L) >= 0.8. That needs shared windows in order, so it never exceeds the Jaccard similarity of the window sets.
 
 No table of all pairs is made. Equal texts are one class. In a bucket of equal sketches each text is first compared with the bucket's most central
-one (of the largest buckets over all sketches). Only where a bucket still holds several components afterwards are its remaining texts compared with
-those of other components, so every pair of candidates ends up compared or connected. Texts of similarity 0.8 share a sketch with probability
+one (of the largest buckets over all sketches). Only where a bucket still holds several components afterwards do its remaining texts meet those of
+other components, through an exact prefix filter, so every pair of candidates ends up connected, compared, or proven too different. Texts of similarity 0.8 share a sketch with probability
 of about 1 - (1 - 0.8 ** PICKED) ** SKETCHES = 0.99997.
 
 Defined results: a text of one to four words has one window, all its words; a text without words, or null, equals other texts only if the text is the
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
@@ -33,7 +33,7 @@ from quarry.session import materialize
 WORDS = 5
 PICKED = 4
 SKETCHES = 20
-BYTES_AT_ONCE = 4_000_000
+BYTES_AT_ONCE = 1_000_000
 
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 2**63, 256, np.uint64)
@@ -222,6 +222,34 @@ def _verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _prefix_pairs(among: DataFrame, table: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of different parts, one of which asks, that may reach a similarity of 0.8; none that does is left out.
+
+    Two window sets of that similarity share one of the n - ceil(0.8 n) + 1 windows that come first in any common order. In order of their counts among
+    these texts, windows of one text alone come first, so a text of which a fifth is its own has no candidate, however many others share the rest.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                blobs = part.column(1).to_pylist()
+                owner = np.repeat(part.column(0).to_numpy(), [len(x) // 8 for x in blobs])
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.frombuffer(b"".join(blobs), np.int64))], ["d_id", "window"])
+
+    rows = table.join(among.select("d_id"), "d_id", "left_semi").select("d_id", "windows").mapInArrow(spread, "d_id long, window long")
+    shared = rows.groupBy("window").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    placed = rows.join(shared, "window").join(among, "d_id")
+    own = Window.partitionBy("d_id")
+    rank = F.row_number().over(own.orderBy("texts", "window")) + F.col("n") - F.count(F.lit(1)).over(own)
+    prefix = placed.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1)
+    # What a text has from a window on bounds what it can share if that is the first one shared: at least 4 / 9 of both sizes is needed.
+    prefix = materialize(prefix.select("d_id", "window", "n", "part", "asks", (F.col("n") - F.col("rank") + 1).alias("left")), "prefixes")
+    asking = prefix.where("asks").select("window", F.col("d_id").alias("r"), F.col("n").alias("r_n"), F.col("part").alias("r_part"), F.col("left").alias("r_left"))
+    met = asking.join(prefix, "window").where("part <> r_part and 5 * least(n, r_n) >= 4 * greatest(n, r_n) and 9 * least(left, r_left) >= 4 * (n + r_n)")
+    return met.select(F.least("d_id", "r").alias("a"), F.greatest("d_id", "r").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, class_id (least id that links reach), kept (it is that one)."""
     own = docs.select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).alias("text"))
@@ -248,10 +276,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ).withColumn(out, F.coalesce("p", col)).drop("p")
     parted = part_of(starred, "c", "part")
     apart = part_of(parted, "centre", "centre_part").where("part <> centre_part")
-    # What the star left apart, against the whole bucket outside its own component.
-    rest = apart.select("j", "key", F.col("c").alias("r"), F.col("n").alias("r_n"), F.col("part").alias("r_part"))
-    others = rest.join(parted, ["j", "key"]).where((F.col("r_part") != F.col("part")) & near(F.col("n"), F.col("r_n")))
-    second = others.select(*pair("c", "r")).distinct().join(first, ["a", "b"], "left_anti")
+    # What the star left apart, against all others of its buckets outside its own component.
+    rest = apart.select(F.col("c").alias("d_id")).distinct().withColumn("asks", F.lit(True))
+    others = parted.join(apart.select("j", "key").distinct(), ["j", "key"], "left_semi").select(F.col("c").alias("d_id"), "n", "part").distinct()
+    among = others.join(rest, "d_id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    second = _prefix_pairs(among, table).join(first, ["a", "b"], "left_anti")
     more = _verified(second, table)
     final = connected_components(links.union(more), "near")
     classes = texts.select("print", "c").join(final, F.col("c") == F.col("node"), "left").select("print", F.coalesce("component", "c").alias("class_id"))
