@@ -105,24 +105,23 @@ def render_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Columns as given. Rows of one id are mixed alike only if the id is unique; the mix is joined by id, source and size.
     """
-    plan = mix(docs, id_col, text_col, source_col, **options).groupBy("m_id", "m_source", "size").agg(
-        F.max("epochs").alias("epochs"), F.max("part").alias("part")
-    )
-    own = docs.withColumn("m_words", word_count(F.col(text_col)))
+    plan = mix(docs, id_col, text_col, source_col, **options).groupBy("m_id", "m_source", "size").agg(F.max("epochs").alias("__epochs"), F.max("part").alias("__part"))
+    plan = plan.select(F.col("m_id").alias("__id"), F.col("m_source").alias("__source"), F.col("size").alias("__size"), "__epochs", "__part")
+    own = docs.withColumn("__words", word_count(F.col(text_col)))
     joined = own.join(
-        plan, own[id_col].eqNullSafe(plan["m_id"]) & own[source_col].eqNullSafe(plan["m_source"]) & (own["m_words"] == plan["size"])
+        plan, own[id_col].eqNullSafe(plan["__id"]) & own[source_col].eqNullSafe(plan["__source"]) & (own["__words"] == plan["__size"])
     )
-    copies = F.when(F.col("part") == F.col("size"), F.array_repeat(F.lit(-1).cast("long"), (F.col("epochs") + 1).cast("int"))).otherwise(
+    whole = F.lit(-1).cast("long")
+    copies = F.when(F.col("__part") == F.col("__size"), F.array_repeat(whole, (F.col("__epochs") + 1).cast("int"))).otherwise(
         F.concat(
-            F.array_repeat(F.lit(-1).cast("long"), F.col("epochs").cast("int")),
-            F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>")),
+            F.array_repeat(whole, F.col("__epochs").cast("int")),
+            F.when(F.col("__part") > 0, F.array(F.col("__part"))).otherwise(F.array().cast("array<bigint>")),
         )
     )
-    rows = joined.where(F.col("size") > 0).withColumn("m_cut", F.explode(copies))
+    rows = joined.where(F.col("__size") > 0).withColumn("__cut", F.explode(copies))
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    head = F.array_join(F.slice(words, 1, F.greatest(F.col("m_cut"), F.lit(0)).cast("int")), "")
-    cut = F.when(F.col("m_cut") < 0, F.col(text_col)).otherwise(head)
-    out = rows.withColumn(text_col, cut)
+    head = F.array_join(F.slice(words, 1, F.greatest(F.col("__cut"), F.lit(0)).cast("int")), "")
+    out = rows.withColumn(text_col, F.when(F.col("__cut") < 0, F.col(text_col)).otherwise(head))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(F.col(text_col)).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -124,8 +124,8 @@ def measures(text: Column) -> Column:
     )
 
 
-def with_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with one struct column `quality`: the measures, base_failed and kept."""
+def with_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, out_col: str = "quality") -> DataFrame:
+    """docs with one struct column more: the measures, base_failed and kept."""
     m = docs.withColumn("__q", measures(F.col(text_col)))
     names = ("words.n_words", "words.word_chars", "n_symbols", "lines.n_dup_lines", "words.n_repeat_words", "words.n_stop_words", "lines.n_lines", "n_exclamations")
     base = (F.col("__q.words.n_words") < MIN_WORDS) | (100 * F.col("__q.words.n_repeat_words") > MAX_REPEATED_PERCENT * F.col("__q.words.n_words"))
@@ -135,7 +135,7 @@ def with_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...
         share = where[r.numerator].cast("double") / F.when(where[r.denominator] >= r.least, where[r.denominator]).cast("double")
         good = good & F.coalesce(share.between(r.low, r.high), F.lit(True))
     fields = [c.alias(n) for n, c in where.items()]
-    return m.withColumn("quality", F.struct(*fields, base.alias("base_failed"), (~base & good).alias("kept"))).drop("__q")
+    return m.withColumn(out_col, F.struct(*fields, base.alias("base_failed"), (~base & good).alias("kept"))).drop("__q")
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,7 +149,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows whose text passes; columns as given."""
-    return with_quality(docs, text_col).where("quality.kept").select(*docs.columns)
+    return with_quality(docs, text_col, out_col="__quality").where("__quality.kept").select(*docs.columns)
 
 
 def _sql_list(items: list[str]) -> str:

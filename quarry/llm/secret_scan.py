@@ -203,20 +203,20 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
 
     Spans are joined back by id and text hash, so rows that repeat an id with another text are told apart.
     """
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.withColumn("s_key", key)
-    spans = scan(keyed.select(F.struct(F.col(id_col), F.col("s_key")).alias("s_both"), F.col(text_col)), "s_both", text_col).where("kind is not null")
+    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    spans = scan(keyed.select(F.struct(F.col(id_col).alias("id"), F.col("__key").alias("key")).alias("both"), F.col(text_col).alias("text")), "both", "text")
     cut = (
-        spans.groupBy("s_row", "s_id")
-        .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts"))
-        .groupBy(F.col(f"s_id.{id_col}").alias("s_id"), F.col("s_id.s_key").alias("s_key2"))
-        .agg(F.first("cuts").alias("cuts"))
+        spans.where("kind is not null")
+        .groupBy("s_row", "s_id")
+        .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__cuts"))
+        .groupBy(F.col("s_id.id").alias("__id"), F.col("s_id.key").alias("__key2"))
+        .agg(F.first("__cuts").alias("__cuts"))
     )
-    joined = keyed.join(cut, keyed[id_col].eqNullSafe(cut["s_id"]) & (keyed["s_key"] == cut["s_key2"]), "left")
+    joined = keyed.join(cut, keyed[id_col].eqNullSafe(cut["__id"]) & (keyed["__key"] == cut["__key2"]), "left")
     # Fold: text so far, and where the next uncut part begins.
     zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("long").alias("at"))
     folded = F.aggregate(
-        F.col("cuts"),
+        F.col("__cuts"),
         zero,
         lambda acc, c: F.struct(
             F.when(
@@ -229,7 +229,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
         ),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))),
     )
-    out = joined.withColumn(text_col, F.when(F.col("cuts").isNull(), F.col(text_col)).otherwise(folded))
+    out = joined.withColumn(text_col, F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(folded))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(F.col(text_col)).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
