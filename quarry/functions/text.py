@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.columns import let
+
 # The patterns and word lists that results depend on. ------------------------------------------------------
 
 INJECTION = (
@@ -290,3 +292,61 @@ def cache_scope(*parts: Column) -> Column:
 
 def answer_cost(tokens_in: Column, tokens_out: Column) -> Column:
     return tokens_in / F.lit(1e6) * PRICE_IN + tokens_out / F.lit(1e6) * PRICE_OUT
+
+
+# Passages ----------------------------------------------------------------------------------------------------------------
+
+NEEDLE_CHARS = 400
+
+
+def normalised_words(text: Column) -> Column:
+    """Text with single spaces, as it is searched."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def passage_range(page: Column, quote: Column) -> Column:
+    """struct(from, to) of the quote on the page, both normalised, counted from 0; null where it is not found.
+
+    The longest opening phrase that the page has decides the start: eight, five or three words, begun up to three words in. The end is that of the quote's
+    last four words behind it, else the quote's length. Without such a phrase the window of the quote's length with most of its longer words counts, if it has half of them.
+    """
+
+    def located(p: Column, q: Column, words: Column) -> Column:
+        def phrase(skip: int, size: int) -> Column:
+            found = F.instr(p, F.array_join(F.slice(words, skip + 1, size), " ")) - 1
+            return F.when((F.size(words) >= skip + size) & (found >= 0), found)
+
+        start = F.coalesce(*(phrase(skip, size) for skip in range(4) for size in (8, 5, 3)))
+        tail = F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - 3), 4), " ")
+
+        def ranged(at: Column) -> Column:
+            behind = F.call_function("locate", tail, p, at + 1) - 1
+            end = F.when(behind >= 0, behind + F.length(tail)).otherwise(at + F.length(q))
+            return F.struct(at.alias("from"), end.alias("to"))
+
+        return F.when(start.isNotNull(), let(start, ranged)).otherwise(_best_overlap(p, words))
+
+    return let(normalised_words(page), lambda p: let(F.substring(normalised_words(quote), 1, NEEDLE_CHARS), lambda q: let(F.filter(F.split(q, " "), lambda w: w != ""), lambda w: located(p, q, w))))
+
+
+def _best_overlap(page: Column, needle: Column) -> Column:
+    wanted = F.array_distinct(F.filter(needle, lambda w: F.length(w) > 3))
+
+    def scored(words: Column, good: Column, width: Column) -> Column:
+        hits = F.transform(words, lambda w: F.array_contains(good, w).cast("int"))
+        starts = F.sequence(F.lit(0), F.size(words) - width)
+        scores = let(hits, lambda h: F.transform(starts, lambda s: F.aggregate(F.slice(h, s + 1, width), F.lit(0), lambda a, x: a + x)))
+        best = let(scores, lambda c: F.struct(F.array_max(c).alias("score"), (F.array_position(c, F.array_max(c)) - 1).cast("int").alias("s")))
+
+        def ranged(b: Column) -> Column:
+            before = F.aggregate(F.transform(F.slice(words, 1, b["s"]), lambda w: F.length(w) + 1), F.lit(0), lambda a, x: a + x)
+            inside = F.length(F.array_join(F.slice(words, b["s"] + 1, width), " "))
+            return F.when(2 * b["score"] >= F.size(good), F.struct(before.alias("from"), (before + inside).alias("to")))
+
+        return let(best, ranged)
+
+    enough = lambda words, good: (F.size(good) >= 4) & (F.size(words) > 0)
+    return let(
+        F.filter(F.split(page, " "), lambda w: w != ""),
+        lambda words: let(wanted, lambda good: F.when(enough(words, good), scored(words, good, F.least(F.size(needle), F.size(words))))),
+    )

@@ -5,10 +5,12 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import text
 from quarry.operators import analytics, catalog, chunking, evaluation, ingest, search
 from quarry.plans import answer
 from quarry.sources import files
-from quarry.streaming import requests
+
+from quarry.streaming import cache, requests
 
 NOW = dt.datetime(2024, 5, 1, 12)
 LOG = "id long, created_at timestamp_ntz, query string, status_code int, latency_ms double, cache_hit boolean, tokens_input long, tokens_output long, stages string"
@@ -255,3 +257,25 @@ def test_ingest_html_is_idempotent(spark):
     assert {r["doc_id"]: r["status"] for r in docs.collect()} == {"a": "ok", "b": "no_html"} and chunks.count() == 1
     again, chunks_again = answer.ingest_html(pages, docs, chunks)
     assert again.count() == 2 and chunks_again.count() == 1
+
+
+def test_passage_range(spark):
+    page = "12 Heading here. The data subject shall have the right to obtain from the controller confirmation as to whether data are processed. End."
+    quote = "x The data subject  shall have the right to obtain from the controller confirmation as to whether data are processed."
+    rows = [(page, quote), (page, "nothing of the sort is on this page at all"), (page, ""), (page, "processed whether confirmation controller obtain right shall subject")]
+    frame = spark.createDataFrame(rows, "p string, q string")
+    out = [r["x"] for r in frame.select(text.passage_range(F.col("p"), F.col("q")).alias("x")).collect()]
+    assert page[out[0]["from"] : out[0]["to"]] == "The data subject shall have the right to obtain from the controller confirmation as to whether data are processed."
+    assert out[1] is None and out[2] is None
+    assert out[3] is not None and "subject" in page[out[3]["from"] : out[3]["to"]]
+
+
+def test_semantic_cache_stream(spark, tmp_path):
+    import math
+
+    rows = [("s", i, NOW + dt.timedelta(seconds=s), [math.cos(a), math.sin(a)]) for i, (s, a) in enumerate([(0, 0.0), (10, 0.01), (20, 1.5), (4000, 0.0), (4001, 0.02)])]
+    schema = "scope string, id long, at timestamp, vec array<double>"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = cache.semantic_cache(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), width=2)
+    out = {r["id"]: r["hit"] for r in requests.run_to_end(stream, "append").collect()}
+    assert out == {0: None, 1: 0, 2: None, 3: None, 4: 3}
