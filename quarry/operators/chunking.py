@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import let
+from quarry.functions.markup import is_tagged
+from quarry.functions.markup import pieces as marked_pieces
 from quarry.functions.text import chunk_header, clean_line, heading_title, mostly_numbers, token_count
 
 CHUNK_CHARS, OVERLAP = 1600, 200
@@ -217,13 +219,16 @@ def pieces(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "place", "section", label.alias("label"), F.regexp_replace("t.rest", r"^\s+|\s+$", "").alias("body")).where("body <> ''")
 
 
-def structure_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS, html: bool = False) -> DataFrame:
+def structure_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS, html: bool = False, marked: DataFrame | None = None) -> DataFrame:
     """(doc_id, chunk_index, section, label, text) of docs (doc_id, title, text): pieces split at their units and packed to a token budget.
 
+    `marked` holds pieces known from markup; texts are read for those of the other documents, and those with a null text have none.
+
     Recitals take RECITAL_TOKENS where the text came from HTML. Annex parts with more digits than letters go then too, recitals are merged and named by their range, and
     short parts join the one before them. A unit over the budget is cut by size.
     """
-    found = pieces(docs).withColumn("label", F.when(F.col("section") == "preamble", F.lit("Recitals" if html else "Preamble and recitals")).otherwise(F.col("label")))
+    found = pieces(docs.where("text is not null"))
+    found = (found.unionByName(marked) if marked is not None else found).withColumn("label", F.when(F.col("section") == "preamble", F.lit("Recitals" if html else "Preamble and recitals")).otherwise(F.col("label")))
     named = found.join(docs.select("doc_id", "title"), "doc_id").withColumn("header", chunk_header(F.col("title"), F.col("label")))
     units = (
         F.when(F.col("section") == "preamble", F.split("body", RECITAL_START))
@@ -339,5 +344,6 @@ def html_text(html: Column) -> Column:
 
 
 def html_chunks(pages: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """structure_chunks of HTML pages (doc_id, title, html)."""
-    return structure_chunks(pages.select("doc_id", "title", html_text(F.col("html")).alias("text")), max_tokens, html=True)
+    """structure_chunks of HTML pages (doc_id, title, html), by element ids where a page is marked up and by its headings elsewhere."""
+    text = F.when(~is_tagged(F.col("html")), html_text(F.col("html")))
+    return structure_chunks(pages.select("doc_id", "title", text.alias("text")), max_tokens, html=True, marked=marked_pieces(pages))

@@ -279,3 +279,24 @@ def test_semantic_cache_stream(spark, tmp_path):
     stream = cache.semantic_cache(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), width=2)
     out = {r["id"]: r["hit"] for r in requests.run_to_end(stream, "append").collect()}
     assert out == {0: None, 1: 0, 2: None, 3: None, 4: 3}
+
+
+MARKED = """<?xml version="1.0"?><html><div class="eli-container"><div id="rct_1"><table><tr><td><p>(1)</p></td><td><p>First recital.</p></td></tr></table></div>
+<div id="rct_2"><p>(2) Second recital.</p></div><div id="cpt_I"><p>CHAPTER I</p><div id="cpt_I.tit_1"><p>General</p></div>
+<div id="art_1"><p class="oj-ti-art">Article 1</p><p class="oj-sti-art">Subject</p><div id="001.001"><p>1. One thing.</p></div><div id="001.002"><p>2. Another<br/>thing.</p></div></div></div>
+<div id="anx_I"><p>ANNEX I</p><p>Tables</p><p>1 2 3 4 5 6 7 8 9</p></div></div></html>"""
+
+
+def test_marked_up_pages(spark):
+    from quarry.functions import markup
+
+    pages = spark.createDataFrame([("a", "Act", MARKED), ("b", "Act", "<p>plain text</p>"), ("c", "Act", None)], "doc_id string, title string, html string")
+    out = markup.pieces(pages).orderBy("place").collect()
+    assert [(r["section"], r["label"], r["body"]) for r in out] == [
+        ("preamble", "Recitals", "(1) First recital."),
+        ("preamble", "Recitals", "(2) Second recital."),
+        ("article", "CHAPTER I General | Article 1 Subject", "1. One thing.\n2. Another\nthing."),
+        ("annex", "ANNEX I Tables", "1 2 3 4 5 6 7 8 9"),
+    ]
+    chunks = chunking.html_chunks(pages).orderBy("doc_id", "chunk_index").collect()
+    assert [(r["doc_id"], r["label"]) for r in chunks] == [("a", "Recitals (1)-(2)"), ("a", "CHAPTER I General | Article 1 Subject"), ("b", "")]
