@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words in one generation of a worker's memo, and bytes of text encoded at a time.
-MEMO_ENTRIES = 500_000
-BYTES_AT_ONCE = 8_000_000
+MEMO_ENTRIES = 120_000
+BYTES_AT_ONCE = 3_000_000
 
 # Fixed value: the pattern that byte-level BPE vocabularies of this family split text with.
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -254,7 +254,15 @@ class TextEncoder:
     that holds a special token, is encoded as a whole. The memo keeps two generations: a word that is not met while a generation fills is forgotten.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_texts: Callable[[list[str]], list[bytes]], specials: Iterable[str]):
+    def __init__(
+        self,
+        encode_words: Callable[[list[str]], list[bytes]],
+        encode_texts: Callable[[list[str]], list[bytes]],
+        specials: Iterable[str],
+        memo_entries: int = MEMO_ENTRIES,
+        bytes_at_once: int = BYTES_AT_ONCE,
+    ):
+        self.memo_entries, self.bytes_at_once = memo_entries, bytes_at_once
         self.encode_words, self.encode_texts, self.specials = encode_words, encode_texts, list(specials)
         self.memo: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
@@ -265,10 +273,10 @@ class TextEncoder:
 
     def _ids_of(self, words: list[str]) -> list[bytes | None]:
         """The ids of each distinct word; None if it can't stand alone."""
-        if len(self.memo) + len(words) > MEMO_ENTRIES:
-            self.memo, self.older = {}, self.memo
+        missing = [w for w in words if w not in self.memo]
+        if len(self.memo) + len(missing) > self.memo_entries:
+            self.memo, self.older, missing = {}, self.memo, words
         memo, older = self.memo, self.older
-        missing = [w for w in words if w not in memo]
         new = []
         for w in missing:
             if w in older:
@@ -287,13 +295,15 @@ class TextEncoder:
     def _encode_slice(self, texts: pa.Array) -> pa.Array:
         n = len(texts)
         whole = np.zeros(n, bool)
+        raw = texts.buffers()[2]
         for held in (CUT, *self.specials):
-            whole |= pc.match_substring(texts, held).to_numpy(zero_copy_only=False)
+            if raw is not None and held.encode() in memoryview(raw).tobytes():
+                whole |= pc.match_substring(texts, held).to_numpy(zero_copy_only=False)
         cut = pc.replace_substring(pc.replace_substring(texts, " ", CUT + " "), "\n", CUT + "\n" + CUT)
         lists = pc.split_pattern(cut, CUT)
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         ids = self._ids_of(words)
         # An empty word is one between two cuts; at either end of a text it means nothing.
         unsafe = np.fromiter((x is None for x in ids), bool, len(ids))[at]
@@ -304,12 +314,13 @@ class TextEncoder:
             unsafe |= inner
         whole |= np.logical_or.reduceat(unsafe, bounds[:-1])
         flat = np.frombuffer(b"".join([x or b"" for x in ids]), "<u4")
-        sizes = np.fromiter((len(x or b"") // 4 for x in ids), np.int64, len(ids))
-        starts = np.cumsum(sizes) - sizes
+        # A slice has far fewer than 2 ** 31 ids.
+        sizes = np.fromiter((len(x or b"") // 4 for x in ids), np.int32, len(ids))
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         word_sizes = sizes[at]
-        ends = np.cumsum(word_sizes)
-        gathered = flat[np.repeat(starts[at] - (ends - word_sizes), word_sizes) + np.arange(ends[-1])]
-        offsets = np.concatenate(([0], ends))[bounds] * 4
+        ends = np.cumsum(word_sizes, dtype=np.int32)
+        gathered = flat[np.repeat(starts[at] - (ends - word_sizes), word_sizes) + np.arange(ends[-1], dtype=np.int32)]
+        offsets = np.concatenate(([0], ends))[bounds].astype(np.int64) * 4
         data = gathered.tobytes()
         if not whole.any():
             return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
@@ -320,13 +331,13 @@ class TextEncoder:
         return pa.array(out, pa.binary())
 
     def encode(self, texts: pa.Array) -> Iterator[pa.Array]:
-        """The ids of each text, as binary values, in slices of about BYTES_AT_ONCE of text. A null text has none."""
+        """The ids of each text, as binary values, in slices of about `bytes_at_once` of text. A null text has none."""
         texts = texts.fill_null("") if texts.null_count else texts
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
         start = 0
         while start < len(texts):
             done = sizes[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(sizes, done + BYTES_AT_ONCE, "right")))
+            end = max(start + 1, int(np.searchsorted(sizes, done + self.bytes_at_once, "right")))
             yield self._encode_slice(texts.slice(start, end - start))
             start = end
 
@@ -351,6 +362,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                 part = batch.slice(start, len(ids))
                 start += len(ids)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in rest), ids], [*rest, ids_col])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(*rest, text_col).mapInArrow(run, schema)
 
@@ -365,5 +377,6 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "t
             column = batch.column(batch.schema.get_field_index(ids_col))
             texts = (bpe.decode(np.frombuffer(x.as_py() or b"", "<u4")).decode("utf-8", "replace") for x in column)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
+        pa.default_memory_pool().release_unused()
 
     return coded.mapInArrow(run, schema)

@@ -15,6 +15,7 @@ the text; repeated rows are kept; an empty table writes an empty codebook and no
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +32,8 @@ MAX_BITS = 16
 CHECKPOINT = 256
 BLOCK_IDS = 1 << 20
 END_ID = 0
+#: The library is slow on words it has not met, so a worker remembers more of them here.
+MEMO_ENTRIES, BYTES_AT_ONCE = 400_000, 8_000_000
 
 
 # Codes ----------------------------------------------------------------------------------------------------------------
@@ -71,7 +74,7 @@ class Codebook:
         first = np.concatenate(([0], np.cumsum(step)[:-1])) if len(ids) else np.empty(0, np.int64)
         codes = first >> (self.width - self.bits)
         top = int(self.ids.max()) + 1 if len(ids) else 1
-        self.code_of, self.bits_of = np.zeros(top, np.uint64), np.zeros(top, np.int64)
+        self.code_of, self.bits_of = np.zeros(top, np.uint64), np.zeros(top, np.int32)
         self.code_of[self.ids], self.bits_of[self.ids] = codes, self.bits
         self.next_id = np.zeros(1 << self.width, np.uint32)
         self.next_bits = np.zeros(1 << self.width, np.int64)
@@ -83,9 +86,11 @@ class Codebook:
         if not len(ids):
             return b"", b""
         bits = self.bits_of[ids]
-        at = np.cumsum(bits) - bits
-        word, inside = at >> 5, at & 31
-        shifted = self.code_of[ids] << (64 - inside - bits).astype(np.uint64)
+        # A block's bits fit 31 bits unless one document alone makes it very large.
+        wide = np.int32 if len(ids) < 1 << 26 else np.int64
+        at = np.cumsum(bits, dtype=wide) - bits
+        word = at >> 5
+        shifted = self.code_of[ids] << (64 - (at & 31) - bits).astype(np.uint64)
         starts = np.flatnonzero(np.diff(word, prepend=-1))
         out = np.zeros(int(word[-1]) + 3, np.uint64)
         out[word[starts]] = np.add.reduceat(shifted >> np.uint64(32), starts)
@@ -116,6 +121,8 @@ class Codebook:
 @lru_cache(maxsize=2)
 def _library_encoder(path: str) -> bpe.TextEncoder:
     """This worker's encoder by the tokenizers library: it encodes each distinct word, and whole texts where words can't stand alone."""
+    # One thread for each task: Spark has already dealt the work out to the cores.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -133,9 +140,9 @@ def _library_encoder(path: str) -> bpe.TextEncoder:
         if len(newline) != 1:
             return texts(items)
         out: list[bytes] = []
-        for k in range(0, len(items), 4000):
-            part = items[k : k + 4000]
-            ids = np.array(tokenizer.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
+        joined = ["\n".join(items[k : k + 2000]) for k in range(0, len(items), 2000)]
+        for coded in tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+            ids = np.array(coded.ids, "<u4")
             ends = np.append(np.flatnonzero(ids == newline[0]), len(ids)).tolist()
             flat, start = ids.tobytes(), 0
             for end in ends:
@@ -143,7 +150,7 @@ def _library_encoder(path: str) -> bpe.TextEncoder:
                 start = end + 1
         return out
 
-    return bpe.TextEncoder(words, texts, specials)
+    return bpe.TextEncoder(words, texts, specials, MEMO_ENTRIES, BYTES_AT_ONCE)
 
 
 def _sorted_ids(docs: DataFrame, path: str, parts: int, id_col: str, text_col: str, end_id: int) -> DataFrame:
