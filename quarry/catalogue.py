@@ -11,7 +11,8 @@ from quarry.session import table
 from quarry.streaming import requests
 
 HOURS = 168
-N_QUESTIONS = 20
+#: Questions are the vectors whose id this divides.
+EVERY = 50
 K = 10
 
 
@@ -31,7 +32,7 @@ def _vectors(spark, sf_dir):
 
 
 def _questions(spark, sf_dir):
-    chosen = _vectors(spark, sf_dir).where(F.col("id") < N_QUESTIONS)
+    chosen = _vectors(spark, sf_dir).where(F.col("id") % EVERY == 0)
     return chosen.select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"), F.col("label").alias("q_label"))
 
 
@@ -42,7 +43,7 @@ LOG_SQL = f"""log AS (SELECT event_id AS id, ts AS created_at, 'q' || user_id AS
 CATALOGUE_SQL = """cat AS (SELECT doc_id::VARCHAR AS doc_id, string_split(text, chr(10))[1] AS title, source AS collection, lang AS document_type,
   DATE '2020-01-01' + (doc_id % 365)::INTEGER AS publication_date, greatest(1, ceil(n_chars / 2000.0))::BIGINT AS page_count,
   greatest(1, ceil(n_chars / 1600.0))::BIGINT AS chunk_count FROM documents)"""
-SCORES_SQL = f"""q AS (SELECT vec_id AS q_id, embedding AS q_vec, label AS q_label FROM embeddings WHERE vec_id < {N_QUESTIONS}),
+SCORES_SQL = f"""q AS (SELECT vec_id AS q_id, embedding AS q_vec, label AS q_label FROM embeddings WHERE vec_id % {EVERY} = 0),
 scored AS (SELECT q_id, q_label, vec_id AS id, label, round(list_dot_product(embedding::DOUBLE[], q_vec::DOUBLE[]), 6) AS score FROM embeddings, q WHERE vec_id <> q_id),
 ranked AS (SELECT *, (row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id))::INTEGER AS rank FROM scored)"""
 
@@ -250,18 +251,13 @@ def semantic_cache_hits(spark, sf_dir):
 
 
 def rerank_lexical(spark, sf_dir):
-    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("text"), "lang")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question")).where("item_id < 5")
-    first = docs.where("lang = 'en'").withColumn("rank", F.row_number().over(_by_id())).where("rank <= 50")
-    pairs = first.join(F.broadcast(asked))
-    ranked = search.rerank(pairs, search.lexical_overlap(F.col("question"), F.col("text")), 6)
-    return ranked.select("q_id", "id", F.col("new_rank").alias("rank"))
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.orderBy("id")
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("p_id"), "text")
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    found = evaluation.shared_runs(passages, docs).join(docs, "doc_id").join(passages.withColumnRenamed("text", "question"), "p_id")
+    # Candidates stand in order of their ids, as if a search had ranked them so.
+    ranked = evaluation.ranked_by(found.select(F.col("p_id").alias("q_id"), F.col("doc_id").alias("id"), "text", "question", F.lit(0.0).alias("score")))
+    best = search.rerank(ranked, search.lexical_overlap(F.col("question"), F.col("text")), 6)
+    return best.select("q_id", "id", F.col("new_rank").alias("rank"))
 
 
 def span_match(spark, sf_dir):
@@ -271,9 +267,9 @@ def span_match(spark, sf_dir):
 
 def pile_union(spark, sf_dir):
     questions = _questions(spark, sf_dir)
-    ranked = search.search_exact(_vectors(spark, sf_dir), questions, 10)
-    gold = _vectors(spark, sf_dir).join(F.broadcast(questions), (F.col("label") == F.col("q_label")) & (F.col("id") % 50 == 0)).select("q_id", "id")
-    return evaluation.pile(ranked, gold)
+    ranked = search.search_exact(_vectors(spark, sf_dir), questions, 50)
+    labelled = ranked.join(_vectors(spark, sf_dir).select("id", "label"), "id").join(questions.select("q_id", "q_label"), "q_id")
+    return evaluation.pile(ranked.where("rank <= 10"), labelled.where("label = q_label"))
 
 
 def vector_norms(spark, sf_dir):
@@ -393,13 +389,17 @@ ORACLES = {
     "semantic_cache_hits": """WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS n FROM embeddings WHERE vec_id % 2 = 0) WHERE n <= 2000),
         p AS (SELECT a.vec_id AS id, s.vec_id AS hit, round(list_dot_product(a.embedding::DOUBLE[], s.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN s ON a.label = s.label WHERE a.vec_id % 2 = 1),
         r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, hit) AS n FROM p) SELECT id, hit, score FROM r WHERE n = 1 AND score >= 0.25""",
-    "rerank_lexical": """WITH f AS (SELECT * FROM (SELECT doc_id AS id, string_split(text, chr(10))[1] AS text, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE lang = 'en') WHERE rank <= 50),
-        p AS (SELECT item_id AS q_id, id, rank, len(list_intersect(list_distinct(list_filter(string_split_regex(lower(b.text), '[^a-z0-9]+'), lambda w: w <> '')),
-          list_distinct(list_filter(string_split_regex(lower(f.text), '[^a-z0-9]+'), lambda w: w <> '')))) AS s FROM f, benchmark b WHERE item_id < 5),
-        r AS (SELECT q_id, id, (row_number() OVER (PARTITION BY q_id ORDER BY s DESC, rank))::INTEGER AS rank FROM p) SELECT q_id, id, rank FROM r WHERE rank <= 6""",
+    "rerank_lexical": """WITH l AS (SELECT item_id AS p_id, text AS q, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS t FROM benchmark),
+        d AS (SELECT doc_id, text, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS t FROM documents),
+        g AS (SELECT DISTINCT p_id, q, substring(t, i, 120) AS g FROM l, unnest(range(1, length(t) - 118)) AS r(i) WHERE length(t) >= 120),
+        e AS (SELECT DISTINCT doc_id, substring(t, i, 120) AS g FROM d, unnest(range(1, length(t) - 118)) AS r(i) WHERE length(t) >= 120),
+        p AS (SELECT DISTINCT p_id, q, doc_id FROM g JOIN e USING (g)),
+        s AS (SELECT p_id AS q_id, p.doc_id AS id, len(list_intersect(list_distinct(list_filter(string_split_regex(lower(q), '[^a-z0-9]+'), lambda w: w <> '')),
+          list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '')))) AS s FROM p JOIN documents USING (doc_id)),
+        r AS (SELECT q_id, id, (row_number() OVER (PARTITION BY q_id ORDER BY s DESC, id))::INTEGER AS rank FROM s) SELECT q_id, id, rank FROM r WHERE rank <= 6""",
     "span_match": """WITH p AS (SELECT item_id AS p_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS t FROM benchmark), d AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS t FROM documents),
         g AS (SELECT DISTINCT p_id, substring(t, i, 120) AS g FROM p, unnest(range(1, length(t) - 118)) AS r(i) WHERE length(t) >= 120),
         e AS (SELECT DISTINCT doc_id, substring(t, i, 120) AS g FROM d, unnest(range(1, length(t) - 118)) AS r(i) WHERE length(t) >= 120) SELECT DISTINCT p_id, doc_id FROM g JOIN e USING (g)""",
-    "pile_union": f"""WITH {SCORES_SQL} SELECT q_id, id FROM ranked WHERE rank <= 10 UNION SELECT q_id, vec_id AS id FROM embeddings JOIN q ON label = q_label WHERE vec_id % 50 = 0""",
+    "pile_union": f"""WITH {SCORES_SQL} SELECT q_id, id FROM ranked WHERE rank <= 10 UNION SELECT q_id, id FROM ranked WHERE rank <= 50 AND label = q_label""",
     "vector_norms": "SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, len(embedding) = 64 AS fits FROM embeddings",
 }

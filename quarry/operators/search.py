@@ -1,7 +1,7 @@
 """Batch retrieval: exact and approximate top-k, caps, reranking, citations, semantic cache.
 
-A batch of questions is a DataFrame (q_id, q_vec). Its size is checked before it is broadcast: over `MAX_BROADCAST` questions it is an error, and
-the caller searches in blocks of questions.
+A batch of questions is a DataFrame (q_id, q_vec). Its size is checked before it is broadcast; beyond `MAX_BROADCAST` questions, blocks of questions meet
+blocks of vectors through a join on the block's number, and neither side is ever held whole.
 """
 
 from __future__ import annotations
@@ -17,19 +17,64 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import cited_numbers
 from quarry.functions.vectors import dot
+from quarry.session import materialize
 
 MAX_BROADCAST = 10_000
+BLOCK = 2048
 DIGITS = 6
 OVERFETCH = 3
 
 
-def _questions(questions: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _few(questions: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and vectors of the questions, or None if there are too many to send to every task."""
     rows = questions.select("q_id", "q_vec").limit(MAX_BROADCAST + 1).collect()
     if len(rows) > MAX_BROADCAST:
-        raise ValueError(f"more than {MAX_BROADCAST} questions in a batch")
+        return None
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
 
 
+def _best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best of these vectors for each of these questions, ties by id, without the question's own id."""
+    scores = np.round(q @ x.T, DIGITS)
+    scores[q_ids[:, None] == ids[None, :]] = -np.inf
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+    rows, cols = np.repeat(np.arange(len(q_ids)), order.shape[1]), order.reshape(-1)
+    good = np.isfinite(scores[rows, cols])
+    return pa.RecordBatch.from_arrays([pa.array(c[good]) for c in (q_ids[rows], ids[cols], scores[rows, cols])], ["q_id", "id", "score"])
+
+
+def _packed(frame: DataFrame, size: int) -> DataFrame:
+    """Blocks (ids, vecs) of up to `size` rows of an id and a vector of doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, size):
+                part = batch.slice(start, size)
+                x = np.array(part.column(1).to_pylist(), np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype(np.int64).tobytes()]), pa.array([x.tobytes()])], ["ids", "vecs"])
+
+    return frame.mapInArrow(run, "ids binary, vecs binary")
+
+
+def _search_blocks(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """Every block of questions against every block of vectors; a pair of blocks returns k rows for each question at most."""
+    asked = materialize(_packed(questions.select("q_id", "q_vec"), BLOCK).select(F.monotonically_increasing_id().alias("qb"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q")), "questions")
+    numbers = asked.select("qb")
+    # A block of vectors is dealt to every block of questions by its number; the numbers are checked to be few before they are collected.
+    found = [r["qb"] for r in numbers.limit(MAX_BROADCAST + 1).collect()]
+    if len(found) > MAX_BROADCAST:
+        raise ValueError(f"more than {MAX_BROADCAST * BLOCK} questions: search them in parts")
+    pairs = _packed(vectors.select("id", "vec"), BLOCK).select("ids", "vecs", F.explode(F.array(*(F.lit(n) for n in found)) if found else F.array().cast("array<bigint>")).alias("qb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                q_ids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
+                yield _best_of(q_ids, np.frombuffer(row["q"]).reshape(len(q_ids), -1), ids, np.frombuffer(row["vecs"]).reshape(len(ids), -1), k)
+
+    return pairs.join(asked, "qb").select("q_ids", "q", "ids", "vecs").mapInArrow(run, "q_id long, id long, score double")
+
+
 def top_k(candidates: DataFrame, k: int) -> DataFrame:
     """The k best rows of each question by score, ties by id, with their rank."""
     best = Window.partitionBy("q_id").orderBy(F.desc("score"), "id")
@@ -41,29 +86,24 @@ def search_exact(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
 
     Each Arrow batch is scored by one matrix product and keeps its k best for each question, so the shuffle sees k rows for each batch and question.
     """
-    q_ids, q = _questions(questions)
+    usable = vectors.where("id is not null and vec is not null").select("id", "vec")
+    few = _few(questions)
+    if few is None:
+        return top_k(_search_blocks(usable, questions, k), k)
+    q_ids, q = few
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows or not len(q_ids):
-                continue
-            ids = batch.column(0).to_numpy()
-            x = np.array(batch.column(1).to_pylist(), np.float64)
-            scores = np.round(q @ x.T, DIGITS)
-            scores[q_ids[:, None] == ids[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, : k]
-            rows = np.repeat(np.arange(len(q_ids)), order.shape[1])
-            cols = order.reshape(-1)
-            good = np.isfinite(scores[rows, cols])
-            yield pa.RecordBatch.from_arrays([pa.array(c[good]) for c in (q_ids[rows], ids[cols], scores[rows, cols])], ["q_id", "id", "score"])
+            if batch.num_rows and len(q_ids):
+                yield _best_of(q_ids, q, batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), np.float64), k)
 
-    usable = vectors.where("id is not null and vec is not null").select("id", "vec")
     return top_k(usable.mapInArrow(run, "q_id long, id long, score double"), k)
 
 
 def search_native(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """The same with JVM expressions only: simpler, and slower for wide vectors."""
-    _questions(questions)  # checks the size
+    """The same with JVM expressions only, for few questions: simpler, and slower for wide vectors."""
+    if _few(questions) is None:
+        return search_exact(vectors, questions, k)
     pairs = vectors.join(F.broadcast(questions), F.col("id") != F.col("q_id"))
     return top_k(pairs.select("q_id", "id", F.round(dot(F.col("vec"), F.col("q_vec")), DIGITS).alias("score")), k)
 
@@ -143,9 +183,17 @@ class InvertedLists:
         return run
 
     def search(self, questions: DataFrame, k: int, probes: int) -> DataFrame:
-        q_ids, q = _questions(questions)
-        near = np.argsort((self.centroids**2).sum(1)[None, :] - 2 * q @ self.centroids.T, axis=1, kind="stable")[:, :probes]
-        rows = [(int(i), int(c), [float(v) for v in vec]) for i, cs, vec in zip(q_ids, near, q, strict=True) for c in cs]
-        asked = questions.sparkSession.createDataFrame(rows, "q_id long, list int, q_vec array<double>")
-        pairs = self.indexed.join(F.broadcast(asked), "list").where("id <> q_id")
+        """(q_id, id, score, rank): exact scores within the `probes` lists nearest to each question."""
+        centroids = self.centroids
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    q = np.array(batch.column(1).to_pylist(), np.float64)
+                    lists = np.argsort((centroids**2).sum(1)[None, :] - 2 * q @ centroids.T, axis=1, kind="stable")[:, :probes]
+                    rows = np.repeat(np.arange(batch.num_rows), lists.shape[1])
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns), pa.array(lists.reshape(-1).astype(np.int32))], ["q_id", "q_vec", "list"])
+
+        asked = questions.select("q_id", F.col("q_vec").cast("array<double>").alias("q_vec")).mapInArrow(near, "q_id long, q_vec array<double>, list int")
+        pairs = self.indexed.join(asked, "list").where("id <> q_id")
         return top_k(pairs.select("q_id", "id", F.round(dot(F.col("vec"), F.col("q_vec")), DIGITS).alias("score")), k)

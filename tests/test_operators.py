@@ -92,6 +92,12 @@ def test_exact_searches_agree_and_lists_find_all(spark, sf):
     key = lambda f: sorted((r["q_id"], r["rank"], r["id"]) for r in f.collect())
     exact = search.search_exact(vectors, questions, 5)
     assert key(exact) == key(search.search_native(vectors, questions, 5))
+    few = search.MAX_BROADCAST
+    search.MAX_BROADCAST, search.BLOCK = 4, 128
+    try:
+        assert key(exact) == key(search.search_exact(vectors, questions, 5))
+    finally:
+        search.MAX_BROADCAST, search.BLOCK = few, 2048
     lists = search.InvertedLists(vectors, lists=8)
     recalls = [evaluation.recall_at(lists.search(questions, 5, n), exact, 5).first()["recall"] for n in (1, 4, 8)]
     assert recalls == sorted(recalls) and recalls[-1] == 1.0
