@@ -32,8 +32,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's ids, and the hash of the text that they decode to."""
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
-    return bpe.decode(coded, tokenizer_path()).select(
+    coded = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
+    return coded.select(
         "doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256")
     )
 

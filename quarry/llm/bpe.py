@@ -349,20 +349,29 @@ def text_encoder(path: str) -> TextEncoder:
     return TextEncoder(bpe.encode_words, bpe.encode_texts, bpe.specials)
 
 
+def _decoded(ids: pa.Array, bpe: Bpe) -> pa.Array:
+    return pa.array((bpe.decode(np.frombuffer(x.as_py() or b"", "<u4")).decode("utf-8", "replace") for x in ids), pa.string())
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, text_col: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the batches, each with the ids of its texts."""
+    encoder = text_encoder(path)
+    for batch in batches:
+        start = 0
+        for ids in encoder.encode(batch.column(batch.schema.get_field_index(text_col))):
+            yield batch.slice(start, len(ids)), ids
+            start += len(ids)
+    pa.default_memory_pool().release_unused()
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with `ids_col` in place of the text: the ids as little-endian unsigned 32-bit integers, in one binary value."""
     rest = [c for c in docs.columns if c != text_col]
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(ids_col, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = text_encoder(path)
-        for batch in batches:
-            start = 0
-            for ids in encoder.encode(batch.column(batch.schema.get_field_index(text_col))):
-                part = batch.slice(start, len(ids))
-                start += len(ids)
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in rest), ids], [*rest, ids_col])
-        pa.default_memory_pool().release_unused()
+        for part, ids in _encoded(batches, path, text_col):
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], [*rest, ids_col])
 
     return docs.select(*rest, text_col).mapInArrow(run, schema)
 
@@ -372,11 +381,20 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "t
     schema = T.StructType([*coded.schema.fields, T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids_col))
-            texts = (bpe.decode(np.frombuffer(x.as_py() or b"", "<u4")).decode("utf-8", "replace") for x in column)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
-        pa.default_memory_pool().release_unused()
+            text = _decoded(batch.column(batch.schema.get_field_index(ids_col)), load(path))
+            yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, text_col])
 
     return coded.mapInArrow(run, schema)
+
+
+def encode_and_decode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """encode, with the text replaced by what its ids decode to, in one pass and so in one Python worker for each task."""
+    rest = [c for c in docs.columns if c != text_col]
+    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(ids_col, T.BinaryType()), T.StructField(text_col, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, ids in _encoded(batches, path, text_col):
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, _decoded(ids, load(path))], [*rest, ids_col, text_col])
+
+    return docs.select(*rest, text_col).mapInArrow(run, schema)

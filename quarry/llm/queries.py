@@ -24,8 +24,7 @@ def op1_mix(spark, sf_dir):
 
 
 def op2_bpe(spark, sf_dir):
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
-    both = bpe.decode(coded, tokenizer_path())
+    both = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
