@@ -38,7 +38,10 @@ LENGTH = 50
 GRAM = 26
 #: Grams in a string, so anchors are at most so far apart that consecutive ones touch.
 SPAN = LENGTH - GRAM + 1
-BYTES_AT_ONCE = 4_000_000
+#: Bytes of text worked on at once; bytes whose anchors are sent together; strings sorted at once.
+BYTES_AT_ONCE, BYTES_SENT, STRINGS_AT_ONCE = 1_000_000, 4_000_000, 250_000
+#: Bits of an anchor's hash. Chance matches only cost work: a run needs two anchors in step, and strings are compared byte by byte.
+HASH_BITS = 48
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,6 +53,14 @@ class Texts:
         self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.data = np.frombuffer(b"".join(texts), np.uint8)
+        self._sums: np.ndarray | None = None
+
+    def digests(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """64-bit hashes of substrings, by prefix sums."""
+        power, back = _power_tables(len(self.data))
+        if self._sums is None:
+            self._sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[self.data] * power[: len(self.data)], dtype=np.uint64)))
+        return _mix((self._sums[start + size] - self._sums[start]) * back[start])
 
 
 def anchors(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,9 +68,7 @@ def anchors(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, n
     none = np.empty(0, np.int64)
     if len(t.data) < LENGTH or not (t.sizes >= LENGTH).any():
         return none, none, none, none, np.empty(0, np.uint64)
-    power, back = _power_tables(len(t.data))
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[t.data] * power[: len(t.data)], dtype=np.uint64)))
-    grams = _mix((sums[GRAM:] - sums[:-GRAM]) * back[: len(t.data) - GRAM + 1])
+    grams = t.digests(np.arange(len(t.data) - GRAM + 1), GRAM)
     # Leftmost least gram of each span, by doubling.
     best, at, width = grams, np.arange(len(grams), dtype=np.int32), 1
     while width < SPAN:
@@ -76,7 +85,7 @@ def anchors(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, n
     anchor = at[string].astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc_of[1:] != doc_of[:-1]))))
     last = np.append(new[1:], len(anchor)) - 1
-    return doc_of[new], string[new], string[last], anchor[new], grams[anchor[new]]
+    return doc_of[new], string[new], string[last], anchor[new], grams[anchor[new]] >> np.uint64(64 - HASH_BITS)
 
 
 def _pack(**columns: np.ndarray) -> bytes:
@@ -85,10 +94,19 @@ def _pack(**columns: np.ndarray) -> bytes:
     for x in columns.values():
         raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)
         parts.append(np.ascontiguousarray(raw.T).tobytes())
-    return b"".join(parts)
+    return _squeeze(b"".join(parts))
+
+
+def _squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _stretch(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
 
 
 def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    blob = _stretch(blob)
     widths = [np.dtype(k).itemsize for k in kinds]
     n = len(blob) // sum(widths)
     out, at = [], 0
@@ -109,7 +127,8 @@ def _home(ids: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _bucket(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return (_mix(hashes) % np.uint64(parts)).astype(np.int64)
+    """Least hashes are small ones; mixed again, they spread evenly."""
+    return (((_mix(hashes) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
 def _by(key: np.ndarray, kind: int, **columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -138,15 +157,16 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Texts]:
 ANCHOR = ("<u8", "<i8", "<u4", "<u4")  # hash, document and tag, place in it
 ANSWER = ("<i8", "<u4", "<u8", "<i8", "<u4", "<u4")  # document and tag, hash, first document and tag, place in that
 RANGE = ("<i8", "<u4", "<u4", "<u4")  # document and tag, first string, number of strings
-ROWS = "key long, kind int, doc_id long, tag long, text binary, blob binary"
-ARROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("text", pa.binary()), ("blob", pa.binary())])
-TO_BUCKET, TO_HOME, PENDING, DONE = 0, 1, 2, 3
+ROWS = "key long, kind int, doc_id long, blob binary"
+ARROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("blob", pa.binary())])
+TO_BUCKET, TO_HOME, KNOWN, TEXTS = 0, 1, 2, 3
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    """rows: (key, kind, blob) or (key, kind, doc_id, tag, text, blob)."""
-    full = [r if len(r) == 6 else (r[0], r[1], None, None, None, r[2]) for r in rows]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*full, strict=True), ARROW, strict=True)], schema=ARROW)
+    """rows: (key, kind, blob) or (key, kind, doc_id, blob)."""
+    full = [r if len(r) == 4 else (r[0], r[1], None, r[2]) for r in rows]
+    columns = list(zip(*full, strict=True)) or [()] * len(ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
 
 
 def _first_rows(*keys: np.ndarray) -> np.ndarray:
@@ -172,21 +192,84 @@ def _answered(h: np.ndarray, doc: np.ndarray, tag: np.ndarray, place: np.ndarray
     return order[doc == doc[head]], list(_by(_home(doc[on], homes), TO_HOME, **columns))
 
 
+def _merged(held: list[Texts]) -> Texts:
+    t = Texts(np.concatenate([x.ids for x in held]), np.concatenate([x.tags for x in held]), [x.data.tobytes() for x in held])
+    t.sizes = np.concatenate([x.sizes for x in held])
+    t.starts = np.cumsum(t.sizes) - t.sizes
+    return t
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Texts]]:
+    held: list[Texts] = []
+    for t in _texts(batches):
+        held.append(t)
+        if sum(len(x.data) for x in held) >= BYTES_SENT:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _of_anchors(held: list[Texts]) -> list[np.ndarray]:
+    """Hash, document, tag and place of all anchors."""
+    found = []
+    for t in held:
+        doc_at, _, _, x, h = anchors(t)
+        found.append((h, t.ids[doc_at], t.tags[doc_at], (x - t.starts[doc_at]).astype(np.uint32)))
+    return [np.concatenate(c) for c in zip(*found, strict=True)]
+
+
 def _send_anchors(buckets: int, homes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _texts(batches):
-            doc_at, _, _, x, h = anchors(t)
-            if not len(h):
-                continue
-            doc, tag, place = t.ids[doc_at], t.tags[doc_at], (x - t.starts[doc_at]).astype(np.uint32)
-            # Anchors of several documents are answered here too, each by the first document of this task.
-            first, out = _answered(h, doc, tag, place, homes)
-            out += _by(_bucket(h[first], buckets), TO_BUCKET, h=h[first], doc=doc[first], tag=tag[first], place=place[first])
+        for held in _gathered(batches):
+            h, doc, tag, place = _of_anchors(held)
+            if len(h):
+                first, _ = _answered(h, doc, tag, place, homes)
+                yield _batch(list(_by(_bucket(h[first], buckets), TO_BUCKET, h=h[first], doc=doc[first], tag=tag[first], place=place[first])))
+
+    return run
+
+
+def _send_home(homes: int, answer: bool):
+    """Documents, packed by home; and the answers that a task has for its own documents, if wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _gathered(batches):
+            out = []
+            if answer:
+                h, doc, tag, place = _of_anchors(held)
+                out = _answered(h, doc, tag, place, homes)[1] if len(h) else []
+            t = _merged(held)
+            home = _home(t.ids, homes)
+            order = np.argsort(home, kind="stable")
+            cuts = np.flatnonzero(_first_rows(home[order]))
+            for i, j in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+                out.append((int(home[order[i]]), TEXTS, _pack_docs(t, order[i:j], [[]] * int(j - i), [[]] * int(j - i))))
             yield _batch(out)
 
     return run
 
 
+def _pack_docs(t: Texts, rows: np.ndarray, spans: list[list[tuple]], copies: list[list[tuple]]) -> bytes:
+    """Documents with what is known of them: proven spans (start, end), and copies (place, its first place, strings) of strings that were sent once."""
+    flat = np.array([x for s in spans for x in s], "<i8").reshape(-1)
+    more = np.array([x for c in copies for x in c], "<i8").reshape(-1)
+    head = np.array([len(rows), len(flat), len(more)], "<i8").tobytes() + t.ids[rows].astype("<i8").tobytes() + t.tags[rows].astype("<i8").tobytes()
+    head += t.sizes[rows].astype("<i8").tobytes() + np.array([len(s) for s in spans], "<i8").tobytes() + np.array([len(c) for c in copies], "<i8").tobytes()
+    return _squeeze(head + flat.tobytes() + more.tobytes() + b"".join(t.data[t.starts[r] : t.starts[r] + t.sizes[r]].tobytes() for r in rows))
+
+
+def _unpack_docs(blob: bytes) -> tuple[Texts, list[np.ndarray], list[np.ndarray]]:
+    raw = _stretch(blob)
+    n, m, k = np.frombuffer(raw, "<i8", 3).tolist()
+    ids, tags, sizes, n_spans, n_copies = np.frombuffer(raw, "<i8", 5 * n, 24).reshape(5, n)
+    spans = np.split(np.frombuffer(raw, "<i8", m, 24 + 40 * n).reshape(-1, 2), np.cumsum(n_spans)[:-1])
+    copies = np.split(np.frombuffer(raw, "<i8", k, 24 + 40 * n + 8 * m).reshape(-1, 3), np.cumsum(n_copies)[:-1])
+    ends = np.cumsum(sizes) + 24 + 40 * n + 8 * (m + k)
+    texts = [raw[e - size : e] for e, size in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    return Texts(ids, tags.astype(np.uint32), texts), spans, copies
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
     """The blobs of each key; rows come sorted by key."""
     key, held = None, []
@@ -281,8 +364,25 @@ def _segments(t: Texts, home: _Home, key: int, buckets: int) -> list[tuple]:
     row = np.concatenate([p[0] for p in parts])
     a = np.concatenate([p[1] for p in parts])
     n = np.concatenate([p[2] for p in parts]) - a + 1
+    # Equal segments are sent once: copies in one text follow the first, and those in larger documents are matched already.
+    text_of, owner, part = doc_at[row], doc[row], tag[row]
+    alike = t.digests(a, n + LENGTH - 1) if len(row) else np.empty(0, np.uint64)
+    order = np.lexsort((a, text_of, part, owner, alike))
+    head = order[np.maximum.accumulate(np.where(_first_rows(alike[order], n[order]), np.arange(len(order)), 0))] if len(order) else order
+    lead = np.empty(len(order), np.int64)
+    lead[order] = head
+    matched = owner > owner[lead]
+    copied = (text_of == text_of[lead]) & (lead != np.arange(len(row)))
     asking = np.zeros(len(t.ids), bool)
-    asking[doc_at[row[earlier[row]]]] = True
+    asking[text_of[earlier[row] & ~matched]] = True
+    inside = a - t.starts[text_of]
+    known_spans, copies = ([[] for _ in t.ids] for _ in range(2))
+    for i in np.flatnonzero(matched):
+        known_spans[text_of[i]].append((int(inside[i]), int(inside[i] + n[i] + LENGTH - 1)))
+    for i in np.flatnonzero(copied):
+        copies[text_of[i]].append((int(inside[i]), int(inside[lead[i]]), int(n[i])))
+    sent = ~matched & ~copied
+    row, a, n = row[sent], a[sent], n[sent]
     out: list[tuple] = []
     bucket = _bucket(h[row], buckets)
     order = np.argsort(bucket, kind="stable")
@@ -294,44 +394,51 @@ def _segments(t: Texts, home: _Home, key: int, buckets: int) -> list[tuple]:
         body = t.data[np.repeat(a[rows] - (total - size), size) + np.arange(total[-1])]
         places = (a[rows] - t.starts[doc_at[row[rows]]]).astype(np.uint32)
         head = _pack(doc=doc[row[rows]], tag=tag[row[rows]], place=places, n=n[rows].astype(np.uint32))
-        out.append((int(bucket[order[i]]), TO_BUCKET, np.uint32(len(rows)).tobytes() + head + body.tobytes()))
+        out.append((int(bucket[order[i]]), TO_BUCKET, len(head).to_bytes(8, "little") + head + _squeeze(body.tobytes())))
     run_rows = np.flatnonzero(~linked & proven)
-    by_doc = np.searchsorted(doc_at[run_rows], np.arange(len(t.ids) + 1))
-    for d in range(len(t.ids)):
-        text = t.data[t.starts[d] : t.starts[d] + t.sizes[d]].tobytes()
-        mine = run_rows[by_doc[d] : by_doc[d + 1]]
-        spans = _union([(int(p - t.starts[d]), int(q - t.starts[d])) for p, q in zip(s[mine], e[mine], strict=True)])
-        if asking[d]:
-            out.append((key, PENDING, int(t.ids[d]), int(t.tags[d]), text, np.array(spans, "<i8").tobytes()))
-        else:
-            out.append(_done(int(t.ids[d]), text, spans))
+    for i in run_rows:
+        d = doc_at[i]
+        known_spans[d].append((int(s[i] - t.starts[d]), int(e[i] - t.starts[d])))
+    known_docs = [d for d in range(len(t.ids)) if known_spans[d] or (asking[d] and copies[d])]
+    if known_docs:
+        bare = Texts(t.ids[known_docs], t.tags[known_docs], [b""] * len(known_docs))
+        out.append((key, KNOWN, _pack_docs(bare, np.arange(len(known_docs)), [_union(known_spans[d]) for d in known_docs], [copies[d] if asking[d] else [] for d in known_docs])))
     return out
 
 
 def _done(doc_id: int, text: bytes, spans: list[tuple[int, int]]) -> tuple:
     gone, n, digest = _cut(text, spans)
-    return 0, DONE, doc_id, None, None, np.array([len(text), gone, n], ">i8").tobytes() + digest.encode()
+    return 0, TEXTS, doc_id, np.array([len(text), gone, n], ">i8").tobytes() + digest.encode()
 
 
-def _at_home(buckets: int):
-    """Rows come sorted by home and kind: answers, then documents."""
+def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]], bytes]]:
+    """Rows come sorted by home and kind: for each packed set of texts its home and what came before them there, the same list each time."""
+    key, before = None, []
+    for batch in batches:
+        for k, kind, blob in zip(batch.column("key").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
+            if k != key:
+                key, before = k, []
+            if kind != TEXTS:
+                before.append((kind, blob.as_py()))
+            else:
+                yield k, before, blob.as_py()
+
 
+def _at_home(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, blobs, home = None, [], None
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            kinds = batch.column(1).to_numpy()
-            change = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1]))))
-            for i, j in zip(change, [*change[1:], len(keys)], strict=True):
-                part = batch.slice(i, j - i)
-                if keys[i] != key:
-                    key, blobs, home = int(keys[i]), [], None
-                if kinds[i] == TO_HOME:
-                    blobs += part.column("blob").to_pylist()
-                    continue
-                home = home or _Home(blobs)
-                for t in _texts(iter([part])):
-                    yield _batch(_segments(t, home, key, buckets))
+        # The texts of a home come in many small sets; they are worked on together, so that segments leave in few rows.
+        known, home, at, held = None, None, None, []
+        for key, before, blob in _homes(batches):
+            if before is not known:
+                if held:
+                    yield _batch(_segments(_merged(held), home, at, buckets))
+                known, home, at, held = before, _Home([b for _, b in before]), key, []
+            held.append(_unpack_docs(blob)[0])
+            if sum(len(t.data) for t in held) >= BYTES_AT_ONCE:
+                yield _batch(_segments(_merged(held), home, at, buckets))
+                held = []
+        if held:
+            yield _batch(_segments(_merged(held), home, at, buckets))
 
     return run
 
@@ -358,9 +465,9 @@ def _in_suffix_order(homes: int):
         for _, blobs in _groups(batches):
             heads, bodies = [], []
             for blob in blobs:
-                m = int(np.frombuffer(blob, "<u4", 1)[0])
-                heads.append(blob[4 : 4 + 20 * m])
-                bodies.append(blob[4 + 20 * m :])
+                m = 8 + int.from_bytes(blob[:8], "little")
+                heads.append(blob[8:m])
+                bodies.append(_stretch(blob[m:]))
             doc, tag, place, n = _unpack_all(heads, *RANGE)
             n = n.astype(np.int64)
             data = np.frombuffer(b"".join(bodies), np.uint8)
@@ -369,9 +476,17 @@ def _in_suffix_order(homes: int):
             total = np.cumsum(n)
             inner = np.arange(total[-1]) - np.repeat(total - n, n)
             at = np.repeat(begin, n) + inner
-            strings = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at]
             owner, part, start = np.repeat(doc, n), np.repeat(tag, n), np.repeat(place.astype(np.int64), n) + inner
-            found = np.flatnonzero(previous_factors(strings, owner))
+            # Equal strings have equal first bytes, so the bucket's order is worked out a share of first bytes at a time.
+            strings = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+            lead = _mix(np.lib.stride_tricks.sliding_window_view(data, 8)[: len(data) - LENGTH + 1].copy().view("<u8").reshape(-1))[at]
+            shares = -(-len(at) // STRINGS_AT_ONCE)
+            share = (lead % np.uint64(shares)).astype(np.int64)
+            hits = []
+            for k in range(shares):
+                own = np.flatnonzero(share == k)
+                hits.append(own[previous_factors(strings[at[own]], owner[own])])
+            found = np.concatenate(hits)
             if not len(found):
                 continue
             order = found[np.lexsort((start[found], part[found], owner[found]))]
@@ -385,28 +500,36 @@ def _in_suffix_order(homes: int):
 
 
 def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by home and kind: matched ranges, then pending documents."""
-    key, blobs, ranges = None, [], None
-    for batch in batches:
+    """Proven runs and matched ranges of documents, united and cut."""
+    held, ranges, known = None, None, {}
+    for _, before, blob in _homes(batches):
+        if before is not held:
+            held = before
+            doc, tag, first, n = _unpack_all([b for kind, b in before if kind == TO_HOME], *RANGE)
+            order = np.argsort(doc, kind="stable")
+            ranges = doc[order], tag[order], first[order].astype(np.int64), n[order].astype(np.int64)
+            known = {}
+            for u, spans, copies in (_unpack_docs(b) for kind, b in before if kind == KNOWN):
+                for i, own in enumerate(zip(u.ids.tolist(), u.tags.tolist(), strict=True)):
+                    known[own] = spans[i].tolist(), copies[i].tolist()
+        doc, tag, first, n = ranges
+        t = _unpack_docs(blob)[0]
         out = []
-        for k, kind, doc_id, tag, text, blob in zip(*batch.columns, strict=True):
-            if k.as_py() != key:
-                key, blobs, ranges = k.as_py(), [], None
-            if kind.as_py() == TO_HOME:
-                blobs.append(blob.as_py())
-                continue
-            if ranges is None:
-                doc, tags, first, n = _unpack_all(blobs, *RANGE)
-                order = np.argsort(doc, kind="stable")
-                ranges = doc[order], tags[order], first[order].astype(np.int64), n[order].astype(np.int64)
-            doc, tags, first, n = ranges
-            a, b = np.searchsorted(doc, doc_id.as_py(), "left"), np.searchsorted(doc, doc_id.as_py(), "right")
-            mine = a + np.flatnonzero(tags[a:b] == tag.as_py())
-            spans = [tuple(x) for x in np.frombuffer(blob.as_py(), "<i8").reshape(-1, 2).tolist()]
-            spans += [(int(p), int(p + q + LENGTH - 1)) for p, q in zip(first[mine], n[mine], strict=True)]
-            out.append(_done(doc_id.as_py(), text.as_py(), _union(spans)))
-        if out:
-            yield _batch(out)
+        for d in range(len(t.ids)):
+            a, b = np.searchsorted(doc, t.ids[d], "left"), np.searchsorted(doc, t.ids[d], "right")
+            mine = a + np.flatnonzero(tag[a:b] == t.tags[d])
+            spans, copies = known.get((int(t.ids[d]), int(t.tags[d])), ([], []))
+            found = [tuple(x) for x in spans]
+            if len(mine):
+                starts = np.zeros(t.sizes[d] + 2, bool)
+                for p, q in zip(first[mine].tolist(), n[mine].tolist(), strict=True):
+                    starts[p + 1 : p + q + 1] = True
+                for place, origin, m in copies:
+                    starts[place + 1 : place + m + 1] |= starts[origin + 1 : origin + m + 1]
+                edges = np.flatnonzero(np.diff(starts.view(np.int8))).reshape(-1, 2)
+                found += [(p, q + LENGTH - 1) for p, q in edges.tolist()]
+            out.append(_done(int(t.ids[d]), t.data[t.starts[d] : t.starts[d] + t.sizes[d]].tobytes(), _union(found)))
+        yield _batch(out)
 
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -422,40 +545,20 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = own.where("doc_id is not null").select("doc_id", tag.alias("tag"), "text")
     sort = lambda frame: frame.repartition(parts, "key").sortWithinPartitions("key", "kind")
 
-    sent_at = scratch_path(spark, "anchors")
-    known.mapInArrow(_send_anchors(buckets, homes), ROWS).select("key", "kind", "blob").write.partitionBy("kind").option("compression", "zstd").parquet(sent_at)
-    sent = spark.read.schema("key long, blob binary, kind int").parquet(sent_at)
-    answers_at = scratch_path(spark, "answers")
-    asked = sent.where(f"kind = {TO_BUCKET}").select("key", "blob").repartition(parts, "key").sortWithinPartitions("key")
-    asked.mapInArrow(_answer_anchors(homes), ROWS).select("key", "blob").write.option("compression", "zstd").parquet(answers_at)
-    answers = spark.read.schema("key long, blob binary").parquet(answers_at).union(sent.where(f"kind = {TO_HOME}").select("key", "blob"))
-
-    empty = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("tag"), F.lit(None).cast("binary").alias("text")]
-    homed = known.mapInArrow(_with_home(homes), "key long, doc_id long, tag long, text binary")
-    both = answers.select("key", F.lit(TO_HOME).alias("kind"), *empty, "blob").union(
-        homed.select("key", F.lit(PENDING).alias("kind"), "doc_id", "tag", "text", F.lit(None).cast("binary").alias("blob"))
-    )
+    asked = sort(known.mapInArrow(_send_anchors(buckets, homes), ROWS)).select("key", "blob")
+    both = asked.mapInArrow(_answer_anchors(homes), ROWS).union(known.mapInArrow(_send_home(homes, True), ROWS))
     judged_at = scratch_path(spark, "segments")
     sort(both).mapInArrow(_at_home(buckets), ROWS).write.partitionBy("kind").option("compression", "zstd").parquet(judged_at)
-    judged = spark.read.schema(ROWS).parquet(judged_at)
+    judged = spark.read.schema("key long, doc_id long, blob binary, kind int").parquet(judged_at).select("key", "kind", "doc_id", "blob")
 
-    segments = judged.where(f"kind = {TO_BUCKET}").select("key", "blob").repartition(parts, "key").sortWithinPartitions("key")
-    matched = segments.mapInArrow(_in_suffix_order(homes), ROWS).select("key", "kind", *empty, "blob")
-    pending = judged.where(f"kind = {PENDING}").select("key", "kind", "doc_id", "tag", "text", "blob")
-    united = sort(matched.union(pending)).mapInArrow(_unite, ROWS)
-    done = united.select("doc_id", "blob").union(judged.where(f"kind = {DONE}").select("doc_id", "blob"))
+    segments = sort(judged.where(f"kind = {TO_BUCKET}")).select("key", "blob")
+    matched = segments.mapInArrow(_in_suffix_order(homes), ROWS)
+    # The texts are sent again only now: carrying them along with what is known of them would take more room.
+    last = matched.union(judged.where(f"kind = {KNOWN}")).union(known.mapInArrow(_send_home(homes, False), ROWS))
+    done = sort(last).mapInArrow(_unite, ROWS).select("doc_id", "blob")
     number = lambda i: F.conv(F.hex(F.substring("blob", 8 * i + 1, 8)), 16, 10).cast("long")
     out = done.select("doc_id", number(0).alias("n_bytes"), number(1).alias("n_removed"), number(2).alias("n_spans"), F.substring("blob", 25, 64).cast("string").alias("kept_sha256"))
     alone = own.where("doc_id is null").select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")
     )
     return out.union(alone)
-
-
-def _with_home(homes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = pa.array(_home(batch.column(0).to_numpy(), homes))
-            yield pa.RecordBatch.from_arrays([key, *batch.columns], ["key", *batch.schema.names])
-
-    return run
