@@ -536,7 +536,7 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, homes = 4 * parts, 4 * parts
+    buckets, homes = 4 * parts, parts
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     # Texts that share an id are told apart by a tag; where every id has one text the tag is 0.
     spread = own.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg((F.min("h") != F.max("h")).alias("several"))
