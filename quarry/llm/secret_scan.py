@@ -4,8 +4,8 @@ Main path: DataFrame functions only. Documents without a hit are never shuffled
 token) are exploded once, and only they and the row ids move.
 
 Base kinds. `assign`, `access` and `hex` are found leftmost and without overlap by their patterns; matches that miss the
-length rule are dropped. `random` spans come from the method: every run of 20 or more token characters is tested, under the
-encoding inferred for it, for
+length rule are dropped. `random` spans come from the method: every run of 20 or more token characters (letters, digits, + / _ -), wherever it
+stands, is tested with its padding, under the encoding inferred for it, for
   - uniformity of its alphabet (chi-squared), 
   - the number of runs of character classes,
   - serial correlation of neighbouring code values.
@@ -31,7 +31,8 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     # Runs are maximal, so asking for the length in the pattern finds the same runs as filtering all of them.
     ("hex", r"[0-9a-f]{24,}", 0, 24),
-    ("random", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", 0, 20),
+    # A run is bounded by its own characters only: behind '=' a value begins. Any '=' after it are padding, unless a value follows them.
+    ("random", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?", 0, 20),
 )
 ORDER = tuple(k for k, *_ in KINDS)
 

@@ -420,6 +420,22 @@ def test_redaction(spark):
     assert len(out) == len(SECRETS)
 
 
+ASSIGNED = [
+    (1, f"AWS_SECRET_ACCESS_KEY={DRAWN} x", "AWS_SECRET_ACCESS_KEY=[secret] x"), (2, f"get ?sig={DRAWN}&v=1", "get ?sig=[secret]&v=1"), (3, f'client_key="{DRAWN}"', 'client_key="[secret]"'),
+    (4, f"AccountKey={DRAWN}==;", "AccountKey=[secret];"), (5, f"{DRAWN}=== x", "[secret] x"), (6, f"{DRAWN}={DRAWN[::-1]}", "[secret]=[secret]"), (7, f"a=={DRAWN}", "a==[secret]"),
+    (8, "a_long_name_of_a_setting=another_long_name_of_it", "a_long_name_of_a_setting=another_long_name_of_it"), (9, f"é {DRAWN}={DRAWN}==", "é [secret]=[secret]"),
+]
+
+
+def test_secrets_behind_equals_signs(spark):
+    """A run of token characters is tested whatever stands before it, and with any padding."""
+    frame = spark.createDataFrame([x[:2] for x in ASSIGNED], "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.scan_report(frame).collect()}
+    assert spans[1] == "random:22:58" and spans[2] == "random:9:45" and spans[3] == "random:12:48" and spans[4] == "random:11:49"
+    assert spans[5] == "random:0:39" and spans[6] == "random:0:36,random:37:73" and spans[7] == "random:3:39" and spans[8] == "" and spans[9] == "random:2:38,random:39:77"
+    assert sorted((r["doc_id"], r["text"]) for r in secret_scan.redact(frame).collect()) == [(i, out) for i, _, out in ASSIGNED]
+
+
 # Pipeline ----------------------------------------------------------------------------------------------------------------------
 
 
