@@ -1,16 +1,19 @@
 """Near-duplicate documents by Order MinHash.
 
 A document is a sequence of words (maximal runs of characters other than space and U+0009 to U+000D) and of its five-word windows. Each sketch takes
-the `PICKED` windows of least hash, every window labelled with its occurrence number, and keeps them in text order; so it is equal for two
-texts only if they share those windows in the same order. Texts with an equal sketch are candidates.
+the `PICKED` windows of least hash and keeps them in text order; so it is equal for two texts only if they share those windows in the same order.
+Texts with an equal sketch are candidates. A window counts once, at its first place: that is what the alignment below compares, so a passage that
+one text repeats more often changes no sketch. Texts of at most `EXACT` windows meet through an exact prefix filter instead: of two window sets of
+similarity 0.8 or more, each has a common window among its n - ceil(0.8 n) + 1 of least hash, so each of those is a key.
 
 Candidates are verified by banded alignment of their distinct windows, each at its first place: two texts are linked if a common subsequence
 of L windows gives L / (m + n - L) >= 0.8. That needs shared windows in order, so it never exceeds the Jaccard similarity of the window sets.
 
 No table of all pairs is made. Equal texts are one class. In a bucket of equal sketches each text is first compared with the bucket's most central
 one (of the largest buckets over all sketches). Only where a bucket still holds several components afterwards do its remaining texts meet those of
-other components, through an exact prefix filter, so every pair of candidates ends up connected, compared, or proven too different. Texts of similarity 0.8 share a sketch with probability
-of about 1 - (1 - 0.8 ** PICKED) ** SKETCHES = 0.99997.
+other components, through an exact prefix filter, so every pair of candidates ends up connected, compared, or proven too different. A pair of similarity 0.8 of which
+one text has at most EXACT windows is always a candidate. Others, with L windows aligned of U in all, share a sketch with probability of at least
+1 - (1 - C(L, PICKED) / C(U, PICKED)) ** SKETCHES: 0.99995 at the least, for L = 32 and U = 40, and 0.99997 for long texts.
 
 Defined results: a text of one to four words has one window, all its words; a text without words, or null, equals other texts only if the text is the
 same, null never; rows of one id are one document; rows without an id are classes of their own; an empty table gives an empty result.
@@ -33,6 +36,8 @@ from quarry.session import materialize
 WORDS = 5
 PICKED = 4
 SKETCHES = 20
+#: Up to so many windows a text has few prefix keys, and sketches would miss more pairs than the stated share.
+EXACT = 32
 BYTES_AT_ONCE = 1_000_000
 
 _rng = np.random.default_rng(20240501)
@@ -113,21 +118,19 @@ def _occurrences(hashes: np.ndarray, text_of: np.ndarray) -> np.ndarray:
 
 
 def sketches(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, SKETCHES) sketch keys, and the number of distinct windows of each text. Texts without windows have keys of 0."""
+    """(texts, SKETCHES) sketch keys of texts whose windows are distinct. Texts without windows have keys of 0."""
     texts = len(n)
     keys = np.zeros((texts, SKETCHES), np.uint64)
     if not len(hashes):
-        return keys, np.zeros(texts, np.int64)
+        return keys
     text_of = np.repeat(np.arange(texts), n)
-    earlier = _occurrences(hashes, text_of)
-    distinct = np.bincount(text_of[earlier == 0], minlength=texts)
-    labelled = _mix(hashes + earlier.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    spread = _mix(hashes)
     # Enough of the least hashes to hold the PICKED least, nearly always; texts with too few below the bound take all.
     share = np.minimum(1.0, (PICKED + 20) / np.maximum(1, n))
     bound = np.where(share >= 1, np.float64(2**64 - 2048), share * 2.0**64).astype(np.uint64)
     bounds = np.repeat(bound, n)
     for j in range(SKETCHES):
-        values = labelled * _SEEDS[j]
+        values = spread * _SEEDS[j]
         low = values <= bounds
         few = (np.bincount(text_of[low], minlength=texts) < np.minimum(n, PICKED)) & (n > 0)
         if few.any():
@@ -143,7 +146,25 @@ def sketches(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         place = np.arange(len(owner)) - np.maximum.accumulate(np.where(start, np.arange(len(owner)), 0))
         folded = np.add.reduceat(_mix(hashes[picked] * _PLACES[place]), np.flatnonzero(start))
         keys[owner[start], j] = _mix(folded)
-    return keys, distinct
+    return keys
+
+
+def _text_keys(hashes: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The keys of each text, and the number of its distinct windows.
+
+    SKETCHES sketches (0 where prefixes stand for them), then the prefix of a text that may be 0.8 similar to one of at most EXACT windows.
+    """
+    text_of = np.repeat(np.arange(len(n)), n)
+    first = _occurrences(hashes, text_of) == 0 if len(hashes) else np.zeros(0, bool)
+    hashes, n = hashes[first], np.bincount(text_of[first], minlength=len(n))
+    long, out = n > EXACT, []
+    sketched = np.zeros((len(n), SKETCHES), np.uint64)
+    sketched[long] = sketches(hashes[np.repeat(long, n)], n[long])
+    for keys, end, size in zip(sketched, np.cumsum(n).tolist(), n.tolist(), strict=True):
+        if 0 < size <= EXACT * 5 // 4:
+            keys = np.concatenate((keys, np.sort(hashes[end - size : end])[: size - -(-4 * size // 5) + 1]))
+        out.append(keys.view(np.int64))
+    return out, n
 
 
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -163,8 +184,9 @@ def _sketched(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in _slices(whole, "text"):
                 hashes, n = windows(batch.column(2).fill_null(""))
-                keys, distinct = sketches(hashes, n)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1).view(np.int64)), SKETCHES).cast(pa.list_(pa.int64()))
+                keys, distinct = _text_keys(hashes, n)
+                ends = np.cumsum([0, *map(len, keys)])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(keys)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distinct), lists], ["d_id", "print", "n", "keys"])
         pa.default_memory_pool().release_unused()
 
@@ -257,7 +279,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = materialize(_sketched(own), "sketches")
     known = sketched.where("d_id is not null and print is not null")
     texts = known.groupBy("print").agg(F.min("d_id").alias("c"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    rows = texts.where("n > 0").select("c", "n", F.posexplode("keys").alias("j", "key"))
+    placed = texts.where("n > 0").select("c", "n", F.posexplode("keys").alias("at", "key")).where(f"at >= {SKETCHES} or n > {EXACT}")
+    rows = placed.select("c", "n", F.least("at", F.lit(SKETCHES)).alias("j"), "key")
     several = rows.groupBy("j", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(rows.join(several, ["j", "key"]).select("j", "key", "c", "n", "size"), "buckets")
     weight = members.groupBy("c").agg(F.sum("size").alias("w"))

@@ -289,6 +289,22 @@ def test_near_duplicates_equal_brute_force(spark, docs, odd):
     assert kept.columns == docs.columns and kept.count() == len(set(near_classes(docs).values()))
 
 
+def test_near_duplicates_of_repeated_passages_and_short_texts(spark):
+    rng = random.Random(10)
+    some = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    made = []
+    for k in range(40):
+        own = some(rng.randint(21, 120))
+        made += [own * times for times in (1, 2, 3, 4)] + [own[:12] * (k % 5) + own + own[:12]]
+    for k in range(400):
+        own = some(rng.choice([8, 9, 13, 17, 35, 43]))
+        made += [own, own[1:] if k % 2 else own + some(1)]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
+    want = near_classes(frame)
+    assert want[1] == want[2] == want[3] == 0 and len(set(want.values())) < len(want) - 400
+    assert {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(frame).collect()} == want
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------------------
 
 
