@@ -2,15 +2,15 @@
 
 Format. A folder holds two tables. `codebook` lists (id, bits): the code length of each id, from which the canonical codes
 follow. `blocks` has a row per independent block of whole documents: `part` and `seq` (its place in ascending order),
-`doc_ids` and `doc_lengths`, `payload` (32-bit big-endian words of code bits) and `checkpoints` (the bit offset of every
+`doc_ids` (a list, so that it can hold nulls) and `doc_lengths`, `payload` (32-bit big-endian words of code bits) and `checkpoints` (the bit offset of every
 256th id). A block is decoded on its own: all checkpoints of a block are decoded side by side through one lookup table.
 
 Writing: texts are range-partitioned by document id (with a hash of the text, so that repeated ids can be split), encoded
 once into a scratch table, counted (a partial count per task, then a sum over at most a vocabulary's ids), and coded.
 Reading: blocks are decoded in parallel; global starts come from sums per part and per block, not from a global sort.
 
-Defined results: a null text counts as empty; every document gets the end id; documents are ordered by id, then by hash of
-the text; repeated rows are kept; an empty table writes an empty codebook and no block.
+Defined results: a null text counts as empty; every document gets the end id; documents are ordered by id, nulls first, then by hash
+of the text; a null id is written and read as null; repeated rows are kept; an empty table writes an empty codebook and no block.
 """
 
 from __future__ import annotations
@@ -207,21 +207,22 @@ def _counts(ids: DataFrame) -> DataFrame:
 
 def _blocks(ids: DataFrame, book: Codebook) -> DataFrame:
     names = ["part", "seq", "n_ids", "doc_ids", "doc_lengths", "payload", "checkpoints"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
 
-    def block(part: int, rows: list[tuple[int, int, np.ndarray]]) -> tuple:
+    def block(part: int, rows: list[tuple[int, int | None, np.ndarray]]) -> tuple:
         flat = np.concatenate([r[2] for r in rows])
         payload, checkpoints = book.encode(flat)
-        doc_ids = np.array([r[1] for r in rows], "<i8").tobytes()
+        doc_ids = [r[1] for r in rows]
         lengths = np.array([len(r[2]) for r in rows], "<i8").tobytes()
         return part, rows[0][0], len(flat), doc_ids, lengths, payload, checkpoints
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, np.ndarray]] = []
+        held: list[tuple[int, int | None, np.ndarray]] = []
         part, size = -1, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array([x]) if i > 2 else pa.array([x], pa.int32() if i == 0 else pa.int64()) for i, x in enumerate(block(part, held))], names)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(block(part, held), types, strict=True)], names)
 
         for batch in batches:
             for p, seq, doc, width, ids_ in zip(*(batch.column(i) for i in range(5)), strict=True):
@@ -233,7 +234,7 @@ def _blocks(ids: DataFrame, book: Codebook) -> DataFrame:
                 size += len(flat)
         yield from flush()
 
-    schema = "part int, seq long, n_ids long, doc_ids binary, doc_lengths binary, payload binary, checkpoints binary"
+    schema = "part int, seq long, n_ids long, doc_ids array<long>, doc_lengths binary, payload binary, checkpoints binary"
     return ids.select("part", "seq", "doc_id", "bytes", "ids").mapInArrow(run, schema)
 
 
@@ -281,7 +282,7 @@ def read_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                part, seq, n, doc_ids, lengths, payload, checkpoints = (batch.column(i)[k].as_py() for i in range(7))
+                part, seq, n, lengths, payload, checkpoints = (batch.column(i)[k].as_py() for i in (0, 1, 2, 4, 5, 6))
                 ids = book.decode(payload, checkpoints, n).astype("<u4")
                 lens = np.frombuffer(lengths, "<i8")
                 ends = np.cumsum(lens)
@@ -289,7 +290,7 @@ def read_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
                     [
                         pa.array(np.full(len(lens), part, np.int32)),
                         pa.array(np.full(len(lens), seq)),
-                        pa.array(np.frombuffer(doc_ids, "<i8")),
+                        batch.column(3)[k].values,
                         pa.array(ends - lens),
                         pa.array(lens),
                         pa.array((ids[e - m : e].tobytes() for e, m in zip(ends.tolist(), lens.tolist(), strict=True)), pa.binary()),

@@ -80,6 +80,15 @@ def test_empty_and_odd_tables(spark, odd, tmp_path, name):
     assert queries.QUERIES[name](spark, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op3_embedding_dedup", "op8_chat"}))
+def test_rows_without_an_id(spark, tmp_path, name):
+    nameless = [(None, "a text without an id", "en", "a", 20), (None, None, None, None, None), (None, "a text without an id", "en", "a", 20)]
+    spark.createDataFrame(ODD + nameless, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.QUERIES[name](spark, str(tmp_path))
+    ids = [r[0] for r in out.select("doc_id" if "doc_id" in out.columns else out.columns[0]).collect()]
+    assert sorted(ids, key=str) == sorted([x[0] for x in ODD + nameless], key=str)
+
+
 # 1 ---------------------------------------------------------------------------------------------------------------------------
 
 
@@ -131,6 +140,15 @@ def test_token_files_round_trip(spark, docs, library, tmp_path):
         start += len(ids)
 
 
+def test_token_files_keep_null_ids(spark, library, tmp_path):
+    table = [(7, "seven"), (None, "none"), (None, None), (3, None), (None, "none"), (-2, "minus two")]
+    huffman.write_tokens(spark.createDataFrame(table, "doc_id long, text string"), str(tmp_path / "tokens"), queries.tokenizer_path(), parts=2)
+    got = huffman.read_tokens(spark, str(tmp_path / "tokens")).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, None, -2, 3, 7]
+    read = [(r["doc_id"], library.decode(np.frombuffer(r["ids"], "<u4")[:-1].tolist(), skip_special_tokens=False)) for r in got]
+    assert sorted(read, key=str) == sorted(((i, t or "") for i, t in table), key=str)
+
+
 def test_code_lengths_are_optimal_and_limited():
     rng = np.random.default_rng(1)
     for n, limit in ((1, 4), (2, 4), (5, 3), (40, 8), (3000, 12)):
