@@ -9,10 +9,18 @@ from quarry.operators import analytics
 from quarry.session import scratch_path
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Asked of the path's own file system, which may be one that only Spark reaches."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(found).isDirectory()
+
+
 def read_log(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
-    """The event files of a folder as a stream of requests, with timestamps that watermarks accept."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    """The events of a table, a single file or a folder of part files, as a stream of requests, with timestamps that watermarks accept."""
+    path = f"{folder}/{name}"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    # A stream reads folders; the filter takes names of files, so it can pick a single file but not a table's part files.
+    events = reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", name).parquet(folder)
     log = analytics.request_log(events)
     return log.withColumn("created_at", F.col("created_at").cast("timestamp"))
 

@@ -306,3 +306,18 @@ def test_marked_up_pages(spark):
     ]
     chunks = chunking.html_chunks(pages).orderBy("doc_id", "chunk_index").collect()
     assert [(r["doc_id"], r["label"]) for r in chunks] == [("a", "Recitals (1)-(2)"), ("a", "CHAPTER I General | Article 1 Subject"), ("b", "")]
+
+
+def test_stream_of_part_files(spark, sf, tmp_path):
+    from quarry import catalogue
+
+    one = spark.read.parquet(f"{sf}/events.parquet")
+    one.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    key = lambda frame: sorted(map(tuple, frame.collect()))
+    got = key(catalogue.stream_hourly(spark, str(tmp_path)))
+    assert got and got == key(catalogue.stream_hourly(spark, sf))
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(con.sql(catalogue.ORACLES["stream_hourly"]).fetchall())
