@@ -35,26 +35,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session names none (tests, single machine) a temporary folder is made and set once.
+    Where a session on one machine names none, as in tests, a temporary folder is made and set once. On a cluster that is an error:
+    a folder of the driver's own machine is not seen by its executors.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/quarry-{label}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder, which goes when the application ends."""
+    home = f"{shared_dir(spark).rstrip('/')}/quarry-{spark.sparkContext.applicationId}"
+    if getattr(spark, "_quarry_home", None) != home:
+        fs, at = _file_system(spark, home)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        spark._quarry_home = home
+    return f"{home}/{label}-{uuid.uuid4().hex}"
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of materialized frames that nothing reads any more."""
+    for frame in frames:
+        if path := getattr(frame, "_quarry_path", None):
+            fs, at = _file_system(frame.sparkSession, path)
+            fs.delete(at, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends at files that survive a lost executor."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
 
 
 def ship(spark: SparkSession) -> None:
