@@ -1,20 +1,22 @@
 """Removal of repeated byte strings by longest-previous-factor arrays over suffix order.
 
-A byte goes if a string of LENGTH bytes over it also starts in a document of smaller id; strings are judged on the input. For suffixes in order, with
-their longest common prefixes, the previous and next suffixes of a smaller document give the longest factor that occurs earlier; a string of LENGTH
-bytes goes where that factor reaches LENGTH. Suffixes are compared over LENGTH bytes, which is all that this asks.
+A byte goes if a string of LENGTH bytes over it also starts in a document of smaller id; strings are judged on the input. Suffixes are sorted, the longest
+common prefix of neighbours is taken, and for each suffix the previous and the next suffix of a smaller document in that order give its longest previous
+factor (over documents): a string goes exactly where that factor reaches LENGTH. Factors are capped at LENGTH, which is all that this asks.
 
-Sorting all suffixes of a corpus would move LENGTH bytes for each of its bytes, so the suffix order is built only where a match can be:
+One suffix order of a whole corpus would move LENGTH bytes for each of its bytes. So it is built in shares, none of which can miss a match:
 
-1. Anchors. Every string of LENGTH bytes has one anchor, its GRAM-byte substring of least hash, the same wherever the string occurs. Each task
-   sends, for every anchor it met, the least document it met it in. Anchors met in several documents are answered with the first document and place;
-   within a task the answer is known without sending, so a passage of a third of all documents costs a row per task and not per document.
-2. Runs. In a document, anchors that follow each other at the same distance as in one earlier document prove all bytes in between: those strings need
-   no suffix. The other strings of answered anchors go on as segments, grouped by anchor.
-3. Suffix order. All strings of a bucket of anchors are sorted, ties by document, and their longest previous factors taken.
-4. Proven runs and matched strings of a document are united, and the bytes they cover are cut.
+1. Store. Texts are packed once into chunks, a row each, so that every later pass sees the same chunks whatever order or task they were read in.
+2. Filter. Every string has one anchor, its GRAM-byte substring of least hash, the same wherever the string occurs. A chunk asks about the anchors it
+   holds; an answer is two bits for each: met anywhere else, and met with very many surroundings. Anchors met once have no match.
+3. Segments. The strings of one anchor lie together, in a segment of at most LENGTH + SPAN - 2 bytes. Equal segments of a chunk (compared byte by byte)
+   are sent once, for the least document; so a passage of a third of all documents costs a segment a chunk. Segments are dealt by anchor; strings
+   of an anchor with more than HOT surroundings are dealt one by one, by their own hash, so no anchor makes a large share.
+4. Factors. In a share, equal segments are one class of its least document. Suffix order, common prefixes, previous and next smaller documents and
+   the longest previous factors are worked out over the classes; a later copy's longest previous factor is the whole segment.
+5. Each string's verdict goes back to its chunk, where covered bytes are united and cut.
 
-Each string that goes has an earlier document in which it stays or is proven by a still earlier one, so step 2 never hides a first copy.
+Packed rows number at most chunks times shares, both a fixed number of bytes of text, and never more than the anchors.
 
 Defined results: a null text counts as empty; rows of one id (repeats too) never remove from each other; rows without an id are kept whole and remove
 nothing; an empty table gives an empty result. Bytes that remain are hashed as they are, even where a cut splits a character.
@@ -28,73 +30,105 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.order_minhash import _BYTE, _mix, _power_tables
-from quarry.session import scratch_path
+from quarry.session import materialize, scratch_path
 
 LENGTH = 50
 GRAM = 26
-#: Grams in a string, so anchors are at most so far apart that consecutive ones touch.
+#: Grams in a string, and so strings of one anchor at most.
 SPAN = LENGTH - GRAM + 1
-#: Bytes of text worked on at once; bytes whose anchors are sent together; strings sorted at once.
-BYTES_AT_ONCE, BYTES_SENT, STRINGS_AT_ONCE = 1_000_000, 4_000_000, 250_000
-#: Bits of an anchor's hash. Chance matches only cost work: a run needs two anchors in step, and strings are compared byte by byte.
+#: Bytes of text in a chunk and, on average, behind a share; bytes whose anchors are worked out together.
+CHUNK, SHARE, BYTES_AT_ONCE = 8_000_000, 4_000_000, 1_000_000
+#: Different surroundings of an anchor, summed over chunks, from which its strings are dealt one by one.
+HOT = 2_000
+#: Bits of an anchor's hash that are sent. Chance matches only cost work, as strings are compared byte by byte.
 HASH_BITS = 48
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BLOCK_BITS = 16
+_PLACE_BITS = 20
+_PLACE = np.uint64((1 << _PLACE_BITS) - 1)
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Texts:
     """The bytes of some documents, laid end to end."""
 
-    def __init__(self, ids: np.ndarray, tags: np.ndarray, texts: list[bytes]):
-        self.ids, self.tags = ids, tags
-        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
-        self._sums: np.ndarray | None = None
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray):
+        self.ids, self.sizes, self.data = ids, sizes, data
+        self.starts = np.cumsum(sizes) - sizes
 
-    def digests(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-        """64-bit hashes of substrings, by prefix sums."""
-        power, back = _power_tables(len(self.data))
-        if self._sums is None:
-            self._sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[self.data] * power[: len(self.data)], dtype=np.uint64)))
-        return _mix((self._sums[start + size] - self._sums[start]) * back[start])
+
+def _sums(data: np.ndarray) -> np.ndarray:
+    power, _ = _power_tables(len(data))
+    return np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64)))
+
+
+def _digests(sums: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """64-bit hashes of substrings, by prefix sums. They only bring equal strings together: equality is always checked on the bytes."""
+    _, back = _power_tables(len(sums))
+    return _mix((sums[start + size] - sums[start]) * back[start])
+
+
+def hashes_of(data: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """_digests of substrings of data, short ones, by ascending starts."""
+    out, sizes, k = np.empty(len(start), np.uint64), np.broadcast_to(size, len(start)), 0
+    while k < len(start):
+        base = int(start[k])
+        j = int(np.searchsorted(start, base + BYTES_AT_ONCE))
+        sums = _sums(data[base : int((start[k:j] + sizes[k:j]).max())])
+        out[k:j] = _digests(sums, start[k:j] - base, sizes[k:j])
+        k = j
+    return out
+
+
+def _leftmost_least(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each string start, the place of its leftmost gram of least hash; and that hash. Worked out in blocks that fit the processor's cache."""
+    n = len(data) - LENGTH + 1
+    at, hashes = np.empty(n, np.int64), np.empty(n, np.uint64)
+    for a in range(0, n, 1 << _BLOCK_BITS):
+        b = min(n, a + (1 << _BLOCK_BITS))
+        sums = _sums(data[a : b + LENGTH - 1])
+        grams = _digests(sums, np.arange(b - a + SPAN - 1), GRAM)
+        keys = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+        least, width = keys, 1
+        while width < SPAN:
+            step = min(width, SPAN - width)
+            least = np.minimum(least[:-step], least[step:])
+            width += step
+        place = (least & _PLACE).astype(np.int64)
+        at[a:b], hashes[a:b] = place + a, grams[place]
+    return at, hashes
 
 
 def anchors(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of strings with one anchor: document (index), first and last string start, anchor place, anchor hash. Places are in t.data."""
-    none = np.empty(0, np.int64)
-    if len(t.data) < LENGTH or not (t.sizes >= LENGTH).any():
-        return none, none, none, none, np.empty(0, np.uint64)
-    grams = t.digests(np.arange(len(t.data) - GRAM + 1), GRAM)
-    # Leftmost least gram of each span, by doubling.
-    best, at, width = grams, np.arange(len(grams), dtype=np.int32), 1
-    while width < SPAN:
-        step = min(width, SPAN - width)
-        later, later_at = best[step:], at[step:]
-        best, at = best[: len(later)], at[: len(later)]
-        smaller = later < best
-        best, at = np.where(smaller, later, best), np.where(smaller, later_at, at)
-        width += step
-    doc_of = np.repeat(np.arange(len(t.sizes)), np.maximum(0, t.sizes - LENGTH + 1))
-    counts = np.maximum(0, t.sizes - LENGTH + 1)
-    begins = np.cumsum(counts) - counts
-    string = np.arange(len(doc_of)) - begins[doc_of] + t.starts[doc_of]
-    anchor = at[string].astype(np.int64)
-    new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc_of[1:] != doc_of[:-1]))))
-    last = np.append(new[1:], len(anchor)) - 1
-    return doc_of[new], string[new], string[last], anchor[new], grams[anchor[new]] >> np.uint64(64 - HASH_BITS)
-
-
-def _pack(**columns: np.ndarray) -> bytes:
-    """Columns of equal length, each as planes of its bytes: equal high bytes then lie together and compress away."""
-    parts = []
-    for x in columns.values():
-        raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)
-        parts.append(np.ascontiguousarray(raw.T).tobytes())
-    return _squeeze(b"".join(parts))
+    """Runs of strings with one anchor: document (index), first string start, number of strings, anchor hash, hash of the segment. Starts are in t.data.
+
+    Texts are worked on BYTES_AT_ONCE bytes at a time wherever documents end, so a run may come in two parts.
+    """
+    found, ends = [], t.starts + t.sizes
+    closed = np.maximum(t.starts, ends - LENGTH + 1)
+    for a in range(0, len(t.data) - LENGTH + 1, BYTES_AT_ONCE):
+        b = min(len(t.data) - LENGTH + 1, a + BYTES_AT_ONCE)
+        at, hashes = _leftmost_least(t.data[a : b + LENGTH - 1])
+        # Strings that would leave their document are none: its last LENGTH - 1 places start no string.
+        shut, opened = (np.bincount(np.clip(x, a, b) - a, minlength=b - a + 1) for x in (closed, ends))
+        inside = np.cumsum(shut - opened)[:-1] == 0
+        joined = np.zeros(b - a + 1, bool)
+        joined[1:-1] = inside[1:] & inside[:-1] & (at[1:] == at[:-1])
+        first = np.flatnonzero(inside & ~joined[:-1])
+        n = np.flatnonzero(inside & ~joined[1:]) + 1 - first
+        found.append((np.searchsorted(t.starts, first + a, "right") - 1, first + a, n, hashes[first] >> np.uint64(64 - HASH_BITS)))
+    if not found:
+        none = np.empty(0, np.int64)
+        return none, none, none, np.empty(0, np.uint64), np.empty(0, np.uint64)
+    doc, first, n, h = (np.concatenate(c) for c in zip(*found, strict=True))
+    return doc, first, n, h, hashes_of(t.data, first, n + LENGTH - 1)
+
+
+# Packing ----------------------------------------------------------------------------------------------------------------
 
 
 def _squeeze(data: bytes) -> bytes:
@@ -105,6 +139,15 @@ def _stretch(blob: bytes) -> bytes:
     return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
 
 
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of equal length, each as planes of its bytes: equal high bytes then lie together and compress away."""
+    parts = []
+    for x in columns:
+        raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)
+        parts.append(np.ascontiguousarray(raw.T).tobytes())
+    return _squeeze(b"".join(parts))
+
+
 def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     blob = _stretch(blob)
     widths = [np.dtype(k).itemsize for k in kinds]
@@ -117,58 +160,6 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _unpack_all(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
-    parts = [_unpack(b, *kinds) for b in blobs]
-    return [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, k) for i, k in enumerate(kinds)]
-
-
-def _home(ids: np.ndarray, parts: int) -> np.ndarray:
-    return (_mix(ids.astype(np.uint64) * _STEP + np.uint64(77)) % np.uint64(parts)).astype(np.int64)
-
-
-def _bucket(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Least hashes are small ones; mixed again, they spread evenly."""
-    return (((_mix(hashes) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-
-
-def _by(key: np.ndarray, kind: int, **columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(key, kind, packed columns) of the rows of each key, in the order given."""
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    starts = np.flatnonzero(_first_rows(ordered))
-    for a, b in zip(starts, np.append(starts[1:], len(key)), strict=len(key) > 0):
-        rows = order[a:b]
-        yield int(ordered[a]), kind, _pack(**{k: v[rows] for k, v in columns.items()})
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Texts]:
-    """The documents of batches with columns doc_id, tag and text."""
-    for batch in batches:
-        raw = batch.column("text").cast(pa.binary()).fill_null(b"")
-        sizes = np.cumsum(pc.binary_length(raw).to_numpy(zero_copy_only=False))
-        ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
-        start = 0
-        while start < batch.num_rows:
-            end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + BYTES_AT_ONCE, "right")))
-            yield Texts(ids[start:end].astype(np.int64), tags[start:end].astype(np.uint32), raw.slice(start, end - start).to_pylist())
-            start = end
-
-
-ANCHOR = ("<u8", "<i8", "<u4", "<u4")  # hash, document and tag, place in it
-ANSWER = ("<i8", "<u4", "<u8", "<i8", "<u4", "<u4")  # document and tag, hash, first document and tag, place in that
-RANGE = ("<i8", "<u4", "<u4", "<u4")  # document and tag, first string, number of strings
-ROWS = "key long, kind int, doc_id long, blob binary"
-ARROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("blob", pa.binary())])
-TO_BUCKET, TO_HOME, KNOWN, TEXTS = 0, 1, 2, 3
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    """rows: (key, kind, blob) or (key, kind, doc_id, blob)."""
-    full = [r if len(r) == 4 else (r[0], r[1], None, r[2]) for r in rows]
-    columns = list(zip(*full, strict=True)) or [()] * len(ARROW)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
-
-
 def _first_rows(*keys: np.ndarray) -> np.ndarray:
     """Whether each row (sorted by keys) differs from the row before."""
     new = np.zeros(len(keys[0]), bool)
@@ -178,387 +169,361 @@ def _first_rows(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _answered(h: np.ndarray, doc: np.ndarray, tag: np.ndarray, place: np.ndarray, homes: int) -> tuple[np.ndarray, list[tuple]]:
-    """Rows (hash, document, tag, place) to keep for a wider answer, those of the first document of each hash; and the answers to all that share a hash."""
-    order = np.lexsort((place, tag, doc, h))
-    order = order[_first_rows(h[order], doc[order], tag[order])]
-    h, doc, tag, place = h[order], doc[order], tag[order], place[order]
-    leads = _first_rows(h)
-    head = np.maximum.accumulate(np.where(leads, np.arange(len(h)), 0))
-    size = np.diff(np.append(np.flatnonzero(leads), len(h)))
-    on, at = np.repeat(size > 1, size), head
-    at = at[on]
-    columns = {"doc": doc[on], "tag": tag[on], "h": h[on], "e_doc": doc[at], "e_tag": tag[at], "e_place": place[at]}
-    return order[doc == doc[head]], list(_by(_home(doc[on], homes), TO_HOME, **columns))
-
-
-def _merged(held: list[Texts]) -> Texts:
-    t = Texts(np.concatenate([x.ids for x in held]), np.concatenate([x.tags for x in held]), [x.data.tobytes() for x in held])
-    t.sizes = np.concatenate([x.sizes for x in held])
-    t.starts = np.cumsum(t.sizes) - t.sizes
-    return t
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Texts]]:
-    held: list[Texts] = []
-    for t in _texts(batches):
-        held.append(t)
-        if sum(len(x.data) for x in held) >= BYTES_SENT:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
-def _of_anchors(held: list[Texts]) -> list[np.ndarray]:
-    """Hash, document, tag and place of all anchors."""
-    found = []
-    for t in held:
-        doc_at, _, _, x, h = anchors(t)
-        found.append((h, t.ids[doc_at], t.tags[doc_at], (x - t.starts[doc_at]).astype(np.uint32)))
-    return [np.concatenate(c) for c in zip(*found, strict=True)]
-
-
-def _send_anchors(buckets: int, homes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _gathered(batches):
-            h, doc, tag, place = _of_anchors(held)
-            if len(h):
-                first, _ = _answered(h, doc, tag, place, homes)
-                yield _batch(list(_by(_bucket(h[first], buckets), TO_BUCKET, h=h[first], doc=doc[first], tag=tag[first], place=place[first])))
+def _runs(ordered: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, end) of each run of equal values."""
+    starts = np.flatnonzero(_first_rows(ordered)) if len(ordered) else ordered
+    for a, b in zip(starts.tolist(), np.append(starts[1:], len(ordered)).tolist(), strict=len(ordered) > 0):
+        yield int(ordered[a]), a, b
 
-    return run
-
-
-def _send_home(homes: int, answer: bool):
-    """Documents, packed by home; and the answers that a task has for its own documents, if wanted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _gathered(batches):
-            out = []
-            if answer:
-                h, doc, tag, place = _of_anchors(held)
-                out = _answered(h, doc, tag, place, homes)[1] if len(h) else []
-            t = _merged(held)
-            home = _home(t.ids, homes)
-            order = np.argsort(home, kind="stable")
-            cuts = np.flatnonzero(_first_rows(home[order]))
-            for i, j in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-                out.append((int(home[order[i]]), TEXTS, _pack_docs(t, order[i:j], [[]] * int(j - i), [[]] * int(j - i))))
-            yield _batch(out)
 
-    return run
-
-
-def _pack_docs(t: Texts, rows: np.ndarray, spans: list[list[tuple]], copies: list[list[tuple]]) -> bytes:
-    """Documents with what is known of them: proven spans (start, end), and copies (place, its first place, strings) of strings that were sent once."""
-    flat = np.array([x for s in spans for x in s], "<i8").reshape(-1)
-    more = np.array([x for c in copies for x in c], "<i8").reshape(-1)
-    head = np.array([len(rows), len(flat), len(more)], "<i8").tobytes() + t.ids[rows].astype("<i8").tobytes() + t.tags[rows].astype("<i8").tobytes()
-    head += t.sizes[rows].astype("<i8").tobytes() + np.array([len(s) for s in spans], "<i8").tobytes() + np.array([len(c) for c in copies], "<i8").tobytes()
-    return _squeeze(head + flat.tobytes() + more.tobytes() + b"".join(t.data[t.starts[r] : t.starts[r] + t.sizes[r]].tobytes() for r in rows))
+#: A packed row: its destination (`key`, a share or a chunk), its kind, the other end (`peer`, a chunk or a share), and the data.
+ROWS = "key long, kind int, peer long, blob binary"
+ARROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("peer", pa.int64()), ("blob", pa.binary())])
+ANSWERS, KNOWN, VERDICTS, TEXTS, SEGMENTS = range(5)
 
 
-def _unpack_docs(blob: bytes) -> tuple[Texts, list[np.ndarray], list[np.ndarray]]:
-    raw = _stretch(blob)
-    n, m, k = np.frombuffer(raw, "<i8", 3).tolist()
-    ids, tags, sizes, n_spans, n_copies = np.frombuffer(raw, "<i8", 5 * n, 24).reshape(5, n)
-    spans = np.split(np.frombuffer(raw, "<i8", m, 24 + 40 * n).reshape(-1, 2), np.cumsum(n_spans)[:-1])
-    copies = np.split(np.frombuffer(raw, "<i8", k, 24 + 40 * n + 8 * m).reshape(-1, 3), np.cumsum(n_copies)[:-1])
-    ends = np.cumsum(sizes) + 24 + 40 * n + 8 * (m + k)
-    texts = [raw[e - size : e] for e, size in zip(ends.tolist(), sizes.tolist(), strict=True)]
-    return Texts(ids, tags.astype(np.uint32), texts), spans, copies
+def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-    """The blobs of each key; rows come sorted by key."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+    """(kind, peer, blob) of the rows of each key; rows come sorted by key, kind and peer."""
     key, held = None, []
     for batch in batches:
-        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for k, kind, peer, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
             if key is not None and k != key:
                 yield key, held
                 held = []
             key = k
-            held.append(blob)
+            held.append((kind, peer, blob.as_py()))
     if key is not None:
         yield key, held
 
 
-def _answer_anchors(homes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in _groups(batches):
-            if out := _answered(*_unpack_all(blobs, *ANCHOR), homes)[1]:
-                yield _batch(out)
+def _share_of(hashes: np.ndarray, shares: int) -> np.ndarray:
+    """Least hashes are small ones; mixed again, they spread evenly."""
+    return (((_mix(hashes * _MULTIPLIER) >> np.uint64(32)) * np.uint64(shares)) >> np.uint64(32)).astype(np.int64)
 
-    return run
 
+# 1. Store ---------------------------------------------------------------------------------------------------------------
 
-def _cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
-    """Bytes removed, spans and hash of the rest."""
-    kept, at, gone = hashlib.sha256(), 0, 0
-    for a, b in spans:
-        kept.update(text[at:a])
-        gone += b - a
-        at = b
-    kept.update(text[at:])
-    return gone, len(spans), kept.hexdigest()
-
-
-def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-class _Home:
-    """The answers of one home key, looked up by document, tag and anchor."""
-
-    def __init__(self, blobs: list[bytes]):
-        doc, tag, h, e_doc, e_tag, e_place = _unpack_all(blobs, *ANSWER)
-        key = self._key(doc, tag, h)
-        order = np.lexsort((e_place, e_tag, e_doc, key))
-        order = order[_first_rows(key[order])]
-        self.key, self.e_doc, self.e_tag, self.e_place = (a[order] for a in (key, e_doc, e_tag, e_place))
-
-    @staticmethod
-    def _key(doc: np.ndarray, tag: np.ndarray, h: np.ndarray) -> np.ndarray:
-        return _mix(h + _mix(doc.astype(np.uint64) * _STEP + tag.astype(np.uint64)))
-
-    def find(self, doc: np.ndarray, tag: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Whether there is an answer, and its document, tag and place."""
-        key = self._key(doc, tag, h)
-        if not len(self.key):
-            return np.zeros(len(key), bool), *(np.zeros(len(key), np.int64) for _ in range(3))
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return self.key[at] == key, self.e_doc[at], self.e_tag[at], self.e_place[at].astype(np.int64)
-
-
-def _segments(t: Texts, home: _Home, key: int, buckets: int) -> list[tuple]:
-    doc_at, first, last, x, h = anchors(t)
-    doc, tag = t.ids[doc_at], t.tags[doc_at]
-    known, e_doc, e_tag, e_place = home.find(doc, tag, h)
-    earlier = known & (e_doc < doc)
-    linked = np.zeros(len(x), bool)
-    if len(x) > 1:
-        step = x[1:] - x[:-1]
-        same = (doc_at[1:] == doc_at[:-1]) & (e_doc[1:] == e_doc[:-1]) & (e_tag[1:] == e_tag[:-1])
-        linked[1:] = same & earlier[1:] & earlier[:-1] & (e_place[1:] - e_place[:-1] == step) & (step <= GRAM)
-    begins = np.maximum.accumulate(np.where(~linked, np.arange(len(x)), 0))
-    ends = np.append(np.flatnonzero(~linked)[1:], len(x)) - 1 if len(x) else np.empty(0, np.int64)
-    run_of = np.cumsum(~linked) - 1
-    s, e = x[begins], x[ends[run_of]] + GRAM if len(x) else x
-    proven = earlier & (e - s >= LENGTH)
-    # Strings of answered anchors that no proven run holds: those before it and those behind it.
-    parts = []
-    for a, b, where in (
-        (first, last, known & ~proven),
-        (first, np.minimum(last, s - 1), proven),
-        (np.maximum(first, e - LENGTH + 1), last, proven),
-    ):
-        rows = np.flatnonzero(where & (a <= b))
-        parts.append((rows, a[rows], b[rows]))
-    row = np.concatenate([p[0] for p in parts])
-    a = np.concatenate([p[1] for p in parts])
-    n = np.concatenate([p[2] for p in parts]) - a + 1
-    # Equal segments are sent once: copies in one text follow the first, and those in larger documents are matched already.
-    text_of, owner, part = doc_at[row], doc[row], tag[row]
-    alike = t.digests(a, n + LENGTH - 1) if len(row) else np.empty(0, np.uint64)
-    order = np.lexsort((a, text_of, part, owner, alike))
-    head = order[np.maximum.accumulate(np.where(_first_rows(alike[order], n[order]), np.arange(len(order)), 0))] if len(order) else order
-    lead = np.empty(len(order), np.int64)
-    lead[order] = head
-    matched = owner > owner[lead]
-    copied = (text_of == text_of[lead]) & (lead != np.arange(len(row)))
-    asking = np.zeros(len(t.ids), bool)
-    asking[text_of[earlier[row] & ~matched]] = True
-    inside = a - t.starts[text_of]
-    known_spans, copies = ([[] for _ in t.ids] for _ in range(2))
-    for i in np.flatnonzero(matched):
-        known_spans[text_of[i]].append((int(inside[i]), int(inside[i] + n[i] + LENGTH - 1)))
-    for i in np.flatnonzero(copied):
-        copies[text_of[i]].append((int(inside[i]), int(inside[lead[i]]), int(n[i])))
-    sent = ~matched & ~copied
-    row, a, n = row[sent], a[sent], n[sent]
-    out: list[tuple] = []
-    bucket = _bucket(h[row], buckets)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(_first_rows(bucket[order]))
-    for i, j in zip(cuts, np.append(cuts[1:], len(order)), strict=len(order) > 0):
-        rows = order[i:j]
-        size = n[rows] + LENGTH - 1
-        total = np.cumsum(size)
-        body = t.data[np.repeat(a[rows] - (total - size), size) + np.arange(total[-1])]
-        places = (a[rows] - t.starts[doc_at[row[rows]]]).astype(np.uint32)
-        head = _pack(doc=doc[row[rows]], tag=tag[row[rows]], place=places, n=n[rows].astype(np.uint32))
-        out.append((int(bucket[order[i]]), TO_BUCKET, len(head).to_bytes(8, "little") + head + _squeeze(body.tobytes())))
-    run_rows = np.flatnonzero(~linked & proven)
-    for i in run_rows:
-        d = doc_at[i]
-        known_spans[d].append((int(s[i] - t.starts[d]), int(e[i] - t.starts[d])))
-    known_docs = [d for d in range(len(t.ids)) if known_spans[d] or (asking[d] and copies[d])]
-    if known_docs:
-        bare = Texts(t.ids[known_docs], t.tags[known_docs], [b""] * len(known_docs))
-        out.append((key, KNOWN, _pack_docs(bare, np.arange(len(known_docs)), [_union(known_spans[d]) for d in known_docs], [copies[d] if asking[d] else [] for d in known_docs])))
-    return out
 
+def _pack_texts(ids: list[np.ndarray], texts: list[bytes]) -> bytes:
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    return _squeeze(np.array([len(sizes)], "<i8").tobytes() + np.concatenate(ids).astype("<i8").tobytes() + sizes.tobytes() + b"".join(texts))
 
-def _done(doc_id: int, text: bytes, spans: list[tuple[int, int]]) -> tuple:
-    gone, n, digest = _cut(text, spans)
-    return 0, TEXTS, doc_id, np.array([len(text), gone, n], ">i8").tobytes() + digest.encode()
 
+def _unpack_texts(blob: bytes) -> Texts:
+    raw = _stretch(blob)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    ids, sizes = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(2, n)
+    return Texts(ids, sizes, np.frombuffer(raw, np.uint8, offset=8 + 16 * n))
+
+
+def _to_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task, seq = TaskContext.get().partitionId() << 32, 0
+    ids, texts, size = [], [], 0
+
+    def chunk() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([task + seq]), pa.array([size]), pa.array([_pack_texts(ids, texts)], pa.binary())], ["chunk", "size", "blob"])
 
-def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]], bytes]]:
-    """Rows come sorted by home and kind: for each packed set of texts its home and what came before them there, the same list each time."""
-    key, before = None, []
     for batch in batches:
-        for k, kind, blob in zip(batch.column("key").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
-            if k != key:
-                key, before = k, []
-            if kind != TEXTS:
-                before.append((kind, blob.as_py()))
-            else:
-                yield k, before, blob.as_py()
+        raw = batch.column(1).fill_null(b"")
+        own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, start = np.cumsum(pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while start < len(own):
+            done = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, done + max(1, CHUNK - size), "right")))
+            ids.append(own[start:end])
+            texts += raw.slice(start, end - start).to_pylist()
+            size += int(ends[end - 1]) - done
+            start = end
+            if size >= CHUNK:
+                yield chunk()
+                ids, texts, size, seq = [], [], 0, seq + 1
+    if texts:
+        yield chunk()
 
 
-def _at_home(buckets: int):
+# 2. Filter --------------------------------------------------------------------------------------------------------------
+
+
+def _questions(t: Texts, shares: int) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """The anchors of a chunk; their order by share and hash; and the first of each hash in that order. The same each time it is asked."""
+    found = anchors(t)
+    h = found[3]
+    order = np.lexsort((found[4], h, _share_of(h, shares)))
+    return found, order, _first_rows(h[order]) if len(h) else np.zeros(0, bool)
+
+
+def _ask(shares: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The texts of a home come in many small sets; they are worked on together, so that segments leave in few rows.
-        known, home, at, held = None, None, None, []
-        for key, before, blob in _homes(batches):
-            if before is not known:
-                if held:
-                    yield _batch(_segments(_merged(held), home, at, buckets))
-                known, home, at, held = before, _Home([b for _, b in before]), key, []
-            held.append(_unpack_docs(blob)[0])
-            if sum(len(t.data) for t in held) >= BYTES_AT_ONCE:
-                yield _batch(_segments(_merged(held), home, at, buckets))
-                held = []
-        if held:
-            yield _batch(_segments(_merged(held), home, at, buckets))
+        for batch in batches:
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                t = _unpack_texts(blob.as_py())
+                (doc, _, _, h, digest), order, first = _questions(t, shares)
+                starts = np.flatnonzero(first)
+                if not len(starts):
+                    continue
+                ids, ordered = t.ids[doc[order]], h[order]
+                around = np.add.reduceat(_first_rows(ordered, digest[order]), starts, dtype=np.uint32)
+                several = np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts)
+                ordered = ordered[starts]
+                yield _batch([(s, ANSWERS, chunk, _pack(ordered[a:b], around[a:b], several[a:b])) for s, a, b in _runs(_share_of(ordered, shares))])
 
     return run
 
 
-def previous_factors(strings: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether each string (rows of LENGTH bytes) occurs in a smaller document.
-
-    In suffix order with ties by document, suffixes with LENGTH bytes in common stand together. The previous smaller document of such a run is its
-    first one, and the next suffixes of a run never have a smaller one, so the longest previous factor reaches LENGTH exactly where the run's first is smaller.
-    """
-    by_doc = np.argsort(doc, kind="stable")
-    flat = np.ascontiguousarray(strings[by_doc]).view(f"S{LENGTH}").reshape(-1)
-    order = by_doc[np.argsort(flat, kind="stable")]
-    ordered = strings[order]
-    common = np.concatenate(([False], (ordered[1:] == ordered[:-1]).all(1)))
-    first = np.maximum.accumulate(np.where(~common, np.arange(len(order)), 0))
-    out = np.empty(len(doc), bool)
-    out[order] = doc[order][first] < doc[order]
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each question in its order: 0 if its anchor is met in one document, 1 if in several, 2 if with very many surroundings too."""
+    for share, asked in _groups(batches):
+        held = [_unpack(blob, "<u8", "<u4", "?") for *_, blob in asked]
+        h, around, several = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(h, kind="stable")
+        starts = np.flatnonzero(_first_rows(h[order]))
+        size = np.diff(np.append(starts, len(h)))
+        met = (size > 1) | np.logical_or.reduceat(several[order], starts)
+        hot = np.add.reduceat(around[order].astype(np.int64), starts) > HOT
+        verdict = np.empty(len(h), np.uint8)
+        verdict[order] = np.repeat(met.astype(np.uint8) + (met & hot), size)
+        ends = np.cumsum([len(x[0]) for x in held]).tolist()
+        out = [(chunk, ANSWERS, share, _squeeze(verdict[b - len(x[0]) : b].tobytes())) for (_, chunk, _), x, b in zip(asked, held, ends, strict=True)]
+        for k in range(0, len(out), 1000):
+            yield _batch(out[k : k + 1000])
+
+
+# 3. Segments ------------------------------------------------------------------------------------------------------------
+
+
+def _classes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, digest: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each segment (`size` bytes from `begin` on) the index of an equal segment of the least document. Equality is that of the bytes."""
+    order = np.lexsort((doc, size, digest))
+    new = _first_rows(digest[order], size[order]) if len(order) else np.zeros(0, bool)
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    out = np.arange(len(order))
+    for width in np.unique(size).tolist():
+        rows = np.lib.stride_tricks.sliding_window_view(data, width)
+        own = np.flatnonzero((size[order] == width) & ~new)
+        for k in range(0, len(own), 100_000):
+            at, of = order[own[k : k + 100_000]], head[own[k : k + 100_000]]
+            same = (rows[begin[at]] == rows[begin[of]]).all(1)
+            out[at[same]] = of[same]
     return out
 
 
-def _in_suffix_order(homes: int):
+def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> bytes:
+    if not len(begin):
+        return b""
+    out, total = np.empty(int(size.sum()), np.uint8), np.cumsum(size)
+    at = total - size
+    for width in np.unique(size).tolist():
+        own = np.flatnonzero(size == width)
+        rows = np.lib.stride_tricks.sliding_window_view(data, width)
+        into = np.lib.stride_tricks.sliding_window_view(out, width, writeable=True)
+        into[at[own]] = rows[begin[own]]
+    return out.tobytes()
+
+
+def _segments(chunk: int, t: Texts, answers: list[bytes], shares: int) -> list[tuple[int, int, int, bytes]]:
+    (doc, first, n, h, digest), order, new = _questions(t, shares)
+    verdict = np.frombuffer(b"".join(_stretch(x) for x in answers), np.uint8)
+    of = np.empty(len(order), np.uint8)
+    of[order] = verdict[np.cumsum(new) - 1] if len(order) else verdict
+    whole, split = np.flatnonzero(of == 1), np.flatnonzero(of == 2)
+    share = _share_of(h[whole], shares)
+    begin, count, owner, key = first[whole], n[whole], t.ids[doc[whole]], digest[whole]
+    if len(split):
+        # One segment for each string, dealt by its own bytes.
+        total = np.cumsum(n[split])
+        single = np.repeat(first[split] - (total - n[split]), n[split]) + np.arange(total[-1])
+        hashes = hashes_of(t.data, single, LENGTH)
+        begin, count = np.concatenate((begin, single)), np.concatenate((count, np.ones(len(single), np.int64)))
+        owner, key = np.concatenate((owner, np.repeat(t.ids[doc[split]], n[split]))), np.concatenate((key, hashes))
+        share = np.concatenate((share, _share_of(hashes, shares)))
+    if not len(begin):
+        return []
+    lead = _classes(t.data, begin, count + LENGTH - 1, key, owner)
+    sent = np.flatnonzero(lead == np.arange(len(lead)))
+    sent = sent[np.argsort(share[sent], kind="stable")]
+    number = np.empty(len(lead), np.int64)
+    number[sent] = np.arange(len(sent))
+    out = []
+    for s, a, b in _runs(share[sent]):
+        rows = sent[a:b]
+        head = _pack(owner[rows].astype("<i8"), count[rows].astype(np.uint8))
+        out.append((s, SEGMENTS, chunk, len(head).to_bytes(8, "little") + head + _squeeze(_gather(t.data, begin[rows], count[rows] + LENGTH - 1))))
+    place = np.argsort(begin, kind="stable")
+    known = _pack(begin[place].astype("<u4"), count[place].astype(np.uint8), number[lead[place]].astype("<u4"), owner[place] > owner[lead[place]])
+    return [*out, (chunk, KNOWN, 0, known)]
+
+
+def _at_chunks(shares: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in _groups(batches):
-            heads, bodies = [], []
-            for blob in blobs:
-                m = 8 + int.from_bytes(blob[:8], "little")
-                heads.append(blob[8:m])
-                bodies.append(_stretch(blob[m:]))
-            doc, tag, place, n = _unpack_all(heads, *RANGE)
-            n = n.astype(np.int64)
-            data = np.frombuffer(b"".join(bodies), np.uint8)
-            size = n + LENGTH - 1
-            begin = np.cumsum(size) - size
-            total = np.cumsum(n)
-            inner = np.arange(total[-1]) - np.repeat(total - n, n)
-            at = np.repeat(begin, n) + inner
-            owner, part, start = np.repeat(doc, n), np.repeat(tag, n), np.repeat(place.astype(np.int64), n) + inner
-            # Equal strings have equal first bytes, so the bucket's order is worked out a share of first bytes at a time.
-            strings = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
-            lead = _mix(np.lib.stride_tricks.sliding_window_view(data, 8)[: len(data) - LENGTH + 1].copy().view("<u8").reshape(-1))[at]
-            shares = -(-len(at) // STRINGS_AT_ONCE)
-            share = (lead % np.uint64(shares)).astype(np.int64)
-            hits = []
-            for k in range(shares):
-                own = np.flatnonzero(share == k)
-                hits.append(own[previous_factors(strings[at[own]], owner[own])])
-            found = np.concatenate(hits)
-            if not len(found):
-                continue
-            order = found[np.lexsort((start[found], part[found], owner[found]))]
-            owner, part, start = owner[order], part[order], start[order]
-            rows = np.flatnonzero(_first_rows(owner, part, start - np.arange(len(start))))
-            ends = np.append(rows[1:], len(owner)) - 1
-            count = (start[ends] - start[rows] + 1).astype(np.uint32)
-            yield _batch(list(_by(_home(owner[rows], homes), TO_HOME, doc=owner[rows], tag=part[rows], first=start[rows].astype(np.uint32), n=count)))
+        for chunk, held in _groups(batches):
+            texts = [blob for kind, _, blob in held if kind == TEXTS]
+            yield _batch(_segments(chunk, _unpack_texts(texts[0]), [blob for kind, _, blob in held if kind == ANSWERS], shares))
 
     return run
 
 
-def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Proven runs and matched ranges of documents, united and cut."""
-    held, ranges, known = None, None, {}
-    for _, before, blob in _homes(batches):
-        if before is not held:
-            held = before
-            doc, tag, first, n = _unpack_all([b for kind, b in before if kind == TO_HOME], *RANGE)
-            order = np.argsort(doc, kind="stable")
-            ranges = doc[order], tag[order], first[order].astype(np.int64), n[order].astype(np.int64)
-            known = {}
-            for u, spans, copies in (_unpack_docs(b) for kind, b in before if kind == KNOWN):
-                for i, own in enumerate(zip(u.ids.tolist(), u.tags.tolist(), strict=True)):
-                    known[own] = spans[i].tolist(), copies[i].tolist()
-        doc, tag, first, n = ranges
-        t = _unpack_docs(blob)[0]
-        out = []
-        for d in range(len(t.ids)):
-            a, b = np.searchsorted(doc, t.ids[d], "left"), np.searchsorted(doc, t.ids[d], "right")
-            mine = a + np.flatnonzero(tag[a:b] == t.tags[d])
-            spans, copies = known.get((int(t.ids[d]), int(t.tags[d])), ([], []))
-            found = [tuple(x) for x in spans]
-            if len(mine):
-                starts = np.zeros(t.sizes[d] + 2, bool)
-                for p, q in zip(first[mine].tolist(), n[mine].tolist(), strict=True):
-                    starts[p + 1 : p + q + 1] = True
-                for place, origin, m in copies:
-                    starts[place + 1 : place + m + 1] |= starts[origin + 1 : origin + m + 1]
-                edges = np.flatnonzero(np.diff(starts.view(np.int8))).reshape(-1, 2)
-                found += [(p, q + LENGTH - 1) for p, q in edges.tolist()]
-            out.append(_done(int(t.ids[d]), t.data[t.starts[d] : t.starts[d] + t.sizes[d]].tobytes(), _union(found)))
-        yield _batch(out)
+# 4. Factors -------------------------------------------------------------------------------------------------------------
+
+
+def suffix_order(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The order of the suffixes at these starts by their first LENGTH bytes: sorted by eight bytes, then, among equal ones, by the next eight."""
+    words = np.lib.stride_tricks.sliding_window_view(data, 8)
+    word = lambda at: np.ascontiguousarray(words[at]).view(">u8").reshape(-1).astype(np.uint64)
+    order = np.argsort(word(starts))
+    group = np.cumsum(_first_rows(word(starts[order]))) if len(order) else order
+    for depth in (*range(8, LENGTH - 8, 8), LENGTH - 8):
+        alone = _first_rows(group) & np.append(_first_rows(group)[1:], True) if len(group) else group.astype(bool)
+        tied = np.flatnonzero(~alone)
+        if not len(tied):
+            break
+        next_word = word(starts[order[tied]] + depth)
+        inner = np.lexsort((next_word, group[tied]))
+        order[tied] = order[tied][inner]
+        split = _first_rows(group[tied], next_word[inner])
+        new = _first_rows(group)
+        new[tied] |= split
+        group = np.cumsum(new)
+    return order
+
+
+def common_prefixes(data: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Bytes, at most LENGTH, that each suffix has in common with the one before it in suffix order; 0 for the first."""
+    rows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    out = np.zeros(len(ordered), np.int64)
+    for k in range(1, len(ordered), 100_000):
+        same = rows[ordered[k : k + 100_000]] == rows[ordered[k - 1 : min(len(ordered), k + 100_000) - 1]]
+        out[k : k + 100_000] = np.where(same.all(1), LENGTH, same.argmin(1))
+    return out
+
+
+def _towards_smaller(common: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """What each suffix has in common with the nearest one before it of a smaller document; below LENGTH it may be more than that.
+
+    at[r] is a place before r such that no suffix in between has a smaller document than r; least[r] is what all from at[r] to r have in common. Where
+    the document there is not smaller, its own place takes over, which doubles the reach each time.
+    """
+    at, least = np.arange(len(doc)) - 1, common.copy()
+    going = np.flatnonzero((at >= 0) & (least >= LENGTH))
+    going = going[doc[at[going]] >= doc[going]]
+    while len(going):
+        via = at[going]
+        at_next, least_next = at[via], np.minimum(least[going], least[via])
+        at[going], least[going] = at_next, least_next
+        on = (at_next >= 0) & (least_next >= LENGTH)
+        going, at_next = going[on], at_next[on]
+        going = going[doc[at_next] >= doc[going]]
+    return np.where(at >= 0, least, 0)
+
+
+def previous_factors(data: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix: bytes, at most LENGTH, from its start that occur in a smaller document. Exact where it is LENGTH."""
+    order = suffix_order(data, starts)
+    common, ordered = common_prefixes(data, starts[order]), doc[order]
+    before = _towards_smaller(common, ordered)
+    after = _towards_smaller(np.concatenate(([0], common[:0:-1])) if len(common) else common, ordered[::-1])[::-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(before, after)
+    return out
+
+
+def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for share, held in _groups(batches):
+        heads, bodies = [], []
+        for *_, blob in held:
+            m = 8 + int.from_bytes(blob[:8], "little")
+            heads.append(_unpack(blob[8:m], "<i8", "u1"))
+            bodies.append(_stretch(blob[m:]))
+        doc, n = (np.concatenate(c) for c in zip(*heads, strict=True))
+        n, data = n.astype(np.int64), np.frombuffer(b"".join(bodies), np.uint8)
+        size = n + LENGTH - 1
+        begin = np.cumsum(size) - size
+        lead = _classes(data, begin, size, hashes_of(data, begin, size), doc)
+        first = np.flatnonzero(lead == np.arange(len(lead)))
+        total = np.cumsum(n[first])
+        inner = np.arange(total[-1]) - np.repeat(total - n[first], n[first])
+        starts, owner = np.repeat(begin[first], n[first]) + inner, np.repeat(doc[first], n[first])
+        # Strings whose hash no other of the share has cannot recur; the others are put in suffix order.
+        hashes = hashes_of(data, starts, LENGTH)
+        order = np.argsort(hashes)
+        new = _first_rows(hashes[order])
+        again = np.sort(order[~(new & np.append(new[1:], True))])
+        gone = np.zeros(len(starts), bool)
+        gone[again] = previous_factors(data, starts[again], owner[again]) >= LENGTH
+        mask = np.zeros(len(n), np.uint32)
+        mask[first] = np.bitwise_or.reduceat(gone.astype(np.uint32) << inner.astype(np.uint32), total - n[first])
+        # A copy in a larger document recurs as a whole; one in the class's own document as its first does.
+        mask = np.where(doc > doc[lead], np.uint32(2**SPAN - 1), mask[lead]).astype("<u4")
+        ends = np.cumsum([len(x[0]) for x in heads]).tolist()
+        out = [(chunk, VERDICTS, share, _pack(mask[b - len(x[0]) : b])) for (_, chunk, _), x, b in zip(held, heads, ends, strict=True)]
+        for k in range(0, len(out), 1000):
+            yield _batch(out[k : k + 1000])
+
+
+# 5. Cut -----------------------------------------------------------------------------------------------------------------
+
+
+def covered(n_bytes: int, starts: np.ndarray) -> np.ndarray:
+    """Which bytes strings of LENGTH at these starts cover."""
+    change = np.zeros(n_bytes + 1, np.int32)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + LENGTH, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    for _, held in _groups(batches):
+        t = _unpack_texts(next(blob for kind, _, blob in held if kind == TEXTS))
+        gone = np.zeros(len(t.data), bool)
+        for blob in (blob for kind, _, blob in held if kind == KNOWN):
+            begin, n, number, later = _unpack(blob, "<u4", "u1", "<u4", "?")
+            mask = np.concatenate([_unpack(blob, "<u4")[0] for kind, _, blob in held if kind == VERDICTS])
+            begin, n, mask = begin.astype(np.int64), n.astype(np.int64), np.where(later, np.uint32(2**SPAN - 1), mask[number])
+            hit = mask != 0
+            begin, n, mask = begin[hit], n[hit], mask[hit]
+            total = np.cumsum(n)
+            inner = np.arange(total[-1] if len(total) else 0) - np.repeat(total - n, n)
+            on = (np.repeat(mask, n) >> inner.astype(np.uint32)) & np.uint32(1) == 1
+            gone = covered(len(t.data), (np.repeat(begin, n) + inner)[on])
+        opens = gone.copy()
+        opens[1:] &= ~gone[:-1]
+        edges = t.starts[(t.sizes > 0) & (t.starts < len(gone))]
+        opens[edges] = gone[edges]
+        removed, spans = (np.concatenate(([0], np.cumsum(x)))[np.stack((t.starts, t.starts + t.sizes))] for x in (gone, opens))
+        removed, spans = removed[1] - removed[0], spans[1] - spans[0]
+        digests = []
+        for a, size, r in zip(t.starts.tolist(), t.sizes.tolist(), removed.tolist(), strict=True):
+            own = t.data[a : a + size]
+            digests.append(hashlib.sha256((own[~gone[a : a + size]] if r else own).tobytes()).hexdigest())
+        yield pa.RecordBatch.from_arrays([pa.array(t.ids), pa.array(t.sizes), pa.array(removed), pa.array(spans), pa.array(digests, pa.string())], names)
 
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, homes = 4 * parts, parts
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    # Texts that share an id are told apart by a tag; where every id has one text the tag is 0.
-    spread = own.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg((F.min("h") != F.max("h")).alias("several"))
-    several = spread.where("doc_id is not null and several").limit(1).count() > 0
-    tag = F.pmod(F.xxhash64("text"), F.lit(2**32)) if several else F.lit(0).cast("long")
-    known = own.where("doc_id is not null").select("doc_id", tag.alias("tag"), "text")
-    sort = lambda frame: frame.repartition(parts, "key").sortWithinPartitions("key", "kind")
-
-    asked = sort(known.mapInArrow(_send_anchors(buckets, homes), ROWS)).select("key", "blob")
-    both = asked.mapInArrow(_answer_anchors(homes), ROWS).union(known.mapInArrow(_send_home(homes, True), ROWS))
+    by_key = lambda frame: frame.repartition(parts, "key").sortWithinPartitions("key", "kind", "peer")
+
+    stored = materialize(own.where("doc_id is not null").mapInArrow(_to_chunks, "chunk long, size long, blob binary"), "texts", "none")
+    texts = stored.select(F.col("chunk").alias("key"), F.lit(TEXTS).alias("kind"), F.lit(0).cast("long").alias("peer"), "blob")
+    shares = max(1, -(-(stored.agg(F.sum("size")).first()[0] or 0) // SHARE))
+
+    answers = by_key(stored.select("chunk", "blob").mapInArrow(_ask(shares), ROWS)).mapInArrow(_answer, ROWS)
+    judged = by_key(answers.union(texts)).mapInArrow(_at_chunks(shares), ROWS)
     judged_at = scratch_path(spark, "segments")
-    sort(both).mapInArrow(_at_home(buckets), ROWS).write.partitionBy("kind").option("compression", "zstd").parquet(judged_at)
-    judged = spark.read.schema("key long, doc_id long, blob binary, kind int").parquet(judged_at).select("key", "kind", "doc_id", "blob")
-
-    segments = sort(judged.where(f"kind = {TO_BUCKET}")).select("key", "blob")
-    matched = segments.mapInArrow(_in_suffix_order(homes), ROWS)
-    # The texts are sent again only now: carrying them along with what is known of them would take more room.
-    last = matched.union(judged.where(f"kind = {KNOWN}")).union(known.mapInArrow(_send_home(homes, False), ROWS))
-    done = sort(last).mapInArrow(_unite, ROWS).select("doc_id", "blob")
-    number = lambda i: F.conv(F.hex(F.substring("blob", 8 * i + 1, 8)), 16, 10).cast("long")
-    out = done.select("doc_id", number(0).alias("n_bytes"), number(1).alias("n_removed"), number(2).alias("n_spans"), F.substring("blob", 25, 64).cast("string").alias("kept_sha256"))
+    judged.write.partitionBy("kind").option("compression", "none").parquet(judged_at)
+    judged = spark.read.schema("key long, peer long, blob binary, kind int").parquet(judged_at).select("key", "kind", "peer", "blob")
+
+    verdicts = by_key(judged.where(F.col("kind") == SEGMENTS)).mapInArrow(_factors, ROWS)
+    last = by_key(verdicts.union(judged.where(F.col("kind") == KNOWN)).union(texts))
+    done = last.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     alone = own.where("doc_id is null").select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")
     )
-    return out.union(alone)
+    return done.union(alone)
