@@ -22,8 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Words in one generation of a worker's memo, and bytes of text encoded at a time.
-MEMO_ENTRIES = 120_000
+#: Words in a worker's memo, and bytes of text encoded at a time.
+MEMO_ENTRIES = 600_000
 BYTES_AT_ONCE = 3_000_000
 
 # Fixed value: the pattern that byte-level BPE vocabularies of this family split text with.
@@ -216,20 +216,17 @@ class Bpe:
             out.append(b"".join(ids))
         return out
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """The same for words that hold no newline and no special token, split all at once with newlines between them."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that hold no newline and no special token, split all at once with newlines between them: all ids, and how many each word has."""
         pieces = PIECES.findall("\n".join(words))
-        distinct = list(dict.fromkeys(pieces))
-        coded = dict(zip(distinct, self.encode_pieces([p.encode() for p in distinct]), strict=True))
-        out, held = [], []
-        for piece in pieces:
-            if piece == "\n":
-                out.append(held[0] if len(held) == 1 else b"".join(held))
-                held = []
-            else:
-                held.append(coded[piece])
-        out.append(held[0] if len(held) == 1 else b"".join(held))
-        return out if words else []
+        index: dict[str, int] = {}
+        code = np.fromiter((index.setdefault(p, len(index)) for p in pieces), np.int64, len(pieces))
+        between = code == index.get("\n", -1)
+        coded = self.encode_pieces([b"" if p == "\n" else p.encode() for p in index])
+        sizes = np.fromiter((len(x) // 4 for x in coded), np.int64, len(coded))
+        starts, held = np.cumsum(sizes) - sizes, sizes[code]
+        ends = np.append(np.cumsum(held)[between], held.sum())
+        return gathered(np.frombuffer(b"".join(coded), "<u4"), starts[code], held), np.diff(ends, prepend=0)
 
     # Decoding ------------------------------------------------------------------------------------------------------
 
@@ -247,16 +244,23 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of flat, one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class TextEncoder:
     """Encodes whole texts by words, remembering the ids of words met.
 
     A cut is made before each space and around each newline. A text in which such a cut could split white space that belongs together, or
-    that holds a special token, is encoded as a whole. The memo keeps two generations: a word that is not met while a generation fills is forgotten.
+    that holds a special token, is encoded as a whole. When the memo is full it starts anew from the words of the slice at hand. It is held in
+    Arrow and numpy arrays, and words are looked up many at a time.
     """
 
     def __init__(
         self,
-        encode_words: Callable[[list[str]], list[bytes]],
+        encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
         encode_texts: Callable[[list[str]], list[bytes]],
         specials: Iterable[str],
         memo_entries: int = MEMO_ENTRIES,
@@ -264,83 +268,96 @@ class TextEncoder:
     ):
         self.memo_entries, self.bytes_at_once = memo_entries, bytes_at_once
         self.encode_words, self.encode_texts, self.specials = encode_words, encode_texts, list(specials)
-        self.memo: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
-
-    @staticmethod
-    def _safe(word: str) -> bool:
-        return not word[-1].isspace() and not (word[1:2].isspace() if word[0] == " " else word[0].isspace())
-
-    def _ids_of(self, words: list[str]) -> list[bytes | None]:
-        """The ids of each distinct word; None if it can't stand alone."""
-        missing = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(missing) > self.memo_entries:
-            self.memo, self.older, missing = {}, self.memo, words
-        memo, older = self.memo, self.older
-        new = []
-        for w in missing:
-            if w in older:
-                memo[w] = older[w]
-            elif not w:
-                memo[w] = b""
-            elif w == "\n":
-                memo[w] = self.encode_texts(["\n"])[0]
-            elif self._safe(w):
-                new.append(w)
-            else:
-                memo[w] = None
-        memo.update(zip(new, self.encode_words(new), strict=True))
-        return [memo[w] for w in words]
-
-    def _encode_slice(self, texts: pa.Array) -> pa.Array:
+        self.words = pa.array([], pa.string())
+        self.sizes = np.empty(0, np.int64)  # -1: cannot stand alone
+        self.flat = np.empty(0, np.uint32)
+
+    def _encode_new(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these words, and how many each has: -1 if it can't stand alone."""
+        # White space that a cut could tear from its like stands at a word's end, or at its start behind the space that the cut is made at.
+        body = pc.utf8_ltrim(words, " ")
+        torn = pc.not_equal(pc.binary_length(pc.utf8_trim_whitespace(body)), pc.binary_length(body)).to_numpy(zero_copy_only=False)
+        filled = pc.binary_length(body).to_numpy() > 0
+        newline = pc.equal(words, "\n").to_numpy(zero_copy_only=False)
+        sizes = np.where(torn | (~filled & (pc.binary_length(words).to_numpy() > 0)), -1, 0)
+        coded = np.flatnonzero(filled & ~torn)
+        flat, sizes[coded] = self.encode_words(words.take(pa.array(coded)).to_pylist())
+        for i in np.flatnonzero(newline):
+            own = np.frombuffer(self.encode_texts(["\n"])[0], "<u4")
+            at, sizes[i] = int(np.maximum(sizes[:i], 0).sum()), len(own)
+            flat = np.concatenate((flat[:at], own, flat[at:]))
+        return flat, sizes
+
+    def _ids_of(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct words, where the ids of each begin in self.flat and how many there are; -1 if it can't stand alone."""
+        found = pc.index_in(words, value_set=self.words)
+        missing = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        if len(missing):
+            new = words.take(pa.array(missing))
+            flat, sizes = self._encode_new(new)
+            at[missing] = len(self.words) + np.arange(len(missing))
+            self.words = pa.concat_arrays([self.words, new])
+            self.sizes, self.flat = np.concatenate((self.sizes, sizes)), np.concatenate((self.flat, flat))
+        held = np.maximum(self.sizes, 0)
+        starts = np.cumsum(held) - held
+        if len(self.words) > self.memo_entries:
+            self.words, self.flat, self.sizes = words, gathered(self.flat, starts[at], held[at]), self.sizes[at]
+            held = np.maximum(self.sizes, 0)
+            return np.cumsum(held) - held, self.sizes
+        return starts[at], self.sizes[at]
+
+    def _slice_ids(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these texts, and the bounds of each."""
         n = len(texts)
         whole = np.zeros(n, bool)
-        raw = texts.buffers()[2]
+        places = np.frombuffer(texts.buffers()[1], np.int32, n + 1, 4 * texts.offset)
+        raw = memoryview(texts.buffers()[2] or b"")[places[0] : places[-1]].tobytes()
         for held in (CUT, *self.specials):
-            if raw is not None and held.encode() in memoryview(raw).tobytes():
+            if held.encode() in raw:
                 whole |= pc.match_substring(texts, held).to_numpy(zero_copy_only=False)
         cut = pc.replace_substring(pc.replace_substring(texts, " ", CUT + " "), "\n", CUT + "\n" + CUT)
         lists = pc.split_pattern(cut, CUT)
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        ids = self._ids_of(words)
+        at = coded.indices.to_numpy()
+        starts, sizes = self._ids_of(coded.dictionary)
         # An empty word is one between two cuts; at either end of a text it means nothing.
-        unsafe = np.fromiter((x is None for x in ids), bool, len(ids))[at]
-        if "" in words:
-            inner = at == words.index("")
+        unsafe = sizes[at] < 0
+        if (empty := pc.index(coded.dictionary, "").as_py()) >= 0:
+            inner = at == empty
             inner[bounds[:-1]] = False
             inner[bounds[1:] - 1] = False
             unsafe |= inner
         whole |= np.logical_or.reduceat(unsafe, bounds[:-1])
-        flat = np.frombuffer(b"".join([x or b"" for x in ids]), "<u4")
-        # A slice has far fewer than 2 ** 31 ids.
-        sizes = np.fromiter((len(x or b"") // 4 for x in ids), np.int32, len(ids))
-        starts = np.cumsum(sizes, dtype=np.int32) - sizes
-        word_sizes = sizes[at]
-        ends = np.cumsum(word_sizes, dtype=np.int32)
-        gathered = flat[np.repeat(starts[at] - (ends - word_sizes), word_sizes) + np.arange(ends[-1], dtype=np.int32)]
-        offsets = np.concatenate(([0], ends))[bounds].astype(np.int64) * 4
-        data = gathered.tobytes()
+        sizes = np.maximum(sizes, 0)[at]
+        ids = gathered(self.flat, starts[at], sizes)
+        ends = np.concatenate(([0], np.cumsum(sizes)))[bounds]
         if not whole.any():
-            return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
-        out = [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            return ids, ends
+        parts = [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         rows = np.flatnonzero(whole).tolist()
         for i, own in zip(rows, self.encode_texts([texts[i].as_py() for i in rows]), strict=True):
-            out[i] = own
-        return pa.array(out, pa.binary())
+            parts[i] = np.frombuffer(own, "<u4")
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
-    def encode(self, texts: pa.Array) -> Iterator[pa.Array]:
-        """The ids of each text, as binary values, in slices of about `bytes_at_once` of text. A null text has none."""
+    def flat_slices(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All ids and the bounds of each text, in slices of about `bytes_at_once` of text. A null text has none."""
         texts = texts.fill_null("") if texts.null_count else texts
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
         start = 0
         while start < len(texts):
             done = sizes[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(sizes, done + self.bytes_at_once, "right")))
-            yield self._encode_slice(texts.slice(start, end - start))
+            yield self._slice_ids(texts.slice(start, end - start))
             start = end
 
+    def encode(self, texts: pa.Array) -> Iterator[pa.Array]:
+        """The same as binary values of little-endian unsigned 32-bit integers."""
+        for ids, ends in self.flat_slices(texts):
+            offsets, data = pa.py_buffer((4 * ends).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))
+            yield pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, offsets, data]).cast(pa.binary())
+
 
 @lru_cache(maxsize=2)
 def text_encoder(path: str) -> TextEncoder:
@@ -365,8 +382,11 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, text_col: str) -> Ite
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with `ids_col` in place of the text: the ids as little-endian unsigned 32-bit integers, in one binary value."""
-    rest = [c for c in docs.columns if c != text_col]
+    """docs with `ids_col` in place of the text: the ids as little-endian unsigned 32-bit integers, in one binary value.
+
+    A column of docs that already has this name is replaced.
+    """
+    rest = [c for c in docs.columns if c not in (text_col, ids_col)]
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(ids_col, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,20 +397,21 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """coded with a column `text_col` more: the text of its ids, invalid UTF-8 replaced. Null ids give an empty text."""
-    schema = T.StructType([*coded.schema.fields, T.StructField(text_col, T.StringType())])
+    """coded with a column `text_col` more, or in place of one of this name: the text of its ids, invalid UTF-8 replaced. Null ids give an empty text."""
+    rest = [c for c in coded.columns if c != text_col]
+    schema = T.StructType([*(coded.schema[c] for c in rest), T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = _decoded(batch.column(batch.schema.get_field_index(ids_col)), load(path))
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, text_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, text], [*rest, text_col])
 
-    return coded.mapInArrow(run, schema)
+    return coded.select(*rest).mapInArrow(run, schema)
 
 
 def encode_and_decode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """encode, with the text replaced by what its ids decode to, in one pass and so in one Python worker for each task."""
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if c not in (text_col, ids_col)]
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(ids_col, T.BinaryType()), T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

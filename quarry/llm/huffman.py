@@ -5,8 +5,8 @@ follow. `blocks` has a row per independent block of whole documents: `part` and
 `doc_ids` (a list, so that it can hold nulls) and `doc_lengths`, `payload` (32-bit big-endian words of code bits) and `checkpoints` (the bit offset of every
 256th id). A block is decoded on its own: all checkpoints of a block are decoded side by side through one lookup table.
 
-Writing: texts are range-partitioned by document id (with a hash of the text, so that repeated ids can be split), encoded
-once into a scratch table, counted (a partial count per task, then a sum over at most a vocabulary's ids), and coded.
+Writing: texts are range-partitioned by document id (with a hash of the text, so that repeated ids can be split) and encoded once into a scratch
+table of blocks, with a count of ids per task beside them; the counts are summed over at most a vocabulary's ids, and the blocks coded.
 Reading: blocks are decoded in parallel; global starts come from sums per part and per block, not from a global sort.
 
 Defined results: a null text counts as empty; every document gets the end id; documents are ordered by id, nulls first, then by hash
@@ -16,6 +16,7 @@ of the text; a null id is written and read as null; repeated rows are kept; an e
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,14 +27,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe
-from quarry.session import scratch_path
+from quarry.session import discard, materialize, scratch_path
 
 MAX_BITS = 16
 CHECKPOINT = 256
 BLOCK_IDS = 1 << 20
 END_ID = 0
 #: The library is slow on words it has not met, so a worker remembers more of them here.
-MEMO_ENTRIES, BYTES_AT_ONCE = 400_000, 8_000_000
+MEMO_ENTRIES, BYTES_AT_ONCE = 1_000_000, 8_000_000
 
 
 # Codes ----------------------------------------------------------------------------------------------------------------
@@ -135,26 +136,26 @@ def _library_encoder(path: str) -> bpe.TextEncoder:
     def texts(items: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(items, add_special_tokens=False)]
 
-    def words(items: list[str]) -> list[bytes]:
+    def words(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # Words hold no newline, so many are encoded as one text with newlines between them.
         if len(newline) != 1:
-            return texts(items)
-        out: list[bytes] = []
-        joined = ["\n".join(items[k : k + 2000]) for k in range(0, len(items), 2000)]
-        for coded in tokenizer.encode_batch_fast(joined, add_special_tokens=False):
-            ids = np.array(coded.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == newline[0]), len(ids)).tolist()
-            flat, start = ids.tobytes(), 0
-            for end in ends:
-                out.append(flat[4 * start : 4 * end])
-                start = end + 1
-        return out
+            each = texts(items)
+            return np.frombuffer(b"".join(each), "<u4"), np.fromiter((len(x) // 4 for x in each), np.int64, len(each))
+        joined = ["\n".join([*items[k : k + 2000], ""]) for k in range(0, len(items), 2000)]
+        coded = [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate(coded) if coded else np.empty(0, np.uint32)
+        ends = np.flatnonzero(ids == newline[0])
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
     return bpe.TextEncoder(words, texts, specials, MEMO_ENTRIES, BYTES_AT_ONCE)
 
 
-def _sorted_ids(docs: DataFrame, path: str, parts: int, id_col: str, text_col: str, end_id: int) -> DataFrame:
-    """part, seq, doc_id, ids: the ids of each document as little-endian unsigned integers of 16 or 32 bits, in order."""
+#: A row per block of whole documents, in order; and, with `seq` -1, one per task with how often it met each id (`ids`, `doc_lengths`: counts).
+IDS = "part int, seq long, n_ids long, bytes int, doc_ids array<long>, doc_lengths binary, ids binary"
+
+
+def _id_blocks(docs: DataFrame, path: str, parts: int, id_col: str, text_col: str, end_id: int) -> DataFrame:
+    """Blocks of the ids of whole documents, in order, as little-endian unsigned integers of 16 or 32 bits, and the counts of each task."""
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         .withColumn("h", F.xxhash64("text"))
@@ -165,77 +166,60 @@ def _sorted_ids(docs: DataFrame, path: str, parts: int, id_col: str, text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = _library_encoder(path), TaskContext.get().partitionId(), 0
         small = len(bpe.load(path).token_lengths) <= 1 << 16
-        end = np.array([end_id], "<u2" if small else "<u4").tobytes()
-        for batch in batches:
-            start = 0
-            for coded in encoder.encode(batch.column(1)):
-                n = len(coded)
-                each = (x.as_py() for x in coded)
-                if small:
-                    each = (np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in each)
-                ids = pa.array((x + end for x in each), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)), batch.column(0).slice(start, n), pa.array(np.full(n, 2 if small else 4, np.int32)), ids],
-                    ["part", "seq", "doc_id", "bytes", "ids"],
-                )
-                start, seq = start + n, seq + n
-
-    return ordered.select("doc_id", "text").mapInArrow(run, "part int, seq long, doc_id long, bytes int, ids binary")
+        total = np.zeros(0, np.int64)
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
+        def row(seq: int, doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, width: int) -> pa.RecordBatch:
+            values = [part, seq, len(ids), width, doc_ids, lengths.astype("<i8").tobytes(), ids.astype(f"<u{width}").tobytes()]
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], ["part", "seq", "n_ids", "bytes", "doc_ids", "doc_lengths", "ids"])
 
-def _flat_ids(batch: pa.RecordBatch, column: str = "ids") -> np.ndarray:
-    size = batch.column(batch.schema.get_field_index("bytes"))[0].as_py()
-    return np.frombuffer(b"".join(x.as_py() for x in batch.column(batch.schema.get_field_index(column))), f"<u{size}")
+        def block() -> pa.RecordBatch:
+            doc_ids, lengths, ids = zip(*held, strict=True)
+            return row(seq, pa.concat_arrays(doc_ids).to_pylist(), np.concatenate(lengths), np.concatenate(ids), 2 if small else 4)
 
+        for batch in batches:
+            start = 0
+            for ids, ends in encoder.flat_slices(batch.column(1)):
+                ids = np.insert(ids, ends[1:], end_id)
+                found = np.bincount(ids, minlength=len(total))
+                found[: len(total)] += total
+                total = found
+                held.append((batch.column(0).slice(start, len(ends) - 1), np.diff(ends) + 1, ids))
+                start += len(ends) - 1
+                if sum(len(x[2]) for x in held) >= BLOCK_IDS:
+                    yield block()
+                    held, seq = [], seq + 1
+        if held:
+            yield block()
+        met = np.flatnonzero(total)
+        yield row(-1, [], total[met], met, 4)
+
+    return ordered.select("doc_id", "text").mapInArrow(run, IDS)
+
+
+def _counts(blocks: DataFrame) -> DataFrame:
+    """id, n: a row per id of the vocabulary at most, summed over the counts of the tasks."""
 
-def _counts(ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            if batch.num_rows:
-                c = np.bincount(_flat_ids(batch))
-                if len(c) > len(total):
-                    c[: len(total)] += total
-                    total = c
-                else:
-                    total[: len(c)] += c
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
+            for ids, n in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids.as_py(), "<u4").astype(np.int64)), pa.array(np.frombuffer(n.as_py(), "<i8"))], ["id", "n"])
 
-    return ids.select("bytes", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return blocks.where("seq < 0").select("ids", "doc_lengths").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _blocks(ids: DataFrame, book: Codebook) -> DataFrame:
+def _coded(blocks: DataFrame, book: Codebook) -> DataFrame:
     names = ["part", "seq", "n_ids", "doc_ids", "doc_lengths", "payload", "checkpoints"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-
-    def block(part: int, rows: list[tuple[int, int | None, np.ndarray]]) -> tuple:
-        flat = np.concatenate([r[2] for r in rows])
-        payload, checkpoints = book.encode(flat)
-        doc_ids = [r[1] for r in rows]
-        lengths = np.array([len(r[2]) for r in rows], "<i8").tobytes()
-        return part, rows[0][0], len(flat), doc_ids, lengths, payload, checkpoints
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int | None, np.ndarray]] = []
-        part, size = -1, 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(block(part, held), types, strict=True)], names)
-
         for batch in batches:
-            for p, seq, doc, width, ids_ in zip(*(batch.column(i) for i in range(5)), strict=True):
-                if p.as_py() != part or size >= BLOCK_IDS:
-                    yield from flush()
-                    held, part, size = [], p.as_py(), 0
-                flat = np.frombuffer(ids_.as_py(), f"<u{width.as_py()}")
-                held.append((seq.as_py(), doc.as_py(), flat))
-                size += len(flat)
-        yield from flush()
+            coded = [book.encode(np.frombuffer(ids.as_py(), f"<u{width}")) for ids, width in zip(batch.column(6), batch.column(3).to_pylist(), strict=True)]
+            payloads, checkpoints = (pa.array([c[i] for c in coded], pa.binary()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 2, 4, 5)), payloads, checkpoints], names)
 
     schema = "part int, seq long, n_ids long, doc_ids array<long>, doc_lengths binary, payload binary, checkpoints binary"
-    return ids.select("part", "seq", "doc_id", "bytes", "ids").mapInArrow(run, schema)
+    return blocks.where("seq >= 0").mapInArrow(run, schema)
 
 
 def write_tokens(
@@ -251,23 +235,22 @@ def write_tokens(
     """Writes the ids of all documents, in ascending document order, as `out`/codebook and `out`/blocks."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    scratch = scratch_path(spark, "ids")
-    _sorted_ids(docs, tokenizer, parts, id_col, text_col, end_id).write.option("compression", "zstd").parquet(scratch)
-    ids = spark.read.parquet(scratch)
+    ids = materialize(_id_blocks(docs, tokenizer, parts, id_col, text_col, end_id), "ids", "zstd")
     # At most one row per id of the vocabulary reaches the driver.
     counted = _counts(ids).orderBy("n", "id").toPandas()
     bits = code_lengths(counted["n"].to_numpy(np.int64), max_bits)
     pairs = list(zip(counted["id"].tolist(), bits.tolist(), strict=True))
     spark.createDataFrame(pairs, "id long, bits long").coalesce(1).write.parquet(f"{out}/codebook")
     book = Codebook(counted["id"].to_numpy(np.int64), bits)
-    _blocks(ids, book).write.option("compression", "none").parquet(f"{out}/blocks")
+    _coded(ids, book).write.option("compression", "none").parquet(f"{out}/blocks")
+    discard(ids)
 
 
 # Reading --------------------------------------------------------------------------------------------------------------
 
 
-def read_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The decoded documents (part, seq, doc_id, in_block, n_tokens, ids), and the ids before each block (part, seq, offset)."""
+def read_blocks(spark: SparkSession, path: str, digest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The decoded documents (part, seq, doc_id, in_block, n_tokens, and ids or their checksum), and the ids before each block (part, seq, offset)."""
     listed = spark.read.parquet(f"{path}/codebook").toPandas()
     book = Codebook(listed["id"].to_numpy(np.int64), listed["bits"].to_numpy(np.int64))
     blocks = spark.read.parquet(f"{path}/blocks")
@@ -278,41 +261,36 @@ def read_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     offsets = blocks.select("part", "seq", "n_ids").withColumn("inside", inside).join(parts, "part").select(
         "part", "seq", (F.col("inside") + F.col("before")).alias("offset")
     )
+    last = "ids_crc32" if digest else "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 part, seq, n, lengths, payload, checkpoints = (batch.column(i)[k].as_py() for i in (0, 1, 2, 4, 5, 6))
-                ids = book.decode(payload, checkpoints, n).astype("<u4")
+                data = memoryview(book.decode(payload, checkpoints, n).astype("<u4").tobytes())
                 lens = np.frombuffer(lengths, "<i8")
                 ends = np.cumsum(lens)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(lens), part, np.int32)),
-                        pa.array(np.full(len(lens), seq)),
-                        batch.column(3)[k].values,
-                        pa.array(ends - lens),
-                        pa.array(lens),
-                        pa.array((ids[e - m : e].tobytes() for e, m in zip(ends.tolist(), lens.tolist(), strict=True)), pa.binary()),
-                    ],
-                    ["part", "seq", "doc_id", "in_block", "n_tokens", "ids"],
-                )
-
-    rows = blocks.mapInArrow(run, "part int, seq long, doc_id long, in_block long, n_tokens long, ids binary")
+                each = (data[4 * (e - m) : 4 * e] for e, m in zip(ends.tolist(), lens.tolist(), strict=True))
+                columns = [pa.array(np.full(len(lens), part, np.int32)), pa.array(np.full(len(lens), seq)), batch.column(3)[k].values, pa.array(ends - lens), pa.array(lens)]
+                found = pa.array(map(zlib.crc32, each), pa.int64()) if digest else pa.array(map(bytes, each), pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, found], ["part", "seq", "doc_id", "in_block", "n_tokens", last])
+
+    rows = blocks.mapInArrow(run, f"part int, seq long, doc_id long, in_block long, n_tokens long, {last} {'long' if digest else 'binary'}")
     return rows, offsets
 
 
+def _placed(rows: DataFrame, offsets: DataFrame) -> DataFrame:
+    return rows.join(offsets, ["part", "seq"]).select("doc_id", (F.col("offset") + F.col("in_block")).alias("start"), "n_tokens", rows.columns[-1])
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit integers in one binary value)."""
-    rows, offsets = read_blocks(spark, path)
-    return rows.join(offsets, ["part", "seq"]).select("doc_id", (F.col("offset") + F.col("in_block")).alias("start"), "n_tokens", "ids")
+    return _placed(*read_blocks(spark, path))
 
 
 def token_report(docs: DataFrame, tokenizer: str, out: str | None = None) -> DataFrame:
-    """Writes docs to files, reads them back, and returns doc_id, start, n_tokens and the checksum of the ids read."""
+    """Writes docs to files, reads them back, and returns doc_id, start, n_tokens and the checksum of the ids read (ids_crc32)."""
     spark = docs.sparkSession
     out = out or scratch_path(spark, "tokens")
     write_tokens(docs, out, tokenizer)
-    rows, offsets = read_blocks(spark, out)
-    digests = rows.select("part", "seq", "doc_id", "in_block", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    return digests.join(offsets, ["part", "seq"]).select("doc_id", (F.col("offset") + F.col("in_block")).alias("start"), "n_tokens", "ids_crc32")
+    return _placed(*read_blocks(spark, out, digest=True))
