@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import materialize
+from quarry.session import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,8 +34,9 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
         sums = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(sums) == seen or not sums[0]:
             break
-        seen = tuple(sums)
+        seen, before = tuple(sums), now
         now = materialize(_star(_star(now, True), False), label)
+        discard(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component"))
     ).distinct()

@@ -15,8 +15,12 @@ other components, through an exact prefix filter, so every pair of candidates en
 one text has at most EXACT windows is always a candidate. Others, with L windows aligned of U in all, share a sketch with probability of at least
 1 - (1 - C(L, PICKED) / C(U, PICKED)) ** SKETCHES: 0.99995 at the least, for L = 32 and U = 40, and 0.99997 for long texts.
 
+Whole texts are never shuffled: those with a candidate are picked out, as they are read, by a bitmap of at most FILTER_BITS bits; a false hit costs a row.
+A pair is compared at the side that has more partners, whose windows move once for each SALT partners.
+
 Defined results: a text of one to four words has one window, all its words; a text without words, or null, equals other texts only if the text is the
-same, null never; rows of one id are one document; rows without an id are classes of their own; an empty table gives an empty result.
+same, null never; rows of one id whose texts differ are documents of their own; rows without an id are classes of their own; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
-from quarry.session import materialize
+from quarry.session import discard, materialize
 
 WORDS = 5
 PICKED = 4
@@ -39,6 +43,8 @@ SKETCHES = 20
 #: Up to so many windows a text has few prefix keys, and sketches would miss more pairs than the stated share.
 EXACT = 32
 BYTES_AT_ONCE = 1_000_000
+#: Bits of the bitmap that picks texts at most, and partners of one text that are compared in one place.
+FILTER_BITS, SALT = 1 << 26, 500
 
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 2**63, 256, np.uint64)
@@ -190,22 +196,43 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distinct), lists], ["d_id", "print", "n", "keys"])
         pa.default_memory_pool().release_unused()
 
-    return docs.select("d_id", F.sha2("text", 256).alias("print"), "text").mapInArrow(run, "d_id long, print string, n long, keys array<long>")
+    return docs.select("d_id", _print(), "text").mapInArrow(run, "d_id long, print binary, n long, keys array<long>")
+
+
+def _print(text: str = "text"):
+    return F.unhex(F.sha2(text, 256)).alias("print")
+
+
+def _bitmap(chosen: DataFrame) -> np.ndarray:
+    """Bits of hash values of chosen (h long), about eight for each, FILTER_BITS at most; so at most FILTER_BITS / 8 bytes reach the driver."""
+    bits = min(FILTER_BITS, 1 << max(15, (8 * chosen.count()).bit_length()))
+    # One bitmap of Spark's aggregate has 32768 bits.
+    place = chosen.select(F.col("h").bitwiseAND(bits - 1).alias("at")).select(F.floor(F.col("at") / 32768).alias("row"), F.col("at").bitwiseAND(32767).alias("bit"))
+    rows = place.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("map")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        out[4096 * r["row"] : 4096 * (r["row"] + 1)] = np.frombuffer(r["map"], np.uint8)
+    return out
 
 
-def _window_table(docs: DataFrame) -> DataFrame:
-    """d_id and its distinct windows in order of their first places, as 64-bit integers in one binary value."""
+def _window_table(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """print and distinct windows, in order of their first places, as 64-bit integers in one binary value: of the chosen (h long) texts, and a few others."""
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(chosen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bits.value
         for whole in batches:
-            for batch in _slices(whole, "text"):
-                hashes, n = windows(batch.column(1).fill_null(""))
+            at = whole.column(0).to_numpy(zero_copy_only=False) & (8 * len(held) - 1)
+            wanted = whole.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            for batch in _slices(wanted, "text"):
+                hashes, n = windows(batch.column(2))
                 first = _occurrences(hashes, np.repeat(np.arange(len(n)), n)) == 0 if len(hashes) else np.zeros(0, bool)
                 ends = np.cumsum(n)
                 out = [hashes[e - k : e][first[e - k : e]].tobytes() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["d_id", "windows"])
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], ["print", "windows"])
 
-    return docs.select("d_id", "text").mapInArrow(run, "d_id long, windows binary")
+    known = docs.where("d_id is not null and text is not null").select("d_id", _print(), "text")
+    return known.select(F.xxhash64("d_id", "print").alias("h"), "print", "text").mapInArrow(run, "print binary, windows binary")
 
 
 def aligned(x: np.ndarray, y: np.ndarray) -> bool:
@@ -230,22 +257,36 @@ def aligned(x: np.ndarray, y: np.ndarray) -> bool:
     return 9 * len(tails) >= 4 * size
 
 
-def _verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose windows align."""
-    left = table.select(F.col("d_id").alias("a"), F.col("windows").alias("x"))
-    right = table.select(F.col("d_id").alias("b"), F.col("windows").alias("y"))
+def _verified(pairs: DataFrame, table: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of text numbers whose windows align.
+
+    Windows of a text go, once for each SALT partners, to where its pairs are compared; those of a partner once for each pair.
+    """
+    numbered = pairs.select("a", "b", F.xxhash64("a", "b").alias("h"))
+    tasks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).alias("salts"))
+    partners = numbered.join(tasks, "a").select("a", F.pmod("h", "salts").alias("salt"), F.col("b").alias("t"))
+    heads = partners.select("a", "salt").distinct().withColumn("t", F.col("a"))
+    placed = heads.union(partners).join(texts.select("t", "print"), "t").join(table, "print")
+    dealt = placed.select("a", "salt", (F.col("t") != F.col("a")).alias("partner"), "t", "windows")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, x = None, None
         for batch in batches:
-            good = [
-                aligned(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            good, key = [], batch.column(0).to_pylist()
+            for a, partner, blob in zip(key, batch.column(1).to_pylist(), batch.column(3), strict=True):
+                if not partner:
+                    at, x = a, np.frombuffer(blob.as_py(), np.uint64)
+                # A text stands before its partners.
+                good.append(partner and at == a and aligned(x, np.frombuffer(blob.as_py(), np.uint64)))
+            found = batch.filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([found.column(0), found.column(2)], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    ordered = dealt.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "partner")
+    return ordered.select("a", "partner", "t", "windows").mapInArrow(run, "a long, b long")
 
 
-def _prefix_pairs(among: DataFrame, table: DataFrame) -> DataFrame:
+def _prefix_pairs(among: DataFrame, table: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of texts of different parts, one of which asks, that may reach a similarity of 0.8; none that does is left out.
 
     Two window sets of that similarity share one of the n - ceil(0.8 n) + 1 windows that come first in any common order. In order of their counts among
@@ -258,62 +299,83 @@ def _prefix_pairs(among: DataFrame, table: DataFrame) -> DataFrame:
                 part = batch.slice(k, 500)
                 blobs = part.column(1).to_pylist()
                 owner = np.repeat(part.column(0).to_numpy(), [len(x) // 8 for x in blobs])
-                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.frombuffer(b"".join(blobs), np.int64))], ["d_id", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.frombuffer(b"".join(blobs), np.int64))], ["t", "window"])
 
-    rows = table.join(among.select("d_id"), "d_id", "left_semi").select("d_id", "windows").mapInArrow(spread, "d_id long, window long")
+    wanted = among.select("t").join(texts.select("t", "print"), "t").join(table.dropDuplicates(["print"]), "print")
+    rows = wanted.select("t", "windows").mapInArrow(spread, "t long, window long")
     shared = rows.groupBy("window").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    placed = rows.join(shared, "window").join(among, "d_id")
-    own = Window.partitionBy("d_id")
+    placed = rows.join(shared, "window").join(among, "t")
+    own = Window.partitionBy("t")
     rank = F.row_number().over(own.orderBy("texts", "window")) + F.col("n") - F.count(F.lit(1)).over(own)
     prefix = placed.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1)
     # What a text has from a window on bounds what it can share if that is the first one shared: at least 4 / 9 of both sizes is needed.
-    prefix = materialize(prefix.select("d_id", "window", "n", "part", "asks", (F.col("n") - F.col("rank") + 1).alias("left")), "prefixes")
-    asking = prefix.where("asks").select("window", F.col("d_id").alias("r"), F.col("n").alias("r_n"), F.col("part").alias("r_part"), F.col("left").alias("r_left"))
+    prefix = materialize(prefix.select("t", "window", "n", "part", "asks", (F.col("n") - F.col("rank") + 1).alias("left")), "prefixes")
+    asking = prefix.where("asks").select("window", F.col("t").alias("r"), F.col("n").alias("r_n"), F.col("part").alias("r_part"), F.col("left").alias("r_left"))
     met = asking.join(prefix, "window").where("part <> r_part and 5 * least(n, r_n) >= 4 * greatest(n, r_n) and 9 * least(left, r_left) >= 4 * (n + r_n)")
-    return met.select(F.least("d_id", "r").alias("a"), F.greatest("d_id", "r").alias("b")).distinct()
+    return met.select(F.least("t", "r").alias("a"), F.greatest("t", "r").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, class_id (least id that links reach), kept (it is that one)."""
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """d_id, print, class_id and class_print of every row: those of the first text, by id and print, that links reach."""
     own = docs.select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).alias("text"))
     sketched = materialize(_sketched(own), "sketches")
     known = sketched.where("d_id is not null and print is not null")
-    texts = known.groupBy("print").agg(F.min("d_id").alias("c"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    placed = texts.where("n > 0").select("c", "n", F.posexplode("keys").alias("at", "key")).where(f"at >= {SKETCHES} or n > {EXACT}")
-    rows = placed.select("c", "n", F.least("at", F.lit(SKETCHES)).alias("j"), "key")
+    of_print = known.groupBy("print").agg(F.min("d_id").alias("c"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    texts = materialize(of_print.withColumn("t", F.monotonically_increasing_id()), "distinct-texts")
+    placed = texts.where("n > 0").select("t", "n", F.posexplode("keys").alias("at", "key")).where(f"at >= {SKETCHES} or n > {EXACT}")
+    rows = placed.select("t", "n", F.least("at", F.lit(SKETCHES)).alias("j"), "key")
     several = rows.groupBy("j", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(rows.join(several, ["j", "key"]).select("j", "key", "c", "n", "size"), "buckets")
-    weight = members.groupBy("c").agg(F.sum("size").alias("w"))
-    centres = members.join(weight, "c").groupBy("j", "key").agg(F.max(F.struct("w", (-F.col("c")).alias("neg"), "n")).alias("top"))
+    members = materialize(rows.join(several, ["j", "key"]).select("j", "key", "t", "n", "size"), "buckets")
+    weight = members.groupBy("t").agg(F.sum("size").alias("w"))
+    centres = members.join(weight, "t").groupBy("j", "key").agg(F.max(F.struct("w", (-F.col("t")).alias("neg"), "n")).alias("top"))
     centres = centres.select("j", "key", (-F.col("top.neg")).alias("centre"), F.col("top.n").alias("centre_n"))
     near = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)  # noqa: E731  else too few windows could match
     starred = members.join(centres, ["j", "key"])
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = materialize(
-        starred.where((F.col("c") != F.col("centre")) & near(F.col("n"), F.col("centre_n"))).select(*pair("c", "centre")).distinct(), "star-pairs"
-    )
-    table = materialize(_window_table(own.join(members.select(F.col("c").alias("d_id")).distinct(), "d_id", "left_semi")), "windows")
-    links = materialize(_verified(first, table), "star-links")
+    compared = starred.where((F.col("t") != F.col("centre")) & near(F.col("n"), F.col("centre_n")))
+    first = materialize(compared.select(F.col("centre").alias("a"), F.col("t").alias("b")).distinct(), "star-pairs")
+    candidates = members.select("t").distinct().join(texts.select("t", "c", "print"), "t").select(F.xxhash64("c", "print").alias("h"))
+    table = materialize(_window_table(own, candidates), "windows", "zstd")
+    links = materialize(_verified(first, table, texts), "star-links")
     parts = connected_components(links, "star")
     part_of = lambda frame, col, out: frame.join(
         parts.select(F.col("node").alias(col), F.col("component").alias("p")), col, "left"
     ).withColumn(out, F.coalesce("p", col)).drop("p")
-    parted = part_of(starred, "c", "part")
+    parted = part_of(starred, "t", "part")
     apart = part_of(parted, "centre", "centre_part").where("part <> centre_part")
     # What the star left apart, against all others of its buckets outside its own component.
-    rest = apart.select(F.col("c").alias("d_id")).distinct().withColumn("asks", F.lit(True))
-    others = parted.join(apart.select("j", "key").distinct(), ["j", "key"], "left_semi").select(F.col("c").alias("d_id"), "n", "part").distinct()
-    among = others.join(rest, "d_id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    second = _prefix_pairs(among, table).join(first, ["a", "b"], "left_anti")
-    more = _verified(second, table)
+    rest = apart.select("t").distinct().withColumn("asks", F.lit(True))
+    others = parted.join(apart.select("j", "key").distinct(), ["j", "key"], "left_semi").select("t", "n", "part").distinct()
+    among = others.join(rest, "t", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    either_way = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = _prefix_pairs(among, table, texts).join(either_way, ["a", "b"], "left_anti")
+    more = materialize(_verified(second, table, texts), "more-links")
+    discard(table, members, first)
     final = connected_components(links.union(more), "near")
-    classes = texts.select("print", "c").join(final, F.col("c") == F.col("node"), "left").select("print", F.coalesce("component", "c").alias("class_id"))
-    joined = sketched.select("d_id", "print").join(classes, "print", "left").withColumn("class_id", F.when(F.col("d_id").isNotNull(), F.coalesce("class_id", "d_id")))
-    return joined.select(F.col("d_id").alias("doc_id"), "class_id", F.coalesce(F.col("d_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    discard(links, more)
+    place = F.struct(F.col("c").alias("class_id"), F.col("print").alias("class_print"))
+    linked = texts.select("t", "c", "print").join(final, F.col("t") == F.col("node"))
+    least = linked.groupBy("component").agg(F.min(place).alias("least"))
+    of_text = final.join(least, "component").select("node", "least")
+    classes = texts.select("t", "print", place.alias("own")).join(of_text, F.col("t") == F.col("node"), "left").select("print", F.coalesce("least", "own").alias("of"))
+    joined = sketched.select("d_id", "print").join(classes, "print", "left")
+    alone = F.col("d_id").isNull() | F.col("of").isNull()
+    return joined.select(
+        "d_id", "print", F.when(alone, F.col("d_id")).otherwise(F.col("of.class_id")).alias("class_id"), F.when(alone, F.col("print")).otherwise(F.col("of.class_print")).alias("class_print")
+    )
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: doc_id, class_id (least id that links reach), kept (it is that one)."""
+    return _classes(docs, id_col, text_col).select(F.col("d_id").alias("doc_id"), "class_id", F.coalesce(F.col("d_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class, that of the least id. Rows without an id stay. Columns as given."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("k_id")).distinct()
-    joined = docs.join(kept, docs[id_col] == kept["k_id"], "left_semi").dropDuplicates([id_col])
-    return joined.unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with one document of each class, that of the least id, and of its texts the first by hash. Rows without an id stay. Columns as given.
+
+    A null text is no copy of anything: one row of each id without a text stays.
+    """
+    first = _classes(docs, id_col, text_col).where("d_id is not null and d_id = class_id and print <=> class_print")
+    kept = first.select(F.col("d_id").alias("__k_id"), F.coalesce("print", F.lit(b"")).alias("__k_print")).distinct()
+    marked = docs.withColumn("__print", F.coalesce(_print(text_col), F.lit(b""))).withColumn("__id", F.col(id_col).cast("long"))
+    joined = marked.join(kept, (F.col("__id") == F.col("__k_id")) & (F.col("__print") == F.col("__k_print")), "left_semi").dropDuplicates(["__id", "__print"])
+    return joined.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
