@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.order_minhash import _BYTE, _mix, _power_tables
-from quarry.session import materialize, scratch_path
+from quarry.session import materialize
 
 LENGTH = 50
 GRAM = 26
@@ -179,7 +179,7 @@ def _runs(ordered: np.ndarray) -> Iterator[tuple[int, int, int]]:
 #: A packed row: its destination (`key`, a share or a chunk), its kind, the other end (`peer`, a chunk or a share), and the data.
 ROWS = "key long, kind int, peer long, blob binary"
 ARROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("peer", pa.int64()), ("blob", pa.binary())])
-ANSWERS, KNOWN, VERDICTS, TEXTS, SEGMENTS = range(5)
+ANSWERS, VERDICTS, TEXTS, SEGMENTS = range(4)
 
 
 def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -325,44 +325,62 @@ def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def _segments(chunk: int, t: Texts, answers: list[bytes], shares: int) -> list[tuple[int, int, int, bytes]]:
-    (doc, first, n, h, digest), order, new = _questions(t, shares)
-    verdict = np.frombuffer(b"".join(_stretch(x) for x in answers), np.uint8)
-    of = np.empty(len(order), np.uint8)
-    of[order] = verdict[np.cumsum(new) - 1] if len(order) else verdict
-    whole, split = np.flatnonzero(of == 1), np.flatnonzero(of == 2)
-    share = _share_of(h[whole], shares)
-    begin, count, owner, key = first[whole], n[whole], t.ids[doc[whole]], digest[whole]
-    if len(split):
-        # One segment for each string, dealt by its own bytes.
+class Segments:
+    """The segments of a chunk, worked out anew from its texts and answers wherever they are needed: the same each time.
+
+    begin, count: first string and number of strings. lead: an equal segment of the least document. sent: those that are sent, by share; number:
+    their place among these. later: whether a segment's document is larger than that of its lead, so that all its strings recur.
+    """
+
+    def __init__(self, t: Texts, answers: list[bytes], shares: int):
+        (doc, first, n, h, digest), order, new = _questions(t, shares)
+        verdict = np.frombuffer(b"".join(_stretch(x) for x in answers), np.uint8)
+        of = np.zeros(len(order), np.uint8)
+        of[order] = verdict[np.cumsum(new) - 1] if len(order) else verdict
+        whole, split = np.flatnonzero(of == 1), np.flatnonzero(of == 2)
+        # Of anchors with very many surroundings each string is a segment, dealt by its own bytes.
         total = np.cumsum(n[split])
-        single = np.repeat(first[split] - (total - n[split]), n[split]) + np.arange(total[-1])
+        single = np.repeat(first[split] - (total - n[split]), n[split]) + np.arange(total[-1] if len(split) else 0)
         hashes = hashes_of(t.data, single, LENGTH)
-        begin, count = np.concatenate((begin, single)), np.concatenate((count, np.ones(len(single), np.int64)))
-        owner, key = np.concatenate((owner, np.repeat(t.ids[doc[split]], n[split]))), np.concatenate((key, hashes))
-        share = np.concatenate((share, _share_of(hashes, shares)))
-    if not len(begin):
-        return []
-    lead = _classes(t.data, begin, count + LENGTH - 1, key, owner)
-    sent = np.flatnonzero(lead == np.arange(len(lead)))
-    sent = sent[np.argsort(share[sent], kind="stable")]
-    number = np.empty(len(lead), np.int64)
-    number[sent] = np.arange(len(sent))
-    out = []
-    for s, a, b in _runs(share[sent]):
-        rows = sent[a:b]
-        head = _pack(owner[rows].astype("<i8"), count[rows].astype(np.uint8))
-        out.append((s, SEGMENTS, chunk, len(head).to_bytes(8, "little") + head + _squeeze(_gather(t.data, begin[rows], count[rows] + LENGTH - 1))))
-    place = np.argsort(begin, kind="stable")
-    known = _pack(begin[place].astype("<u4"), count[place].astype(np.uint8), number[lead[place]].astype("<u4"), owner[place] > owner[lead[place]])
-    return [*out, (chunk, KNOWN, 0, known)]
-
-
-def _at_chunks(shares: int):
+        self.begin, self.count = np.concatenate((first[whole], single)), np.concatenate((n[whole], np.ones(len(single), np.int64)))
+        self.owner = np.concatenate((t.ids[doc[whole]], np.repeat(t.ids[doc[split]], n[split])))
+        share = _share_of(np.concatenate((h[whole], hashes)), shares)
+        self.lead = _classes(t.data, self.begin, self.count + LENGTH - 1, np.concatenate((digest[whole], hashes)), self.owner)
+        sent = np.flatnonzero(self.lead == np.arange(len(self.lead)))
+        self.sent = sent[np.argsort(share[sent], kind="stable")]
+        self.share = share[self.sent]
+        self.number = np.zeros(len(self.lead), np.int64)
+        self.number[self.sent] = np.arange(len(sent))
+        self.later = self.owner > self.owner[self.lead]
+
+    def packed(self, t: Texts, chunk: int) -> Iterator[tuple[int, int, int, bytes]]:
+        for share, a, b in _runs(self.share):
+            rows = self.sent[a:b]
+            head = _pack(self.owner[rows].astype("<i8"), self.count[rows].astype(np.uint8))
+            yield share, SEGMENTS, chunk, len(head).to_bytes(8, "little") + head + _squeeze(_gather(t.data, self.begin[rows], self.count[rows] + LENGTH - 1))
+
+    def starts(self, verdicts: np.ndarray) -> np.ndarray:
+        """Starts of all strings that recur, from the masks of the segments sent."""
+        mask = np.where(self.later, np.uint32(2**SPAN - 1), verdicts[self.number[self.lead]]) if len(verdicts) else np.zeros(0, np.uint32)
+        hit = np.flatnonzero(mask)
+        begin, n, mask = self.begin[hit], self.count[hit], mask[hit]
+        total = np.cumsum(n)
+        inner = np.arange(total[-1] if len(total) else 0) - np.repeat(total - n, n)
+        on = (np.repeat(mask, n) >> inner.astype(np.uint32)) & np.uint32(1) == 1
+        return (np.repeat(begin, n) + inner)[on]
+
+
+def _blobs(held: list[tuple[int, int, bytes]], wanted: int) -> list[bytes]:
+    return [blob for kind, _, blob in held if kind == wanted]
+
+
+def _send_segments(shares: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, held in _groups(batches):
-            texts = [blob for kind, _, blob in held if kind == TEXTS]
-            yield _batch(_segments(chunk, _unpack_texts(texts[0]), [blob for kind, _, blob in held if kind == ANSWERS], shares))
+            t = _unpack_texts(_blobs(held, TEXTS)[0])
+            rows = list(Segments(t, _blobs(held, ANSWERS), shares).packed(t, chunk))
+            for k in range(0, len(rows), 1000):
+                yield _batch(rows[k : k + 1000])
 
     return run
 
@@ -475,32 +493,27 @@ def covered(n_bytes: int, starts: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(shares: int):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    for _, held in _groups(batches):
-        t = _unpack_texts(next(blob for kind, _, blob in held if kind == TEXTS))
-        gone = np.zeros(len(t.data), bool)
-        for blob in (blob for kind, _, blob in held if kind == KNOWN):
-            begin, n, number, later = _unpack(blob, "<u4", "u1", "<u4", "?")
-            mask = np.concatenate([_unpack(blob, "<u4")[0] for kind, _, blob in held if kind == VERDICTS])
-            begin, n, mask = begin.astype(np.int64), n.astype(np.int64), np.where(later, np.uint32(2**SPAN - 1), mask[number])
-            hit = mask != 0
-            begin, n, mask = begin[hit], n[hit], mask[hit]
-            total = np.cumsum(n)
-            inner = np.arange(total[-1] if len(total) else 0) - np.repeat(total - n, n)
-            on = (np.repeat(mask, n) >> inner.astype(np.uint32)) & np.uint32(1) == 1
-            gone = covered(len(t.data), (np.repeat(begin, n) + inner)[on])
-        opens = gone.copy()
-        opens[1:] &= ~gone[:-1]
-        edges = t.starts[(t.sizes > 0) & (t.starts < len(gone))]
-        opens[edges] = gone[edges]
-        removed, spans = (np.concatenate(([0], np.cumsum(x)))[np.stack((t.starts, t.starts + t.sizes))] for x in (gone, opens))
-        removed, spans = removed[1] - removed[0], spans[1] - spans[0]
-        digests = []
-        for a, size, r in zip(t.starts.tolist(), t.sizes.tolist(), removed.tolist(), strict=True):
-            own = t.data[a : a + size]
-            digests.append(hashlib.sha256((own[~gone[a : a + size]] if r else own).tobytes()).hexdigest())
-        yield pa.RecordBatch.from_arrays([pa.array(t.ids), pa.array(t.sizes), pa.array(removed), pa.array(spans), pa.array(digests, pa.string())], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _groups(batches):
+            t = _unpack_texts(_blobs(held, TEXTS)[0])
+            verdicts = [_unpack(blob, "<u4")[0] for blob in _blobs(held, VERDICTS)]
+            gone = covered(len(t.data), Segments(t, _blobs(held, ANSWERS), shares).starts(np.concatenate(verdicts))) if verdicts else np.zeros(len(t.data), bool)
+            opens = gone.copy()
+            opens[1:] &= ~gone[:-1]
+            edges = t.starts[(t.sizes > 0) & (t.starts < len(gone))]
+            opens[edges] = gone[edges]
+            removed, spans = (np.concatenate(([0], np.cumsum(x)))[np.stack((t.starts, t.starts + t.sizes))] for x in (gone, opens))
+            removed, spans = removed[1] - removed[0], spans[1] - spans[0]
+            digests = []
+            for a, size, r in zip(t.starts.tolist(), t.sizes.tolist(), removed.tolist(), strict=True):
+                own = t.data[a : a + size]
+                digests.append(hashlib.sha256((own[~gone[a : a + size]] if r else own).tobytes()).hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(t.ids), pa.array(t.sizes), pa.array(removed), pa.array(spans), pa.array(digests, pa.string())], names)
+
+    return run
 
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -514,15 +527,12 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = stored.select(F.col("chunk").alias("key"), F.lit(TEXTS).alias("kind"), F.lit(0).cast("long").alias("peer"), "blob")
     shares = max(1, -(-(stored.agg(F.sum("size")).first()[0] or 0) // SHARE))
 
-    answers = by_key(stored.select("chunk", "blob").mapInArrow(_ask(shares), ROWS)).mapInArrow(_answer, ROWS)
-    judged = by_key(answers.union(texts)).mapInArrow(_at_chunks(shares), ROWS)
-    judged_at = scratch_path(spark, "segments")
-    judged.write.partitionBy("kind").option("compression", "none").parquet(judged_at)
-    judged = spark.read.schema("key long, peer long, blob binary, kind int").parquet(judged_at).select("key", "kind", "peer", "blob")
-
-    verdicts = by_key(judged.where(F.col("kind") == SEGMENTS)).mapInArrow(_factors, ROWS)
-    last = by_key(verdicts.union(judged.where(F.col("kind") == KNOWN)).union(texts))
-    done = last.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    asked = by_key(stored.select("chunk", "blob").mapInArrow(_ask(shares), ROWS))
+    answers = materialize(asked.mapInArrow(_answer, ROWS), "answers", "none")
+    segments = by_key(by_key(answers.union(texts)).mapInArrow(_send_segments(shares), ROWS))
+    # Texts and answers are read again rather than carried along: what is known of each segment would take more room than working it out anew.
+    last = by_key(segments.mapInArrow(_factors, ROWS).union(answers).union(texts))
+    done = last.mapInArrow(_cut(shares), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     alone = own.where("doc_id is null").select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")
     )
