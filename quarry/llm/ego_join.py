@@ -5,12 +5,14 @@ on the leading principal dimensions and cut into a sequence of equal blocks. Sta
 of the sequence are split and joined recursively, level by level, leaving out pairs of intervals whose bounding boxes lie further
 apart than epsilon; what is left are pairs of blocks, and each is joined by one matrix product in double precision.
 
-Equal vectors are joined once, as a class with a count. A pair of blocks returns link counts per class and a spanning forest of its links,
+What the recursion leaves is dealt in tiles of neighbouring blocks, a few for each partition, so a block moves to the tiles of its row and column
+and not to each of its partners. Equal vectors are joined once, as a class with a number of its own and a count. A pair of blocks returns link counts per class and a spanning forest of its links,
 both linear in the block size, so a large group of near copies yields no table of all its pairs. The principal dimensions are fitted on at most
 `SAMPLE` vectors; they only steer the pruning, as any orthonormal projection shortens distances. Blocks, boxes and interval pairs stay in DataFrames.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows without an id, link with nothing and are
-their own component; vectors of different lengths never link; repeated rows count as vectors of their own; an empty table gives an empty result.
+their own component; vectors of different lengths never link; repeated rows, and rows of one id, count as vectors of their own; an empty table gives
+an empty result; further columns are left out.
 """
 
 from __future__ import annotations
@@ -19,19 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
-from quarry.session import materialize
+from quarry.session import discard, materialize
 
 COSINE = 0.9
 BLOCK = 2048
 SAMPLE = 4096
 #: Leading principal dimensions: for grid cells, and for bounding boxes.
 GRID_DIMS, BOX_DIMS = 4, 16
-#: Bits of the block number that one level of the recursion splits by.
-STEP_BITS = 3
+#: Bits of the block number that one level of the recursion splits by; blocks along the side of a tile at most.
+STEP_BITS, TILE = 3, 16
 
 
 def _usable(v: Column) -> Column:
@@ -59,27 +62,29 @@ def _packed(classes: DataFrame, axes: np.ndarray, epsilon: float) -> DataFrame:
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for k in range(batch.num_rows):
-                v = np.array(batch.column(2)[k].as_py(), np.float64)
+            sizes = pc.list_value_length(batch.column(2)).to_numpy()
+            values, starts = batch.column(2).flatten().to_numpy(), np.cumsum(sizes) - sizes
+            for size in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == size)
+                v = values[starts[rows][:, None] + np.arange(size)]
                 # Scaled first, so that squares of very large or small components stay in range.
-                v /= np.abs(v).max()
-                v /= np.linalg.norm(v)
-                y = v @ axes if len(v) == len(axes) else np.zeros(axes.shape[1])
-                cells = np.zeros(GRID_DIMS, np.int64)
-                cells[: min(GRID_DIMS, len(y))] = np.floor(y[:GRID_DIMS] / epsilon)
-                out.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), len(v), *cells.tolist(), v.tobytes()))
-            names = ["c_id", "n", "dim", *grid, "unit"]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
+                v = v / np.abs(v).max(1, keepdims=True)
+                v /= np.linalg.norm(v, axis=1, keepdims=True)
+                y = v @ axes if size == len(axes) else np.zeros((len(rows), axes.shape[1]))
+                cells = np.zeros((len(rows), GRID_DIMS), np.int64)
+                cells[:, : y.shape[1]] = np.floor(y[:, :GRID_DIMS] / epsilon)
+                at = pa.array(rows)
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.full(len(rows), size, np.int64)), *map(pa.array, cells.T.copy())]
+                unit = pa.array([x.tobytes() for x in v], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, unit], ["c_id", "n", "dim", *grid, "unit"])
 
     cells = ", ".join(f"{g} long" for g in grid)
     placed = classes.select("c_id", "n", "v").mapInArrow(project, f"c_id long, n long, dim long, {cells}, unit binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["dim", *grid, "c_id"]
     ordered = placed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    ordered = materialize(ordered.select("c_id", "n", "dim", "unit", F.monotonically_increasing_id().alias("place")), "grid-order")
-    ordered = ordered.withColumn("part", F.shiftright("place", 33)).withColumn("own", F.col("place").bitwiseAND((1 << 33) - 1))
+    in_order = materialize(ordered.select("c_id", "n", "dim", "unit", F.monotonically_increasing_id().alias("place")), "grid-order")
+    ordered = in_order.withColumn("part", F.shiftright("place", 33)).withColumn("own", F.col("place").bitwiseAND((1 << 33) - 1))
     # One row per partition.
     sizes = {r["part"]: r["n"] for r in ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, total = [], 0
@@ -120,12 +125,10 @@ def _packed(classes: DataFrame, axes: np.ndarray, epsilon: float) -> DataFrame:
         )
 
     rows = numbered.repartition(max(1, min(parts, -(-total // BLOCK))), "block").sortWithinPartitions("block", "dim", "rank")
-    return materialize(
-        rows.select("block", "dim", "c_id", "n", "unit").mapInArrow(
-            pack, "block long, dim long, ids binary, counts binary, unit binary, lo array<double>, hi array<double>"
-        ),
-        "blocks",
-    )
+    schema = "block long, dim long, ids binary, counts binary, unit binary, lo array<double>, hi array<double>"
+    out = materialize(rows.select("block", "dim", "c_id", "n", "unit").mapInArrow(pack, schema), "blocks")
+    discard(in_order)
+    return out
 
 
 def _near_pairs(blocks: DataFrame, dims: int, epsilon: float) -> DataFrame:
@@ -180,38 +183,53 @@ def _forest(link: np.ndarray) -> list[tuple[int, int]]:
 
 def _links(pairs: DataFrame, blocks: DataFrame, cosine: float) -> DataFrame:
     """(a, b, n): n links of class a to other classes, counted by vectors, with b null; or an edge a, b of a spanning forest with n null."""
-    left = blocks.select(F.col("block").alias("left"), F.struct("dim", "ids", "counts", "unit").alias("l"))
-    right = blocks.select(F.col("block").alias("right"), F.struct("dim", "ids", "counts", "unit").alias("r"))
-    # Grouped by the left block only through its number, so a block is sent once per pair, and pairs spread evenly.
-    work = pairs.repartition("left", "right").join(left, "left").join(right, "right").where("l.dim = r.dim").select("left", "right", "l", "r")
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = max(1, min(TILE, int(blocks.count() / (6 * parts) ** 0.5)))
+    tiled = pairs.select(F.floor(F.col("left") / side).alias("tl"), F.floor(F.col("right") / side).alias("tr"), "left", "right")
+    held = tiled.groupBy("tl", "tr", F.col("left").alias("block")).agg(F.lit(None).cast("array<long>").alias("lefts"))
+    # At most TILE numbers for each block of a tile.
+    met = tiled.groupBy("tl", "tr", F.col("right").alias("block")).agg(F.collect_list("left").alias("lefts"))
+    dealt = held.union(met).join(blocks.select("block", "dim", "ids", "counts", "unit"), "block")
+    work = dealt.withColumn("meets", F.col("lefts").isNotNull()).repartition(parts, "tl", "tr").sortWithinPartitions("tl", "tr", "meets", "block", "dim")
+
+    def joined(same: bool, a: tuple, b: tuple) -> pa.RecordBatch | None:
+        (ids_a, counts_a, x), (ids_b, counts_b, y) = a, b
+        link = x @ y.T >= cosine
+        if same:
+            np.fill_diagonal(link, False)
+        rows, cols = link.any(1), link.any(0)
+        if not rows.any():
+            return None
+        small = link[np.ix_(rows, cols)]
+        ids_a, ids_b = ids_a[rows], ids_b[cols]
+        counted = [(ids_a, small @ counts_b[cols])]
+        if not same:
+            counted.append((ids_b, counts_a[rows] @ small))
+        edges = _forest(small)
+        first = np.concatenate([c[0] for c in counted] + [ids_a[[e[0] for e in edges]]])
+        n_counts = sum(len(c[0]) for c in counted)
+        second = np.concatenate([np.zeros(n_counts, np.int64), ids_b[[e[1] for e in edges]]])
+        number = np.concatenate([c[1] for c in counted] + [np.zeros(len(edges), np.int64)])
+        is_edge = np.arange(len(first)) >= n_counts
+        return pa.RecordBatch.from_arrays([pa.array(first), pa.array(second, mask=~is_edge), pa.array(number, mask=is_edge)], ["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, {}
         for batch in batches:
             for row in batch.to_pylist():
-                a, b, same = row["l"], row["r"], row["left"] == row["right"]
-                ids_a, ids_b = np.frombuffer(a["ids"], np.int64), np.frombuffer(b["ids"], np.int64)
-                x, y = np.frombuffer(a["unit"]).reshape(len(ids_a), -1), np.frombuffer(b["unit"]).reshape(len(ids_b), -1)
-                link = x @ y.T >= cosine
-                if same:
-                    np.fill_diagonal(link, False)
-                rows, cols = link.any(1), link.any(0)
-                if not rows.any():
+                if (row["tl"], row["tr"]) != tile:
+                    tile, held = (row["tl"], row["tr"]), {}
+                ids = np.frombuffer(row["ids"], np.int64)
+                own = ids, np.frombuffer(row["counts"], np.int64), np.frombuffer(row["unit"]).reshape(len(ids), -1)
+                if row["lefts"] is None:
+                    # A block with vectors of several lengths comes in a row for each.
+                    held.setdefault((row["block"], row["dim"]), own)
                     continue
-                small = link[np.ix_(rows, cols)]
-                ids_a, ids_b = ids_a[rows], ids_b[cols]
-                of_a = small @ np.frombuffer(b["counts"], np.int64)[cols]
-                counted = [(ids_a, of_a)]
-                if not same:
-                    counted.append((ids_b, np.frombuffer(a["counts"], np.int64)[rows] @ small))
-                edges = _forest(small)
-                first = np.concatenate([c[0] for c in counted] + [ids_a[[e[0] for e in edges]]])
-                n_counts = sum(len(c[0]) for c in counted)
-                second = np.concatenate([np.zeros(n_counts, np.int64), ids_b[[e[1] for e in edges]]])
-                number = np.concatenate([c[1] for c in counted] + [np.zeros(len(edges), np.int64)])
-                is_edge = np.arange(len(first)) >= n_counts
-                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second, mask=~is_edge), pa.array(number, mask=is_edge)], ["a", "b", "n"])
-
-    return materialize(work.mapInArrow(run, "a long, b long, n long"), "links")
+                for left in row["lefts"]:
+                    if (left, row["dim"]) in held and (found := joined(left == row["block"], held[left, row["dim"]], own)):
+                        yield found
+
+    return materialize(work.select("tl", "tr", "block", "dim", "lefts", "ids", "counts", "unit").mapInArrow(run, "a long, b long, n long"), "links")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
@@ -219,19 +237,23 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     epsilon = float(np.sqrt(2 - 2 * cosine))
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     own = own.withColumn("usable", _usable(F.col("v")) & F.col("vec_id").isNotNull())
-    classes = materialize(own.where("usable").groupBy("v").agg(F.min("vec_id").alias("c_id"), F.count(F.lit(1)).alias("n")), "classes")
+    grouped = own.where("usable").groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    classes = materialize(grouped.withColumn("c_id", F.monotonically_increasing_id()), "classes")
     axes = _axes(classes)
     if axes.shape[1]:
         blocks = _packed(classes, axes, epsilon)
         links = _links(_near_pairs(blocks, axes.shape[1], epsilon), blocks, cosine)
+        discard(blocks)
     else:
         links = classes.sparkSession.createDataFrame([], "a long, b long, n long")
     parts = connected_components(links.where("b is not null").select("a", "b"), "ego")
+    least = parts.join(classes.select("c_id", "least"), F.col("node") == F.col("c_id")).groupBy("component").agg(F.min("least").alias("part"))
+    reached = parts.join(least, "component").select("node", "part")
     counts = links.where("n is not null").groupBy("a").agg(F.sum("n").alias("more"))
     known = (
         classes.join(counts, classes["c_id"] == counts["a"], "left")
-        .join(parts, classes["c_id"] == parts["node"], "left")
-        .select(F.col("v").alias("cv"), (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("component", "c_id").alias("part"))
+        .join(reached, classes["c_id"] == reached["node"], "left")
+        .select(F.col("v").alias("cv"), (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("part", "least").alias("part"))
     )
     joined = own.join(known, own["usable"] & (own["v"] == known["cv"]), "left")
     component = F.coalesce("part", "vec_id")

@@ -197,6 +197,26 @@ def test_ego_join_odd_vectors(spark):
     assert ego_join.near_duplicates(frame.where("false")).count() == 0
 
 
+def test_ego_join_of_rows_that_share_an_id(spark, monkeypatch):
+    """Different vectors of one id are vectors of their own, also in small blocks and tiles; columns with our names do not matter."""
+    monkeypatch.setattr(ego_join, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 6))
+    x = np.concatenate([base, base[:30] + rng.normal(scale=0.1, size=(30, 6)), base[:6]])
+    ids = [int(i) for i in rng.integers(0, 30, len(x))]
+    made = [(i, [float(v) for v in r]) for i, r in zip(ids, x, strict=True)] + [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (2, [])]
+    frame = spark.createDataFrame(made, "vec_id long, embedding array<double>").withColumns({"n_links": F.lit("mine"), "kept": F.lit(1), "c_id": F.lit(2), "v": F.lit(3)})
+    want = []
+    for i, (a, v) in enumerate(made):
+        reach, todo = {i}, [i]
+        links = lambda p: [q for q, (_, w) in enumerate(made) if q != p and len(made[p][1]) == len(w) > 0 and np.dot(made[p][1], w) / np.linalg.norm(made[p][1]) / np.linalg.norm(w) >= 0.9]
+        while todo:
+            todo += [q for q in links(todo.pop()) if q not in reach and not reach.add(q)]
+        least = min(made[q][0] for q in reach)
+        want.append((a, len(links(i)), least, a == least))
+    assert rows(ego_join.near_duplicates(frame), "vec_id", "n_links", "component_id", "kept") == sorted(want, key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (200, 200)] + [(300, i) for i in range(301, 320)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
