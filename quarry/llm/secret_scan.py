@@ -6,12 +6,15 @@ token) are exploded once, and only they and the row ids move.
 Base kinds. `assign`, `access` and `hex` are found leftmost and without overlap by their patterns; matches that miss the
 length rule are dropped. `random` spans come from the method: every run of 20 or more token characters (letters, digits, + / _ -), wherever it
 stands, is tested with its padding, under the encoding inferred for it, for
-  - uniformity of its alphabet (chi-squared), 
+  - uniformity of its alphabet (chi-squared against equal shares; against text, the mean surprise of its letters under text's letter frequencies),
   - the number of runs of character classes,
   - serial correlation of neighbouring code values.
-Against running text the first two give a p-value; the false-discovery rate of the flagged tokens is controlled by
-Benjamini and Hochberg's step-up rule within strata of encoding and length, as short tokens tell less. Flagged tokens must
-also agree with a random draw in all three tests. A `random` span that touches a base span is left out.
+Each gives a p-value of running text, bounded from above. Fisher's rule combines the three, and Benjamini and Hochberg's step-up rule controls the
+false-discovery rate of the flagged tokens within strata of encoding and length, as short tokens tell less. Flagged tokens must
+also agree with a random draw in all three tests, each under the size of the encoding's alphabet. A `random` span that touches a base span is left out.
+The three are not quite independent, which Fisher's rule asks for; the agreement with a random draw stands against that.
+
+Texts are scanned once: their hits, few, are written before anything is counted.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are reported row by row; positions are code points,
 end exclusive; ties of start are ordered by kind as listed.
@@ -19,10 +22,13 @@ end exclusive; ties of start are ordered by kind as listed.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import let
+from quarry.session import materialize
 
 #: kind, pattern, group whose length counts, least length.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -36,9 +42,14 @@ KINDS = (
 )
 ORDER = tuple(k for k, *_ in KINDS)
 
-#: Texts repeat letters so often (index of coincidence) and change character class so rarely.
-TEXT_COINCIDENCE = 0.065
-TEXT_CLASS_CHANGE = 0.12
+# Percent of each letter from a to z in running text, rounded means of English, German, French and Spanish.
+LETTERS = (8.6, 1.4, 3.3, 4.4, 15.0, 1.3, 1.6, 2.9, 7.1, 0.4, 0.6, 4.6, 2.8, 7.9, 6.1, 2.3, 0.7, 6.7, 7.2, 7.2, 4.1, 1.2, 1.0, 0.4, 0.7, 0.5)
+_total = sum(LETTERS)
+SURPRISE = tuple(-math.log(p / _total) for p in LETTERS)
+#: Of text: mean and (rounded up) deviation of a letter's surprise; how often it changes character class, at most; serial correlation where classes mix.
+TEXT_SURPRISE, TEXT_DEVIATION = sum(p / _total * s for p, s in zip(LETTERS, SURPRISE, strict=True)), 0.9
+TEXT_CLASS_CHANGE, TEXT_SERIAL = {"hex": 0.05, "base32": 0.05, "alnum": 0.12, "base64": 0.12}, 0.3
+SIZES = {"hex": 16.0, "base32": 32.0, "alnum": 62.0, "base64": 64.0}
 #: Rate of false discoveries, and how unlikely a random draw may be before a token is no longer taken for one.
 FDR = 0.001
 RANDOM_Z = 3.29
@@ -72,30 +83,36 @@ def _class_changes(token: Column) -> Column:
 
 
 def _upper_tail(z: Column) -> Column:
-    """-log10 of a bound on P(Z > z): exp(-z * z / 2) / 2 for z over 0."""
-    return F.when(z > 0, F.least(F.lit(FLOOR), (z * z / 2 + 0.6931) / 2.302585)).otherwise(F.lit(0.0))
+    """-ln of a bound on P(Z > z): exp(-z * z / 2) / max(2, z * sqrt(2 pi)) for z over 0."""
+    return F.when(z > 0, z * z / 2 + F.log(F.greatest(F.lit(2.0), z * 2.5066283))).otherwise(F.lit(0.0))
+
+
+def _more_changes(share: Column, n: Column, text: Column) -> Column:
+    """-ln of Chernoff's bound on the chance of so large a share of n trials, each with text's chance."""
+    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(F.lit(0.0))
+    return F.when(share > text, n * (part(share, text) + part(1 - share, 1 - text))).otherwise(F.lit(0.0))
 
 
 def tests(token: Column) -> Column:
-    """The battery's statistics of one token: encoding, length, and the z-values of each test."""
+    """struct(encoding, of: struct(n, score, random, mixed)): -log10 of the combined p-value of text, and whether it could be a random draw."""
     body = F.regexp_replace(token, "=+$", "")
     encoding = (
-        F.when(body.rlike("^[0-9a-fA-F]+$"), F.lit("hex"))
+        F.when(body.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit("hex"))
         .when(body.rlike("^[A-Z2-7]+$"), F.lit("base32"))
         .when(body.rlike("^[A-Za-z0-9]+$"), F.lit("alnum"))
         .otherwise(F.lit("base64"))
     )
+    of_encoding = lambda table, e: F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), e)
 
     def measured(b: Column) -> Column:
-        chars = F.split(b, "")
-        n = F.length(b).cast("double")
-        size = F.when(b.rlike("^[0-9a-fA-F]+$"), 16.0).when(b.rlike("^[A-Z2-7]+$"), 32.0).when(b.rlike("^[A-Za-z0-9]+$"), 62.0).otherwise(64.0)
+        chars = F.filter(F.split(b["body"], ""), lambda c: c != "")
+        n = F.length(b["body"]).cast("double")
+        size = of_encoding(SIZES, b["encoding"])
         squares = F.aggregate(
-            F.array_distinct(F.filter(chars, lambda c: c != "")),
-            F.lit(0.0),
-            lambda acc, c: acc + F.pow((F.length(b) - F.length(F.replace(b, c, F.lit("")))).cast("double"), F.lit(2.0)),
+            F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc + F.pow((F.length(b["body"]) - F.length(F.replace(b["body"], c, F.lit("")))).cast("double"), F.lit(2.0))
         )
-        codes = F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.ascii(c).cast("double"))
+        letters = F.filter(F.transform(chars, lambda c: F.ascii(F.lower(c)) - 96), lambda i: (i >= 1) & (i <= 26))
+        surprise = F.aggregate(letters, F.lit(0.0), lambda acc, i: acc + F.element_at(F.array(*(F.lit(x) for x in SURPRISE)), i))
 
         def serial(v: Column) -> Column:
             mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
@@ -109,34 +126,37 @@ def tests(token: Column) -> Column:
                 / F.nullif(F.aggregate(s["v"], F.lit(0.0), lambda a, x: a + F.pow(x - s["m"], F.lit(2.0))), F.lit(0.0)),
             )
 
-        shares = [F.length(F.regexp_replace(b, f"[^{c}]+", "")).cast("double") / n for c in ("a-z", "A-Z", "0-9", "+/_-")]
+        shares = [F.length(F.regexp_replace(b["body"], f"[^{c}]+", "")).cast("double") / n for c in ("a-z", "A-Z", "0-9", "+/_-")]
         return F.struct(
             n.alias("n"),
             size.alias("size"),
+            of_encoding(TEXT_CLASS_CHANGE, b["encoding"]).alias("text_change"),
             (size / n * squares - n).alias("chi"),
-            _class_changes(b).alias("changes"),
+            F.size(letters).cast("double").alias("letters"),
+            surprise.alias("surprise"),
+            _class_changes(b["body"]).alias("changes"),
             (1 - sum((s * s for s in shares[1:]), shares[0] * shares[0])).alias("mixed"),
-            let(codes, serial).alias("serial"),
+            let(F.transform(chars, lambda c: F.ascii(c).cast("double")), serial).alias("serial"),
         )
 
     def scored(m: Column) -> Column:
-        n, size, chi, changes = m["n"], m["size"], m["chi"], m["changes"]
-        random_z = (chi - (size - 1)) / F.sqrt(2 * (size - 1))
-        excess = F.greatest(F.lit(0.0), (n - 1) * (size * TEXT_COINCIDENCE - 1))
-        # A token counts as more even than text only where its alphabet makes the two differ.
-        text_z = F.when(excess > 0, ((size - 1) + excess - chi) / F.sqrt(2 * (size - 1) + 4 * excess)).otherwise(F.lit(0.0))
-        change_z = (changes - (n - 1) * TEXT_CLASS_CHANGE) / F.sqrt((n - 1) * TEXT_CLASS_CHANGE * (1 - TEXT_CLASS_CHANGE))
+        n, size, changes = m["n"], m["size"], m["changes"]
+        serial = F.coalesce(m["serial"], F.lit(1.0))
+        of_letters = _upper_tail((m["surprise"] - m["letters"] * TEXT_SURPRISE) / (TEXT_DEVIATION * F.sqrt(F.greatest(m["letters"], F.lit(1.0)))))
+        of_runs = _more_changes(changes / (n - 1), n - 1, m["text_change"])
+        of_serial = F.when(m["mixed"] > 0, _upper_tail((TEXT_SERIAL - serial) * F.sqrt(n))).otherwise(F.lit(0.0))
+        random_z = (m["chi"] - (size - 1)) / F.sqrt(2 * (size - 1))
         runs_z = (changes - (n - 1) * m["mixed"]) / F.sqrt((n - 1) * F.greatest(m["mixed"] * (1 - m["mixed"]), F.lit(0.05)))
-        serial_z = F.coalesce(m["serial"], F.lit(1.0)) * F.sqrt(n)
+        fisher = lambda s: F.greatest(F.lit(0.0), F.least(F.lit(FLOOR), (s - F.log(1 + s + s * s / 2)) / 2.302585093))
         return F.struct(
             n.cast("int").alias("n"),
-            # Two tests are tried, so the smaller p-value counts twice.
-            F.greatest(F.lit(0.0), F.greatest(_upper_tail(text_z), _upper_tail(change_z)) - 0.30103).alias("score"),
-            ((random_z < RANDOM_Z) & (F.abs(runs_z) < RANDOM_Z) & (F.abs(serial_z) < RANDOM_Z)).alias("random"),
+            let(of_letters + of_runs + of_serial, fisher).alias("score"),
+            ((random_z < RANDOM_Z) & (F.abs(runs_z) < RANDOM_Z) & (F.abs(serial * F.sqrt(n)) < RANDOM_Z)).alias("random"),
             (m["mixed"] > 0).alias("mixed"),
         )
 
-    return F.struct(encoding.alias("encoding"), let(let(body, measured), scored).alias("of"))
+    both = F.struct(body.alias("body"), encoding.alias("encoding"))
+    return let(both, lambda b: F.struct(b["encoding"].alias("encoding"), let(measured(b), scored).alias("of")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
@@ -149,7 +169,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
         F.col(id_col).alias("s_id"),
         F.concat(*(F.coalesce(x, empty) for x in found)).alias("s_hits"),
     )
-    hits = rows.select("s_row", "s_id", F.explode_outer("s_hits").alias("h")).select("s_row", "s_id", "h.*")
+    # A row per hit, or one for a text without: written, so that neither the texts nor the numbers of rows are worked out twice.
+    hits = materialize(rows.select("s_row", "s_id", F.explode_outer("s_hits").alias("h")).select("s_row", "s_id", "h.*"), "hits")
     ahead = Window.partitionBy("s_row", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         hits.withColumn("end", F.sum(F.col("gap") + F.length("hit")).over(ahead))

@@ -456,15 +456,59 @@ def test_secret_spans(spark, docs):
     assert spans[6] == "random:5:41" and spans[7] == "" and spans[4] == ""
 
 
+ALPHABETS = {
+    "hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "alnum": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+PLAIN = ["a1b2" * 10, "https/www/example/org/index", "snake_case_name_of_a_function", "x" * 40, "aLongCamelCaseNameOfAClass", "THE_NAME_OF_A_CONSTANT_VALUE", "2024-01-31-report-of-the-year"]
+
+
+def battery(token):
+    """Encoding, length, combined score and agreement with a random draw, from the definitions."""
+    body = token.rstrip("=")
+    n, codes = len(body), np.array([ord(c) for c in body], float)
+    encoding = next(k for k, p in (("hex", "[0-9a-f]+|[0-9A-F]+"), ("base32", "[A-Z2-7]+"), ("alnum", "[A-Za-z0-9]+"), ("base64", ".*")) if re.fullmatch(p, body))
+    size, rate = secret_scan.SIZES[encoding], secret_scan.TEXT_CLASS_CHANGE[encoding]
+    cls = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-" for c in body]
+    changes = sum(a != b for a, b in zip(cls, cls[1:]))
+    mixed = 1 - sum((k / n) ** 2 for k in Counter(cls).values())
+    chi = sum((k - n / size) ** 2 / (n / size) for k in Counter(body).values()) + (size - len(set(body))) * n / size
+    spread = ((codes - codes.mean()) ** 2).sum()
+    serial = ((codes[:-1] - codes.mean()) * (codes[1:] - codes.mean())).sum() / spread if spread else 1.0
+    tail = lambda z: z * z / 2 + np.log(max(2.0, z * 2.5066283)) if z > 0 else 0.0
+    letters = [secret_scan.SURPRISE[ord(c.lower()) - 97] for c in body if c.isalpha()]
+    s = tail((sum(letters) - len(letters) * secret_scan.TEXT_SURPRISE) / (0.9 * max(1, len(letters)) ** 0.5))
+    if (x := changes / (n - 1)) > rate:
+        s += (n - 1) * (x * np.log(x / rate) + ((1 - x) * np.log((1 - x) / (1 - rate)) if x < 1 else 0))
+    s += tail((0.3 - serial) * n**0.5) if mixed > 0 else 0
+    score = min(60.0, max(0.0, (s - np.log(1 + s + s * s / 2)) / 2.302585093))
+    z = [(chi - (size - 1)) / (2 * (size - 1)) ** 0.5, abs(changes - (n - 1) * mixed) / ((n - 1) * max(mixed * (1 - mixed), 0.05)) ** 0.5, abs(serial) * n**0.5]
+    return f"{encoding}/{int(np.floor(np.log2(n) * 2))}", int(score // secret_scan.BIN), all(x < secret_scan.RANDOM_Z for x in z) and mixed > 0
+
+
+def flagged(tokens):
+    """Indices of the tokens that the step-up rule flags, by strata."""
+    found, out = [battery(t) for t in tokens], set()
+    for stratum in {x[0] for x in found}:
+        bins = sorted((x[1] for x in found if x[0] == stratum), reverse=True)
+        cut = min((b for b in bins if 10.0 ** (-b * secret_scan.BIN) <= secret_scan.FDR * sum(c >= b for c in bins) / len(bins)), default=None)
+        out |= {i for i, x in enumerate(found) if x[0] == stratum and cut is not None and x[1] >= cut and x[2]}
+    return out
+
+
 def test_random_tokens_are_told_from_text(spark):
-    """Under the battery most random tokens are flagged, and no word or repeated pattern is."""
+    """The battery equals its definition; nine in ten random tokens are flagged from 24 characters on (of upper-case hex a few less), and no word or pattern is."""
     rng = random.Random(12)
-    kinds = ["0123456789abcdefABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]
-    drawn = ["".join(rng.choices(kinds[i % 3], k=rng.randint(28, 60))) for i in range(90)]
-    plain = ["".join(rng.choice(["ation", "heit", "lich", "onder", "the"]) for _ in range(6)) for _ in range(60)] + ["a1b2" * 10, "https/www/example/org/index", "snake_case_name_of_a_function", "x" * 40]
-    frame = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(drawn + plain)], "doc_id long, text string")
+    drawn = [(kind, n, "".join(rng.choices(letters, k=n))) for kind, letters in ALPHABETS.items() for n in (20, 24, 28, 40, 64) for _ in range(100)]
+    plain = ["".join(rng.choice(["ation", "heit", "lich", "onder", "the", "Er", "Inter"]) for _ in range(6)) + "ing" * 3 for _ in range(150)] + PLAIN
+    tokens = [t for *_, t in drawn] + plain
+    frame = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(tokens)], "doc_id long, text string")
     found = {r["doc_id"] for r in secret_scan.scan_report(frame).where("spans like '%random%'").collect()}
-    assert len(found & set(range(90))) >= 75 and not found - set(range(90))
+    assert found == flagged(tokens) and not found - set(range(len(drawn)))
+    share = {k: sum(i in found for i, x in enumerate(drawn) if x[:2] == k) / 100 for k in {x[:2] for x in drawn}}
+    print(share)
+    assert all(v >= (0.85 if kind == "hex" else 0.9) for (kind, n), v in share.items() if n >= 24), share
+    assert all(v >= 0.6 for v in share.values()), share
 
 
 def test_redaction(spark):
