@@ -7,17 +7,20 @@ or to insert empty turns ahead of it, at the least total cost. The repaired turn
 Scale. Turns are range-partitioned by (conversation, turn, hash of the text), so one conversation may span many partitions. A partition sees
 its first and last conversations only in part: for those it gives a 4 by 4 matrix of least costs from state to state, whose min-plus
 products along the partitions fix the state at each border. There are two such matrices at most for each partition, which is all that the driver gets.
+Turns stream through both passes: a turn is rendered as soon as the cheapest ways to all states agree on what became of it, so what is held
+are the turns since then, a few, and not a conversation or a partition.
 
 Defined results: rows of one conversation are ordered by turn (null first), role, then hash of the text; a null text renders as an empty one;
 roles other than the known ones and their aliases, null included, must be relabelled; rows with a null conversation are one conversation; equal
-costs prefer keep, merge, insert, relabel in this order; repeated rows are turns of their own.
+costs prefer keep, merge, insert, relabel in this order; repeated rows are turns of their own; an empty table gives an empty result; further columns are
+left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import groupby, product
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,31 +67,69 @@ def steps(role: int) -> dict[tuple[int, int], tuple[int, bool, tuple[int, ...]]]
     return {k: (c, merged, inserted) for k, (c, _, _, merged, inserted) in best.items()}
 
 
-def matrix(roles: list[int]) -> list[list[float]]:
-    """Least cost from each state before these turns to each state after them."""
-    out = [[0.0 if a == b else INF for b in STATES] for a in STATES]
-    for role in roles:
-        table = steps(role)
-        out = [[min((row[m] + table[m, b][0] for m in STATES if (m, b) in table), default=INF) for b in STATES] for row in out]
-    return out
+def identity() -> list[list[float]]:
+    return [[0.0 if a == b else INF for b in STATES] for a in STATES]
+
+
+def product_with(m: list[list[float]], role: int) -> list[list[float]]:
+    """m, least costs from state to state, with a turn of this role behind."""
+    table = steps(role)
+    return [[min((row[k] + table[k, b][0] for k in STATES if (k, b) in table), default=INF) for b in STATES] for row in m]
+
+
+@cache
+def _advance(costs: tuple[float, ...], role: int) -> tuple[tuple[float, ...], tuple[int, ...]]:
+    """Least costs, less the least of them, of each state after a turn of this role, and the states that they come from. Few costs occur."""
+    table = steps(role)
+    options = [min(((costs[m] + table[m, b][0], m) for m in STATES if (m, b) in table), default=(INF, 0)) for b in STATES]
+    least = min(c for c, _ in options)
+    return tuple(c - least for c, _ in options), tuple(m for _, m in options)
+
 
+class Viterbi:
+    """The cheapest way through one run of turns that come one by one; add() and end() return the turns (item, state, merged, inserted, cost) that are settled."""
 
-def path(roles: list[int], enter: int, leave: int | None) -> list[tuple[int, bool, tuple[int, ...], int]]:
-    """For each turn (state after, merged, inserted, cost), from `enter` to `leave` (None: any) at the least cost."""
-    costs, back = [0.0 if s == enter else INF for s in STATES], []
-    for role in roles:
-        table = steps(role)
-        options = [min(((costs[m] + table[m, b][0], m) for m in STATES if (m, b) in table), default=(INF, 0)) for b in STATES]
-        back.append([m for _, m in options])
-        costs = [c for c, _ in options]
-    state = leave if leave is not None else min(STATES, key=lambda s: (costs[s], s))
-    out = []
-    for role, came in zip(reversed(roles), reversed(back), strict=True):
-        before = came[state]
-        cost, merged, inserted = steps(role)[before, state]
-        out.append((state, merged, inserted, cost))
-        state = before
-    return out[::-1]
+    LOOK = 64
+
+    def __init__(self, enter: int):
+        self.costs = tuple(0.0 if s == enter else INF for s in STATES)
+        self.items: list = []
+        self.roles: list[int] = []
+        self.back: list[tuple[int, ...]] = []
+        self.look = self.LOOK
+
+    def _trace(self, last: int, state: int) -> list[tuple]:
+        """What became of the first `last` turns held, of which the last ends in this state; they are held no more."""
+        out = []
+        for i in range(last - 1, -1, -1):
+            before = self.back[i][state]
+            cost, merged, inserted = steps(self.roles[i])[before, state]
+            out.append((self.items[i], state, merged, inserted, cost))
+            state = before
+        del self.items[:last], self.roles[:last], self.back[:last]
+        return out[::-1]
+
+    def add(self, item, role: int) -> list[tuple]:
+        self.costs, back = _advance(self.costs, role)
+        self.items.append(item)
+        self.roles.append(role)
+        self.back.append(back)
+        if len(self.items) < self.look:
+            return []
+        states = {s for s in STATES if self.costs[s] < INF}
+        for i in range(len(self.back) - 1, -1, -1):
+            states = {self.back[i][s] for s in states}
+            if len(states) == 1 and i:
+                settled = self._trace(i, states.pop())
+                self.look = len(self.items) + self.LOOK
+                return settled
+        self.look *= 2
+        return []
+
+    def end(self, leave: int | None) -> list[tuple]:
+        """The rest, ending in `leave` (None: any state) at the least cost."""
+        state = leave if leave is not None else min(STATES, key=lambda s: (self.costs[s], s))
+        return self._trace(len(self.items), state)
 
 
 def _borders(found: list) -> dict[int, dict[str, tuple[int, int | None, bool, bool]]]:
@@ -117,11 +158,18 @@ def _borders(found: list) -> dict[int, dict[str, tuple[int, int | None, bool, bo
     return out
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[tuple]]]]:
-    """Each part with its runs of rows of one conversation. Rows start with part, place, conversation, role."""
-    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-    for part, own in groupby(rows, key=lambda r: r[0]):
-        yield part, [list(run) for _, run in groupby(own, key=lambda r: r[2])]
+def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool, bool]]:
+    """Each row, with whether it begins and ends a run: rows of one part and one conversation. Rows start with part, place, conversation, role."""
+    held, begins = None, True
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held is not None:
+                ends = (held[0], held[2]) != (row[0], row[2])
+                yield held, begins, ends
+                begins = ends
+            held = row
+    if held is not None:
+        yield held, begins, True
 
 
 def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -153,40 +201,53 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     names_out, types = schema.names, [to_arrow_type(f.dataType) for f in schema]
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for part, convs in _by_part(batches):
-            ends = [("both", convs[0])] if len(convs) == 1 else [("first", convs[0]), ("last", convs[-1])]
-            for which, run in ends:
-                m = matrix([role_state(r[3]) for r in run])
-                out.append({"part": part, "which": which, "conv": str(run[0][2]), "m": [x for row in m for x in row]})
+        out: list[dict] = []
+        part, m = None, []
+        for row, begins, ends in _turns(batches):
+            m = product_with(identity() if begins else m, role_state(row[3]))
+            if ends:
+                of = {"part": row[0], "which": "last", "conv": str(row[2]), "m": [x for r in m for x in r]}
+                if row[0] != part:
+                    part = row[0]
+                    out.append(of | {"which": "both"})
+                elif out[-1]["which"] == "both":
+                    out[-1]["which"] = "first"
+                    out.append(of)
+                else:
+                    out[-1] = of
         if out:
             yield pa.RecordBatch.from_pylist(out, pa.schema([("part", pa.int32()), ("which", pa.string()), ("conv", pa.string()), ("m", pa.list_(pa.float64()))]))
 
     found = rows.select("part", "place", "conv_id", "role_in").mapInArrow(matrices, "part int, which string, conv string, m array<double>").collect()
     borders = _borders(found)
+    lasts = {r["part"]: r["conv"] for r in found if r["which"] == "last"}
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, convs in _by_part(batches):
-            out = []
-            for i, run in enumerate(convs):
-                at = borders.get(part, {})
-                enter, leave, begun, goes_on = (
-                    at["first"] if i == 0 else at["last"] if i == len(convs) - 1 else (START, None, False, False)
-                )
-                taken = path([role_state(r[3]) for r in run], enter, leave)
-                for j, ((_, place, conv, role, turn, text), (state, merged, inserted, cost)) in enumerate(zip(run, taken, strict=True)):
-                    if merged:
-                        piece = "\n"
-                    else:
-                        piece = CLOSE if begun or j else ""
-                        piece += "".join(OPEN.format(ROLES[x - 1]) + CLOSE for x in inserted) + OPEN.format(ROLES[state - 1])
-                    piece += (text or "") + (CLOSE if j == len(run) - 1 and not goes_on else "")
-                    names = ",".join(ROLES[x - 1] for x in inserted)
-                    out.append((conv, turn, role, ROLES[state - 1], merged, names, cost, part, place, piece))
-                    if len(out) >= 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names_out)
-                        out = []
-            if out:
+        out: list[tuple] = []
+        part, whole, run = None, (START, None, False, False), None
+        for row, begins, ends in _turns(batches):
+            if begins:
+                at = borders.get(row[0], {})
+                # The last run of a part is told from the others by its conversation alone.
+                first, part = row[0] != part, row[0]
+                enter, leave, begun, goes_on = at["first"] if first else at["last"] if lasts.get(row[0]) == str(row[2]) else whole
+                run, n = Viterbi(enter), 0
+            settled = run.add(row, role_state(row[3]))
+            if ends:
+                settled += run.end(leave)
+            for i, ((_, place, conv, role, turn, text), state, merged, inserted, cost) in enumerate(settled):
+                if merged:
+                    piece = "\n"
+                else:
+                    piece = CLOSE if begun or n else ""
+                    piece += "".join(OPEN.format(ROLES[x - 1]) + CLOSE for x in inserted) + OPEN.format(ROLES[state - 1])
+                n += 1
+                piece += (text or "") + (CLOSE if ends and i == len(settled) - 1 and not goes_on else "")
+                out.append((conv, turn, role, ROLES[state - 1], merged, ",".join(ROLES[x - 1] for x in inserted), cost, row[0], place, piece))
+            if len(out) >= 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names_out)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names_out)
 
     return rows.select("part", "place", "conv_id", "role_in", "turn", "text").mapInArrow(render, schema)

@@ -4,12 +4,11 @@ A word seen in training scores the logarithm of its frequency in each language.
 place the longest known n-gram (from `MAX_GRAM` letters down to one) scores instead. A document's scores add up over its
 words; the language of the highest sum wins, ties going to the first by name, and `score` is its share of the total likelihood.
 
-Training reads labelled rows only: at most about `DOCS_PER_LANGUAGE` for each language, drawn by hash of the id. Of what they hold,
-the model keeps `WORDS_PER_LANGUAGE` words and `GRAMS_PER_LANGUAGE` n-grams, the most frequent first, so that the broadcast model has
-a fixed bound. Prediction reads every document whole, partition by partition, with no shuffle.
+Training reads labelled rows only: at most about `DOCS_PER_LANGUAGE` whole texts for each language, drawn by hash of the id. That bound alone
+keeps the model small: every word and n-gram that they hold is in it. Prediction reads every document whole, partition by partition, with no shuffle.
 
 Defined results: null text, or text without a letter: `und` with score 0; with no training rows every text is `und`. Repeated rows
-are predicted row by row.
+are predicted row by row; columns of docs that are named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -20,18 +19,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DOCS_PER_LANGUAGE = 4_000
-WORDS_PER_LANGUAGE = 20_000
-GRAMS_PER_LANGUAGE = 20_000
+from quarry.session import discard, materialize
+
+DOCS_PER_LANGUAGE = 1_000
 MAX_GRAM = 4
-MIN_WORD_COUNT = 3
 SMOOTHING = 0.5
 MEMO_WORDS = 400_000
-#: Letters are what str.isalpha() accepts; this also takes other numerals in, which `_letters` takes out again.
+#: Letters are what str.isalpha() accepts; this also takes other numerals in, which `_remember` takes out again.
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -46,18 +44,12 @@ class Model:
     rows: list[np.ndarray] = field(default_factory=list)
 
 
-def _top(counts: DataFrame, key: str, limit: int) -> DataFrame:
-    most = Window.partitionBy("l_lang").orderBy(F.col("n").desc(), F.col(key))
-    return counts.withColumn("l_place", F.row_number().over(most)).where(F.col("l_place") <= limit).drop("l_place")
-
-
-def _table(rows: list, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+def _table(items: list[str], langs: list[str], n: list[int], languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Items and their log frequencies: a row per item, a column per language."""
-    index = {k: i for i, k in enumerate(sorted({r[1] for r in rows}))}
+    index = {k: i for i, k in enumerate(sorted(set(items)))}
     counts = np.zeros((len(index), len(languages)))
     at = {lang: i for i, lang in enumerate(languages)}
-    for lang, item, n in rows:
-        counts[index[item], at[lang]] = n
+    counts[[index[x] for x in items], [at[x] for x in langs]] = n
     return index, np.log(counts + SMOOTHING) - np.log(counts.sum(0) + SMOOTHING * max(1, len(index)))
 
 
@@ -68,11 +60,12 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     )
     share = labelled.groupBy("l_lang").agg((F.lit(float(DOCS_PER_LANGUAGE)) / F.count(F.lit(1))).alias("l_share"))
     sample = labelled.join(F.broadcast(share), "l_lang").where(F.pmod("l_hash", F.lit(1_000_003)) < F.col("l_share") * 1_000_003)
-    words = (
+    counted_words = (
         sample.select("l_lang", F.explode(F.regexp_extract_all(F.lower("l_text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
         .groupBy("l_lang", "word")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    words = materialize(counted_words, "words")
     marked = words.select("l_lang", "n", F.concat(F.lit(" "), "word", F.lit(" ")).alias("w"))
     grams = F.flatten(
         F.transform(
@@ -83,12 +76,12 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         )
     )
     counted = marked.select("l_lang", "n", F.explode(grams).alias("gram")).groupBy("l_lang", "gram").agg(F.sum("n").alias("n"))
-    known = _top(words.where(F.col("n") >= MIN_WORD_COUNT), "word", WORDS_PER_LANGUAGE).select("l_lang", F.lit("w").alias("what"), F.col("word").alias("item"), "n")
-    parts = _top(counted, "gram", GRAMS_PER_LANGUAGE).select("l_lang", F.lit("g").alias("what"), F.col("gram").alias("item"), "n")
-    rows = known.unionByName(parts).collect()  # bounded by the two limits for each language
-    languages = sorted({r["l_lang"] for r in rows})
-    word_index, word_scores = _table([(r["l_lang"], r["item"], r["n"]) for r in rows if r["what"] == "w"], languages)
-    gram_index, gram_scores = _table([(r["l_lang"], r["item"], r["n"]) for r in rows if r["what"] == "g"], languages)
+    # Bounded by DOCS_PER_LANGUAGE texts of each language.
+    tables = [f.select("l_lang", "n", F.col(c).alias("item")).toArrow() for f, c in ((words, "word"), (counted, "gram"))]
+    discard(words)
+    columns = [[t.column(c).to_pylist() for c in ("item", "l_lang", "n")] for t in tables]
+    languages = sorted({x for _, langs, _ in columns for x in langs})
+    (word_index, word_scores), (gram_index, gram_scores) = (_table(*c, languages) for c in columns)
     return Model(languages, word_index, gram_index, word_scores, gram_scores)
 
 
@@ -164,7 +157,7 @@ def predict_batch(model: Model, texts: list[str | None]) -> tuple[list[str], lis
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs without its text, with lang_pred and score."""
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

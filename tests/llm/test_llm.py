@@ -268,6 +268,45 @@ def test_language_ignores_held_out_rows(docs):
     assert rows(langid.language_report(docs), "doc_id", "lang_pred") == rows(langid.language_report(other), "doc_id", "lang_pred")
 
 
+def test_language_scores_by_definition(docs, odd):
+    """The scores of a plain backoff scorer over the same training rows."""
+    for frame in (docs, odd):
+        table = frame.select("doc_id", "text", "lang").collect()
+        words = {}
+        for r in table:
+            if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+                words.setdefault(r["lang"], Counter()).update(re.findall(r"[^\W\d_]+", (r["text"] or "").lower()))
+        words = {k: v for k, v in words.items() if v}
+        grams = {lang: Counter() for lang in words}
+        for lang, own in words.items():
+            for w, n in own.items():
+                for k in range(1, 5):
+                    for i in range(len(w) + 3 - k):
+                        grams[lang][f" {w} "[i : i + k]] += n
+        known_words, known_grams = set().union(*words.values()), set().union(*grams.values())
+        log = lambda c, x, known: np.log(c[x] + 0.5) - np.log(sum(c.values()) + 0.5 * len(known))
+
+        def scored(word, lang):
+            if word in known_words:
+                return log(words[lang], word, known_words)
+            marked, found = f" {word} ", []
+            for i in range(len(marked)):
+                found += [marked[i : i + k] for k in range(4, 0, -1) if i + k <= len(marked) and marked[i : i + k] in known_grams][:1]
+            return sum(log(grams[lang], g, known_grams) for g in found) / max(1, len(found))
+
+        got = sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in langid.language_report(frame).collect()), key=str)
+        want, langs = [], sorted(words)
+        for r in table:
+            of = [w for w in re.findall(r"[^\W\d_]+", (r["text"] or "").lower())]
+            if not of:
+                want.append((r["doc_id"], "und", 0.0))
+                continue
+            total = np.array([sum(scored(w, lang) for w in of) for lang in langs])
+            want.append((r["doc_id"], langs[int(total.argmax())], float(1 / np.exp(total - total.max()).sum())))
+        for g, w in zip(got, sorted(want, key=str), strict=True):
+            assert g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-6
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------------------
 
 
@@ -406,8 +445,9 @@ def test_repair_is_cheapest_and_legal(spark):
     rng = random.Random(4)
     names = ["system", "user", "assistant", "tool", None, "Human"]
     turns = [(c, t, rng.choice(names), rng.choice([None, "", f"t{t}"])) for c in range(60) for t in range(rng.randint(1, 9))]
-    turns += [(999, t, rng.choice(names[:3]), f"m{t}") for t in range(500)] + [(None, 1, "user", "x"), (None, 1, "user", "x")]
-    out = chat.repair(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).orderBy("part", "place").collect()
+    turns += [(999, t, rng.choice(names[:3]), f"m{t}") for t in range(900)] + [(None, 1, "user", "x"), (None, 1, "user", "x")]
+    clashing = {"part": F.lit(1), "place": F.lit(2), "piece": F.lit("mine"), "h": F.lit(3)}
+    out = chat.repair(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns(clashing)).orderBy("part", "place").collect()
     assert len(out) == len(turns)
     by = {}
     for r in out:
