@@ -307,7 +307,7 @@ def _sql_clean() -> str:
     out = "text"
     for a, b in (
         ("\\x00", ""), ("\u00ad\\s*", ""), ("([a-z])-\\n([a-z])", "\\1\\2"), (furniture, ""), ("[ \\t\u00a0]+", " "),
-        ("(?m)^[ ]+|[ ]+$", ""), ("\\n{3,}", "\n\n"), ("^\\s+|\\s+$", ""),
+        (X.LINE_ENDS, "\n"), (f"(?m)^[{X.BLANKS}]+|[{X.BLANKS}]+$", ""), ("\\n{3,}", "\n\n"), (f"^[\n{X.BLANKS}]+|[\n{X.BLANKS}]+$", ""),
     ):
         out = f"regexp_replace({out}, '{a}', '{b}', 'g')"
     return out

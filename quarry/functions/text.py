@@ -58,6 +58,10 @@ PROBE = 50
 TITLE_CHARS = 250
 PRICE_IN, PRICE_OUT = 0.3, 2.5
 
+# The line ends that are known beside the plain one, and white space other than the plain line end.
+LINE_ENDS = "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+BLANKS = "\t\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # Cleaning --------------------------------------------------------------------------------------------------------------
 
 
@@ -69,19 +73,15 @@ def _furniture(patterns: tuple[str, ...]) -> str:
     return r"(?md)^\s*(" + "|".join(patterns) + r")\s*$"
 
 
+#: Steps that both cleaners take: NULs and split words go; lines of any ending are trimmed; surplus empty lines go.
+_UNBROKEN = ((r"\x00", ""), ("\xad\\s*", ""), (r"([a-z])-\n([a-z])", "$1$2"))
+_TRIMMED = ((LINE_ENDS, "\n"), (f"(?md)^[{BLANKS}]+|[{BLANKS}]+$", ""))
+_CLOSED = ((r"\n{3,}", "\n\n"), (f"^[\n{BLANKS}]+|[\n{BLANKS}]+$", ""))
+
+
 def clean_page(text: Column) -> Column:
     """Text of a page without NULs, split words, journal headers, page numbers and surplus white space. Null stays null."""
-    return _chain(
-        text,
-        (r"\x00", ""),
-        (r"­\s*", ""),
-        (r"([a-z])-\n([a-z])", "$1$2"),
-        (_furniture(PAGE_FURNITURE), ""),
-        ("[ \t ]+", " "),
-        (r"(?md)^\s*?[ ]+|[ ]+$", ""),
-        (r"\n{3,}", "\n\n"),
-        (r"^\s+|\s+$", ""),
-    )
+    return _chain(text, *_UNBROKEN, (_furniture(PAGE_FURNITURE), ""), ("[ \t\xa0]+", " "), *_TRIMMED, *_CLOSED)
 
 
 def join_spaced_words(text: Column) -> Column:
@@ -95,16 +95,14 @@ def join_spaced_words(text: Column) -> Column:
 
 def clean_scan(text: Column) -> Column:
     """As clean_page for scanned pages: also joins spaced words and lone numbers, and drops dot leaders; headers go after trimming."""
-    start = join_spaced_words(_chain(text, (r"\x00", ""), (r"­\s*", ""), (r"([a-z])-\n([a-z])", "$1$2")))
     return _chain(
-        start,
+        join_spaced_words(_chain(text, *_UNBROKEN)),
         (r"( ?\. ?){5,}", " "),
-        ("[ \t ]+", " "),
-        (r"(?md)^\s*?[ ]+|[ ]+$", ""),
+        ("[ \t\xa0]+", " "),
+        *_TRIMMED,
         (_furniture(SCAN_FURNITURE), ""),
         (r"(?md)^(\d+ ?\.|\([a-z0-9]+\))\n(?=\S)", "$1 "),
-        (r"\n{3,}", "\n\n"),
-        (r"^\s+|\s+$", ""),
+        *_CLOSED,
     )
 
 
@@ -267,6 +265,33 @@ def format_usd(amount: Column) -> Column:
     return F.concat(F.lit("$"), F.when(amount < 0.01, F.format_string("%.5f", amount)).otherwise(F.format_string("%.2f", amount)))
 
 
+def format_number(n: Column) -> Column:
+    """With grouped digits; from 100,000 on in thousands (K), millions (M), billions (B) or trillions (T), with a decimal below 10 of them."""
+    grouped = F.regexp_replace(F.regexp_replace(F.format_number(n.cast("double"), 3), r"0+$", ""), r"\.$", "")
+
+    def compact(unit: float, sign: str) -> Column:
+        few = F.bround(n / unit, 1)
+        shown = F.when(few < 10, F.regexp_replace(F.format_string("%.1f", few), r"\.0$", "")).otherwise(F.bround(n / unit, 0).cast("long").cast("string"))
+        return F.concat(shown, F.lit(sign))
+
+    units = F.when(n >= 999.5e9, compact(1e12, "T")).when(n >= 999.5e6, compact(1e9, "B")).when(n >= 999.5e3, compact(1e6, "M"))
+    return F.when(n < 100_000, grouped).otherwise(units.otherwise(compact(1e3, "K")))
+
+
+def title_holds(title: Column, wanted: str) -> Column:
+    """Whether a conversation's title holds these letters, in any case; an empty wish takes all."""
+    return F.contains(F.lower(title), F.lit(wanted.strip().lower()))
+
+
+def valid_question(question: Column) -> Column:
+    """Questions have 1 to 1000 characters."""
+    return F.coalesce(F.length(question).between(1, 1000), F.lit(False))
+
+
+def prompt(instructions: str, sources: Column, question: Column) -> Column:
+    return F.concat(F.lit(f"{instructions}\n\nSources:\n\n"), sources, F.lit("\n\nQuestion: "), question)
+
+
 def usable_citations(citations: Column) -> Column:
     """Those with a document and a page."""
     return F.filter(citations, lambda c: c["doc_id"].isNotNull() & c["page"].isNotNull())

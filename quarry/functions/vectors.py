@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.columns import let
+
 
 def dot(a: Column, b: Column) -> Column:
     """Sum of products in double precision; null if the lengths differ."""
@@ -21,7 +23,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    return F.transform(a, lambda x: (x.cast("double") / norm(a)).cast("float"))
+    return let(F.struct(a.alias("a"), norm(a).alias("n")), lambda s: F.transform(s["a"], lambda x: (x.cast("double") / s["n"]).cast("float")))
 
 
 def has_dimension(a: Column, size: int) -> Column:

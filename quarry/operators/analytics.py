@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from quarry.functions.text import answer_cost
 
 
+#: Microseconds of a slice of an asker's requests: an hour.
+SLICE = 3_600_000_000
+
+
 def request_log(events: DataFrame) -> DataFrame:
     """The request log that the event stream stands for."""
     k = F.get_json_object("props", "$.k").cast("long")
@@ -31,8 +35,8 @@ def last_hours(log: DataFrame, hours: int) -> DataFrame:
     """Rows of the last `hours` (1 to 720) before the newest row."""
     if not 1 <= hours <= 720:
         raise ValueError("hours must be from 1 to 720")
-    newest = log.agg(F.max("created_at").alias("__newest"))  # one row
-    return log.join(F.broadcast(newest), F.col("created_at") >= F.col("__newest") - F.expr(f"INTERVAL {int(hours)} HOURS")).drop("__newest")
+    newest = log.agg(F.max("created_at")).first()[0]  # one value, so that the scan can leave out files and row groups by it
+    return log.where(F.col("created_at") >= F.lit(newest) - F.expr(f"INTERVAL {int(hours)} HOURS")) if newest else log
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -44,17 +48,46 @@ def _tenths(ms: Column) -> Column:
     return F.round(F.round(ms, 6), 1)
 
 
+def percentiles(frame: DataFrame, keys: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(*keys, p: array of the exact, interpolated percentiles of value). Keys and values that are null are left out.
+
+    No task holds all values. They are counted in bins of a hundredth, a few thousand whatever the table; only the bins in which a percentile falls are
+    read value by value.
+    """
+    magnitude = F.floor(F.log2(F.abs(F.col("__v"))) * 64)
+    own = frame.where(" and ".join(f"{c} is not null" for c in [value, *keys])).withColumn("__v", F.col(value).cast("double"))
+    own = own.withColumn("__bin", F.when(F.col("__v") > 0, magnitude + 100_000).when(F.col("__v") < 0, -magnitude - 100_000).otherwise(F.lit(0)))
+    run = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = own.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(run))
+    bins = bins.withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
+    place = F.col("share") * (F.col("n") - 1)
+    wanted = bins.select("*", F.explode(F.array(*(F.lit(float(s)) for s in shares))).alias("share")).select(
+        *keys, "__bin", "share", (place - F.floor(place)).alias("part"), (F.col("upto") - F.col("c")).alias("before"), "upto", F.explode(F.array(F.floor(place), F.ceil(place))).alias("at")
+    )
+    wanted = wanted.where("before <= at and at < upto").select(*keys, "__bin", "share", "part", "before", "at").distinct()
+    of_bin = [*keys, "__bin"]
+    # Two rows for each key and share at most.
+    few = own.join(wanted.select(*of_bin, "before").distinct(), of_bin)
+    values = few.groupBy(*of_bin, "before", "__v").agg(F.count(F.lit(1)).alias("c"))
+    values = values.withColumn("last", F.col("before") + F.sum("c").over(Window.partitionBy(*of_bin).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
+    found = wanted.drop("before").join(values, of_bin).where("last - c <= at and at < last")
+    low, high = F.min("__v"), F.max("__v")
+    each = found.groupBy(*keys, "share").agg((low + (high - low) * F.max("part")).alias("x"))
+    ordered = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("share", "x"))).alias("xs"))
+    return ordered.select(*keys, F.transform("xs", lambda s: s["x"]).alias("p"))
+
+
 def totals(log: DataFrame) -> DataFrame:
     """One row of counts, latencies, tokens and cost; zeros for an empty log."""
     flat = log.agg(
         F.count(F.lit(1)).alias("requests"),
         *(F.round(F.coalesce(f("latency_ms"), F.lit(0.0)), 1).alias(f"{n}_ms") for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))),
-        F.percentile("latency_ms", F.array(*(F.lit(p) for p in (0.5, 0.9, 0.95, 0.99)))).alias("p"),
         F.count_if(F.col("status_code") >= 400).alias("errors"),
         F.count_if("cache_hit").alias("cache_hits"),
         F.coalesce(F.sum("tokens_input"), F.lit(0)).alias("tokens_input"),
         F.coalesce(F.sum("tokens_output"), F.lit(0)).alias("tokens_output"),
     )
+    flat = flat.join(percentiles(log.withColumn("__all", F.lit(0)), ["__all"], "latency_ms", (0.5, 0.9, 0.95, 0.99)), F.lit(True), "left")  # one row by one
     named = [_tenths(F.coalesce(F.get("p", F.lit(i)), F.lit(0.0))).alias(f"p{q}_ms") for i, q in enumerate((50, 90, 95, 99))]
     cost = answer_cost(F.col("tokens_input"), F.col("tokens_output"))
     return flat.select(
@@ -67,23 +100,23 @@ def totals(log: DataFrame) -> DataFrame:
 
 def hourly(log: DataFrame) -> DataFrame:
     """Hours that have rows."""
-    return log.groupBy(F.date_trunc("HOUR", "created_at").alias("hour")).agg(
+    timed = log.withColumn("hour", F.date_trunc("HOUR", "created_at"))
+    counts = timed.groupBy("hour").agg(
         F.count(F.lit(1)).alias("requests"),
-        _tenths(F.percentile("latency_ms", F.lit(0.95))).alias("p95_ms"),
         _share(F.count_if(F.col("status_code") >= 400), F.count(F.lit(1))).alias("error_rate"),
         _share(F.count_if("cache_hit"), F.count(F.lit(1))).alias("cache_hit_rate"),
     )
+    slow = percentiles(timed, ["hour"], "latency_ms", (0.95,))
+    return counts.join(slow, "hour", "left").select("hour", "requests", _tenths(F.get("p", F.lit(0))).alias("p95_ms"), "error_rate", "cache_hit_rate")
 
 
 def stages(log: DataFrame) -> DataFrame:
-    """Percentiles by stage, and each stage's share of the sum of medians."""
-    one = log.where("stages is not null").select(F.explode(F.from_json("stages", "map<string,string>")).alias("stage", "ms"))
-    by = one.groupBy("stage").agg(
-        F.percentile(F.col("ms").cast("double"), F.array(F.lit(0.5), F.lit(0.95))).alias("p"), F.count(F.lit(1)).alias("samples")
-    )
+    """Percentiles by stage, and each stage's share of the sum of medians, slowest first."""
+    one = log.where("stages is not null").select(F.explode(F.from_json("stages", "map<string,string>")).alias("stage", "ms")).withColumn("ms", F.col("ms").try_cast("double"))
+    by = percentiles(one, ["stage"], "ms", (0.5, 0.95)).join(one.groupBy("stage").agg(F.count(F.lit(1)).alias("samples")), "stage")
     # A row per stage name: this window is over the few stages there are.
     share = F.col("p")[0] / F.nullif(F.sum(F.col("p")[0]).over(Window.partitionBy()), F.lit(0.0))
-    return by.select("stage", _tenths(F.col("p")[0]).alias("p50_ms"), _tenths(F.col("p")[1]).alias("p95_ms"), "samples", F.round(share, 4).alias("share"))
+    return by.select("stage", _tenths(F.col("p")[0]).alias("p50_ms"), _tenths(F.col("p")[1]).alias("p95_ms"), "samples", F.round(share, 4).alias("share")).orderBy(F.desc("p50_ms"), "stage")
 
 
 def cache_summary(log: DataFrame) -> DataFrame:
@@ -101,9 +134,13 @@ def repeated_questions(log: DataFrame, least: int = 2) -> DataFrame:
 
 def rate_limited(log: DataFrame, per_minute: int = 10) -> DataFrame:
     """Every request with how many its asker made in the 60 seconds up to it, and whether that is allowed."""
-    minute = Window.partitionBy("query").orderBy("us").rangeBetween(-59_999_999, 0)
-    timed = log.withColumn("us", F.unix_micros(F.col("created_at").cast("timestamp")))
-    return timed.withColumn("recent", F.count(F.lit(1)).over(minute)).select("id", "query", "recent", (F.col("recent") <= per_minute).alias("allowed"))
+    # An asker's time is cut into slices, so one with very many requests is not one task; rows of the last minute of a slice count in the next one too.
+    minute = Window.partitionBy("query", "slice").orderBy("us").rangeBetween(-59_999_999, 0)
+    timed = log.select("id", "query", F.unix_micros(F.col("created_at").cast("timestamp")).alias("us"))
+    own = F.floor(F.col("us") / SLICE)
+    both = F.when(F.pmod("us", F.lit(SLICE)) >= SLICE - 60_000_000, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = timed.select("*", own.alias("own"), F.explode(both).alias("slice")).withColumn("recent", F.count(F.lit(1)).over(minute))
+    return dealt.where("slice = own").select("id", "query", "recent", (F.col("recent") <= per_minute).alias("allowed"))
 
 
 def outcomes(log: DataFrame) -> DataFrame:

@@ -21,6 +21,11 @@ def catalogue(documents: DataFrame) -> DataFrame:
     )
 
 
+def source_url(doc_id: Column) -> Column:
+    """Where an act of this number is published."""
+    return F.concat(F.lit("https://eur-lex.europa.eu/legal-content/EN/TXT/?uri=CELEX:"), doc_id)
+
+
 def _like(word: str) -> str:
     return "%" + word.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
 
@@ -43,6 +48,11 @@ def page(docs: DataFrame, query: str | None = None, collection: str | None = Non
     return docs.where(matching(query, collection)).orderBy(place, F.desc_nulls_last("publication_date"), "doc_id").offset(offset).limit(limit)
 
 
+def total(docs: DataFrame, query: str | None = None, collection: str | None = None) -> DataFrame:
+    """How many documents the filter of a page takes, in all."""
+    return docs.where(matching(query, collection)).agg(F.count(F.lit(1)).alias("total"))
+
+
 def detail(docs: DataFrame, doc_id: str, files: DataFrame) -> DataFrame:
     """The document of this id, with whether it has a file; files has a column doc_id."""
     has = files.select(F.col("doc_id").alias("__f")).distinct()
@@ -51,7 +61,8 @@ def detail(docs: DataFrame, doc_id: str, files: DataFrame) -> DataFrame:
 
 
 def collections(docs: DataFrame) -> DataFrame:
-    return docs.groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
+    """Over the whole corpus, most documents first, then by name."""
+    return docs.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "collection")
 
 
 def corpus_size(docs: DataFrame) -> DataFrame:
@@ -85,6 +96,24 @@ def acts_summary(acts: DataFrame, megabytes: float = 0.56) -> DataFrame:
     )
 
 
+def distinct_topics(acts: DataFrame) -> DataFrame:
+    return acts.select(F.explode("topics").alias("topic")).agg(F.count_distinct("topic").alias("topics"))
+
+
+def first_acts(acts: DataFrame, n: int, order: str = "celex") -> DataFrame:
+    """The first n acts in a stated order."""
+    return acts.orderBy(order).limit(n)
+
+
+def conversations(turns: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """(conv_id, title, updated) of turns (conv_id, turn, role, text, at): titled by their first question, last updated first, then by id."""
+    from quarry.functions.text import conversation_title
+
+    asked = F.when(F.col("role") == "user", F.struct("turn", "text"))
+    listed = turns.groupBy("conv_id").agg(F.min(asked).alias("q"), F.max("at").alias("updated")).select("conv_id", conversation_title(F.col("q.text")).alias("title"), "updated")
+    return (listed if wanted is None else listed.where(wanted)).orderBy(F.desc("updated"), "conv_id")
+
+
 def most_common(frame: DataFrame, value: Column, n: int = 5) -> DataFrame:
     """The n commonest values; blank and null count as '?'."""
     named = F.coalesce(F.nullif(value, F.lit("")), F.lit("?")).alias("value")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import letters
+from quarry.operators.analytics import percentiles
 
 RUN = 120
 
@@ -80,9 +81,10 @@ def shared_runs(passages: DataFrame, documents: DataFrame, run: int = RUN) -> Da
 
 def latency_summary(times: DataFrame) -> DataFrame:
     """p50, p95, min, max and mean over questions of the median of each one's repeats (q_id, ms)."""
-    one = times.groupBy("q_id").agg(F.percentile("ms", F.lit(0.5)).alias("m"))
-    p = F.percentile("m", F.array(F.lit(0.5), F.lit(0.95)))
-    return one.agg(p.alias("p"), F.min("m").alias("min_ms"), F.max("m").alias("max_ms"), F.avg("m").alias("mean_ms")).select(
+    of_question = percentiles(times, ["q_id"], "ms", (0.5,)).select(F.lit(0).alias("all"), F.get("p", F.lit(0)).alias("m"))
+    p = percentiles(of_question, ["all"], "m", (0.5, 0.95))
+    rest = of_question.agg(F.min("m").alias("min_ms"), F.max("m").alias("max_ms"), F.avg("m").alias("mean_ms"))
+    return rest.join(p, F.lit(True), "left").select(  # one row by one
         F.round(F.col("p")[0], 3).alias("p50_ms"), F.round(F.col("p")[1], 3).alias("p95_ms"), *(F.round(f"{n}_ms", 3).alias(f"{n}_ms") for n in ("min", "max", "mean"))
     )
 

@@ -94,14 +94,16 @@ def chunk_statistics(docs: DataFrame, chunks: DataFrame, max_tokens: int) -> Dat
     The percentile is the value at place int(0.95 n) in ascending order. It is read from counts by token number, which are few, not from a sorted table.
     """
     of_docs = docs.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("status") == "ok").alias("usable"))
-    counts = chunks.groupBy("tokens").agg(F.count(F.lit(1)).alias("c"))
+    counts = chunks.where("tokens is not null").groupBy("tokens").agg(F.count(F.lit(1)).alias("c"))
     run = Window.orderBy("tokens").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("upto", F.sum("c").over(run)).withColumn("n", F.sum("c").over(Window.partitionBy()))
     at = F.greatest(F.lit(1), F.floor(F.col("n") * 0.95))
-    p95 = ranked.agg(F.min(F.when(F.col("upto") >= at, F.col("tokens"))).cast("long").alias("tokens_p95"))
+    # The median's two places, the same for an odd number.
+    low, high = F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2)
+    least = lambda place: F.min(F.when(F.col("upto") >= place, F.col("tokens")))
+    p95 = ranked.agg(least(at).cast("long").alias("tokens_p95"), ((least(low) + least(high)) / 2).alias("tokens_median"))
     of_chunks = chunks.agg(
         F.count(F.lit(1)).alias("chunks"),
-        F.percentile("tokens", F.lit(0.5)).alias("tokens_median"),
         F.max("tokens").cast("long").alias("tokens_max"),
         F.count_if(F.col("tokens") > max_tokens).alias("too_long"),
     )

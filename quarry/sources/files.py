@@ -50,6 +50,40 @@ def write_json_shards(frame: DataFrame, path: str, rows_per_file: int = 500) ->
     frame.write.option("maxRecordsPerFile", rows_per_file).option("compression", "gzip").mode("overwrite").json(path)
 
 
+def write_shard(docs: DataFrame, chunks: DataFrame, path: str, shard: int) -> None:
+    """One shard of the ingest: its chunks, then its documents. Readers take a shard only by its documents, so one without them was never finished."""
+    chunks.withColumn("shard", F.lit(shard)).write.option("compression", "gzip").partitionBy("shard").mode("append").json(f"{path}/chunks")
+    docs.withColumn("shard", F.lit(shard)).write.partitionBy("shard").mode("append").json(f"{path}/docs")
+
+
+def finished_shards(spark: SparkSession, path: str) -> DataFrame:
+    """The numbers of the shards that have their documents, in order."""
+    return read_shard_docs(spark, path).select("shard").distinct().orderBy("shard")
+
+
+def read_shard_docs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{DOCUMENTS}, shard int").json(f"{path}/docs")
+
+
+def read_shard_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks of finished shards; those of shards whose writing broke off are passed over."""
+    chunks = spark.read.schema(f"{CHUNKS}, shard int").json(f"{path}/chunks")
+    return chunks.join(F.broadcast(read_shard_docs(spark, path).select("shard").distinct()), "shard", "left_semi")  # a number for each shard
+
+
+def done_documents(spark: SparkSession, path: str) -> DataFrame:
+    return read_shard_docs(spark, path).select("doc_id").distinct()
+
+
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """Vectors (doc_id, chunk_index, vec) by key, as arrays of 32-bit floats; readers see all of them or none."""
+    vectors.select("doc_id", "chunk_index", F.col("vec").cast("array<float>").alias("vec")).write.mode("overwrite").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("doc_id string, chunk_index int, vec array<float>").parquet(path)
+
+
 def write_report(frame: DataFrame, path: str) -> None:
     """A small table as CSV with a header."""
     frame.coalesce(1).write.option("header", True).mode("overwrite").csv(path)

@@ -38,6 +38,18 @@ def test_clean_page(spark):
     assert one(spark, X.clean_page(F.col("t")), t=None) is None
 
 
+def test_cleaners_know_all_line_ends(spark):
+    raw = "  a b \x0cline\x0b \n x \r\nend\u2003"
+    assert one(spark, X.clean_page(F.col("t")), t=raw) == "a b\nline\n\nx\nend"
+    assert one(spark, X.clean_scan(F.col("t")), t=raw) == "a b\nline\n\nx\nend"
+    assert one(spark, X.clean_page(F.col("t")), t="\u3000a\u2028 b\x85\xa0c\r") == "a\nb\nc"
+
+
+def test_compact_numbers(spark):
+    for n, shown in ((0, "0"), (1234.5, "1,234.5"), (99_999, "99,999"), (100_000, "100K"), (123_456, "123K"), (999_499, "999K"), (999_950, "1M"), (1_234_567, "1.2M"), (12_345_678, "12M"), (2_000_000_000, "2B")):
+        assert one(spark, X.format_number(F.col("t").cast("double")), t=str(n)) == shown
+
+
 def test_clean_scan(spark):
     raw = "S e c t i o n 2\n1 .\nThe text . . . . . . . 7\nOJ L, 12.7.2024\n"
     assert one(spark, X.clean_scan(F.col("t")), t=raw) == "Section 2\n1 . The text 7"
