@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry import catalogue_lists
 from quarry.functions import text as X
 from quarry.functions import vectors as V
 from quarry.operators import analytics, catalog, chunking, evaluation, ingest, search
@@ -286,6 +287,7 @@ QUERIES = {
         rerank_lexical, span_match, pile_union, vector_norms,
     )
 }
+QUERIES |= catalogue_lists.QUERIES
 
 _COMMON = ", ".join(f"'{w}'" for w in X.COMMON_WORDS)
 STATUS_SQL = f"""CASE WHEN text IS NULL OR length(text) < {X.MIN_CHARS_PER_PAGE} THEN 'no_text'
@@ -403,3 +405,4 @@ ORACLES = {
     "pile_union": f"""WITH {SCORES_SQL} SELECT q_id, id FROM ranked WHERE rank <= 10 UNION SELECT q_id, id FROM ranked WHERE rank <= 50 AND label = q_label""",
     "vector_norms": "SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, len(embedding) = 64 AS fits FROM embeddings",
 }
+ORACLES |= catalogue_lists.ORACLES

@@ -1,4 +1,4 @@
-"""Acts marked up by element ids: recitals, articles with their divisions, annexes. A small parser for one page, run as an Arrow function."""
+"""Acts marked up by element ids: recitals, articles with their divisions, annexes. One pass over the tags of a page, run as an Arrow function."""
 
 from __future__ import annotations
 
@@ -21,114 +21,148 @@ LONGEST_TITLE = 120
 
 
 @dataclass
-class Node:
+class _Open:
+    """An element that is open, and what its closed children left: all text, the lines, how many paragraphs."""
+
     tag: str
     id: str = ""
-    classes: tuple[str, ...] = ()
-    parts: list = field(default_factory=list)  # texts and nodes, in order
-    parent: Node | None = None
+    classes: frozenset[str] = frozenset()
+    order: int = 0
+    text: list[str] = field(default_factory=list)
+    lines: list[str] = field(default_factory=list)
+    paragraphs: int = 0
+    cells: list[tuple[str, int]] = field(default_factory=list)
+    named: dict[str, str] = field(default_factory=dict)  # what titles it: by kind
+    units: list[str] = field(default_factory=list)
+
+
+def _line(text: str) -> str:
+    return re.sub("[ \t\xa0]+", " ", text).strip()
 
-    def all(self, *tags: str):
-        for part in self.parts:
-            if isinstance(part, Node):
-                if part.tag in tags:
-                    yield part
-                yield from part.all(*tags)
 
-    def text(self) -> str:
-        return "".join(p if isinstance(p, str) else p.text() for p in self.parts)
+def _joined(*parts: str, by: str = " ") -> str:
+    return by.join(x for x in parts if x)
 
 
-class _Reader(HTMLParser):
-    def __init__(self) -> None:
+class _Pieces(HTMLParser):
+    """Keeps the open elements only. What an element means for those around it is settled when it closes."""
+
+    def __init__(self, wanted: str = "") -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("root")
+        self.open = [_Open("root")]
+        self.seen = 0
+        self.found: list[tuple[int, str, str, str]] = []
+        self.wanted, self.kept = wanted, None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
-            self.at.parts.append("\n")
+            self.handle_data("\n")
         if tag in VOID:
             return
-        while self.at.tag in ENDS.get(tag, ()) and self.at.parent:
-            self.at = self.at.parent
+        while self.open[-1].tag in ENDS.get(tag, ()):
+            self._close()
         named = dict(attrs)
-        node = Node(tag, named.get("id") or "", tuple((named.get("class") or "").split()), [], self.at)
-        self.at.parts.append(node)
-        self.at = node
+        self.seen += 1
+        self.open.append(_Open(tag, named.get("id") or "", frozenset((named.get("class") or "").split()), self.seen))
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node.parent and node.tag != tag:
-            node = node.parent
-        self.at = node.parent or self.at
+        if any(x.tag == tag for x in self.open[1:]):
+            while self.open[-1].tag != tag:
+                self._close()
+            self._close()
 
     def handle_data(self, data: str) -> None:
-        if self.at.tag not in ("script", "style"):
-            self.at.parts.append(data)
-
-
-def _line(text: str) -> str:
-    return re.sub("[ \t ]+", " ", text).strip()
-
-
-def _lines(node: Node) -> list[str]:
-    """A line for each paragraph; a table row of one to three cells with a paragraph each at most is one line."""
-    out: list[str] = []
-    for part in node.parts:
-        if isinstance(part, str):
-            continue
-        cells = [p for p in part.parts if isinstance(p, Node) and p.tag == "td"] if part.tag == "tr" else []
-        if 0 < len(cells) <= 3 and all(len(list(c.all("p"))) <= 1 for c in cells):
-            out.append(" ".join(x for x in (_line(c.text()) for c in cells) if x))
-        elif part.tag == "p":
-            out.append(_line(part.text()))
-        else:
-            out += _lines(part)
-    return [x for x in out if x]
-
-
-def _divisions(node: Node) -> str:
-    found = []
-    above = node.parent
-    while above:
-        if above.tag == "div" and DIVISION.search(above.id):
-            own = [p for p in above.parts if isinstance(p, Node)]
-            heading = next((_line(p.text()) for p in own if p.tag == "p"), "")
-            title = next((_line(p.text()) for p in own if p.id == f"{above.id}.tit_1"), "")
-            found.append(title if title == heading else f"{heading} {title}".strip())
-        above = above.parent
-    return " | ".join(x for x in reversed(found) if x)
-
-
-def _article(node: Node) -> tuple[str, list[str]]:
-    by_class = lambda name: next((_line(p.text()) for p in node.all("p") if name in p.classes), "")
-    number, title = by_class(NUMBER_CLASS), by_class(TITLE_CLASS)
-    units = ["\n".join(_lines(d)) for d in node.all("div") if PARAGRAPH.match(d.id)]
-    if not units:
-        lines = _lines(node)
-        while lines and lines[0] in (number, title):
-            lines.pop(0)
-        units = ["\n".join(lines)]
-    label = " | ".join(x for x in (_divisions(node), f"{number} {title}".strip()) if x)
-    return label, [u for u in units if u]
+        if self.open[-1].tag not in ("script", "style"):
+            self.open[-1].text.append(data)
+
+    def finish(self) -> None:
+        self.close()
+        while len(self.open) > 1:
+            self._close()
+
+    def _close(self) -> None:
+        done = self.open.pop()
+        above, text = self.open[-1], "".join(done.text)
+        line = _line(text)
+        if done.tag == "p":
+            done.lines = [line] if line else []
+            above.named.setdefault("heading", line)
+            self._title_article(done.classes, line)
+        elif done.tag == "tr" and 0 < len(done.cells) <= 3 and all(n <= 1 for _, n in done.cells):
+            row = _joined(*(x for x, _ in done.cells))
+            done.lines = [row] if row else []
+        elif done.tag == "td":
+            above.cells.append((line, done.paragraphs))
+        if done.id and done.id == f"{above.id}.tit_1":
+            above.named["title"] = line
+        if done.id and done.id == self.wanted:
+            self.kept = done.lines
+        if done.tag == "div":
+            self._settle(done)
+        above.text.append(text)
+        above.lines += done.lines
+        above.paragraphs += done.paragraphs + (done.tag == "p")
+
+    def _articles(self):
+        return (x for x in reversed(self.open) if x.tag == "div" and ARTICLE.match(x.id))
+
+    def _title_article(self, classes: frozenset[str], line: str) -> None:
+        for kind in classes & {NUMBER_CLASS, TITLE_CLASS}:
+            for article in self._articles():
+                article.named.setdefault(kind, line)
+
+    def _settle(self, div: _Open) -> None:
+        if PARAGRAPH.match(div.id):
+            for article in self._articles():
+                article.units.append("\n".join(div.lines))
+        if RECITAL.match(div.id):
+            self._emit(div, "preamble", "Recitals", div.lines)
+        elif ARTICLE.match(div.id):
+            number, title = (div.named.get(k, "") for k in (NUMBER_CLASS, TITLE_CLASS))
+            skipped = next((i for i, x in enumerate(div.lines) if x not in (number, title)), len(div.lines))
+            units = [u for u in div.units if u] if div.units else div.lines[skipped:]
+            self._emit(div, "article", _joined(*self._divisions(), _joined(number, title), by=" | "), units)
+        elif ANNEX.match(div.id):
+            head, *rest = div.lines or ["Annex"]
+            titled = bool(rest) and len(rest[0]) <= LONGEST_TITLE
+            self._emit(div, "annex", _joined(head, rest[0] if titled else ""), rest[titled:])
+
+    def _divisions(self):
+        """Titles of the divisions around, the widest first."""
+        for x in self.open:
+            if x.tag == "div" and DIVISION.search(x.id):
+                heading, title = (x.named.get(k, "") for k in ("heading", "title"))
+                yield heading if heading == title else _joined(heading, title)
+
+    def _emit(self, div: _Open, section: str, label: str, lines: list[str]) -> None:
+        if body := "\n".join(lines):
+            self.found.append((div.order, section, label, body))
+
+
+def _read(html: str, wanted: str = "") -> _Pieces:
+    reader = _Pieces(wanted)
+    reader.feed(re.sub(r"^\s*<\?xml[^>]*\?>", "", html))
+    reader.finish()
+    return reader
 
 
 def tagged_pieces(html: str) -> list[tuple[str, str, str]]:
     """(section, label, body) of each recital, article and annex, in order."""
-    reader = _Reader()
-    reader.feed(re.sub(r"^\s*<\?xml[^>]*\?>", "", html))
-    out = []
-    for node in reader.root.all("div"):
-        if RECITAL.match(node.id):
-            out.append(("preamble", "Recitals", "\n".join(_lines(node))))
-        elif ARTICLE.match(node.id):
-            label, units = _article(node)
-            out.append(("article", label, "\n".join(units)))
-        elif ANNEX.match(node.id):
-            lines = _lines(node) or ["Annex"]
-            title = lines[1] if len(lines) > 1 and len(lines[1]) <= LONGEST_TITLE else ""
-            out.append(("annex", f"{lines[0]} {title}".strip(), "\n".join(lines[2 if title else 1 :])))
-    return [p for p in out if p[2]]
+    return [p[1:] for p in sorted(_read(html).found)]
+
+
+def element_text(html: Column, wanted: str) -> Column:
+    """The lines of the element of this id, as one text; null where a page has none."""
+
+    @F.pandas_udf("string")
+    def read(pages: pd.Series) -> pd.Series:
+        def lines(page: str | None) -> str | None:
+            kept = _read(page, wanted).kept if page else None
+            return None if kept is None else "\n".join(kept)
+
+        return pages.map(lines)
+
+    return read(html)
 
 
 def is_tagged(html: Column) -> Column:

@@ -6,16 +6,18 @@ function. A document is a row throughout, so nothing is shuffled.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import let
-from quarry.functions.markup import is_tagged
+from quarry.functions.markup import element_text, is_tagged
 from quarry.functions.markup import pieces as marked_pieces
-from quarry.functions.text import chunk_header, clean_line, heading_title, mostly_numbers, token_count
+from quarry.functions.text import body_of, chunk_header, clean_line, heading_title, mostly_numbers, token_count
 
-CHUNK_CHARS, OVERLAP = 1600, 200
+CHUNK_CHARS, OVERLAP, MODEL_TOKENS = 1600, 200, 512
 RECITAL_TOKENS, MAX_TOKENS, SMALL_CHARS = 250, 480, 200
 SEPARATORS = ("\n\n", "\n", " ", "")
 
@@ -24,6 +26,7 @@ ADOPTED = r"^.{0,40}HA(?:S|VE) (?:ADOPTED|DECIDED)\b.*$"
 ARTICLE = r"^Article (\d+[a-z]*)[ \t]*$"
 ANNEX = r"^ANNEX(?: [IVXLC]+| \d+)?\s*$"
 DIVISION = r"^(CHAPTER|Chapter|TITLE|Title|SECTION|Section|PART|Part) [IVXLC\d]+[ \t]*$"
+CONTAINER = "TexteOnly"
 RECITAL_START = r"\n(?=\(\d+\) |Whereas )"
 PARAGRAPH_START = r"\n(?=\d+\. )"
 
@@ -71,36 +74,48 @@ def split_recursively(text: str, size: int, overlap: int, separators: tuple[str,
     return out
 
 
-def fixed_chunks(docs: DataFrame, size: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
+def count_tokens(text: str) -> int:
+    """token_count of one text."""
+    return len(re.findall(r"\w+|[^\w\s]", text))
+
+
+def fixed_chunks(docs: DataFrame, size: int = CHUNK_CHARS, overlap: int = OVERLAP, most_tokens: int = MODEL_TOKENS) -> DataFrame:
     """(doc_id, chunk_index, text, tokens, start, page_start, page_end) of docs (doc_id, pages: array of texts, in order).
 
-    Pages are joined by newlines; a chunk's pages are those of its first and last character.
+    Pages are joined by newlines; a chunk's pages are those of its first and last character. A chunk of more than `most_tokens` is halved until its pieces
+    fit, or cannot be cut; they keep its place and pages.
     """
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<struct<text:string,pieces:array<string>>>")
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_recursively(t, size, overlap) if t else [])
+        def halved(text: str) -> list[str]:
+            parts = [text] if count_tokens(text) <= most_tokens else split_recursively(text, max(len(text) // 2, 200), 0)
+            return [text] if len(parts) < 2 else [piece for part in parts for piece in halved(part)]
+
+        return texts.map(lambda t: [{"text": p, "pieces": halved(p)} for p in split_recursively(t, size, overlap)] if t else [])
 
     joined = docs.select("doc_id", "pages", F.array_join("pages", "\n").alias("full"))
     # Each chunk is sought behind the start of the chunk before it.
     placed = F.aggregate(
         F.col("parts"),
-        F.struct(F.array().cast("array<struct<text:string,start:int>>").alias("out"), F.lit(0).alias("at")),
+        F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at")),
         lambda acc, p: let(
-            F.greatest(_locate(p, F.col("full"), acc["at"]), F.lit(0)),
-            lambda at: F.struct(F.array_append(acc["out"], F.struct(p.alias("text"), at.cast("int").alias("start"))).alias("out"), (at + 1).cast("int").alias("at")),
+            F.greatest(_locate(p["text"], F.col("full"), acc["at"]), F.lit(0)),
+            lambda at: F.struct(F.array_append(acc["out"], at.cast("int")).alias("out"), (at + 1).cast("int").alias("at")),
         ),
         lambda acc: acc["out"],
     )
+    piece = lambda p, at: F.transform(p["pieces"], lambda t: F.struct(t.alias("text"), at.alias("start"), (at + F.length(p["text"]) - 1).alias("last")))
     starts = F.aggregate(
         F.col("pages"),
         F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at")),
         lambda acc, p: F.struct(F.array_append(acc["out"], acc["at"]).alias("out"), (acc["at"] + F.length(p) + 1).alias("at")),
         lambda acc: acc["out"],
     )
-    rows = joined.withColumn("parts", split("full")).select("doc_id", starts.alias("starts"), F.posexplode(placed).alias("chunk_index", "c"))
+    found = joined.withColumn("parts", split("full")).withColumn("at", placed)
+    rows = found.select("doc_id", starts.alias("starts"), F.posexplode(F.flatten(F.zip_with("parts", "at", piece))).alias("chunk_index", "c"))
     page_at = lambda at: F.size(F.filter("starts", lambda s: s <= at))
-    first, last = F.col("c.start"), F.col("c.start") + F.length("c.text") - 1
+    first, last = F.col("c.start"), F.col("c.last")
     return rows.select(
         "doc_id", "chunk_index", F.col("c.text").alias("text"), token_count(F.col("c.text")).alias("tokens"), first.alias("start"), page_at(first).alias("page_start"), page_at(last).alias("page_end")
     )
@@ -239,19 +254,15 @@ def structure_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS, html: bool =
 
     @F.pandas_udf("array<string>")
     def cut(groups: pd.Series, room: pd.Series) -> pd.Series:
-        import re
-
-        count = lambda t: len(re.findall(r"\w+|[^\w\s]", t))
-
         def fit(text: str, limit: int) -> list[str]:
-            if count(text) <= limit:
+            """The split of the largest size tried, from half the text down by quarters to 400 letters, of which all parts fit; else the finest."""
+            if count_tokens(text) <= limit:
                 return [text]
-            size = max(len(text) // 2, 400)
-            while True:
-                parts = split_recursively(text, size, 0)
-                if size <= 400 or all(count(p) <= limit for p in parts):
-                    return parts
-                size = int(size * 0.75)
+            sizes = [max(len(text) // 2, 400)]
+            while sizes[-1] > 400:
+                sizes.append(sizes[-1] * 3 // 4)
+            splits = (split_recursively(text, size, 0) for size in sizes)
+            return next((parts for parts in splits if all(count_tokens(p) <= limit for p in parts)), None) or split_recursively(text, sizes[-1], 0)
 
         return pd.Series([[p for g in gs for p in fit(g, n)] for gs, n in zip(groups, room, strict=True)])
 
@@ -261,11 +272,25 @@ def structure_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS, html: bool =
         final = parts.withColumn("text", F.concat_ws("\n", "header", "body"))
         return _numbered(final.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "part", "section", "label", "text"))).alias("c")))
     parts = parts.where(~((F.col("section") == "annex") & mostly_numbers(F.col("body"))))
-    gathered = parts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "part", "section", "label", "header", "body"))).alias("c"))
+    # Token counts of texts that a newline or a colon joins add up, so each text is counted once.
+    counts = [token_count(F.col(c)).alias(f"{c}_tokens") for c in ("label", "header", "body")]
+    gathered = parts.select("*", *counts).groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("place", "part", "section", "label", "header", "body", "label_tokens", "header_tokens", "body_tokens"))).alias("c")
+    )
     merged = gathered.withColumn("c", _merge_recitals(F.col("c"))).withColumn("c", F.explode(F.array("c"))).withColumn("c", _merge_small(F.col("c"), max_tokens))
     return _numbered(merged.withColumn("c", F.transform("c", lambda x: x.withField("text", F.concat_ws("\n", x["header"], x["body"])))))
 
 
+def paged_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """structure_chunks of docs (doc_id, title, pages: array of texts), with the pages of each chunk's body: page_start, page_end, 0 where not found."""
+    whole = docs.select("doc_id", "title", F.array_join("pages", "\n").alias("text"))
+    chunks = structure_chunks(whole, max_tokens)
+    bodies = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", body_of(F.col("text")).alias("body")))).alias("c"))
+    ranges = locate_pages(bodies.select("doc_id", F.transform("c", lambda x: x["body"]).alias("bodies")), docs.select("doc_id", "pages"))
+    placed = ranges.select("doc_id", F.posexplode("pages").alias("chunk_index", "p"))
+    return chunks.join(placed, ["doc_id", "chunk_index"], "left").select("*", F.col("p.start").alias("page_start"), F.col("p.end").alias("page_end")).drop("p")
+
+
 def pack_within(units: Column, room: Column) -> Column:
     """pack, with the default token count and a budget by row."""
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("n"))
@@ -283,13 +308,13 @@ def pack_within(units: Column, room: Column) -> Column:
     return F.aggregate(trimmed, zero, step, lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["now"])))
 
 
-def _fold(chunks: Column, joins, joined) -> Column:
+def _fold(chunks: Column, joins, joined, tokens) -> Column:
     """Left fold: a chunk is joined to the one before it where `joins(previous, chunk)`."""
 
     def step(acc: Column, x: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         merge = F.when(F.size(acc) > 0, joins(last, x)).otherwise(False)
-        return F.when(merge, F.array_append(F.slice(acc, 1, F.size(acc) - 1), last.withField("body", joined(last, x)))).otherwise(F.array_append(acc, x))
+        return F.when(merge, F.array_append(F.slice(acc, 1, F.size(acc) - 1), last.withField("body", joined(last, x)).withField("body_tokens", tokens(last, x)))).otherwise(F.array_append(acc, x))
 
     return F.aggregate(chunks, F.slice(chunks, 1, 0), step)
 
@@ -298,8 +323,9 @@ def _merge_recitals(chunks: Column) -> Column:
     both = lambda a, b: F.concat_ws("\n", a["body"], b["body"])
     folded = _fold(
         chunks,
-        lambda a, b: (a["section"] == "preamble") & (b["section"] == "preamble") & (token_count(F.concat_ws("\n", a["header"], both(a, b))) <= RECITAL_TOKENS),
+        lambda a, b: (a["section"] == "preamble") & (b["section"] == "preamble") & (a["header_tokens"] + a["body_tokens"] + b["body_tokens"] <= RECITAL_TOKENS),
         both,
+        lambda a, b: a["body_tokens"] + b["body_tokens"],
     )
 
     def renamed(x: Column) -> Column:
@@ -307,7 +333,9 @@ def _merge_recitals(chunks: Column) -> Column:
         label = F.concat(
             F.lit("Recitals ("), F.get(numbers, F.lit(0)), F.lit(")"), F.when(F.size(numbers) > 1, F.concat(F.lit("-("), F.try_element_at(numbers, F.lit(-1)), F.lit(")"))).otherwise("")
         )
-        with_label = x.withField("label", label).withField("header", F.concat(F.regexp_replace(x["header"], r"(?s) \| (?:(?! \| ).)*$", ""), F.lit(" | "), label))
+        # The new label has the old one's word, and brackets and numbers more: it is counted anew.
+        with_label = x.withField("label", label).withField("label_tokens", token_count(label)).withField("header", F.concat(F.regexp_replace(x["header"], r"(?s) \| (?:(?! \| ).)*$", ""), F.lit(" | "), label))
+        with_label = with_label.withField("header_tokens", token_count(with_label["header"]))
         return F.when((x["section"] == "preamble") & (F.size(numbers) > 0), with_label).otherwise(x)
 
     return F.transform(folded, renamed)
@@ -315,10 +343,12 @@ def _merge_recitals(chunks: Column) -> Column:
 
 def _merge_small(chunks: Column, max_tokens: int) -> Column:
     named = lambda x, label: F.concat(label, F.lit(": "), x["body"])
+    short = lambda x: F.substring_index(x["label"], " | ", -1)
     return _fold(
         chunks,
-        lambda a, b: (a["section"] == b["section"]) & (F.length(b["body"]) < SMALL_CHARS) & (token_count(F.concat_ws("\n", a["header"], a["body"], named(b, b["label"]))) <= max_tokens),
-        lambda a, b: F.concat_ws("\n", a["body"], named(b, F.substring_index(b["label"], " | ", -1))),
+        lambda a, b: (a["section"] == b["section"]) & (F.length(b["body"]) < SMALL_CHARS) & (a["header_tokens"] + a["body_tokens"] + b["label_tokens"] + 1 + b["body_tokens"] <= max_tokens),
+        lambda a, b: F.concat_ws("\n", a["body"], named(b, short(b))),
+        lambda a, b: a["body_tokens"] + token_count(short(b)) + 1 + b["body_tokens"],
     )
 
 
@@ -345,5 +375,8 @@ def html_text(html: Column) -> Column:
 
 def html_chunks(pages: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """structure_chunks of HTML pages (doc_id, title, html), by element ids where a page is marked up and by its headings elsewhere."""
-    text = F.when(~is_tagged(F.col("html")), html_text(F.col("html")))
+    # Of a plain page only the act itself is read, where an element holds it; menus and footers stand outside.
+    plain = ~is_tagged(F.col("html"))
+    held = F.when(plain & F.col("html").contains(CONTAINER), F.col("html"))
+    text = F.when(plain, F.coalesce(element_text(held, CONTAINER), html_text(F.col("html"))))
     return structure_chunks(pages.select("doc_id", "title", text.alias("text")), max_tokens, html=True, marked=marked_pieces(pages))
