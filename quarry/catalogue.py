@@ -8,7 +8,7 @@ from quarry import catalogue_lists
 from quarry.functions import text as X
 from quarry.functions import vectors as V
 from quarry.operators import analytics, catalog, chunking, evaluation, ingest, search
-from quarry.session import table
+from quarry.session import spread, table
 from quarry.streaming import requests
 
 HOURS = 168
@@ -25,7 +25,7 @@ def _log(spark, sf_dir):
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _vectors(spark, sf_dir):
@@ -210,7 +210,7 @@ def act_pieces(spark, sf_dir):
 
 
 def html_chunks(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("title"), "html")
+    pages = spread(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("doc_id"), F.col("url").alias("title"), "html")
     return chunking.html_chunks(pages)
 
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from quarry.functions import text as X
 from quarry.functions import vectors as V
 from quarry.operators import analytics, catalog, evaluation, ingest, search
-from quarry.session import table
+from quarry.session import spread, table
 
 # Stand-ins for the tables of a live system: acts are documents, gold passages are embeddings of the same label, judged answers are requests. ---------------
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _labels(spark, sf_dir):

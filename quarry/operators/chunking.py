@@ -268,6 +268,8 @@ def structure_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS, html: bool =
 
     packed = named.withColumn("room", budget).withColumn("groups", pack_within(units, F.col("room")))
     parts = packed.withColumn("parts", cut("groups", "room")).select("doc_id", "place", "section", "label", "header", F.posexplode("parts").alias("part", "body"))
+    # Small rows of much work each: a set number of partitions, which adaptive execution does not merge by their size.
+    parts = parts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     if not html:
         final = parts.withColumn("text", F.concat_ws("\n", "header", "body"))
         return _numbered(final.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "part", "section", "label", "text"))).alias("c")))
