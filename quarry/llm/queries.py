@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, chat, ego_join, huffman, langid, mixing, order_minhash, quality, secret_scan, suffix_dedup
-from quarry.session import table
+from quarry.session import spread, table
 
 
 def tokenizer_path() -> str:
@@ -19,12 +19,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _documents(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_mix(spark, sf_dir):
-    return mixing.mix_report(table(spark, sf_dir, "documents"))
+    return mixing.mix_report(_documents(spark, sf_dir))
 
 
 def op2_bpe(spark, sf_dir):
-    both = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    both = bpe.encode_and_decode(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path())
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -38,19 +42,19 @@ def op3_embedding_dedup(spark, sf_dir):
 
 
 def op4_quality(spark, sf_dir):
-    return quality.quality_report(table(spark, sf_dir, "documents"))
+    return quality.quality_report(_documents(spark, sf_dir))
 
 
 def op5_language(spark, sf_dir):
-    return langid.language_report(table(spark, sf_dir, "documents"))
+    return langid.language_report(_documents(spark, sf_dir))
 
 
 def op6_near_dedup(spark, sf_dir):
-    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return order_minhash.near_duplicates(_documents(spark, sf_dir))
 
 
 def op7_suffix_dedup(spark, sf_dir):
-    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
+    return suffix_dedup.dedup_report(_documents(spark, sf_dir))
 
 
 def op8_chat(spark, sf_dir):
@@ -58,11 +62,11 @@ def op8_chat(spark, sf_dir):
 
 
 def op9_token_files(spark, sf_dir):
-    return huffman.token_report(table(spark, sf_dir, "documents"), tokenizer_path())
+    return huffman.token_report(_documents(spark, sf_dir), tokenizer_path())
 
 
 def op10_secrets(spark, sf_dir):
-    return secret_scan.scan_report(table(spark, sf_dir, "documents"))
+    return secret_scan.scan_report(_documents(spark, sf_dir))
 
 
 QUERIES = {
