@@ -321,3 +321,49 @@ def test_stream_of_part_files(spark, sf, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
     assert got == sorted(con.sql(catalogue.ORACLES["stream_hourly"]).fetchall())
+
+
+def test_over_long_chunks_are_split_again(spark):
+    pages = spark.createDataFrame([(1, ["a b " * 500, "tail"])], "doc_id long, pages array<string>")
+    rows = chunking.fixed_chunks(pages, most_tokens=300).orderBy("chunk_index").collect()
+    assert [r["chunk_index"] for r in rows] == list(range(len(rows))) and all(r["tokens"] <= 300 for r in rows)
+    assert len(rows) > chunking.fixed_chunks(pages).count() and {r["page_start"] for r in rows[:3]} == {1}
+
+
+def test_pages_of_act_chunks(spark):
+    words = lambda k: " ".join(f"{k}word{i}" for i in range(40))
+    pages = [f"THE UNION,\nHAS ADOPTED THIS:\nArticle 1\n{words('a')}", f"Article 2\n{words('b')}\nArticle 3", words("c")]
+    rows = chunking.paged_chunks(spark.createDataFrame([(1, "Act", pages)], "doc_id long, title string, pages array<string>")).collect()
+    found = {r["label"]: (r["page_start"], r["page_end"]) for r in rows}
+    assert found["Article 1"] == (1, 1) and found["Article 2"] == (2, 2) and found["Article 3"] == (3, 3)
+
+
+def test_only_the_act_of_a_plain_page_is_read(spark):
+    html = "<html><div><p>Menu</p></div><div id='TexteOnly'><p>HAS ADOPTED</p><p>Article 1</p><p>Words of the article.</p></div><p>Footer</p></html>"
+    rows = chunking.html_chunks(spark.createDataFrame([(1, "Act", html)], "doc_id long, title string, html string")).collect()
+    whole = " ".join(r["text"] for r in rows)
+    assert "Words of the article." in whole and "Menu" not in whole and "Footer" not in whole
+
+
+def test_shards_count_once_their_documents_are_there(spark, tmp_path):
+    docs = spark.createDataFrame([("d1",), ("d2",)], "doc_id string")
+    chunks = spark.createDataFrame([("d1", 0, "x"), ("d2", 0, "y")], "doc_id string, chunk_index int, text string")
+    path = str(tmp_path / "work")
+    files.write_shard(docs, chunks, path, 3)
+    chunks.withColumn("shard", F.lit(4)).write.partitionBy("shard").mode("append").json(f"{path}/chunks")
+    assert [r["shard"] for r in files.finished_shards(spark, path).collect()] == [3]
+    assert files.read_shard_chunks(spark, path).count() == 2 and files.done_documents(spark, path).count() == 2
+    vectors = spark.createDataFrame([("d1", 0, [0.5, 0.25])], "doc_id string, chunk_index int, vec array<double>")
+    files.write_vectors(vectors, str(tmp_path / "vectors"))
+    assert [tuple(r) for r in files.read_vectors(spark, str(tmp_path / "vectors")).collect()] == [("d1", 0, [0.5, 0.25])]
+
+
+def test_percentiles_are_exact(spark):
+    rows = [(k, float(v)) for k in range(3) for v in (-5, 0, 0, 1e-9, 2, 2.01, 2.02, 1e6, 7 + k)]
+    got = analytics.percentiles(spark.createDataFrame([*rows, (9, None)], "k int, v double"), ["k"], "v", (0.0, 0.5, 0.9, 1.0)).collect()
+    import numpy as np
+
+    for r in got:
+        want = np.percentile([v for k, v in rows if k == r["k"]], [0, 50, 90, 100])
+        assert np.allclose(r["p"], want)
+    assert len(got) == 3
