@@ -382,6 +382,24 @@ def test_near_duplicates_of_repeated_passages_and_short_texts(spark):
     assert {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(frame).collect()} == want
 
 
+def test_near_duplicates_tell_texts_of_one_id_apart(spark):
+    rng = random.Random(13)
+    text = lambda: " ".join(f"w{rng.randrange(50_000)}" for _ in range(60))
+    a, b = text(), text()
+    made = [(1, a), (1, b), (1, b), (2, a + " end"), (3, b), (4, None), (4, None), (None, a)]
+    frame = spark.createDataFrame(made, "doc_id long, text string").withColumns({"print": F.lit("mine"), "class_id": F.lit(1), "t": F.lit(2)})
+    assert rows(order_minhash.near_duplicates(frame), "doc_id", "class_id") == sorted([(1, 1)] * 3 + [(2, 1), (3, 1), (4, 4), (4, 4), (None, None)], key=str)
+    kept = order_minhash.keep_first(frame)
+    assert kept.columns == frame.columns and rows(kept, "doc_id", "text") == sorted([(1, a), (1, b), (4, None), (None, a)], key=str)
+
+
+def test_encoding_replaces_columns_of_its_names(spark, docs):
+    clashing = docs.select("doc_id", "text").withColumns({"ids": F.lit("mine"), "lang_pred": F.lit("x"), "score": F.lit(1)}).limit(5)
+    assert bpe.encode_and_decode(clashing, queries.tokenizer_path()).columns == ["doc_id", "lang_pred", "score", "ids", "text"]
+    assert bpe.decode(bpe.encode(clashing, queries.tokenizer_path()).withColumn("text", F.lit("old")), queries.tokenizer_path()).columns.count("text") == 1
+    assert langid.predict(clashing, langid.fit(docs, F.lit(True))).columns == ["doc_id", "ids", "lang_pred", "score"]
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------------------
 
 
@@ -420,6 +438,31 @@ def test_suffix_dedup_equals_brute_force(spark, docs, odd):
         assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == cut_brute([(r["doc_id"], r["text"]) for r in frame.collect()])
 
 
+def test_longest_previous_factors_by_definition():
+    """Capped at LENGTH, and exact where it is reached, for ties, periods and neighbours of one document."""
+    rng = np.random.default_rng(6)
+    for letters, n in ((2, 400), (3, 900), (1, 150)):
+        data = rng.integers(97, 97 + letters, n).astype(np.uint8)
+        data[n // 2 :] = data[: n - n // 2]
+        starts = np.sort(rng.choice(n - 50, (n - 50) // 2, replace=False))
+        doc = rng.integers(0, 9, len(starts))
+        text = data.tobytes()
+        want = [max((50 for q, e in zip(starts, doc) if e < d and text[q : q + 50] == text[p : p + 50]), default=0) for p, d in zip(starts, doc)]
+        got = suffix_dedup.previous_factors(data, starts, doc)
+        assert [x if x == 50 else 0 for x in got.tolist()] == want
+        order = suffix_dedup.suffix_order(data, starts)
+        ordered = [text[p : p + 50] for p in starts[order]]
+        assert ordered == sorted(ordered)
+        assert suffix_dedup.common_prefixes(data, starts[order])[1:].tolist() == [next((k for k in range(50) if a[k] != b[k]), 50) for a, b in zip(ordered, ordered[1:])]
+
+
+def test_suffix_dedup_in_small_shares_with_hot_anchors(spark, docs, monkeypatch):
+    for name, value in (("CHUNK", 20_000), ("SHARE", 10_000), ("HOT", 3)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    got = suffix_dedup.dedup_report(docs)
+    assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == cut_brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------------------
 
 
