@@ -63,20 +63,22 @@ def shared_runs(passages: DataFrame, documents: DataFrame, run: int = RUN) -> Da
     Letters are lower-case ASCII letters and digits. Any shared run holds a slice of run / 2 letters that starts at a multiple of run / 2 in the document, so
     documents are indexed at that stride only, and passages at every place; candidates are then verified on the slices of the passage around the match.
     """
-    half = run // 2
-    at = lambda n: F.sequence(F.lit(0), n)
-    passage = passages.select("p_id", letters(F.col("text")).alias("p")).where(F.length("p") >= run)
-    grams = passage.select("p_id", "p", F.explode(at(F.length("p") - half)).alias("i")).withColumn("g", F.expr(f"substring(p, i + 1, {half})"))
-    doc = documents.select("doc_id", letters(F.col("text")).alias("d")).where(F.length("d") >= run)
-    strides = doc.select("doc_id", "d", F.explode(F.sequence(F.lit(0), F.length("d") - half, F.lit(half))).alias("j"))
-    # Only the surroundings of a slice can hold the run, so the whole text need not move.
-    around = strides.select(
-        "doc_id", F.expr(f"substring(d, j + 1, {half})").alias("g"), F.expr(f"substring(d, greatest(j - {run - half}, 0) + 1, j - greatest(j - {run - half}, 0) + {run})").alias("near")
-    )
-    pairs = around.join(grams.select("p_id", "g", "i", "p"), "g")
-    windows = F.transform(F.sequence(F.greatest(F.col("i") - (run - half), F.lit(0)), F.least(F.col("i"), F.length("p") - run)), lambda s: F.substring(F.col("p"), s + 1, F.lit(run)))
-    possible = F.greatest(F.col("i") - (run - half), F.lit(0)) <= F.least(F.col("i"), F.length("p") - run)
-    return pairs.where(possible).where(F.exists(windows, lambda w: F.contains(F.col("near"), w))).select("p_id", "doc_id").distinct()
+    half, reach = run // 2, run - run // 2
+
+    def around(text: str, place: str) -> Column:
+        """The letters that a run over the slice at this place can take."""
+        return F.expr(f"substring({text}, greatest({place} - {reach}, 0) + 1, {place} - greatest({place} - {reach}, 0) + {run})")
+
+    def slices(frame: DataFrame, key: str, step: int, near: str) -> DataFrame:
+        text = frame.select(key, letters(F.col("text")).alias("t")).where(F.length("t") >= run)
+        placed = text.select(key, "t", F.explode(F.sequence(F.lit(0), F.length("t") - half, F.lit(step))).alias("i"))
+        # Neither whole texts nor slices move: a hash of the slice and its surroundings do, and equality is that of the run.
+        return placed.select(key, F.xxhash64(F.expr(f"substring(t, i + 1, {half})")).alias("g"), around("t", "i").alias(near)).where(F.length(near) >= run)
+
+    windows = F.transform(F.sequence(F.lit(0), F.length("p") - run), lambda s: F.substring(F.col("p"), s + 1, F.lit(run)))
+    # Sizes are estimated before the texts are sliced, so a broadcast would go unchecked.
+    pairs = slices(documents, "doc_id", half, "d").join(slices(passages, "p_id", 1, "p").hint("merge"), "g")
+    return pairs.where(F.exists(windows, lambda w: F.contains(F.col("d"), w))).select("p_id", "doc_id").distinct()
 
 
 def latency_summary(times: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Batch retrieval: exact and approximate top-k, caps, reranking, citations, semantic cache.
 
 A batch of questions is a DataFrame (q_id, q_vec). Its size is checked before it is broadcast; beyond `MAX_BROADCAST` questions, blocks of questions meet
-blocks of vectors through a join on the block's number, and neither side is ever held whole.
+blocks of vectors in tiles, and neither side is ever held whole.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from quarry.session import materialize
 
 MAX_BROADCAST = 10_000
 BLOCK = 2048
+TILE = 16
 DIGITS = 6
 OVERFETCH = 3
 
@@ -56,23 +57,48 @@ def _packed(frame: DataFrame, size: int) -> DataFrame:
     return frame.mapInArrow(run, "ids binary, vecs binary")
 
 
+def _merged(a: pa.RecordBatch, b: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    """The k best of each question over both."""
+    both = pa.concat_batches([a, b])
+    q, ids, scores = (both.column(i).to_numpy() for i in range(3))
+    order = np.lexsort((ids, -scores, q))
+    ordered = q[order]
+    return both.take(pa.array(order[np.arange(len(order)) - np.searchsorted(ordered, ordered) < k]))
+
+
 def _search_blocks(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """Every block of questions against every block of vectors; a pair of blocks returns k rows for each question at most."""
-    asked = materialize(_packed(questions.select("q_id", "q_vec"), BLOCK).select(F.monotonically_increasing_id().alias("qb"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q")), "questions")
-    numbers = asked.select("qb")
-    # A block of vectors is dealt to every block of questions by its number; the numbers are checked to be few before they are collected.
-    found = [r["qb"] for r in numbers.limit(MAX_BROADCAST + 1).collect()]
-    if len(found) > MAX_BROADCAST:
-        raise ValueError(f"more than {MAX_BROADCAST * BLOCK} questions: search them in parts")
-    pairs = _packed(vectors.select("id", "vec"), BLOCK).select("ids", "vecs", F.explode(F.array(*(F.lit(n) for n in found)) if found else F.array().cast("array<bigint>")).alias("qb"))
+    """Blocks of vectors meet blocks of questions in tiles of about TILE by TILE blocks, each tile a key of its own.
+
+    A block moves once for each tile of the other side. A tile's questions are held, its vectors stream past them, and k rows a question leave it.
+    """
+    across, down = (max(1, -(-frame.count() // (BLOCK * TILE))) for frame in (questions, vectors))
+
+    def dealt(frame: DataFrame, kind: int, own: str, tiles: int, other: str, others: int) -> DataFrame:
+        number, copies = F.pmod(F.xxhash64("ids"), F.lit(tiles)), F.sequence(F.lit(0), F.lit(others - 1))
+        return _packed(frame, BLOCK).select(number.cast("int").alias(own), "ids", "vecs", F.lit(kind).alias("kind"), F.explode(copies).alias(other)).select("down", "across", "kind", "ids", "vecs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held, best = None, [], {}
         for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                yield _best_of(q_ids, np.frombuffer(row["q"]).reshape(len(q_ids), -1), ids, np.frombuffer(row["vecs"]).reshape(len(ids), -1), k)
-
-    return pairs.join(asked, "qb").select("q_ids", "q", "ids", "vecs").mapInArrow(run, "q_id long, id long, score double")
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if row[:2] != tile:
+                    yield from best.values()
+                    tile, held, best = row[:2], [], {}
+                ids = np.frombuffer(row[3], np.int64)
+                x = np.frombuffer(row[4]).reshape(len(ids), -1)
+                if row[2] == 0:
+                    held.append((ids, x))
+                    continue
+                for n, (q_ids, q) in enumerate(held):
+                    found = _best_of(q_ids, q, ids, x, k)
+                    best[n] = _merged(best[n], found, k) if n in best else found
+        yield from best.values()
+
+    asked = dealt(questions.select("q_id", "q_vec"), 0, "across", across, "down", down)
+    searched = dealt(vectors.select("id", "vec"), 1, "down", down, "across", across)
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = asked.union(searched).repartition(parts, "down", "across").sortWithinPartitions("down", "across", "kind")
+    return tiles.mapInArrow(run, "q_id long, id long, score double")
 
 
 def top_k(candidates: DataFrame, k: int) -> DataFrame:
@@ -160,15 +186,13 @@ def cache_hits(lookups: DataFrame, stored: DataFrame, threshold: float) -> DataF
 class InvertedLists:
     """Approximate search: vectors are kept by nearest centroid, and a question looks into its `probes` nearest lists.
 
-    Centroids are fitted on at most `sample` vectors by hash order; every vector is indexed.
+    Centroids are fitted on at most `sample` vectors by hash order; every vector is indexed, once: the lists are written and read by each search.
     """
 
     def __init__(self, vectors: DataFrame, lists: int = 32, sample: int = 20_000, seed: int = 7):
         drawn = vectors.orderBy(F.xxhash64("id")).limit(sample).select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
         self.centroids = np.array(KMeans(k=lists, seed=seed, maxIter=10).fit(drawn).clusterCenters())
-        self.indexed = vectors.mapInArrow(self._assign(), "id long, vec array<float>, list int") if vectors.columns == ["id", "vec"] else None
-        if self.indexed is None:
-            raise ValueError("vectors must have the columns id and vec")
+        self.indexed = materialize(vectors.select("id", F.col("vec").cast("array<float>").alias("vec")).mapInArrow(self._assign(), "id long, vec array<float>, list int"), "lists")
 
     def _assign(self):
         centroids = self.centroids

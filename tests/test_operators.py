@@ -93,11 +93,11 @@ def test_exact_searches_agree_and_lists_find_all(spark, sf):
     exact = search.search_exact(vectors, questions, 5)
     assert key(exact) == key(search.search_native(vectors, questions, 5))
     few = search.MAX_BROADCAST
-    search.MAX_BROADCAST, search.BLOCK = 4, 128
+    search.MAX_BROADCAST, search.BLOCK, search.TILE = 4, 2, 2
     try:
         assert key(exact) == key(search.search_exact(vectors, questions, 5))
     finally:
-        search.MAX_BROADCAST, search.BLOCK = few, 2048
+        search.MAX_BROADCAST, search.BLOCK, search.TILE = few, 2048, 16
     lists = search.InvertedLists(vectors, lists=8)
     recalls = [evaluation.recall_at(lists.search(questions, 5, n), exact, 5).first()["recall"] for n in (1, 4, 8)]
     assert recalls == sorted(recalls) and recalls[-1] == 1.0
