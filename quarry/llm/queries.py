@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, ego_join, huffman, langid, mixing, order_minhash, quality, secret_scan, suffix_dedup
+from quarry.llm import bpe, chat, ego_join, huffman, langid, mixing, order_minhash, quality, resampling, secret_scan, suffix_dedup
 from quarry.session import spread, table
 
 
@@ -69,6 +69,10 @@ def op10_secrets(spark, sf_dir):
     return secret_scan.scan_report(_documents(spark, sf_dir))
 
 
+def op11_importance(spark, sf_dir):
+    return resampling.resample_report(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_bpe": op2_bpe,
@@ -80,9 +84,11 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_token_files": op9_token_files,
     "op10_secrets": op10_secrets,
+    "op11_importance": op11_importance,
 }
 
 ORACLES = {
     "op1_mix": mixing.oracle_sql(),
     "op4_quality": quality.oracle_sql(),
+    "op11_importance": resampling.oracle_sql(),
 }

@@ -37,7 +37,7 @@ def docs(spark, sf):
 @pytest.fixture(scope="module")
 def duck(sf):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS FROM '{sf}/{t}.parquet'")
     return con
 
