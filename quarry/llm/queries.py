@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, ego_join, huffman, langid, mixing, order_minhash, quality, resampling, secret_scan, suffix_dedup
+from quarry.llm import bpe, chat, ego_join, huffman, langid, mixing, order_minhash, quality, resampling, secret_scan, suffix_dedup, vector_codes
 from quarry.session import spread, table
 
 
@@ -73,6 +73,10 @@ def op11_importance(spark, sf_dir):
     return resampling.resample_report(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_bpe": op2_bpe,
@@ -85,10 +89,12 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_secrets": op10_secrets,
     "op11_importance": op11_importance,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES = {
     "op1_mix": mixing.oracle_sql(),
     "op4_quality": quality.oracle_sql(),
     "op11_importance": resampling.oracle_sql(),
+    "op13_vector_codes": vector_codes.oracle_sql(),
 }
