@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, ego_join, huffman, langid, mixing, order_minhash, quality, resampling, secret_scan, suffix_dedup, vector_codes
+from quarry.llm import bpe, chat, ego_join, huffman, langid, mixing, order_minhash, quality, resampling, secret_scan, suffix_dedup, toxicity, vector_codes
 from quarry.session import spread, table
 
 
@@ -73,6 +73,10 @@ def op11_importance(spark, sf_dir):
     return resampling.resample_report(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op12_toxicity(spark, sf_dir):
+    return toxicity.toxicity_report(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op13_vector_codes(spark, sf_dir):
     return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_secrets": op10_secrets,
     "op11_importance": op11_importance,
+    "op12_toxicity": op12_toxicity,
     "op13_vector_codes": op13_vector_codes,
 }
 
