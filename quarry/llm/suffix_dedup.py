@@ -16,7 +16,10 @@ One suffix order of a whole corpus would move LENGTH bytes for each of its bytes
    the longest previous factors are worked out over the classes; a later copy's longest previous factor is the whole segment.
 5. Each string's verdict goes back to its chunk, where covered bytes are united and cut.
 
-Packed rows number at most chunks times shares, both a fixed number of bytes of text, and never more than the anchors.
+Anchors and segments travel packed, a row for each chunk and each share. Beyond FAN shares that would be more rows than the text has room for, so they
+then go by way of crossings: a chunk sends a row to each of its FAN groups of shares at most, a crossing takes the rows of FAN chunks for one group, unites equal
+anchors and equal segments, and sends a row to each share of the group, FAN at most. So rows grow with the text and no faster, up to FAN * FAN shares (64 TB),
+and an anchor or segment that is in every chunk reaches its share once from each crossing, not from each chunk. Replies come back the same way.
 
 Defined results: a null text counts as empty; rows of one id (repeats too) never remove from each other; rows without an id are kept whole and remove
 nothing; an empty table gives an empty result. Bytes that remain are hashed as they are, even where a cut splits a character.
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.order_minhash import _BYTE, _mix, _power_tables
-from quarry.session import materialize
+from quarry.session import discard, materialize
 
 LENGTH = 50
 GRAM = 26
@@ -43,6 +47,8 @@ GRAM = 26
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text in a chunk and, on average, behind a share; bytes whose anchors are worked out together.
 CHUNK, SHARE, BYTES_AT_ONCE = 8_000_000, 4_000_000, 1_000_000
+#: Destinations that one sender has rows for at most.
+FAN = 4096
 #: Different surroundings of an anchor, summed over chunks, from which its strings are dealt one by one.
 HOT = 2_000
 #: Bits of an anchor's hash that are sent. Chance matches only cost work, as strings are compared byte by byte.
@@ -179,7 +185,7 @@ def _runs(ordered: np.ndarray) -> Iterator[tuple[int, int, int]]:
 #: A packed row: its destination (`key`, a share or a chunk), its kind, the other end (`peer`, a chunk or a share), and the data.
 ROWS = "key long, kind int, peer long, blob binary"
 ARROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("peer", pa.int64()), ("blob", pa.binary())])
-ANSWERS, VERDICTS, TEXTS, SEGMENTS = range(4)
+ANSWERS, VERDICTS, TEXTS, SEGMENTS, REPLIES = range(5)
 
 
 def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -206,6 +212,25 @@ def _share_of(hashes: np.ndarray, shares: int) -> np.ndarray:
     return (((_mix(hashes * _MULTIPLIER) >> np.uint64(32)) * np.uint64(shares)) >> np.uint64(32)).astype(np.int64)
 
 
+class Route:
+    """Where the rows of a chunk go: to shares, or, if these are more than `fan`, to crossings of a group of shares and a block of chunks."""
+
+    def __init__(self, chunks: int, shares: int, fan: int):
+        self.shares, self.crossed = shares, shares > fan
+        self.groups = min(fan, -(-shares // fan)) if self.crossed else shares
+        self.per_group = -(-shares // self.groups)
+        self.blocks = max(1, -(-chunks // fan))
+
+    def cut(self, chunk: int, share: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(key, start, end) of the rows that these shares, ascending, make."""
+        if not self.crossed:
+            yield from _runs(share)
+            return
+        block = int(_mix(np.array([chunk], np.uint64))[0] % np.uint64(self.blocks))
+        for group, a, b in _runs(share // self.per_group):
+            yield block * self.groups + group, a, b
+
+
 # 1. Store ---------------------------------------------------------------------------------------------------------------
 
 
@@ -221,7 +246,7 @@ def _unpack_texts(blob: bytes) -> Texts:
     return Texts(ids, sizes, np.frombuffer(raw, np.uint8, offset=8 + 16 * n))
 
 
-def _to_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _to_chunks(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, seq = TaskContext.get().partitionId() << 32, 0
     ids, texts, size = [], [], 0
 
@@ -234,12 +259,12 @@ def _to_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends, start = np.cumsum(pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)), 0
         while start < len(own):
             done = int(ends[start - 1]) if start else 0
-            end = max(start + 1, int(np.searchsorted(ends, done + max(1, CHUNK - size), "right")))
+            end = max(start + 1, int(np.searchsorted(ends, done + max(1, limit - size), "right")))
             ids.append(own[start:end])
             texts += raw.slice(start, end - start).to_pylist()
             size += int(ends[end - 1]) - done
             start = end
-            if size >= CHUNK:
+            if size >= limit:
                 yield chunk()
                 ids, texts, size, seq = [], [], 0, seq + 1
     if texts:
@@ -257,12 +282,12 @@ def _questions(t: Texts, shares: int) -> tuple[tuple[np.ndarray, ...], np.ndarra
     return found, order, _first_rows(h[order]) if len(h) else np.zeros(0, bool)
 
 
-def _ask(shares: int):
+def _ask(route: Route):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = _unpack_texts(blob.as_py())
-                (doc, _, _, h, digest), order, first = _questions(t, shares)
+                (doc, _, _, h, digest), order, first = _questions(t, route.shares)
                 starts = np.flatnonzero(first)
                 if not len(starts):
                     continue
@@ -270,12 +295,12 @@ def _ask(shares: int):
                 around = np.add.reduceat(_first_rows(ordered, digest[order]), starts, dtype=np.uint32)
                 several = np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts)
                 ordered = ordered[starts]
-                yield _batch([(s, ANSWERS, chunk, _pack(ordered[a:b], around[a:b], several[a:b])) for s, a, b in _runs(_share_of(ordered, shares))])
+                yield _batch([(s, ANSWERS, chunk, _pack(ordered[a:b], around[a:b], several[a:b])) for s, a, b in route.cut(chunk, _share_of(ordered, route.shares))])
 
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer(kind: int, hot_from: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each question in its order: 0 if its anchor is met in one document, 1 if in several, 2 if with very many surroundings too."""
     for share, asked in _groups(batches):
         held = [_unpack(blob, "<u8", "<u4", "?") for *_, blob in asked]
@@ -284,15 +309,51 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(_first_rows(h[order]))
         size = np.diff(np.append(starts, len(h)))
         met = (size > 1) | np.logical_or.reduceat(several[order], starts)
-        hot = np.add.reduceat(around[order].astype(np.int64), starts) > HOT
+        hot = np.add.reduceat(around[order].astype(np.int64), starts) > hot_from
         verdict = np.empty(len(h), np.uint8)
         verdict[order] = np.repeat(met.astype(np.uint8) + (met & hot), size)
         ends = np.cumsum([len(x[0]) for x in held]).tolist()
-        out = [(chunk, ANSWERS, share, _squeeze(verdict[b - len(x[0]) : b].tobytes())) for (_, chunk, _), x, b in zip(asked, held, ends, strict=True)]
+        out = [(chunk, kind, share, _squeeze(verdict[b - len(x[0]) : b].tobytes())) for (_, chunk, _), x, b in zip(asked, held, ends, strict=True)]
         for k in range(0, len(out), 1000):
             yield _batch(out[k : k + 1000])
 
 
+class Crossing:
+    """The questions of a block of chunks for a group of shares: equal ones are one. The same each time it is asked."""
+
+    def __init__(self, held: list[tuple[int, int, bytes]], shares: int):
+        self.asked = [(chunk, _unpack(blob, "<u8", "<u4", "?")) for kind, chunk, blob in held if kind == ANSWERS]
+        self.h, self.around, self.several = (np.concatenate(c) for c in zip(*(x for _, x in self.asked), strict=True))
+        self.order = np.lexsort((self.h, _share_of(self.h, shares)))
+        self.first = _first_rows(self.h[self.order])
+
+
+def _cross_questions(shares: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, held in _groups(batches):
+            c = Crossing(held, shares)
+            starts = np.flatnonzero(c.first)
+            h = c.h[c.order][starts]
+            around = np.minimum(np.add.reduceat(c.around[c.order].astype(np.int64), starts), 2**32 - 1).astype(np.uint32)
+            several = np.logical_or.reduceat(c.several[c.order], starts) | (np.diff(np.append(starts, len(c.h))) > 1)
+            yield _batch([(s, ANSWERS, key, _pack(h[a:b], around[a:b], several[a:b])) for s, a, b in _runs(_share_of(h, shares))])
+
+    return run
+
+
+def _cross_answers(route: Route):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, held in _groups(batches):
+            c = Crossing(held, route.shares)
+            united = np.frombuffer(b"".join(_stretch(x) for x in _blobs(held, REPLIES)), np.uint8)
+            verdict = np.empty(len(c.h), np.uint8)
+            verdict[c.order] = united[np.cumsum(c.first) - 1]
+            ends = np.cumsum([len(x[0]) for _, x in c.asked]).tolist()
+            yield _batch([(chunk, ANSWERS, key % route.groups, _squeeze(verdict[b - len(x[0]) : b].tobytes())) for (chunk, x), b in zip(c.asked, ends, strict=True)])
+
+    return run
+
+
 # 3. Segments ------------------------------------------------------------------------------------------------------------
 
 
@@ -325,6 +386,63 @@ def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def _pack_segments(owner: np.ndarray, count: np.ndarray, share: np.ndarray, body: bytes) -> bytes:
+    head = _pack(owner.astype("<i8"), count.astype(np.uint8), share.astype("<u4"))
+    return len(head).to_bytes(8, "little") + head + _squeeze(body)
+
+
+class Received:
+    """Segments that came together, from several rows: document, number of strings, share, and where each begins in data."""
+
+    def __init__(self, held: list[tuple[int, int, bytes]]):
+        heads, bodies = [], []
+        self.rows = [(peer, blob) for kind, peer, blob in held if kind == SEGMENTS]
+        for _, blob in self.rows:
+            m = 8 + int.from_bytes(blob[:8], "little")
+            heads.append(_unpack(blob[8:m], "<i8", "u1", "<u4"))
+            bodies.append(_stretch(blob[m:]))
+        self.owner, n, self.share = (np.concatenate(c) for c in zip(*heads, strict=True))
+        self.n, self.data = n.astype(np.int64), np.frombuffer(b"".join(bodies), np.uint8)
+        self.size = self.n + LENGTH - 1
+        self.begin = np.cumsum(self.size) - self.size
+        self.lead = _classes(self.data, self.begin, self.size, hashes_of(self.data, self.begin, self.size), self.owner)
+        self.ends = np.cumsum([len(x[0]) for x in heads]).tolist()
+        self.starts = [0, *self.ends[:-1]]
+        # One of each class, by share.
+        alone = np.flatnonzero(self.lead == np.arange(len(self.lead)))
+        self.sent = alone[np.argsort(self.share[alone], kind="stable")]
+
+    def masks(self, of_lead: np.ndarray) -> np.ndarray:
+        """The masks of all segments, by those of their leads. A copy in a larger document recurs as a whole; one in the class's own document as its first does."""
+        return np.where(self.owner > self.owner[self.lead], np.uint32(2**SPAN - 1), of_lead[self.lead]).astype("<u4")
+
+    def replies(self, kind: int, peer: int, mask: np.ndarray) -> Iterator[pa.RecordBatch]:
+        out = [(to, kind, peer, _pack(mask[a:b])) for (to, _), a, b in zip(self.rows, self.starts, self.ends, strict=True)]
+        for k in range(0, len(out), 1000):
+            yield _batch(out[k : k + 1000])
+
+
+def _cross_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for key, held in _groups(batches):
+        r = Received(held)
+        out = []
+        for share, a, b in _runs(r.share[r.sent]):
+            rows = r.sent[a:b]
+            out.append((share, SEGMENTS, key, _pack_segments(r.owner[rows], r.n[rows], r.share[rows], _gather(r.data, r.begin[rows], r.size[rows]))))
+        yield _batch(out)
+
+
+def _cross_verdicts(groups: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, held in _groups(batches):
+            r = Received(held)
+            of_lead = np.zeros(len(r.lead), np.uint32)
+            of_lead[r.sent] = np.concatenate([_unpack(blob, "<u4")[0] for blob in _blobs(held, REPLIES)])
+            yield from r.replies(VERDICTS, key % groups, r.masks(of_lead))
+
+    return run
+
+
 class Segments:
     """The segments of a chunk, worked out anew from its texts and answers wherever they are needed: the same each time.
 
@@ -332,7 +450,8 @@ class Segments:
     their place among these. later: whether a segment's document is larger than that of its lead, so that all its strings recur.
     """
 
-    def __init__(self, t: Texts, answers: list[bytes], shares: int):
+    def __init__(self, t: Texts, answers: list[bytes], route: Route):
+        self.route, shares = route, route.shares
         (doc, first, n, h, digest), order, new = _questions(t, shares)
         verdict = np.frombuffer(b"".join(_stretch(x) for x in answers), np.uint8)
         of = np.zeros(len(order), np.uint8)
@@ -354,10 +473,9 @@ class Segments:
         self.later = self.owner > self.owner[self.lead]
 
     def packed(self, t: Texts, chunk: int) -> Iterator[tuple[int, int, int, bytes]]:
-        for share, a, b in _runs(self.share):
+        for key, a, b in self.route.cut(chunk, self.share):
             rows = self.sent[a:b]
-            head = _pack(self.owner[rows].astype("<i8"), self.count[rows].astype(np.uint8))
-            yield share, SEGMENTS, chunk, len(head).to_bytes(8, "little") + head + _squeeze(_gather(t.data, self.begin[rows], self.count[rows] + LENGTH - 1))
+            yield key, SEGMENTS, chunk, _pack_segments(self.owner[rows], self.count[rows], self.share[a:b], _gather(t.data, self.begin[rows], self.count[rows] + LENGTH - 1))
 
     def starts(self, verdicts: np.ndarray) -> np.ndarray:
         """Starts of all strings that recur, from the masks of the segments sent."""
@@ -374,11 +492,11 @@ def _blobs(held: list[tuple[int, int, bytes]], wanted: int) -> list[bytes]:
     return [blob for kind, _, blob in held if kind == wanted]
 
 
-def _send_segments(shares: int):
+def _send_segments(route: Route):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, held in _groups(batches):
             t = _unpack_texts(_blobs(held, TEXTS)[0])
-            rows = list(Segments(t, _blobs(held, ANSWERS), shares).packed(t, chunk))
+            rows = list(Segments(t, _blobs(held, ANSWERS), route).packed(t, chunk))
             for k in range(0, len(rows), 1000):
                 yield _batch(rows[k : k + 1000])
 
@@ -449,22 +567,13 @@ def previous_factors(data: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> n
     return out
 
 
-def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _factors(kind: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for share, held in _groups(batches):
-        heads, bodies = [], []
-        for *_, blob in held:
-            m = 8 + int.from_bytes(blob[:8], "little")
-            heads.append(_unpack(blob[8:m], "<i8", "u1"))
-            bodies.append(_stretch(blob[m:]))
-        doc, n = (np.concatenate(c) for c in zip(*heads, strict=True))
-        n, data = n.astype(np.int64), np.frombuffer(b"".join(bodies), np.uint8)
-        size = n + LENGTH - 1
-        begin = np.cumsum(size) - size
-        lead = _classes(data, begin, size, hashes_of(data, begin, size), doc)
-        first = np.flatnonzero(lead == np.arange(len(lead)))
+        r = Received(held)
+        n, first, begin, data = r.n, r.sent, r.begin, r.data
         total = np.cumsum(n[first])
         inner = np.arange(total[-1]) - np.repeat(total - n[first], n[first])
-        starts, owner = np.repeat(begin[first], n[first]) + inner, np.repeat(doc[first], n[first])
+        starts, owner = np.repeat(begin[first], n[first]) + inner, np.repeat(r.owner[first], n[first])
         # Strings whose hash no other of the share has cannot recur; the others are put in suffix order.
         hashes = hashes_of(data, starts, LENGTH)
         order = np.argsort(hashes)
@@ -474,12 +583,7 @@ def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone[again] = previous_factors(data, starts[again], owner[again]) >= LENGTH
         mask = np.zeros(len(n), np.uint32)
         mask[first] = np.bitwise_or.reduceat(gone.astype(np.uint32) << inner.astype(np.uint32), total - n[first])
-        # A copy in a larger document recurs as a whole; one in the class's own document as its first does.
-        mask = np.where(doc > doc[lead], np.uint32(2**SPAN - 1), mask[lead]).astype("<u4")
-        ends = np.cumsum([len(x[0]) for x in heads]).tolist()
-        out = [(chunk, VERDICTS, share, _pack(mask[b - len(x[0]) : b])) for (_, chunk, _), x, b in zip(held, heads, ends, strict=True)]
-        for k in range(0, len(out), 1000):
-            yield _batch(out[k : k + 1000])
+        yield from r.replies(kind, share, r.masks(mask))
 
 
 # 5. Cut -----------------------------------------------------------------------------------------------------------------
@@ -493,14 +597,14 @@ def covered(n_bytes: int, starts: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _cut(shares: int):
+def _cut(route: Route):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _groups(batches):
             t = _unpack_texts(_blobs(held, TEXTS)[0])
             verdicts = [_unpack(blob, "<u4")[0] for blob in _blobs(held, VERDICTS)]
-            gone = covered(len(t.data), Segments(t, _blobs(held, ANSWERS), shares).starts(np.concatenate(verdicts))) if verdicts else np.zeros(len(t.data), bool)
+            gone = covered(len(t.data), Segments(t, _blobs(held, ANSWERS), route).starts(np.concatenate(verdicts))) if verdicts else np.zeros(len(t.data), bool)
             opens = gone.copy()
             opens[1:] &= ~gone[:-1]
             edges = t.starts[(t.sizes > 0) & (t.starts < len(gone))]
@@ -516,23 +620,38 @@ def _cut(shares: int):
     return run
 
 
-def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, share: int = SHARE, fan: int = FAN, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document. chunk and share: bytes of text; fan: rows of a sender; hot: surroundings."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     by_key = lambda frame: frame.repartition(parts, "key").sortWithinPartitions("key", "kind", "peer")
 
-    stored = materialize(own.where("doc_id is not null").mapInArrow(_to_chunks, "chunk long, size long, blob binary"), "texts", "none")
+    stored = materialize(own.where("doc_id is not null").mapInArrow(partial(_to_chunks, chunk), "chunk long, size long, blob binary"), "texts", "none")
     texts = stored.select(F.col("chunk").alias("key"), F.lit(TEXTS).alias("kind"), F.lit(0).cast("long").alias("peer"), "blob")
-    shares = max(1, -(-(stored.agg(F.sum("size")).first()[0] or 0) // SHARE))
-
-    asked = by_key(stored.select("chunk", "blob").mapInArrow(_ask(shares), ROWS))
-    answers = materialize(asked.mapInArrow(_answer, ROWS), "answers", "none")
-    segments = by_key(by_key(answers.union(texts)).mapInArrow(_send_segments(shares), ROWS))
+    size, chunks = stored.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    route = Route(chunks, max(1, -(-size // share)), fan)
+
+    asked = stored.select("chunk", "blob").mapInArrow(_ask(route), ROWS)
+    if route.crossed:
+        asked = materialize(asked, "asked", "none")
+        crossed = by_key(asked).mapInArrow(_cross_questions(route.shares), ROWS)
+        replies = by_key(crossed).mapInArrow(partial(_answer, REPLIES, hot), ROWS)
+        answers = materialize(by_key(asked.union(replies)).mapInArrow(_cross_answers(route), ROWS), "answers", "none")
+        discard(asked)
+    else:
+        answers = materialize(by_key(asked).mapInArrow(partial(_answer, ANSWERS, hot), ROWS), "answers", "none")
+    segments = by_key(answers.union(texts)).mapInArrow(_send_segments(route), ROWS)
+    if route.crossed:
+        segments = materialize(segments, "segments", "none")
+        crossed = by_key(segments).mapInArrow(_cross_segments, ROWS)
+        replies = by_key(crossed).mapInArrow(partial(_factors, REPLIES), ROWS)
+        verdicts = by_key(segments.union(replies)).mapInArrow(_cross_verdicts(route.groups), ROWS)
+    else:
+        verdicts = by_key(segments).mapInArrow(partial(_factors, VERDICTS), ROWS)
     # Texts and answers are read again rather than carried along: what is known of each segment would take more room than working it out anew.
-    last = by_key(segments.mapInArrow(_factors, ROWS).union(answers).union(texts))
-    done = last.mapInArrow(_cut(shares), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    last = by_key(verdicts.union(answers).union(texts))
+    done = last.mapInArrow(_cut(route), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     alone = own.where("doc_id is null").select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")
     )

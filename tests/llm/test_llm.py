@@ -9,6 +9,7 @@ from itertools import product
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -456,13 +457,34 @@ def test_longest_previous_factors_by_definition():
         assert suffix_dedup.common_prefixes(data, starts[order])[1:].tolist() == [next((k for k in range(50) if a[k] != b[k]), 50) for a, b in zip(ordered, ordered[1:])]
 
 
-def test_suffix_dedup_in_small_shares_with_hot_anchors(spark, docs, monkeypatch):
-    for name, value in (("CHUNK", 20_000), ("SHARE", 10_000), ("HOT", 3)):
-        monkeypatch.setattr(suffix_dedup, name, value)
-    got = suffix_dedup.dedup_report(docs)
+@pytest.mark.parametrize("fan", [4096, 8, 3])
+def test_suffix_dedup_in_small_shares_with_hot_anchors(spark, docs, fan):
+    """Straight to the shares, and by way of crossings."""
+    got = suffix_dedup.dedup_report(docs, chunk=20_000, share=10_000, hot=3, fan=fan)
     assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == cut_brute([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_suffix_dedup_rows_grow_with_the_text():
+    """Packed rows of questions, and their bytes for each anchor, while the text grows fourfold: as sent by chunks, and by crossings."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    fan, per_chunk, found = 8, 20_000, []
+    for chunks in (8, 16, 32):
+        route = suffix_dedup.Route(chunks, 2 * chunks, fan)
+        ask = lambda blobs: suffix_dedup._ask(route)(iter([pa.RecordBatch.from_arrays([pa.array([n]), pa.array([blob])], ["chunk", "blob"]) for n, blob in blobs]))  # noqa: B023, E731
+        packed = []
+        for n in range(chunks):
+            text = " ".join(rng.choice(words) for _ in range(per_chunk // 6)).encode()[:per_chunk]
+            packed.append((n, suffix_dedup._pack_texts([np.array([n])], [text])))
+        sent = pa.Table.from_batches(list(ask(packed)))
+        crossed = pa.Table.from_batches(list(suffix_dedup._cross_questions(route.shares)(iter(sent.sort_by([("key", "ascending"), ("peer", "ascending")]).to_batches()))))
+        anchors = sum(len(suffix_dedup._unpack(b.as_py(), "<u8", "<u4", "?")[0]) for b in sent["blob"])
+        found.append([t["blob"].nbytes / anchors for t in (sent, crossed)])
+        assert max(sent.num_rows, crossed.num_rows) <= chunks * fan
+    for few, many in zip(found[0], found[-1]):
+        assert many <= 1.2 * few, found
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------------------
 
 
