@@ -6,7 +6,8 @@ sizes are taken in two levels: over range totals, then inside a range. A source
 holds them and cuts the last epoch at its exact budget in words.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source of its own, last in order; repeated
-rows are separate rows of the mix; an empty table gives an empty mix. Only id, source and size are shuffled, never text.
+rows are separate rows of the mix; rows without an id have the key of their text; an empty table gives an empty mix. Only id, source, size and a
+hash of the row are shuffled, never text.
 """
 
 from __future__ import annotations
@@ -60,11 +61,17 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS,
     max_epochs: int = MAX_EPOCHS,
     seed: str = SEED,
+    row: Column | None = None,
 ) -> DataFrame:
-    """Per document: m_id, m_source, size, source_size, target, epochs (whole copies), part (words of the last, cut copy), taken."""
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
+    """Per document: m_id, m_source, size, source_size, target, epochs (whole copies), part (words of the last, cut copy), taken, and m_row: `row`, a hash of it."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("="), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    key = F.md5(F.concat_ws(":", F.lit(seed), name))
     sized = docs.select(
-        F.col(id_col).alias("m_id"), F.col(source_col).alias("m_source"), word_count(F.col(text_col)).alias("size"), key.alias("m_key")
+        F.col(id_col).alias("m_id"),
+        F.col(source_col).alias("m_source"),
+        word_count(F.col(text_col)).alias("size"),
+        key.alias("m_key"),
+        (F.lit(0).cast("long") if row is None else row).alias("m_row"),
     )
     sized = sized.withColumn("m_part", F.substring("m_key", 1, RANGE_DIGITS)).withColumn(
         "m_group", F.coalesce(F.concat(F.lit("="), F.col("m_source")), F.lit("null"))
@@ -76,7 +83,7 @@ def mix(
     offsets = (
         ranges.withColumn("m_offset", F.sum("m_words").over(up_to) - F.col("m_words")).drop("m_words", "m_source").join(targets, "m_group")
     )
-    inside = Window.partitionBy("m_group", "m_part").orderBy("m_key", "m_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("m_group", "m_part").orderBy("m_key", "m_id", "size", "m_row").rowsBetween(Window.unboundedPreceding, 0)
     placed = sized.join(offsets, ["m_group", "m_part"]).withColumn(
         "m_before", F.col("m_offset") + F.sum("size").over(inside) - F.col("size")
     )
@@ -93,6 +100,7 @@ def mix(
         epochs.alias("epochs"),
         part.alias("part"),
         (epochs * F.col("size") + part).alias("taken"),
+        "m_row",
     )
 
 
@@ -101,27 +109,26 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def render_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mixed corpus: a row per copy, the copy that a budget cuts ending after its last word that is taken.
+    """The mixed corpus: a row per copy, the copy that a budget cuts ending after its last word that is taken. Columns as given.
 
-    Columns as given. Rows of one id are mixed alike only if the id is unique; the mix is joined by id, source and size.
+    Rows meet their place in the mix by a hash of all their columns; equal rows share the copies that they are given.
     """
-    plan = mix(docs, id_col, text_col, source_col, **options).groupBy("m_id", "m_source", "size").agg(F.max("epochs").alias("__epochs"), F.max("part").alias("__part"))
-    plan = plan.select(F.col("m_id").alias("__id"), F.col("m_source").alias("__source"), F.col("size").alias("__size"), "__epochs", "__part")
-    own = docs.withColumn("__words", word_count(F.col(text_col)))
-    joined = own.join(
-        plan, own[id_col].eqNullSafe(plan["__id"]) & own[source_col].eqNullSafe(plan["__source"]) & (own["__words"] == plan["__size"])
-    )
-    whole = F.lit(-1).cast("long")
-    copies = F.when(F.col("__part") == F.col("__size"), F.array_repeat(whole, (F.col("__epochs") + 1).cast("int"))).otherwise(
-        F.concat(
-            F.array_repeat(whole, F.col("__epochs").cast("int")),
-            F.when(F.col("__part") > 0, F.array(F.col("__part"))).otherwise(F.array().cast("array<bigint>")),
-        )
-    )
-    rows = joined.where(F.col("__size") > 0).withColumn("__cut", F.explode(copies))
+    atomic = [f.name for f in docs.schema.fields if not f.dataType.simpleString().startswith(("map", "variant"))]
+    columns = [F.col(f"`{c}`") for c in atomic]
+    row = F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+    plan = mix(docs, id_col, text_col, source_col, row=row, **options).where("size > 0").groupBy("m_row")
+    whole_part, cut = F.col("part") == F.col("size"), F.sum(F.when(F.col("part") < F.col("size"), F.col("part")).otherwise(0))
+    # Of equal rows, which follow one another in their source, at most one is cut.
+    plan = plan.agg(F.count(F.lit(1)).alias("__rows"), (F.sum("epochs") + F.count_if(whole_part)).alias("__whole"), cut.alias("__cut"))
+    joined = docs.withColumn("__row", row).join(plan, F.col("__row") == F.col("m_row"))
+    # Equal rows have one of them stand for all; only these few are shuffled.
+    once = joined.where("__rows = 1").unionByName(joined.where("__rows > 1").dropDuplicates(["__row"]))
+    none = F.array().cast("array<bigint>")
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("__whole").cast("int")), F.when(F.col("__cut") > 0, F.array("__cut")).otherwise(none))
+    rows = once.withColumn("__part", F.explode(copies))
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    head = F.array_join(F.slice(words, 1, F.greatest(F.col("__cut"), F.lit(0)).cast("int")), "")
-    out = rows.withColumn(text_col, F.when(F.col("__cut") < 0, F.col(text_col)).otherwise(head))
+    head = F.array_join(F.slice(words, 1, F.greatest(F.col("__part"), F.lit(0)).cast("int")), "")
+    out = rows.withColumn(text_col, F.when(F.col("__part") < 0, F.col(text_col)).otherwise(head))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(F.col(text_col)).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -131,7 +138,7 @@ def oracle_sql(weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS,
     cases = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
     return rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-             md5('{seed}:' || doc_id::VARCHAR) AS k FROM documents),
+             md5('{seed}:' || coalesce(doc_id::VARCHAR, '=' || md5(coalesce(text, '')))) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS m_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM d GROUP BY source),
 c AS (SELECT *, (CASE rk % {len(weights)} {cases} END)::BIGINT AS wt, {max_epochs} * m_size AS cap FROM s),
 l AS (SELECT *, (sum(m_size) OVER ())::BIGINT AS total,
