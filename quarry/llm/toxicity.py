@@ -14,7 +14,7 @@ matches count by QUOTED; sums by length; the strongest single match. A logistic
 hash; each is scored by the lexicon of the other half of the labelled documents, and coefficients are drawn towards PRIOR, so that few labels, or none of
 some kind (such as no quotations), leave sensible ones.
 
-Texts with labels are shuffled once, by the join with the labels; the texts that are scored never are.
+Texts with labels, picked out by a bitmap of 8 MB at most, are shuffled once, by the join with the labels; the texts that are scored never are.
 
 Defined results: a null or empty text has no evidence, and the score of such; an id with several labels is toxic if one says so; labels that are null, or
 of no document, teach nothing; rows of one id, and repeated rows, are scored alike; a row without an id has held_out null; without a toxic label the
@@ -401,7 +401,17 @@ def learn(docs: DataFrame, labels: DataFrame, teaches: Column, id_col: str = "do
     known = known.groupBy("l_id").agg(F.max("toxic").alias("toxic"))
     own = docs.select(F.col(id_col).cast("long").alias("t_id"), F.col(text_col).cast("string").alias("text")).where(teaches & F.col("text").isNotNull())
     half = F.xxhash64("t_id").bitwiseAND(1)
-    labelled = materialize(own.join(known, own["t_id"] == known["l_id"]).select(F.xxhash64("t_id", "text").alias("key"), half.alias("half"), "toxic", "text"), "labelled", "zstd")
+    bits = spark.sparkContext.broadcast(_bitmap(known.select(F.xxhash64("l_id").alias("h"))))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bits.value
+        for batch in batches:
+            at = batch.column(0).to_numpy() & (8 * len(held) - 1)
+            yield batch.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+
+    own = own.select(F.xxhash64("t_id").alias("h"), "t_id", "text").mapInArrow(likely, "h long, t_id long, text string")
+    # One way of joining at every size: the sides are estimated before the bitmap thins them.
+    labelled = materialize(own.hint("merge").join(known, own["t_id"] == known["l_id"]).select(F.xxhash64("t_id", "text").alias("key"), half.alias("half"), "toxic", "text"), "labelled", "zstd")
     entries, sizes = _entries(labelled)
     weights = lexicon(entries, sizes, [0, 1])
     first, second, known = known_words(labelled, weights, sizes)
