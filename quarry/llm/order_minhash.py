@@ -1,13 +1,13 @@
 """Near-duplicate documents by Order MinHash.
 
-A document is a sequence of words (maximal runs of characters other than space and U+0009 to U+000D) and of its five-word windows. Each sketch takes
-the `PICKED` windows of least hash and keeps them in text order; so it is equal for two texts only if they share those windows in the same order.
-Texts with an equal sketch are candidates. A window counts once, at its first place: that is what the alignment below compares, so a passage that
-one text repeats more often changes no sketch. Texts of at most `EXACT` windows meet through an exact prefix filter instead: of two window sets of
-similarity 0.8 or more, each has a common window among its n - ceil(0.8 n) + 1 of least hash, so each of those is a key.
+A document is a sequence of words (maximal runs of characters other than space and U+0009 to U+000D) and of its five-word windows, each labelled with the
+number of its earlier occurrences, so that repeats count as other windows do. Each sketch takes the `PICKED` labelled windows of least hash and keeps them
+in text order; so it is equal for two texts only if they share those windows in the same order, and the more edits part them, the rarer that is. Texts
+with an equal sketch are candidates; this holds for texts of every length. Of texts of at most `EXACT` windows few sketches differ, so they have further keys, an
+exact prefix filter: of two window sets of similarity 0.8 or more, each has a common window among its n - ceil(0.8 n) + 1 of least hash.
 
-Candidates are verified by banded alignment of their distinct windows, each at its first place: two texts are linked if a common subsequence
-of L windows gives L / (m + n - L) >= 0.8. That needs shared windows in order, so it never exceeds the Jaccard similarity of the window sets.
+Candidates are verified by banded alignment of the same labelled windows: two texts are linked if a common subsequence of L windows gives
+L / (m + n - L) >= 0.8. That needs shared windows in order, so it never exceeds the Jaccard similarity of the sets of labelled windows.
 
 No table of all pairs is made. Equal texts are one class. In a bucket of equal sketches each text is first compared with the bucket's most central
 one (of the largest buckets over all sketches). Only where a bucket still holds several components afterwards do its remaining texts meet those of
@@ -15,7 +15,8 @@ other components, through an exact prefix filter, so every pair of candidates en
 one text has at most EXACT windows is always a candidate. Others, with L windows aligned of U in all, share a sketch with probability of at least
 1 - (1 - C(L, PICKED) / C(U, PICKED)) ** SKETCHES: 0.99995 at the least, for L = 32 and U = 40, and 0.99997 for long texts.
 
-Whole texts are never shuffled: those with a candidate are picked out, as they are read, by a bitmap of at most FILTER_BITS bits; a false hit costs a row.
+Whole texts are not shuffled: those with a candidate are picked out, as they are read, by a bitmap of eight bits for each; a false hit costs a row. Only
+beyond FILTER_BITS / 8 texts with candidates, which would make a larger bitmap, a join by their hashes picks them.
 A pair is compared at the side that has more partners, whose windows move once for each SALT partners.
 
 Defined results: a text of one to four words has one window, all its words; a text without words, or null, equals other texts only if the text is the
@@ -40,11 +41,11 @@ from quarry.session import discard, materialize
 WORDS = 5
 PICKED = 4
 SKETCHES = 20
-#: Up to so many windows a text has few prefix keys, and sketches would miss more pairs than the stated share.
+#: Up to so many windows a text has prefix keys besides its sketches, which alone would miss more pairs than the stated share.
 EXACT = 32
 BYTES_AT_ONCE = 1_000_000
-#: Bits of the bitmap that picks texts at most, and partners of one text that are compared in one place.
-FILTER_BITS, SALT = 1 << 26, 500
+#: Bits of the bitmap that picks texts at most (32 MB), and partners of one text that are compared in one place.
+FILTER_BITS, SALT = 1 << 28, 500
 
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 2**63, 256, np.uint64)
@@ -123,8 +124,15 @@ def _occurrences(hashes: np.ndarray, text_of: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, SKETCHES) sketch keys of texts whose windows are distinct. Texts without windows have keys of 0."""
+def labelled(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The hash of each window and its label; distinct within a text."""
+    if not len(hashes):
+        return hashes
+    return _mix(hashes + _occurrences(hashes, np.repeat(np.arange(len(n)), n)).astype(np.uint64) * _BASE)
+
+
+def sketches(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(texts, SKETCHES) sketch keys of texts, by their labelled windows. Texts without windows have keys of 0."""
     texts = len(n)
     keys = np.zeros((texts, SKETCHES), np.uint64)
     if not len(hashes):
@@ -155,22 +163,14 @@ def sketches(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys
 
 
-def _text_keys(hashes: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The keys of each text, and the number of its distinct windows.
-
-    SKETCHES sketches (0 where prefixes stand for them), then the prefix of a text that may be 0.8 similar to one of at most EXACT windows.
-    """
-    text_of = np.repeat(np.arange(len(n)), n)
-    first = _occurrences(hashes, text_of) == 0 if len(hashes) else np.zeros(0, bool)
-    hashes, n = hashes[first], np.bincount(text_of[first], minlength=len(n))
-    long, out = n > EXACT, []
-    sketched = np.zeros((len(n), SKETCHES), np.uint64)
-    sketched[long] = sketches(hashes[np.repeat(long, n)], n[long])
-    for keys, end, size in zip(sketched, np.cumsum(n).tolist(), n.tolist(), strict=True):
+def _text_keys(hashes: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """The keys of each text: SKETCHES sketches, then the prefix of a text that may be 0.8 similar to one of at most EXACT windows."""
+    hashes, out = labelled(hashes, n), []
+    for keys, end, size in zip(sketches(hashes, n), np.cumsum(n).tolist(), n.tolist(), strict=True):
         if 0 < size <= EXACT * 5 // 4:
             keys = np.concatenate((keys, np.sort(hashes[end - size : end])[: size - -(-4 * size // 5) + 1]))
         out.append(keys.view(np.int64))
-    return out, n
+    return out
 
 
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -184,16 +184,16 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """d_id, print (hash of the whole text, null for null), n (distinct windows), keys."""
+    """d_id, print (hash of the whole text, null for null), n (windows), keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _slices(whole, "text"):
                 hashes, n = windows(batch.column(2).fill_null(""))
-                keys, distinct = _text_keys(hashes, n)
+                keys = _text_keys(hashes, n)
                 ends = np.cumsum([0, *map(len, keys)])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distinct), lists], ["d_id", "print", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), lists], ["d_id", "print", "n", "keys"])
         pa.default_memory_pool().release_unused()
 
     return docs.select("d_id", _print(), "text").mapInArrow(run, "d_id long, print binary, n long, keys array<long>")
@@ -203,9 +203,9 @@ def _print(text: str = "text"):
     return F.unhex(F.sha2(text, 256)).alias("print")
 
 
-def _bitmap(chosen: DataFrame) -> np.ndarray:
-    """Bits of hash values of chosen (h long), about eight for each, FILTER_BITS at most; so at most FILTER_BITS / 8 bytes reach the driver."""
-    bits = min(FILTER_BITS, 1 << max(15, (8 * chosen.count()).bit_length()))
+def _bitmap(chosen: DataFrame, most: int = 1 << 26) -> np.ndarray:
+    """Bits of hash values of chosen (h long), about eight for each, `most` at most; so at most `most` / 8 bytes reach the driver."""
+    bits = min(most, 1 << max(15, (8 * chosen.count()).bit_length()))
     # One bitmap of Spark's aggregate has 32768 bits.
     place = chosen.select(F.col("h").bitwiseAND(bits - 1).alias("at")).select(F.floor(F.col("at") / 32768).alias("row"), F.col("at").bitwiseAND(32767).alias("bit"))
     rows = place.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("map")).collect()
@@ -216,27 +216,31 @@ def _bitmap(chosen: DataFrame) -> np.ndarray:
 
 
 def _window_table(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """print and distinct windows, in order of their first places, as 64-bit integers in one binary value: of the chosen (h long) texts, and a few others."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(chosen))
+    """print and labelled windows, in order, as 64-bit integers in one binary value: of the chosen (h long) texts, and a few others."""
+    known = docs.where("d_id is not null and text is not null").select("d_id", _print(), "text").select(F.xxhash64("d_id", "print").alias("h"), "print", "text")
+    bits = None
+    if chosen.count() <= FILTER_BITS // 8:
+        bits = docs.sparkSession.sparkContext.broadcast(_bitmap(chosen, FILTER_BITS))
+    else:
+        known = known.join(chosen, "h", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = bits.value
-        for whole in batches:
-            at = whole.column(0).to_numpy(zero_copy_only=False) & (8 * len(held) - 1)
-            wanted = whole.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+        held = None if bits is None else bits.value
+        for wanted in batches:
+            if held is not None:
+                at = wanted.column(0).to_numpy(zero_copy_only=False) & (8 * len(held) - 1)
+                wanted = wanted.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             for batch in _slices(wanted, "text"):
                 hashes, n = windows(batch.column(2))
-                first = _occurrences(hashes, np.repeat(np.arange(len(n)), n)) == 0 if len(hashes) else np.zeros(0, bool)
-                ends = np.cumsum(n)
-                out = [hashes[e - k : e][first[e - k : e]].tobytes() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+                hashes, ends = labelled(hashes, n), np.cumsum(n)
+                out = [hashes[e - k : e].tobytes() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], ["print", "windows"])
 
-    known = docs.where("d_id is not null and text is not null").select("d_id", _print(), "text")
-    return known.select(F.xxhash64("d_id", "print").alias("h"), "print", "text").mapInArrow(run, "print binary, windows binary")
+    return known.mapInArrow(run, "print binary, windows binary")
 
 
 def aligned(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether a common subsequence of L of these distinct windows reaches L / (m + n - L) >= 0.8."""
+    """Whether a common subsequence of L of these labelled windows reaches L / (m + n - L) >= 0.8."""
     size = len(x) + len(y)
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     if 9 * len(i) < 4 * size:
@@ -322,7 +326,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     known = sketched.where("d_id is not null and print is not null")
     of_print = known.groupBy("print").agg(F.min("d_id").alias("c"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     texts = materialize(of_print.withColumn("t", F.monotonically_increasing_id()), "distinct-texts")
-    placed = texts.where("n > 0").select("t", "n", F.posexplode("keys").alias("at", "key")).where(f"at >= {SKETCHES} or n > {EXACT}")
+    placed = texts.where("n > 0").select("t", "n", F.posexplode("keys").alias("at", "key"))
     rows = placed.select("t", "n", F.least("at", F.lit(SKETCHES)).alias("j"), "key")
     several = rows.groupBy("j", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(rows.join(several, ["j", "key"]).select("j", "key", "t", "n", "size"), "buckets")

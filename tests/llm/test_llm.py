@@ -63,28 +63,42 @@ def test_against_sql(spark, sf, duck, name):
     assert pick([tuple(r) for r in got.collect()], got.columns) == pick(want.fetchall(), want.columns)
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+#: Queries of other tables than documents.
+OTHERS = {"op3_embedding_dedup", "op8_chat", "op13_vector_codes"}
+
+
+def further_tables(spark, folder):
+    spark.createDataFrame([(1, "a b c d e"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 1), (5, 0, 0), (7, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.ORACLES) - OTHERS))
 def test_sql_on_odd_rows(spark, odd, tmp_path, name):
     odd.drop("size").write.parquet(str(tmp_path / "documents.parquet"))
+    further_tables(spark, tmp_path)
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet/*.parquet'")
     got, want = queries.QUERIES[name](spark, str(tmp_path)), con.sql(queries.ORACLES[name])
     pick = lambda data, cols: sorted(tuple(str(r[cols.index(n)]) for n in sorted(cols)) for r in data)
     assert pick([tuple(r) for r in got.collect()], got.columns) == pick(want.fetchall(), want.columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op3_embedding_dedup", "op8_chat"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - OTHERS))
 def test_empty_and_odd_tables(spark, odd, tmp_path, name):
     odd.write.parquet(str(tmp_path / "odd" / "documents.parquet"))
     odd.where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    for kind in ("odd", "none"):
+        further_tables(spark, tmp_path / kind)
     assert queries.QUERIES[name](spark, str(tmp_path / "odd")).count() == len(ODD)
     assert queries.QUERIES[name](spark, str(tmp_path / "none")).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op3_embedding_dedup", "op8_chat"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - OTHERS))
 def test_rows_without_an_id(spark, tmp_path, name):
     nameless = [(None, "a text without an id", "en", "a", 20), (None, None, None, None, None), (None, "a text without an id", "en", "a", 20)]
     spark.createDataFrame(ODD + nameless, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    further_tables(spark, tmp_path)
     out = queries.QUERIES[name](spark, str(tmp_path))
     ids = [r[0] for r in out.select("doc_id" if "doc_id" in out.columns else out.columns[0]).collect()]
     assert sorted(ids, key=str) == sorted([x[0] for x in ODD + nameless], key=str)
@@ -111,6 +125,15 @@ def test_rendered_mix_has_the_words_it_took(docs):
     assert made.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == taken
 
 
+def test_rendered_mix_keeps_to_budgets_where_rows_are_alike(spark):
+    """Rows that share id, source and size, equal ones and others, and rows without an id."""
+    made = [(1, "a b c d e f g h i j", None, "x", 19)] * 6 + [(1, "k l m n o p q r s t", None, "x", 19)] * 3 + [(None, "u v w", None, "y", 5)] * 10 + [(None, "u v z", None, "y", 5)] + [(2, None, None, "y", 0)] * 3
+    frame = spark.createDataFrame(made, DOC)
+    taken = mixing.mix(frame).groupBy("m_source").agg(F.sum("taken").alias("n"), F.first("target").alias("target")).collect()
+    got = dict(mixing.render_mix(frame).groupBy("source").agg(F.sum(mixing.word_count(F.col("text")))).collect())
+    assert {r["m_source"]: r["n"] for r in taken} == got and all(0 <= r["target"] - r["n"] < 1 for r in taken)
+
+
 # 2 and 9 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -312,8 +335,14 @@ def test_language_scores_by_definition(docs, odd):
 
 
 def shingles(text):
-    w = WORD.findall(text or "")
-    return list(dict.fromkeys(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))) if w else []
+    """Five-word windows with the number of their earlier occurrences."""
+    w, seen = WORD.findall(text or ""), Counter()
+    out = []
+    for i in range(max(1, len(w) - 4) if w else 0):
+        window = tuple(w[i : i + 5])
+        out.append((window, seen[window]))
+        seen[window] += 1
+    return out
 
 
 def longest_common(x, y):
@@ -373,16 +402,50 @@ def test_near_duplicates_of_repeated_passages_and_short_texts(spark):
     made = []
     for k in range(40):
         own = some(rng.randint(21, 120))
-        made += [own * times for times in (1, 2, 3, 4)] + [own[:12] * (k % 5) + own + own[:12]]
+        made += [own * times for times in (1, 2, 5, 6)] + [own[:12] * (k % 5) + own + own[:12]]
     for k in range(400):
         own = some(rng.choice([8, 9, 13, 17, 35, 43]))
         made += [own, own[1:] if k % 2 else own + some(1)]
     frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
     want = near_classes(frame)
-    assert want[1] == want[2] == want[3] == 0 and len(set(want.values())) < len(want) - 400
+    # A repeat is an edit: five and six repetitions are near copies, one and two are not.
+    assert want[0] != want[1] != want[2] == want[3] == 2 and len(set(want.values())) < len(want) - 400
     assert {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(frame).collect()} == want
 
 
+def planted_recall(spark, seed, pairs):
+    """Of planted pairs at a similarity of 0.8 or more, by windows of the text and words edited: how many there are, and how many share a class."""
+    rng = random.Random(seed)
+    texts, made = [], []
+    for length in (8, 20, 33, 45, 60, 150, 400):
+        for edits in (1, 2, 3, 5):
+            for _ in range(pairs):
+                own = [f"w{rng.randrange(10**9)}" for _ in range(length + 4)]
+                copy = list(own)
+                for _ in range(edits):
+                    at = rng.randrange(len(copy))
+                    copy[at : at + rng.randint(0, 1)] = [f"w{rng.randrange(10**9)}"] * rng.randint(0, 1)
+                x, y = shingles(" ".join(own)), shingles(" ".join(copy))
+                if own != copy and len(set(x) & set(y)) * 9 >= 4 * (len(x) + len(y)):
+                    made.append((length, edits))
+                    texts += [" ".join(own), " ".join(copy)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(frame).collect()}
+    found = Counter(key for k, key in enumerate(made) if of[2 * k] == of[2 * k + 1])
+    return {key: (n, found[key]) for key, n in Counter(made).items()}
+
+
+def test_near_duplicates_recall_of_planted_pairs(spark):
+    got = planted_recall(spark, 21, 12)
+    assert sum(n for n, _ in got.values()) > 120 and all(f >= 0.9 * n for n, f in got.values()), got
+
+
+def test_near_duplicates_join_where_a_bitmap_would_be_large(spark, docs, monkeypatch):
+    want = rows(order_minhash.near_duplicates(docs), "doc_id", "class_id")
+    monkeypatch.setattr(order_minhash, "FILTER_BITS", 8)
+    assert rows(order_minhash.near_duplicates(docs), "doc_id", "class_id") == want
+
+
 def test_near_duplicates_tell_texts_of_one_id_apart(spark):
     rng = random.Random(13)
     text = lambda: " ".join(f"w{rng.randrange(50_000)}" for _ in range(60))
