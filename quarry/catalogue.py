@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry import catalogue_lists
 from quarry.functions import text as X
 from quarry.functions import vectors as V
 from quarry.operators import analytics, catalog, chunking, evaluation, ingest, search
-from quarry.session import spread, table
+from quarry.session import materialize, spread, table
 from quarry.streaming import requests
 
 HOURS = 168
@@ -238,11 +241,19 @@ def hit_mrr(spark, sf_dir):
 
 
 def recall_at_10(spark, sf_dir):
+    """Recall of both indexes by their setting; for graphs also the share of vectors that a search scores."""
     vectors, questions = _vectors(spark, sf_dir).select("id", "vec"), _questions(spark, sf_dir)
-    index = search.InvertedLists(vectors, lists=16)
-    truth = search.search_exact(vectors, questions, 10)
-    each = [evaluation.recall_at(index.search(questions, 10, n), truth, 10).select(F.lit(n).alias("probes"), "recall") for n in (1, 4, 16)]
-    return each[0].union(each[1]).union(each[2])
+    truth = materialize(search.search_exact(vectors, questions, 10), "truth")
+    lists, graphs = search.InvertedLists(vectors, lists=16), search.GraphIndex(vectors)
+    each = []
+    for probes in (1, 4, 16):
+        found = evaluation.recall_at(lists.search(questions, 10, probes), truth, 10)
+        each.append(found.select(F.lit("lists").alias("kind"), F.lit(probes).alias("setting"), "recall", F.lit(None).cast("double").alias("scored")))
+    for ef in (10, 20, 40):
+        scored = graphs.work(questions, ef).agg(F.round(F.avg(F.col("scored") / F.col("vectors")), 4).alias("scored"))
+        found = evaluation.recall_at(graphs.search(questions, 10, ef), truth, 10).crossJoin(scored)  # one row by one
+        each.append(found.select(F.lit("graphs").alias("kind"), F.lit(ef).alias("setting"), "recall", "scored"))
+    return reduce(DataFrame.union, each)
 
 
 def semantic_cache_hits(spark, sf_dir):
