@@ -1,4 +1,4 @@
-"""Structured Streaming over the request log: hourly series, first answers within a time to live."""
+"""Structured Streaming over the request log: hourly series."""
 
 from __future__ import annotations
 
@@ -36,11 +36,6 @@ def hourly_stream(log: DataFrame, lateness: str = "1 hour") -> DataFrame:
     ).select(F.col("w.start").alias("hour"), "requests", "errors", "cache_hits", "max_ms")
 
 
-def first_in_ttl(log: DataFrame, ttl: str = "1 hour") -> DataFrame:
-    """Requests that no equal request within the time to live answered before: the exact cache's misses."""
-    return log.withWatermark("created_at", ttl).dropDuplicatesWithinWatermark(["query"])
-
-
 def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Everything the stream has now, run to its end. In complete mode each batch replaces the result, so windows still open are in it."""
     spark = stream.sparkSession
