@@ -303,8 +303,10 @@ def text_blocks(blocks: Column) -> Column:
 
 
 def source_passage(n: Column, title: Column, doc_id: Column, page_start: Column, page_end: Column, text: Column) -> Column:
-    pages = F.when(page_start == page_end, F.concat(F.lit("page "), page_start)).otherwise(F.concat(F.lit("pages "), page_start, F.lit("-"), page_end))
-    return F.concat(F.lit("["), n, F.lit("] "), F.coalesce(title, doc_id), F.lit(" ("), pages, F.lit(")\n"), text)
+    """A numbered passage under its title (the document's id where that is empty) and pages (none where they are not known)."""
+    pages = F.when(page_start == page_end, F.concat(F.lit(" (page "), page_start, F.lit(")"))).otherwise(F.concat(F.lit(" (pages "), page_start, F.lit("-"), page_end, F.lit(")")))
+    named = F.coalesce(F.nullif(title, F.lit("")), doc_id.cast("string"), F.lit(""))
+    return F.concat(F.lit("["), n, F.lit("] "), named, F.coalesce(pages, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
 
 
 def cache_key(*parts: Column) -> Column:

@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions import text as X
 from quarry.operators import chunking, ingest, search
+from quarry.session import discard, materialize
+from quarry.sources.files import page_of
+from quarry.sources.tables import DocumentTables
 
 
 def first_sentence(passage: Column) -> Column:
@@ -46,18 +50,44 @@ def answer_batch(
     return answers, cited
 
 
-def ingest_html(pages: DataFrame, stored_docs: DataFrame, stored_chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents and chunks after loading changed pages (doc_id, title, html).
+def loaded_pages(pages: DataFrame, stored_docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents and chunks of the pages (doc_id, title, html as text or bytes) that are not stored, or stored with another digest.
 
     The digest covers the page and the chunker's version, so a new chunker reloads pages that did not change. Unusable pages get their status and no chunks.
     """
-    digested = pages.withColumn("sha256", F.sha2(F.concat_ws("|", F.lit("chunker-1"), "html"), 256))
+    html = page_of(F.col("html")) if pages.schema["html"].dataType == T.BinaryType() else F.col("html")
+    digested = pages.withColumn("html", html).withColumn("sha256", F.sha2(F.concat_ws("|", F.lit("chunker-1"), "html"), 256))
     new = ingest.changed(digested, stored_docs)
-    text = chunking.html_text(F.col("html"))
-    status = F.when(F.col("html").isNull(), "no_html").otherwise(X.text_status(text, F.lit(1)))
-    judged = new.withColumn("status", status)
+    status = F.when(F.col("html").isNull(), "no_html").otherwise(X.text_status(chunking.html_text(F.col("html")), F.lit(1)))
+    judged = materialize(new.withColumn("status", status), "judged")
     chunks = chunking.html_chunks(judged.where("status = 'ok'")).withColumn("tokens", X.token_count(F.col("text")))
     counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
     docs = judged.select("doc_id", "title", "sha256", "status").join(counts, "doc_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
+    return docs, chunks
+
+
+def ingest_html(pages: DataFrame, stored_docs: DataFrame, stored_chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents and chunks after loading changed pages (doc_id, title, html)."""
+    docs, chunks = loaded_pages(pages, stored_docs)
     kept_chunks = stored_chunks.join(docs.select("doc_id"), "doc_id", "left_anti")
     return ingest.replace_by_key(stored_docs, docs, "doc_id"), kept_chunks.unionByName(chunks.select(*stored_chunks.columns))
+
+
+def ingest_stream(pages: DataFrame, tables: DocumentTables, checkpoint: str) -> list[int]:
+    """Loads a stream of pages into tables, batch by batch, until it has no more; returns the buckets written.
+
+    Batches are numbered in the checkpoint. One that was broken off is given again with its number; what it had stored by then is found unchanged or is
+    replaced, so each page is there once. A page that comes twice in a batch is taken once, the greatest by its digest.
+    """
+    written: set[int] = set()
+
+    def load(batch: DataFrame, number: int) -> None:
+        once = batch.where("doc_id is not null").withColumn("__h", F.xxhash64("html")).groupBy("doc_id").agg(F.max_by(F.struct(*batch.columns), "__h").alias("p"))
+        docs, chunks = loaded_pages(once.select("p.*"), tables.docs())
+        docs, chunks = materialize(docs, "docs"), materialize(chunks, "chunks")
+        written.update(tables.replace(docs, chunks))
+        discard(docs, chunks)
+
+    query = pages.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(load).start()
+    query.awaitTermination()
+    return sorted(written)

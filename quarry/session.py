@@ -32,10 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table up to which it is dealt anew; what moves is bounded by them.
+SPREAD_BYTES = 256_000_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df on as many partitions as there are cores, if a scan of a small table gives fewer. Larger tables are left as they are read."""
+    """df on as many partitions as there are cores, if it is a table of at most SPREAD_BYTES that a scan gives fewer. Larger tables are left as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= SPREAD_BYTES else df
 
 
 def shared_dir(spark: SparkSession) -> str:
