@@ -169,12 +169,12 @@ def is_tagged(html: Column) -> Column:
     return F.coalesce(html.rlike(f"""<div\\b[^>]*class=["']{MARKER_CLASS}["']"""), F.lit(False))
 
 
-def pieces(pages: DataFrame) -> DataFrame:
-    """(doc_id, place, section, label, body) of marked-up pages (doc_id, html)."""
+def pieces(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, place, section, label, body) of marked-up pages (doc_id, html), with columns to keep. The pieces of a page follow one another."""
 
     @F.pandas_udf("array<struct<section:string,label:string,body:string>>")
     def read(html: pd.Series) -> pd.Series:
         return html.map(lambda h: [dict(zip(("section", "label", "body"), p, strict=True)) for p in tagged_pieces(h)])
 
-    found = pages.where(is_tagged(F.col("html"))).select("doc_id", F.posexplode(read("html")).alias("place", "p"))
-    return found.select("doc_id", "place", "p.section", "p.label", "p.body")
+    found = pages.where(is_tagged(F.col("html"))).select("doc_id", *keep, F.posexplode(read("html")).alias("place", "p"))
+    return found.select("doc_id", "place", "p.section", "p.label", "p.body", *keep)

@@ -1,16 +1,21 @@
 """Chunking: by size, by packed units, by the structure of an act, and from HTML.
 
-Structure is found with expressions over the array of a document's lines and folds over arrays; only the recursive size splitter is an Arrow
-function. A document is a row throughout, so nothing is shuffled.
+Structure is found with expressions over the array of a document's lines; the recursive size splitter and the merging of neighbours are Arrow functions.
+Pieces of a document stay together in its partition, in order, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.functions.columns import let
 from quarry.functions.markup import element_text, is_tagged
@@ -190,61 +195,68 @@ def article_lines(lines: Column, after: Column) -> Column:
     return F.aggregate(marked, zero, step, lambda acc: acc["kept"])
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, section, label, body) of docs (doc_id, text): preamble, articles and annexes; one body where there is no article."""
+def pieces(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, place, section, label, body) of docs (doc_id, text): preamble, articles and annexes; one body where there is no article.
+
+    With columns to keep. A piece gets its own lines before the document is split, and the pieces of a document follow one another.
+    """
     at = lambda pattern: F.filter(F.transform(F.col("lines"), lambda x, i: F.when(x.rlike(pattern), i)), lambda i: i.isNotNull())
-    # Exploding and grouping would shuffle; a generator of one row keeps the arrays from being worked out again at each use.
-    one = docs.select("doc_id", F.explode(F.array(F.split(F.coalesce("text", F.lit("")), "\n", -1))).alias("lines"))
-    one = one.select("doc_id", "lines", F.explode(F.array(F.struct(at(ADOPTED).alias("adopted"), at(ANNEX).alias("annexes"), at(DIVISION).alias("divisions")))).alias("h"))
+    once = lambda value, name: F.explode(F.array(value)).alias(name)  # noqa: E731  a generator of one row keeps a value from being worked out again at each use
+    one = docs.select("doc_id", *keep, once(F.split(F.coalesce("text", F.lit("")), "\n", -1), "lines"))
+    one = one.select("doc_id", *keep, "lines", once(F.struct(at(ADOPTED).alias("adopted"), at(ANNEX).alias("annexes"), at(DIVISION).alias("divisions")), "h"))
     adopted = F.get("h.adopted", F.lit(0))
-    one = one.select("doc_id", "lines", "h", F.explode(F.array(article_lines(F.col("lines"), F.coalesce(adopted, F.lit(-1))))).alias("articles"))
+    one = one.select("*", once(article_lines(F.col("lines"), F.coalesce(adopted, F.lit(-1))), "articles"))
     first, last = F.get("articles", F.lit(0)), F.try_element_at("articles", F.lit(-1))
-    annexes = F.filter("h.annexes", lambda i: i > last)
     count = F.size("lines")
-    one = one.select("doc_id", "lines", "articles", F.explode(F.array(annexes)).alias("annexes"), F.col("h.divisions").alias("divisions"), F.coalesce(adopted, first).alias("preamble_end"))
+    one = one.select("doc_id", *keep, "lines", "articles", once(F.filter("h.annexes", lambda i: i > last), "annexes"), F.col("h.divisions").alias("divisions"), F.coalesce(adopted, first).alias("preamble_end"))
     annex_start = F.coalesce(F.get("annexes", F.lit(0)), count)
-    plan = F.when(F.size("articles") == 0, F.array(F.struct(F.lit("body").alias("section"), F.lit(-1).alias("a"), count.alias("z")))).otherwise(
+    part = lambda section, a, z: F.struct(F.lit(section).alias("section"), a.alias("a"), z.alias("z"))
+    plan = F.when(F.size("articles") == 0, F.array(part("body", F.lit(-1), count))).otherwise(
         F.concat(
-            F.array(F.struct(F.lit("preamble").alias("section"), F.lit(-1).alias("a"), F.col("preamble_end").alias("z"))),
-            F.transform("articles", lambda a, i: F.struct(F.lit("article").alias("section"), a.alias("a"), F.coalesce(F.get("articles", i + 1), annex_start).alias("z"))),
-            F.transform("annexes", lambda a, i: F.struct(F.lit("annex").alias("section"), a.alias("a"), F.coalesce(F.get("annexes", i + 1), count).alias("z"))),
+            F.array(part("preamble", F.lit(-1), F.col("preamble_end"))),
+            F.transform("articles", lambda a, i: part("article", a, F.coalesce(F.get("articles", i + 1), annex_start))),
+            F.transform("annexes", lambda a, i: part("annex", a, F.coalesce(F.get("annexes", i + 1), count))),
         )
     )
-    rows = one.select("doc_id", "lines", "divisions", annex_start.alias("annex_start"), F.posexplode(plan).alias("place", "p"))
     line = lambda i: F.get("lines", i)
-    # Division headings at an article's end, and their title lines, belong to what follows.
-    is_title = lambda i: F.array_contains("divisions", i - 1) & (F.length(line(i)) <= 120) & ~F.array_contains("divisions", i)
-    inside = F.filter(F.sequence(F.col("p.a") + 1, F.greatest(F.col("p.z") - 1, F.col("p.a") + 1)), lambda i: i < F.col("p.z"))
-    kept = F.filter(inside, lambda i: ~((F.col("p.section") == "article") & (F.array_contains("divisions", i) | is_title(i))))
-    text = F.regexp_replace(F.array_join(F.transform(kept, line), "\n"), r"^\n+|\n+$", "")
-    titled = F.when(F.col("p.section").isin("article", "annex"), heading_title(text)).otherwise(F.struct(F.lit("").alias("title"), text.alias("rest")))
-    named = F.when(F.col("p.a") >= 0, F.trim(line(F.col("p.a")))).otherwise("")
     division_text = lambda i: F.trim(
         F.concat_ws(" ", F.trim(line(i)), F.when((F.length(F.coalesce(line(i + 1), F.lit(""))) <= 120) & ~line(i + 1).rlike(ARTICLE), F.trim(line(i + 1))))
     )
-    earlier = F.filter("divisions", lambda i: (i < F.col("p.a")) & (i < F.col("annex_start")))
-    is_sub = lambda i: F.lower(line(i)).startswith("section")
-    top = F.try_element_at(F.filter(earlier, lambda i: ~is_sub(i)), F.lit(-1))
-    sub = F.try_element_at(F.filter(earlier, lambda i: is_sub(i) & (i > F.coalesce(F.try_element_at(F.filter(earlier, lambda k: ~is_sub(k)), F.lit(-1)), F.lit(-1)))), F.lit(-1))
-    out = rows.withColumn("t", titled).select(
-        "doc_id", "place", F.col("p.section").alias("section"), "t", named.alias("named"), F.when(top.isNotNull(), division_text(top)).alias("top"), F.when(sub.isNotNull(), division_text(sub)).alias("sub")
-    )
+    named = F.transform("divisions", lambda i: F.struct(i.alias("i"), F.lower(line(i)).startswith("section").alias("sub"), division_text(i).alias("text"), (F.length(line(i + 1)) <= 120).alias("short")))
+    one = one.select("doc_id", *keep, "lines", "divisions", annex_start.alias("annex_start"), once(plan, "plan"), once(named, "named"))
+
+    def own(p: Column) -> Column:
+        """A piece with its lines and the divisions above it. Division headings at an article's end, and their title lines, belong to what follows."""
+        is_title = lambda i, x: F.array_contains("divisions", i - 1) & (F.length(x) <= 120) & ~F.array_contains("divisions", i)
+        heads = lambda i, x: (p["section"] == "article") & (F.array_contains("divisions", i) | is_title(i, x))
+        inside = F.slice("lines", p["a"] + 2, F.greatest(p["z"] - p["a"] - 1, F.lit(0)))
+        kept = F.when(F.size("divisions") == 0, inside).otherwise(F.filter(inside, lambda x, k: ~heads(p["a"] + 1 + k, x)))
+        earlier = F.filter("named", lambda d: (d["i"] < p["a"]) & (d["i"] < F.col("annex_start")))
+        top = F.try_element_at(F.filter(earlier, lambda d: ~d["sub"]), F.lit(-1))
+        sub = let(top, lambda t: F.try_element_at(F.filter(earlier, lambda d: d["sub"] & (d["i"] > F.coalesce(t["i"], F.lit(-1)))), F.lit(-1))["text"])
+        text = F.regexp_replace(F.array_join(kept, "\n"), r"^\n+|\n+$", "")
+        return F.struct(p["section"].alias("section"), text.alias("text"), F.when(p["a"] >= 0, F.trim(line(p["a"]))).otherwise("").alias("named"), top["text"].alias("top"), sub.alias("sub"))
+
+    rows = one.select("doc_id", *keep, F.posexplode(F.transform("plan", own)).alias("place", "p"))
+    titled = F.when(F.col("p.section").isin("article", "annex"), heading_title(F.col("p.text"))).otherwise(F.struct(F.lit("").alias("title"), F.col("p.text").alias("rest")))
+    out = rows.select("doc_id", *keep, "place", "p.section", "p.named", "p.top", "p.sub", once(titled, "t"))
     heading = F.concat_ws(" ", F.when(F.col("section") == "annex", F.initcap("named")).otherwise(F.col("named")), F.nullif(F.col("t.title"), F.lit("")))
     label = F.when(F.col("section") == "article", F.concat_ws(" | ", "top", "sub", heading)).otherwise(heading)
-    return out.select("doc_id", "place", "section", label.alias("label"), F.regexp_replace("t.rest", r"^\s+|\s+$", "").alias("body")).where("body <> ''")
+    return out.select("doc_id", "place", "section", label.alias("label"), F.regexp_replace("t.rest", r"^\s+|\s+$", "").alias("body"), *keep).where("body <> ''")
 
 
 def structure_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS, html: bool = False, marked: DataFrame | None = None) -> DataFrame:
     """(doc_id, chunk_index, section, label, text) of docs (doc_id, title, text): pieces split at their units and packed to a token budget.
 
-    `marked` holds pieces known from markup; texts are read for those of the other documents, and those with a null text have none.
+    `marked` holds pieces known from markup, with their title; texts are read for those of the other documents, and those with a null text have none.
 
     Recitals take RECITAL_TOKENS where the text came from HTML. Annex parts with more digits than letters go then too, recitals are merged and named by their range, and
-    short parts join the one before them. A unit over the budget is cut by size.
+    short parts join the one before them. A unit over the budget is cut by size. Rows of one doc_id are documents of their own.
     """
-    found = pieces(docs.where("text is not null"))
+    keep = ("title", "__row")
+    found = pieces(docs.where("text is not null").withColumn("__row", F.monotonically_increasing_id()), keep)
     found = (found.unionByName(marked) if marked is not None else found).withColumn("label", F.when(F.col("section") == "preamble", F.lit("Recitals" if html else "Preamble and recitals")).otherwise(F.col("label")))
-    named = found.join(docs.select("doc_id", "title"), "doc_id").withColumn("header", chunk_header(F.col("title"), F.col("label")))
+    named = found.withColumn("header", chunk_header(F.col("title"), F.col("label")))
     units = (
         F.when(F.col("section") == "preamble", F.split("body", RECITAL_START))
         .when(F.col("section") == "article", F.split("body", PARAGRAPH_START))
@@ -264,98 +276,120 @@ def structure_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS, html: bool =
             splits = (split_recursively(text, size, 0) for size in sizes)
             return next((parts for parts in splits if all(count_tokens(p) <= limit for p in parts)), None) or split_recursively(text, sizes[-1], 0)
 
-        return pd.Series([[p for g in gs for p in fit(g, n)] for gs, n in zip(groups, room, strict=True)])
-
-    packed = named.withColumn("room", budget).withColumn("groups", pack_within(units, F.col("room")))
-    parts = packed.withColumn("parts", cut("groups", "room")).select("doc_id", "place", "section", "label", "header", F.posexplode("parts").alias("part", "body"))
-    # Small rows of much work each: a set number of partitions, which adaptive execution does not merge by their size.
-    parts = parts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    if not html:
-        final = parts.withColumn("text", F.concat_ws("\n", "header", "body"))
-        return _numbered(final.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "part", "section", "label", "text"))).alias("c")))
-    parts = parts.where(~((F.col("section") == "annex") & mostly_numbers(F.col("body"))))
-    # Token counts of texts that a newline or a colon joins add up, so each text is counted once.
-    counts = [token_count(F.col(c)).alias(f"{c}_tokens") for c in ("label", "header", "body")]
-    gathered = parts.select("*", *counts).groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("place", "part", "section", "label", "header", "body", "label_tokens", "header_tokens", "body_tokens"))).alias("c")
-    )
-    merged = gathered.withColumn("c", _merge_recitals(F.col("c"))).withColumn("c", F.explode(F.array("c"))).withColumn("c", _merge_small(F.col("c"), max_tokens))
-    return _numbered(merged.withColumn("c", F.transform("c", lambda x: x.withField("text", F.concat_ws("\n", x["header"], x["body"])))))
-
-
-def paged_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """structure_chunks of docs (doc_id, title, pages: array of texts), with the pages of each chunk's body: page_start, page_end, 0 where not found."""
-    whole = docs.select("doc_id", "title", F.array_join("pages", "\n").alias("text"))
-    chunks = structure_chunks(whole, max_tokens)
-    bodies = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", body_of(F.col("text")).alias("body")))).alias("c"))
-    ranges = locate_pages(bodies.select("doc_id", F.transform("c", lambda x: x["body"]).alias("bodies")), docs.select("doc_id", "pages"))
-    placed = ranges.select("doc_id", F.posexplode("pages").alias("chunk_index", "p"))
-    return chunks.join(placed, ["doc_id", "chunk_index"], "left").select("*", F.col("p.start").alias("page_start"), F.col("p.end").alias("page_end")).drop("p")
-
-
-def pack_within(units: Column, room: Column) -> Column:
-    """pack, with the default token count and a budget by row."""
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("n"))
+        return pd.Series([[p for group in packed(units, n) for p in fit(group, n)] for units, n in zip(groups, room, strict=True)], dtype=object)
+
+    def packed(units: list[str], room: int) -> list[str]:
+        """Neighbouring units, trimmed, joined by newlines while their tokens fit."""
+        out: list[str] = []
+        now, n = [], 0
+        for unit in (u.strip(" ") for u in units):
+            if not unit:
+                continue
+            more = count_tokens(unit)
+            if now and n + more > room:
+                out.append("\n".join(now))
+                now, n = [], 0
+            now.append(unit)
+            n += more
+        return [*out, "\n".join(now)] if now else out
+
+    parts = named.withColumn("parts", cut(units, budget)).select("__row", "doc_id", "section", "label", "header", F.explode("parts").alias("body"))
+    if html:
+        parts = parts.where(~((F.col("section") == "annex") & mostly_numbers(F.col("body"))))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, held = None, []
+        for batch in batches:
+            done = []
+            for own, *values in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if own != row:
+                    done += finished(held, html, max_tokens)
+                    row, held = own, []
+                held.append(Part(*values))
+            yield batch_of(done)
+        yield batch_of(finished(held, html, max_tokens))
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    key = docs.schema["doc_id"].dataType
+    columns = f"doc_id {key.simpleString()}, chunk_index int, section string, label string, text string"
+    schema = to_arrow_schema(T.StructType.fromDDL(columns))
+    return parts.mapInArrow(number, columns)
+
+
+@dataclass
+class Part:
+    """A part of a piece."""
+
+    doc_id: object
+    section: str
+    label: str
+    header: str
+    body: str
+
+
+def finished(parts: list[Part], html: bool, max_tokens: int) -> list[tuple]:
+    """(doc_id, chunk_index, section, label, text) of the parts of one document."""
+    if html:
+        parts = merge_small(merge_recitals(parts), max_tokens)
+    return [(p.doc_id, i, p.section, p.label, f"{p.header}\n{p.body}") for i, p in enumerate(parts)]
+
+
+def _joined(parts: list[Part], joins: Callable[[Part, int, Part, int], int | None], join: Callable[[Part, Part], str]) -> list[Part]:
+    """Each part joined to the one before it where `joins` says how many tokens both then have; token counts are carried along."""
+    out: list[Part] = []
+    tokens = 0
+    for part in parts:
+        own = count_tokens(part.body)
+        if out and (total := joins(out[-1], tokens, part, own)) is not None:
+            out[-1] = replace(out[-1], body=join(out[-1], part))
+            tokens = total
+        else:
+            out.append(part)
+            tokens = own
+    return out
 
-    def step(acc: Column, unit: Column) -> Column:
-        more = token_count(unit)
-        full = acc["now"].isNotNull() & (acc["n"] + more > room)
-        return F.struct(
-            F.when(full, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"),
-            F.when(full, unit).otherwise(F.concat_ws("\n", acc["now"], unit)).alias("now"),
-            F.when(full, more).otherwise(acc["n"] + more).alias("n"),
-        )
 
-    trimmed = F.filter(F.transform(units, F.trim), lambda u: u != "")
-    return F.aggregate(trimmed, zero, step, lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["now"])))
+def merge_recitals(parts: list[Part]) -> list[Part]:
+    """Neighbouring recitals that fit RECITAL_TOKENS under one header, named by the range of their numbers."""
 
+    def joins(a: Part, a_tokens: int, b: Part, b_tokens: int) -> int | None:
+        fits = a.section == b.section == "preamble" and count_tokens(a.header) + a_tokens + b_tokens <= RECITAL_TOKENS
+        return a_tokens + b_tokens if fits else None
 
-def _fold(chunks: Column, joins, joined, tokens) -> Column:
-    """Left fold: a chunk is joined to the one before it where `joins(previous, chunk)`."""
+    def named(p: Part) -> Part:
+        numbers = re.findall(r"(?m)^\(([0-9]+)\)", p.body) if p.section == "preamble" else []
+        if not numbers:
+            return p
+        label = f"Recitals ({numbers[0]})" + (f"-({numbers[-1]})" if len(numbers) > 1 else "")
+        return replace(p, label=label, header=(p.header.rpartition(" | ")[0] if " | " in p.header else p.header) + f" | {label}")
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        merge = F.when(F.size(acc) > 0, joins(last, x)).otherwise(False)
-        return F.when(merge, F.array_append(F.slice(acc, 1, F.size(acc) - 1), last.withField("body", joined(last, x)).withField("body_tokens", tokens(last, x)))).otherwise(F.array_append(acc, x))
+    return [named(p) for p in _joined(parts, joins, lambda a, b: f"{a.body}\n{b.body}")]
 
-    return F.aggregate(chunks, F.slice(chunks, 1, 0), step)
 
+def merge_small(parts: list[Part], max_tokens: int) -> list[Part]:
+    """Parts of less than SMALL_CHARS letters join the one before them in their section, under the last part of their label, if both fit."""
+    short = lambda p: p.label.rpartition(" | ")[2]
 
-def _merge_recitals(chunks: Column) -> Column:
-    both = lambda a, b: F.concat_ws("\n", a["body"], b["body"])
-    folded = _fold(
-        chunks,
-        lambda a, b: (a["section"] == "preamble") & (b["section"] == "preamble") & (a["header_tokens"] + a["body_tokens"] + b["body_tokens"] <= RECITAL_TOKENS),
-        both,
-        lambda a, b: a["body_tokens"] + b["body_tokens"],
-    )
+    def joins(a: Part, a_tokens: int, b: Part, b_tokens: int) -> int | None:
+        small = a.section == b.section and len(b.body) < SMALL_CHARS
+        if not small or count_tokens(a.header) + a_tokens + count_tokens(b.label) + 1 + b_tokens > max_tokens:
+            return None
+        return a_tokens + count_tokens(short(b)) + 1 + b_tokens
 
-    def renamed(x: Column) -> Column:
-        numbers = F.regexp_extract_all(x["body"], F.lit(r"(?m)^\((\d+)\)"), F.lit(1))
-        label = F.concat(
-            F.lit("Recitals ("), F.get(numbers, F.lit(0)), F.lit(")"), F.when(F.size(numbers) > 1, F.concat(F.lit("-("), F.try_element_at(numbers, F.lit(-1)), F.lit(")"))).otherwise("")
-        )
-        # The new label has the old one's word, and brackets and numbers more: it is counted anew.
-        with_label = x.withField("label", label).withField("label_tokens", token_count(label)).withField("header", F.concat(F.regexp_replace(x["header"], r"(?s) \| (?:(?! \| ).)*$", ""), F.lit(" | "), label))
-        with_label = with_label.withField("header_tokens", token_count(with_label["header"]))
-        return F.when((x["section"] == "preamble") & (F.size(numbers) > 0), with_label).otherwise(x)
-
-    return F.transform(folded, renamed)
-
-
-def _merge_small(chunks: Column, max_tokens: int) -> Column:
-    named = lambda x, label: F.concat(label, F.lit(": "), x["body"])
-    short = lambda x: F.substring_index(x["label"], " | ", -1)
-    return _fold(
-        chunks,
-        lambda a, b: (a["section"] == b["section"]) & (F.length(b["body"]) < SMALL_CHARS) & (a["header_tokens"] + a["body_tokens"] + b["label_tokens"] + 1 + b["body_tokens"] <= max_tokens),
-        lambda a, b: F.concat_ws("\n", a["body"], named(b, short(b))),
-        lambda a, b: a["body_tokens"] + token_count(short(b)) + 1 + b["body_tokens"],
-    )
+    return _joined(parts, joins, lambda a, b: f"{a.body}\n{short(b)}: {b.body}")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode("c").alias("chunk_index", "x")).select("doc_id", "chunk_index", "x.section", "x.label", "x.text")
+def paged_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """structure_chunks of docs (doc_id, title, pages: array of texts), with the pages of each chunk's body: page_start, page_end, 0 where not found."""
+    whole = docs.select("doc_id", "title", F.array_join("pages", "\n").alias("text"))
+    chunks = structure_chunks(whole, max_tokens)
+    bodies = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", body_of(F.col("text")).alias("body")))).alias("c"))
+    ranges = locate_pages(bodies.select("doc_id", F.transform("c", lambda x: x["body"]).alias("bodies")), docs.select("doc_id", "pages"))
+    placed = ranges.select("doc_id", F.posexplode("pages").alias("chunk_index", "p"))
+    return chunks.join(placed, ["doc_id", "chunk_index"], "left").select("*", F.col("p.start").alias("page_start"), F.col("p.end").alias("page_end")).drop("p")
 
 
 # HTML --------------------------------------------------------------------------------------------------------------------
@@ -381,4 +415,5 @@ def html_chunks(pages: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     plain = ~is_tagged(F.col("html"))
     held = F.when(plain & F.col("html").contains(CONTAINER), F.col("html"))
     text = F.when(plain, F.coalesce(element_text(held, CONTAINER), html_text(F.col("html"))))
-    return structure_chunks(pages.select("doc_id", "title", text.alias("text")), max_tokens, html=True, marked=marked_pieces(pages))
+    marked = marked_pieces(pages.withColumn("__row", F.monotonically_increasing_id()), ("title", "__row"))
+    return structure_chunks(pages.select("doc_id", "title", text.alias("text")), max_tokens, html=True, marked=marked)

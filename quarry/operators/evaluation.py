@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import letters
+from quarry.operators import kernels
 from quarry.operators.analytics import percentiles
+from quarry.session import materialize
 
 RUN = 120
 
@@ -57,28 +63,73 @@ def gold_texts(golden: DataFrame, chunks: DataFrame) -> DataFrame:
     return golden.select("id", F.explode("chunk_ids").alias("chunk_id")).join(chunks, "chunk_id").select("id", "chunk_id", "text")
 
 
+#: Bits of the bitmap of the passages' anchors at most (8 MB), and rows of an anchor that meet in one place.
+FILTER_BITS, SALT = 1 << 26, 2_000
+
+
+def _anchored(frame: DataFrame, key: str, run: int, fill: int, bits=None) -> DataFrame:
+    """(key, g, near): the anchors of each text and their surroundings, once each a text. bits: a bitmap of the anchors that count."""
+    kind = frame.schema[key].dataType.simpleString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None if bits is None else bits.value
+        for batch in batches:
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                letters_of = text.encode()
+                at, h = kernels.anchors(letters_of, run)
+                g = h.view(np.int64)
+                if held is not None:
+                    place = g & (8 * len(held) - 1)
+                    good = (held[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                    at, g = at[good], g[good]
+                for a in range(0, len(at), 10_000):
+                    near = {(int(x), row.tobytes()) for x, row in zip(g[a : a + 10_000], kernels.surroundings(letters_of, at[a : a + 10_000], run, fill), strict=True)}
+                    own = batch.column(0).slice(k, 1).take(pa.array(np.zeros(len(near), np.int64)))
+                    yield pa.RecordBatch.from_arrays([own, pa.array([x for x, _ in near], pa.int64()), pa.array([x for _, x in near], pa.binary())], [key, "g", "near"])
+
+    texts = frame.where(f"{key} is not null").select(key, letters(F.col("text")).alias("t")).where(F.length("t") >= run)
+    return texts.mapInArrow(rows, f"{key} {kind}, g long, near binary")
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """Bits of the hashes g, about eight for each, FILTER_BITS at most."""
+    bits = min(FILTER_BITS, 1 << max(15, (8 * hashes.count()).bit_length()))
+    place = hashes.select(F.col("g").bitwiseAND(bits - 1).alias("at")).select(F.floor(F.col("at") / 32768).alias("row"), F.col("at").bitwiseAND(32767).alias("bit"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in place.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("map")).collect():
+        out[4096 * r["row"] : 4096 * (r["row"] + 1)] = np.frombuffer(r["map"], np.uint8)
+    return out
+
+
 def shared_runs(passages: DataFrame, documents: DataFrame, run: int = RUN) -> DataFrame:
     """(p_id, doc_id): pairs of passage (p_id, text) and document (doc_id, text) that share `run` letters in a row.
 
-    Letters are lower-case ASCII letters and digits. Any shared run holds a slice of run / 2 letters that starts at a multiple of run / 2 in the document, so
-    documents are indexed at that stride only, and passages at every place; candidates are then verified on the slices of the passage around the match.
+    Letters are lower-case ASCII letters and digits. A run has an anchor, its letters of least hash, the same in both texts; so texts meet by their anchors,
+    about one for each fifty letters, with all that a run over one can hold, and are compared there letter by letter. Documents send only anchors that passages
+    may have, by a bitmap. An anchor of many documents is dealt to several places, to each of which its passages go; equal surroundings are compared once.
     """
-    half, reach = run // 2, run - run // 2
-
-    def around(text: str, place: str) -> Column:
-        """The letters that a run over the slice at this place can take."""
-        return F.expr(f"substring({text}, greatest({place} - {reach}, 0) + 1, {place} - greatest({place} - {reach}, 0) + {run})")
-
-    def slices(frame: DataFrame, key: str, step: int, near: str) -> DataFrame:
-        text = frame.select(key, letters(F.col("text")).alias("t")).where(F.length("t") >= run)
-        placed = text.select(key, "t", F.explode(F.sequence(F.lit(0), F.length("t") - half, F.lit(step))).alias("i"))
-        # Neither whole texts nor slices move: a hash of the slice and its surroundings do, and equality is that of the run.
-        return placed.select(key, F.xxhash64(F.expr(f"substring(t, i + 1, {half})")).alias("g"), around("t", "i").alias(near)).where(F.length(near) >= run)
-
-    windows = F.transform(F.sequence(F.lit(0), F.length("p") - run), lambda s: F.substring(F.col("p"), s + 1, F.lit(run)))
-    # Sizes are estimated before the texts are sliced, so a broadcast would go unchecked.
-    pairs = slices(documents, "doc_id", half, "d").join(slices(passages, "p_id", 1, "p").hint("merge"), "g")
-    return pairs.where(F.exists(windows, lambda w: F.contains(F.col("d"), w))).select("p_id", "doc_id").distinct()
+    spark = documents.sparkSession
+    asked = materialize(_anchored(passages, "p_id", run, 0), "passage-anchors")
+    bits = spark.sparkContext.broadcast(_bitmap(asked.select("g").distinct()))
+    held = materialize(_anchored(documents, "doc_id", run, 1, bits), "document-anchors")
+    texts = held.groupBy("g", "near").agg(F.count(F.lit(1)).alias("n"))
+    salts = texts.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / SALT).alias("salts"))
+    dealt = texts.join(salts, "g").select("g", F.pmod(F.xxhash64("near"), "salts").alias("salt"), "near")
+    wanted = asked.select("g", F.col("near").alias("p")).distinct().join(salts, "g")
+    wanted = wanted.select("g", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = 2 * run - kernels.GRAM
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, width) for i in (1, 2))
+            yield batch.filter(pa.array(kernels.runs_over(a, b, run)))
+
+    # Sizes are estimated before the texts are cut, so a broadcast would go unchecked.
+    alike = dealt.hint("merge").join(wanted, ["g", "salt"]).select("g", "p", F.col("near").alias("d")).mapInArrow(compare, "g long, p binary, d binary")
+    alike = materialize(alike, "alike")
+    of_passage = alike.join(asked.withColumnRenamed("near", "p"), ["g", "p"]).select("g", "d", "p_id").distinct()
+    pairs = of_passage.join(held.withColumnRenamed("near", "d"), ["g", "d"]).select("p_id", "doc_id").distinct()
+    return pairs
 
 
 def latency_summary(times: DataFrame) -> DataFrame:

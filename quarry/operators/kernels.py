@@ -1,4 +1,4 @@
-"""Numpy kernels of the search operators: matrices from Arrow columns, a running top k, and navigable neighbour graphs."""
+"""Numpy kernels of the search operators: matrices from Arrow columns, a running top k, navigable neighbour graphs, and anchors of texts."""
 
 from __future__ import annotations
 
@@ -200,3 +200,52 @@ of each part of the graph that these would not reach.
             offered = self.neighbours[places[going, at]].astype(np.int64)
         places[~np.isfinite(scores)] = -1
         return places, scores, work
+
+
+#: Letters of an anchor: three 64-bit words.
+GRAM = 24
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """The least or greatest value of each `width` neighbours."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        values = pick(values[:-step], values[step:])
+        done += step
+    return values
+
+
+def anchors(letters: bytes, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the GRAM letters of least hash in each `run` letters, all of them where several are equal: the same wherever the run occurs."""
+    data, width = np.frombuffer(letters, np.uint8), run - GRAM + 1
+    if len(data) < run:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    n = len(data) - GRAM + 1
+    h = words[:n] * _ODD[0] + words[8 : 8 + n] * _ODD[1] + words[16 : 16 + n] * _ODD[2]
+    h = (h ^ (h >> np.uint64(32))) * _ODD[0]
+    h ^= h >> np.uint64(29)
+    least = _sliding(h, width, np.minimum)
+    # A gram is least in some run if the greatest of the least hashes of the runs that hold it is its own.
+    ends = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(_sliding(np.concatenate((ends, least, ends)), width, np.maximum) == h)
+    return at, h[at]
+
+
+def surroundings(letters: bytes, at: np.ndarray, run: int, fill: int) -> np.ndarray:
+    """A row of 2 * run - GRAM letters around each place, all that a run over it can hold; beyond the text `fill`."""
+    reach = run - GRAM
+    edge = np.full(reach, fill, np.uint8)
+    data = np.concatenate((edge, np.frombuffer(letters, np.uint8), edge))
+    return np.lib.stride_tricks.sliding_window_view(data, 2 * reach + GRAM)[at]
+
+
+def runs_over(a: np.ndarray, b: np.ndarray, run: int) -> np.ndarray:
+    """Whether rows of surroundings, anchor on anchor, have `run` equal letters in a row over it."""
+    reach, differ = run - GRAM, a != b
+    before, after = differ[:, :reach][:, ::-1], differ[:, reach:]
+    left = np.where(before.any(1), before.argmax(1), reach)
+    right = np.where(after.any(1), after.argmax(1), reach + GRAM)
+    return (right >= GRAM) & (left + right >= run)
