@@ -48,32 +48,39 @@ def _tenths(ms: Column) -> Column:
     return F.round(F.round(ms, 6), 1)
 
 
+def latency_bin(v: Column) -> Column:
+    """The number of a value's bin: 64 for each doubling, so that a bin is about a hundredth of its values wide; signs apart, and 0 alone."""
+    magnitude = F.floor(F.log2(F.abs(v.cast("double"))) * 64)
+    return F.when(v > 0, magnitude + 100_000).when(v < 0, -magnitude - 100_000).when(v == 0, F.lit(0)).cast("long")
+
+
 def percentiles(frame: DataFrame, keys: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
     """(*keys, p: array of the exact, interpolated percentiles of value). Keys and values that are null are left out.
 
-    No task holds all values. They are counted in bins of a hundredth, a few thousand whatever the table; only the bins in which a percentile falls are
-    read value by value.
+    No task holds all values. They are counted in bins of a hundredth, a few thousand a key whatever the table; only the bins in which a percentile falls are
+    read value by value. Those are two for each key and share; where they are few they are broadcast, so that the second pass moves nothing but its counts.
     """
-    magnitude = F.floor(F.log2(F.abs(F.col("__v"))) * 64)
-    own = frame.where(" and ".join(f"{c} is not null" for c in [value, *keys])).withColumn("__v", F.col(value).cast("double"))
-    own = own.withColumn("__bin", F.when(F.col("__v") > 0, magnitude + 100_000).when(F.col("__v") < 0, -magnitude - 100_000).otherwise(F.lit(0)))
-    run = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = own.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(run))
-    bins = bins.withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
-    place = F.col("share") * (F.col("n") - 1)
-    wanted = bins.select("*", F.explode(F.array(*(F.lit(float(s)) for s in shares))).alias("share")).select(
-        *keys, "__bin", "share", (place - F.floor(place)).alias("part"), (F.col("upto") - F.col("c")).alias("before"), "upto", F.explode(F.array(F.floor(place), F.ceil(place))).alias("at")
-    )
-    wanted = wanted.where("before <= at and at < upto").select(*keys, "__bin", "share", "part", "before", "at").distinct()
+    own = frame.where(" and ".join(f"{c} is not null" for c in [value, *keys])).select(*keys, F.col(value).cast("double").alias("__v"))
+    own = own.withColumn("__bin", F.coalesce(latency_bin(F.col("__v")), F.lit(0)))
+    # Bins in order, with their counts, as one array a key.
+    bins = own.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__bin", "c"))).alias("bins"), F.sum("c").alias("n"))
+    upto = F.aggregate("bins", F.array().cast("array<bigint>"), lambda acc, b: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + b["c"]))
+    place = lambda s: F.lit(float(s)) * (F.col("n") - 1)
+
+    def bin_of(at: Column) -> Column:
+        k = F.size(F.filter("upto", lambda u: u <= at))
+        return F.struct(F.get("bins", k)["__bin"].alias("__bin"), (at - F.coalesce(F.get("upto", k - 1), F.lit(0))).alias("at"))
+
+    wanted = F.array(*(F.struct(F.lit(i).alias("i"), (place(s) - F.floor(place(s))).alias("part"), side.alias("w")) for i, s in enumerate(shares) for side in (bin_of(F.floor(place(s))), bin_of(F.ceil(place(s))))))
+    asked = bins.withColumn("upto", upto).select(*keys, F.explode(wanted).alias("x")).select(*keys, "x.i", "x.part", "x.w.*").distinct()
     of_bin = [*keys, "__bin"]
-    # Two rows for each key and share at most.
-    few = own.join(wanted.select(*of_bin, "before").distinct(), of_bin)
-    values = few.groupBy(*of_bin, "before", "__v").agg(F.count(F.lit(1)).alias("c"))
-    values = values.withColumn("last", F.col("before") + F.sum("c").over(Window.partitionBy(*of_bin).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
-    found = wanted.drop("before").join(values, of_bin).where("last - c <= at and at < last")
+    some = asked.select(*of_bin).distinct()
+    values = own.join(some, of_bin, "left_semi").groupBy(*of_bin, "__v").agg(F.count(F.lit(1)).alias("c"))
+    values = values.withColumn("last", F.sum("c").over(Window.partitionBy(*of_bin).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
+    found = asked.join(values, of_bin).where("last - c <= at and at < last")
     low, high = F.min("__v"), F.max("__v")
-    each = found.groupBy(*keys, "share").agg((low + (high - low) * F.max("part")).alias("x"))
-    ordered = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("share", "x"))).alias("xs"))
+    each = found.groupBy(*keys, "i").agg((low + (high - low) * F.max("part")).alias("x"))
+    ordered = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("xs"))
     return ordered.select(*keys, F.transform("xs", lambda s: s["x"]).alias("p"))
 
 
