@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry import catalogue_lists
+from quarry import catalogue_lists, catalogue_sinks
 from quarry.functions import text as X
 from quarry.functions import vectors as V
 from quarry.operators import analytics, catalog, chunking, evaluation, ingest, search
@@ -204,7 +204,7 @@ def pack_lines(spark, sf_dir):
 
 
 def fixed_chunks(spark, sf_dir):
-    docs = _docs(spark, sf_dir).select("doc_id", F.array(F.coalesce("text", F.lit(""))).alias("pages"))
+    docs = _docs(spark, sf_dir).select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("pages"))
     return chunking.fixed_chunks(docs)
 
 
@@ -298,7 +298,7 @@ QUERIES = {
         rerank_lexical, span_match, pile_union, vector_norms,
     )
 }
-QUERIES |= catalogue_lists.QUERIES
+QUERIES |= catalogue_lists.QUERIES | catalogue_sinks.QUERIES
 
 _COMMON = ", ".join(f"'{w}'" for w in X.COMMON_WORDS)
 STATUS_SQL = f"""CASE WHEN text IS NULL OR length(text) < {X.MIN_CHARS_PER_PAGE} THEN 'no_text'
@@ -416,4 +416,4 @@ ORACLES = {
     "pile_union": f"""WITH {SCORES_SQL} SELECT q_id, id FROM ranked WHERE rank <= 10 UNION SELECT q_id, id FROM ranked WHERE rank <= 50 AND label = q_label""",
     "vector_norms": "SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, len(embedding) = 64 AS fits FROM embeddings",
 }
-ORACLES |= catalogue_lists.ORACLES
+ORACLES |= catalogue_lists.ORACLES | catalogue_sinks.ORACLES

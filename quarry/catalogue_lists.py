@@ -271,7 +271,7 @@ def cited_passages(spark, sf_dir):
 
 def cosine_to_first(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
-    first = vectors.where("id = 0").select(F.col("vec").alias("first"))
+    first = vectors.where("id = 0").orderBy("vec").limit(1).select(F.col("vec").alias("first"))
     unit = V.normalised(F.col("vec"))
     return vectors.join(F.broadcast(first)).select("id", F.round(V.cosine(F.col("vec"), F.col("first")), 6).alias("cosine"), F.round(V.norm(unit), 4).alias("norm"))
 

@@ -15,13 +15,17 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(found).isDirectory()
 
 
-def read_log(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
-    """The events of a table, a single file or a folder of part files, as a stream of requests, with timestamps that watermarks accept."""
+def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table, a single file or a folder of part files, as a stream."""
     path = f"{folder}/{name}"
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     # A stream reads folders; the filter takes names of files, so it can pick a single file but not a table's part files.
-    events = reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", name).parquet(folder)
-    log = analytics.request_log(events)
+    return reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", name).parquet(folder)
+
+
+def read_log(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
+    """The events of a table as a stream of requests, with timestamps that watermarks accept."""
+    log = analytics.request_log(read_stream(spark, folder, name))
     return log.withColumn("created_at", F.col("created_at").cast("timestamp"))
 
 
