@@ -5,6 +5,9 @@ Main path: DataFrame functions only. Nothing is shuffled; every document is judg
 Definitions. A word is a maximal run of characters other than space and U+0009 to U+000D. A null text counts as
 an empty one: it has no words and fails the base rules. Ties and repeated rows do not matter, as each row is judged
 alone. Extra columns of the input pass through `with_quality` untouched.
+
+The share of stop words is asked only of texts at least half of whose letters are Latin, the script of the four languages whose stop words are listed. Prose
+of other languages in that script (Polish, Finnish) mostly fails it: pass other STOP_WORDS, or RULES without that line, for corpora that hold such texts.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 from quarry.functions.columns import let
 
 GAP = r"[\x20\x09-\x0D]+"
+#: Letters of the Latin script, as a class of both regular expression dialects.
+LATIN = "A-Za-zÀ-ɏ"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
@@ -32,7 +37,7 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """`numerator` / `denominator` must lie in [low, high], where the denominator is `least` or more."""
+    """`numerator` / `denominator` must lie in [low, high], where the denominator is `least` or more; of Latin texts only if `latin` is set."""
 
     name: str
     numerator: str
@@ -40,6 +45,7 @@ class Rule:
     low: float
     high: float
     least: int = 1
+    latin: bool = False
 
 
 #: The threshold table. Measures are the columns that `measures` returns.
@@ -47,7 +53,7 @@ RULES = (
     Rule("mean_word_length", "word_chars", "n_words", 1.5, 20.0),
     Rule("symbols_per_word", "n_symbols", "n_words", 0.0, 0.25),
     Rule("exclamations_per_word", "n_exclamations", "n_words", 0.0, 0.5),
-    Rule("stop_words_per_word", "n_stop_words", "n_words", 0.02, 1.0, 30),
+    Rule("stop_words_per_word", "n_stop_words", "n_words", 0.02, 1.0, 30, True),
     Rule("repeated_lines", "n_dup_lines", "n_lines", 0.0, 0.4),
 )
 
@@ -120,6 +126,11 @@ def measures(text: Column) -> Column:
     )
 
 
+def _mostly_latin(text: Column) -> Column:
+    left = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
+    return 2 * left(f"[^{LATIN}]+") >= left(r"\P{L}+")
+
+
 def with_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, out_col: str = "quality") -> DataFrame:
     """docs with one struct column more: the measures, base_failed and kept."""
     m = docs.withColumn("__q", measures(F.col(text_col)))
@@ -129,7 +140,9 @@ def with_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...
     where = {n.rsplit(".", 1)[-1]: F.col(f"__q.{n}") for n in names}
     for r in rules:
         share = where[r.numerator].cast("double") / F.when(where[r.denominator] >= r.least, where[r.denominator]).cast("double")
-        good = good & F.coalesce(share.between(r.low, r.high), F.lit(True))
+        within = F.coalesce(share.between(r.low, r.high), F.lit(True))
+        # Letters are counted only where the share is out of range.
+        good = good & (within | ~_mostly_latin(F.coalesce(F.col(text_col), F.lit(""))) if r.latin else within)
     fields = [c.alias(n) for n, c in where.items()]
     return m.withColumn(out_col, F.struct(*fields, base.alias("base_failed"), (~base & good).alias("kept"))).drop("__q")
 
@@ -153,8 +166,9 @@ def _sql_list(items: list[str]) -> str:
 
 
 def oracle_sql() -> str:
+    latin = f" OR 2 * length(regexp_replace(t, '[^{LATIN}]+', '', 'g')) < length(regexp_replace(t, '\\P{{L}}+', '', 'g'))"
     checks = " AND ".join(
-        f"coalesce({r.numerator}::double / (CASE WHEN {r.denominator} >= {r.least} THEN {r.denominator} END)::double BETWEEN {r.low} AND {r.high}, true)" for r in RULES
+        f"(coalesce({r.numerator}::double / (CASE WHEN {r.denominator} >= {r.least} THEN {r.denominator} END)::double BETWEEN {r.low} AND {r.high}, true){latin if r.latin else ''})" for r in RULES
     )
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
@@ -163,7 +177,7 @@ w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
 win AS (SELECT rid, i, list_slice(w, i, i + 4) AS g FROM w, unnest(range(1, len(w) - 3)) AS r(i) WHERE len(w) >= 5),
 dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1),
 cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM dup) GROUP BY rid),
-m AS (SELECT doc_id, len(w)::BIGINT AS n_words,
+m AS (SELECT doc_id, t, len(w)::BIGINT AS n_words,
         coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
         length(regexp_replace(t, '[^!]+', '', 'g'))::BIGINT AS n_exclamations,
