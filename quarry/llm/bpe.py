@@ -309,7 +309,8 @@ class TextEncoder:
 
     def _slice_ids(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of these texts, and the bounds of each."""
-        n = len(texts)
+        # Spark may send 64-bit offsets; a slice fits 32.
+        n, texts = len(texts), texts.cast(pa.string())
         whole = np.zeros(n, bool)
         places = np.frombuffer(texts.buffers()[1], np.int32, n + 1, 4 * texts.offset)
         raw = memoryview(texts.buffers()[2] or b"")[places[0] : places[-1]].tobytes()

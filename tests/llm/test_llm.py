@@ -125,6 +125,13 @@ def test_rendered_mix_has_the_words_it_took(docs):
     assert made.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == taken
 
 
+def test_stop_words_are_asked_of_latin_texts_only(spark):
+    russian = " ".join(f"слово{chr(1072 + i % 30)}{chr(1072 + i % 7)}" for i in range(60))
+    texts = {"russian": russian, "latin": " ".join(f"zork{i}a" for i in range(60)), "english": "the cat sat on the mat and it was glad of the sun " * 1 + "so they all went home again to sleep under their old warm roof as rain fell outside all night long until dawn"}
+    frame = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id string, text string")
+    assert {r["doc_id"]: r["kept"] for r in quality.quality_report(frame).collect()} == {"russian": True, "latin": False, "english": True}
+
+
 def test_rendered_mix_keeps_to_budgets_where_rows_are_alike(spark):
     """Rows that share id, source and size, equal ones and others, and rows without an id."""
     made = [(1, "a b c d e f g h i j", None, "x", 19)] * 6 + [(1, "k l m n o p q r s t", None, "x", 19)] * 3 + [(None, "u v w", None, "y", 5)] * 10 + [(None, "u v z", None, "y", 5)] + [(2, None, None, "y", 0)] * 3
@@ -548,6 +555,16 @@ def test_suffix_dedup_rows_grow_with_the_text():
         assert many <= 1.2 * few, found
 
 
+@pytest.mark.parametrize("name", ["op2_bpe", "op9_token_files", "op6_near_dedup", "op7_suffix_dedup", "op11_importance", "op12_toxicity"])
+def test_large_offsets_give_the_same(spark, sf, name):
+    want = Counter(map(tuple, queries.QUERIES[name](spark, sf).collect()))
+    spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", "true")
+    try:
+        assert Counter(map(tuple, queries.QUERIES[name](spark, sf).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.useLargeVarTypes")
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------------------
 
 
