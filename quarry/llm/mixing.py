@@ -15,6 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.prefix import running
+from quarry.session import materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -31,26 +34,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     """One row per source (`m_source`, `m_size`): its weight by code-point rank and its target in words.
 
     Targets are min(max_epochs * size, level * weight), with the one level at which they add up to all sizes. Sorted by
-    max_epochs * size / weight, saturated sources come first, so the level follows from running sums. This table has a
-    row per source and is the only one that is windowed as a whole.
+    max_epochs * size / weight, saturated sources come first, so the level follows from running sums: it is that of the first source it does not saturate.
     """
-    ranked = sizes.withColumn("m_rank", F.row_number().over(Window.orderBy(F.col("m_source").asc_nulls_last())) - 1)
+    ranked = running(sizes, [F.col("m_source").asc_nulls_last()], label="sources").withColumnRenamed("place", "m_rank")
     table = F.array(*(F.lit(w) for w in weights))
     capped = ranked.withColumn("m_weight", F.get(table, (F.col("m_rank") % len(weights)).cast("int")).cast("long")).withColumn(
         "m_cap", F.lit(max_epochs).cast("long") * F.col("m_size")
     )
-    by_ratio = Window.orderBy((F.col("m_cap").cast("double") / F.col("m_weight")).asc(), F.col("m_rank"))
-    whole = by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (
-        capped.withColumn("m_total", F.sum("m_size").over(whole))
-        .withColumn("m_before", F.sum("m_cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, 0)) - F.col("m_cap"))
-        .withColumn("m_left", F.sum("m_weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("m_level", (F.col("m_total") - F.col("m_before")).cast("double") / F.col("m_left").cast("double"))
-        .withColumn("m_fits", F.when(F.col("m_level") * F.col("m_weight") <= F.col("m_cap"), F.col("m_level")))
-        .withColumn("m_level", F.first("m_fits", ignorenulls=True).over(whole))
-    )
-    target = F.least(F.col("m_cap").cast("double"), F.col("m_level") * F.col("m_weight"))
-    return level.select("m_source", "m_size", F.coalesce(target, F.lit(0.0)).alias("m_target"))
+    ordered = running(capped, [(F.col("m_cap").cast("double") / F.col("m_weight")).asc(), F.col("m_rank")], ("m_cap", "m_weight"), "saturation")
+    words, shares = ordered.agg(F.coalesce(F.sum("m_size"), F.lit(0)), F.coalesce(F.sum("m_weight"), F.lit(0))).first()
+    level = (F.lit(words) - F.col("m_cap_before")).cast("double") / (F.lit(shares) - F.col("m_weight_before")).cast("double")
+    fits = ordered.withColumn("level", level).where(F.col("level") * F.col("m_weight") <= F.col("m_cap"))
+    first = fits.agg(F.min_by("level", "place")).first()[0]
+    target = F.least(F.col("m_cap").cast("double"), F.lit(first).cast("double") * F.col("m_weight"))
+    return ordered.select("m_source", "m_size", F.coalesce(target, F.lit(0.0)).alias("m_target"))
 
 
 def mix(
@@ -76,7 +73,7 @@ def mix(
     sized = sized.withColumn("m_part", F.substring("m_key", 1, RANGE_DIGITS)).withColumn(
         "m_group", F.coalesce(F.concat(F.lit("="), F.col("m_source")), F.lit("null"))
     )
-    ranges = sized.groupBy("m_group", "m_source", "m_part").agg(F.sum("size").alias("m_words"))
+    ranges = materialize(sized.groupBy("m_group", "m_source", "m_part").agg(F.sum("size").alias("m_words")), "key-ranges")
     targets = source_targets(ranges.groupBy("m_group", "m_source").agg(F.sum("m_words").alias("m_size")).drop("m_group"), weights, max_epochs)
     targets = targets.withColumn("m_group", F.coalesce(F.concat(F.lit("="), F.col("m_source")), F.lit("null"))).drop("m_source")
     up_to = Window.partitionBy("m_group").orderBy("m_part").rowsBetween(Window.unboundedPreceding, 0)

@@ -25,11 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import discard, materialize
+from quarry.llm.prefix import running
+from quarry.session import materialize
 
 BUCKETS, RUN = 10_000, 3
 MIN_WORDS, PERCENT, SEED = 20, 5, 42
@@ -207,27 +207,9 @@ def _weighed(docs: DataFrame, gain: np.ndarray, id_col: str, text_col: str) -> D
 
 
 def _ranked(rows: DataFrame, wanted: int) -> DataFrame:
-    """rows with rank: 1, 2, 3... by falling score up to wanted, null beyond. No window: places inside range partitions, and the sizes of those before."""
-    spark = rows.sparkSession
+    """rows with rank: 1, 2, 3... by falling score up to wanted, null beyond."""
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("weight").desc(), F.col("n_features").desc()]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = rows.columns
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, done = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            place = np.arange(done, done + batch.num_rows)
-            done += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(place), part)), pa.array(place)], [*names, "part", "place"])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    placed = materialize(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(number, f"{kinds}, part long, place long"), "ranked")
-    # A row a partition.
-    sizes = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
-    before = np.cumsum([0, *(n for _, n in sizes)]).tolist()
-    offsets = spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, before, strict=False)], "part long, before long")
-    rank = F.col("before") + F.col("place") + 1
-    return placed.join(F.broadcast(offsets), "part").select(*names, F.when(rank <= wanted, rank).alias("rank"))
+    return running(rows, order, label="ranked").select(*rows.columns, F.when(F.col("place") < wanted, F.col("place") + 1).alias("rank"))
 
 
 def importance(
