@@ -7,8 +7,11 @@ Pieces of a document stay together in its partition, in order, so nothing is shu
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -56,7 +59,8 @@ def split_recursively(text: str, size: int, overlap: int, separators: tuple[str,
     finer = separators[separators.index(sep) + 1 :]
     parts = list(text) if sep == "" else text.split(sep)
     out: list[str] = []
-    held: list[str] = []
+    held: deque[str] = deque()
+    total = 0  # letters held, each part with a separator
 
     def flush() -> None:
         whole = sep.join(held).strip()
@@ -66,15 +70,16 @@ def split_recursively(text: str, size: int, overlap: int, separators: tuple[str,
     for part in (p for p in parts if p):
         if len(part) > size and finer:
             flush()
-            held = []
+            held.clear()
+            total = 0
             out += split_recursively(part, size, overlap, finer)
             continue
-        total = sum(map(len, held)) + len(sep) * len(held)
         if held and total + len(part) > size:
             flush()
             while held and (total > overlap + len(sep) or total + len(part) > size):
-                total -= len(held.pop(0)) + len(sep)
+                total -= len(held.popleft()) + len(sep)
         held.append(part)
+        total += len(part) + len(sep)
     flush()
     return out
 
@@ -134,38 +139,36 @@ def _locate(part: Column, text: Column, behind: Column) -> Column:
 def locate_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, pages): the page range of each chunk body, by probes of its letters. chunks: doc_id, bodies; pages: doc_id, pages. [0, 0] is not found.
 
-    Chunks follow the pages' order, so a probe is sought from the last hit on, and from the start only if it is not there.
+    Chunks follow the pages' order, so a probe is sought from the last hit on, and from the start only if it is not there. Other columns of chunks are kept.
     """
-    from quarry.functions.text import PROBE, letters, probes
+    from quarry.functions.text import PROBE, letters
+
+    def places(own: list[str], bodies: list[str]) -> list[dict[str, int]]:
+        full, ends, at, out = "".join(own), list(accumulate(map(len, own))), 0, []
+        for body in bodies:
+            n = len(body)
+            probes = [body] if n <= PROBE else [body[i : i + PROBE] for i in (0, n // 4, n // 2, 3 * n // 4, n - PROBE)]
+            found = ((full.find(p, at), p) for p in probes if p)
+            hits = [i for i in (i if i >= 0 else full.find(p) for i, p in found) if i >= 0]
+            # A page starts where the one before it ends; of pages without letters the last one counts.
+            out.append({"start": _page(ends, min(hits)), "end": _page(ends, max(hits) + PROBE - 1)} if hits else {"start": 0, "end": 0})
+            at = min(hits, default=at)
+        return out
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def located(own: pd.Series, bodies: pd.Series) -> pd.Series:
+        return pd.Series([places(list(o), list(b)) for o, b in zip(own, bodies, strict=True)], dtype=object)
+
+    own = F.transform(F.coalesce("pages", F.array().cast("array<string>")), lambda p: F.coalesce(letters(p), F.lit("")))
+    bodies = F.transform(F.coalesce("bodies", F.array().cast("array<string>")), lambda b: F.coalesce(letters(b), F.lit("")))
+    kept = [c for c in chunks.columns if c not in ("doc_id", "bodies")]
+    # A generator of one row keeps the search from being worked out again in filters above it.
+    return chunks.join(pages, "doc_id", "left").select("doc_id", *kept, F.explode(F.array(located(own, bodies))).alias("pages"))
 
-    joined = chunks.join(pages, "doc_id", "left").withColumn("own", F.transform(F.coalesce("pages", F.array().cast("array<string>")), letters))
-    joined = joined.withColumn("full", F.array_join("own", "")).withColumn("probe_sets", F.transform("bodies", lambda b: probes(letters(b))))
-    sizes = F.transform("own", F.length)
-    starts = F.transform(F.sequence(F.lit(1), F.size("own")), lambda k: F.aggregate(F.slice(sizes, 1, k - 1), F.lit(0), lambda a, x: a + x))
-    joined = joined.withColumn("starts", F.when(F.size("own") > 0, starts).otherwise(F.array().cast("array<int>")))
-    page_at = lambda at: F.size(F.filter("starts", lambda s: s <= at))
-    kind = "array<struct<start:int,end:int>>"
-
-    def step(acc: Column, probe_set: Column) -> Column:
-        def place(p: Column) -> Column:
-            ahead = _locate(p, F.col("full"), acc["at"])
-            return F.when(ahead >= 0, ahead).otherwise(_locate(p, F.col("full"), F.lit(0)))
-
-        return let(
-            F.filter(F.transform(probe_set, place), lambda x: x >= 0),
-            lambda hits: F.struct(
-                F.array_append(
-                    acc["out"],
-                    F.when(F.size(hits) > 0, F.struct(page_at(F.array_min(hits)).alias("start"), page_at(F.array_max(hits) + PROBE - 1).alias("end"))).otherwise(
-                        F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
-                    ),
-                ).alias("out"),
-                F.coalesce(F.array_min(hits), acc["at"]).alias("at"),
-            ),
-        )
 
-    zero = F.struct(F.array().cast(kind).alias("out"), F.lit(0).alias("at"))
-    return joined.select("doc_id", F.aggregate("probe_sets", zero, step, lambda acc: acc["out"]).alias("pages"))
+def _page(ends: list[int], at: int) -> int:
+    """The number, from 1 on, of the last page that starts at or before place `at`, if each page ends at its place in `ends`."""
+    return min(bisect_right(ends, at) + 1, len(ends))
 
 
 # Structure ---------------------------------------------------------------------------------------------------------------
@@ -385,11 +388,11 @@ def merge_small(parts: list[Part], max_tokens: int) -> list[Part]:
 def paged_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """structure_chunks of docs (doc_id, title, pages: array of texts), with the pages of each chunk's body: page_start, page_end, 0 where not found."""
     whole = docs.select("doc_id", "title", F.array_join("pages", "\n").alias("text"))
-    chunks = structure_chunks(whole, max_tokens)
-    bodies = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", body_of(F.col("text")).alias("body")))).alias("c"))
-    ranges = locate_pages(bodies.select("doc_id", F.transform("c", lambda x: x["body"]).alias("bodies")), docs.select("doc_id", "pages"))
-    placed = ranges.select("doc_id", F.posexplode("pages").alias("chunk_index", "p"))
-    return chunks.join(placed, ["doc_id", "chunk_index"], "left").select("*", F.col("p.start").alias("page_start"), F.col("p.end").alias("page_end")).drop("p")
+    own = ("chunk_index", "section", "label", "text")
+    chunks = structure_chunks(whole, max_tokens).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*own))).alias("c"))
+    placed = locate_pages(chunks.withColumn("bodies", F.transform("c", lambda x: body_of(x["text"]))), docs.select("doc_id", "pages"))
+    rows = placed.select("doc_id", F.explode(F.arrays_zip("c", "pages")).alias("x"))
+    return rows.select("doc_id", *(f"x.c.{name}" for name in own), F.col("x.pages.start").alias("page_start"), F.col("x.pages.end").alias("page_end"))
 
 
 # HTML --------------------------------------------------------------------------------------------------------------------

@@ -336,6 +336,17 @@ def test_pages_of_act_chunks(spark):
     assert found["Article 1"] == (1, 1) and found["Article 2"] == (2, 2) and found["Article 3"] == (3, 3)
 
 
+def test_pages_of_a_long_act(spark):
+    import time
+
+    lines = ["HAS ADOPTED THIS:", *(x for k in range(1, 301) for x in (f"Article {k}", *(" ".join(f"{k}word{j}x{i}" for i in range(6)) for j in range(5))))]
+    began = time.monotonic()
+    rows = chunking.paged_chunks(spark.createDataFrame([(1, "Act", lines)], "doc_id long, title string, pages array<string>")).collect()
+    found = {r["label"]: (r["page_start"], r["page_end"]) for r in rows}
+    assert len(rows) == 300 and all(found[f"Article {k}"] == (6 * k - 3, 6 * k + 1) for k in range(1, 301))
+    assert time.monotonic() - began < 60  # each probe once over the letters, not all letters again for each
+
+
 def test_only_the_act_of_a_plain_page_is_read(spark):
     html = "<html><div><p>Menu</p></div><div id='TexteOnly'><p>HAS ADOPTED</p><p>Article 1</p><p>Words of the article.</p></div><p>Footer</p></html>"
     rows = chunking.html_chunks(spark.createDataFrame([(1, "Act", html)], "doc_id long, title string, html string")).collect()
