@@ -1,6 +1,7 @@
 """Chunking: by size, by packed units, by the structure of an act, and from HTML.
 
-Structure is found with expressions over the array of a document's lines; the recursive size splitter and the merging of neighbours are Arrow functions.
+Structure is found with expressions over the array of a document's lines; the recursive size splitter and the merging of neighbours are Arrow functions
+that hold a slice of a batch as Python objects at a time.
 Pieces of a document stay together in its partition, in order, so nothing is shuffled.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quarry.functions.columns import let
+from quarry.functions.columns import batch_of, let, slices
 from quarry.functions.markup import element_text, is_tagged
 from quarry.functions.markup import pieces as marked_pieces
 from quarry.functions.text import body_of, chunk_header, clean_line, heading_title, mostly_numbers, token_count
@@ -155,9 +156,13 @@ def locate_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
             at = min(hits, default=at)
         return out
 
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def located(own: pd.Series, bodies: pd.Series) -> pd.Series:
-        return pd.Series([places(list(o), list(b)) for o, b in zip(own, bodies, strict=True)], dtype=object)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def located(own: pa.Array, bodies: pa.Array) -> pa.Array:
+        both = pa.RecordBatch.from_arrays([own, bodies], ["own", "bodies"])
+        found = [pa.array([places(*x) for x in zip(*(c.to_pylist() for c in few.columns), strict=True)], kind) for few in slices(iter([both]))]
+        return pa.concat_arrays([pa.array([], kind), *found])
 
     own = F.transform(F.coalesce("pages", F.array().cast("array<string>")), lambda p: F.coalesce(letters(p), F.lit("")))
     bodies = F.transform(F.coalesce("bodies", F.array().cast("array<string>")), lambda b: F.coalesce(letters(b), F.lit("")))
@@ -267,19 +272,15 @@ def structure_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS, html: bool =
     )
     budget = F.when((F.col("section") == "preamble") & F.lit(html), F.lit(RECITAL_TOKENS)).otherwise(F.lit(max_tokens)) - token_count(F.col("header"))
 
-    @F.pandas_udf("array<string>")
-    def cut(groups: pd.Series, room: pd.Series) -> pd.Series:
-        def fit(text: str, limit: int) -> list[str]:
-            """The split of the largest size tried, from half the text down by quarters to 400 letters, of which all parts fit; else the finest."""
-            if count_tokens(text) <= limit:
-                return [text]
-            sizes = [max(len(text) // 2, 400)]
-            while sizes[-1] > 400:
-                sizes.append(sizes[-1] * 3 // 4)
-            splits = (split_recursively(text, size, 0) for size in sizes)
-            return next((parts for parts in splits if all(count_tokens(p) <= limit for p in parts)), None) or split_recursively(text, sizes[-1], 0)
-
-        return pd.Series([[p for group in packed(units, n) for p in fit(group, n)] for units, n in zip(groups, room, strict=True)], dtype=object)
+    def fit(text: str, limit: int) -> list[str]:
+        """The split of the largest size tried, from half the text down by quarters to 400 letters, of which all parts fit; else the finest."""
+        if count_tokens(text) <= limit:
+            return [text]
+        sizes = [max(len(text) // 2, 400)]
+        while sizes[-1] > 400:
+            sizes.append(sizes[-1] * 3 // 4)
+        splits = (split_recursively(text, size, 0) for size in sizes)
+        return next((parts for parts in splits if all(count_tokens(p) <= limit for p in parts)), None) or split_recursively(text, sizes[-1], 0)
 
     def packed(units: list[str], room: int) -> list[str]:
         """Neighbouring units, trimmed, joined by newlines while their tokens fit."""
@@ -296,29 +297,33 @@ def structure_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS, html: bool =
             n += more
         return [*out, "\n".join(now)] if now else out
 
-    parts = named.withColumn("parts", cut(units, budget)).select("__row", "doc_id", "section", "label", "header", F.explode("parts").alias("body"))
-    if html:
-        parts = parts.where(~((F.col("section") == "annex") & mostly_numbers(F.col("body"))))
+    key = docs.schema["doc_id"].dataType.simpleString()
+    columns = f"doc_id {key}, chunk_index int, section string, label string, text string"
+    schema, part_columns = to_arrow_schema(T.StructType.fromDDL(columns)), f"__row long, doc_id {key}, section string, label string, header string, body string"
+    part_schema = to_arrow_schema(T.StructType.fromDDL(part_columns))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for few in slices(batches):
+            *own, groups, room = (c.to_pylist() for c in few.columns)
+            rows = [(*x, p) for *x, units, n in zip(*own, groups, room, strict=True) for group in packed(units, n) for p in fit(group, n)]
+            yield batch_of(rows, part_schema)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, held = None, []
-        for batch in batches:
+        for few in slices(batches):
             done = []
-            for own, *values in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for own, *values in zip(*(c.to_pylist() for c in few.columns), strict=True):
                 if own != row:
                     done += finished(held, html, max_tokens)
                     row, held = own, []
                 held.append(Part(*values))
-            yield batch_of(done)
-        yield batch_of(finished(held, html, max_tokens))
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [()] * len(schema)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            yield batch_of(done, schema)
+        yield batch_of(finished(held, html, max_tokens), schema)
 
-    key = docs.schema["doc_id"].dataType
-    columns = f"doc_id {key.simpleString()}, chunk_index int, section string, label string, text string"
-    schema = to_arrow_schema(T.StructType.fromDDL(columns))
+    placed = named.select("__row", "doc_id", "section", "label", "header", units.alias("units"), budget.alias("room"))
+    if not html:
+        return placed.mapInArrow(lambda batches: number(cut(batches)), columns)
+    parts = placed.mapInArrow(cut, part_columns).where(~((F.col("section") == "annex") & mostly_numbers(F.col("body"))))
     return parts.mapInArrow(number, columns)
 
 
@@ -419,4 +424,5 @@ def html_chunks(pages: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     held = F.when(plain & F.col("html").contains(CONTAINER), F.col("html"))
     text = F.when(plain, F.coalesce(element_text(held, CONTAINER), html_text(F.col("html"))))
     marked = marked_pieces(pages.withColumn("__row", F.monotonically_increasing_id()), ("title", "__row"))
-    return structure_chunks(pages.select("doc_id", "title", text.alias("text")), max_tokens, html=True, marked=marked)
+    # A generator of one row keeps the text from being worked out again for each filter on it.
+    return structure_chunks(pages.select("doc_id", "title", F.explode(F.array(text)).alias("text")), max_tokens, html=True, marked=marked)

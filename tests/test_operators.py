@@ -347,6 +347,19 @@ def test_pages_of_a_long_act(spark):
     assert time.monotonic() - began < 60  # each probe once over the letters, not all letters again for each
 
 
+def test_texts_are_held_by_slices(spark):
+    import pyarrow as pa
+
+    from quarry.functions.columns import SLICE_BYTES, slices
+
+    texts = [str(i) * 5000 for i in range(100, 1100)]
+    few = list(slices(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])])))
+    assert len(few) > 10 and all(x.nbytes <= 2 * SLICE_BYTES for x in few) and [t for x in few for t in x.column(0).to_pylist()] == texts
+    pages = spark.createDataFrame([(1, "Act", "<p>HAS ADOPTED</p><p>Article 1</p><p>Words of it.</p>")], "doc_id long, title string, html string")
+    plan = chunking.html_chunks(pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") <= 1 and plan.count("MapInArrow cut") == 1  # nothing is cut or read again for a filter
+
+
 def test_only_the_act_of_a_plain_page_is_read(spark):
     html = "<html><div><p>Menu</p></div><div id='TexteOnly'><p>HAS ADOPTED</p><p>Article 1</p><p>Words of the article.</p></div><p>Footer</p></html>"
     rows = chunking.html_chunks(spark.createDataFrame([(1, "Act", html)], "doc_id long, title string, html string")).collect()
