@@ -61,6 +61,7 @@ def loaded_pages(pages: DataFrame, stored_docs: DataFrame) -> tuple[DataFrame, D
     status = F.when(F.col("html").isNull(), "no_html").otherwise(X.text_status(chunking.html_text(F.col("html")), F.lit(1)))
     judged = materialize(new.withColumn("status", status), "judged")
     chunks = chunking.html_chunks(judged.where("status = 'ok'")).withColumn("tokens", X.token_count(F.col("text")))
+    chunks = materialize(chunks, "chunks")  # they are counted and stored
     counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
     docs = judged.select("doc_id", "title", "sha256", "status").join(counts, "doc_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
     return docs, chunks
@@ -84,7 +85,7 @@ def ingest_stream(pages: DataFrame, tables: DocumentTables, checkpoint: str) ->
     def load(batch: DataFrame, number: int) -> None:
         once = batch.where("doc_id is not null").withColumn("__h", F.xxhash64("html")).groupBy("doc_id").agg(F.max_by(F.struct(*batch.columns), "__h").alias("p"))
         docs, chunks = loaded_pages(once.select("p.*"), tables.docs())
-        docs, chunks = materialize(docs, "docs"), materialize(chunks, "chunks")
+        docs = materialize(docs, "docs")
         written.update(tables.replace(docs, chunks))
         discard(docs, chunks)
 

@@ -263,6 +263,15 @@ def test_ingest_html_is_idempotent(spark):
     assert again.count() == 2 and chunks_again.count() == 1
 
 
+def test_loaded_chunks_are_made_once(spark):
+    pages = spark.createDataFrame([("a", "T", "<p>" + "the law of the union " * 20 + "</p>")], "doc_id string, title string, html string")
+    stored = spark.createDataFrame([], "doc_id string, title string, sha256 string, status string, chunk_count long")
+    docs, chunks = answer.loaded_pages(pages, stored)
+    for frame in (docs, chunks):  # both read the chunks that were written
+        assert "MapInArrow" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert [r["chunk_count"] for r in docs.collect()] == [chunks.count()] == [1]
+
+
 def test_passage_range(spark):
     page = "12 Heading here. The data subject shall have the right to obtain from the controller confirmation as to whether data are processed. End."
     quote = "x The data subject  shall have the right to obtain from the controller confirmation as to whether data are processed."
