@@ -1,7 +1,8 @@
 """Batch retrieval: exact and approximate top-k, caps, reranking, citations, semantic cache.
 
 A batch of questions is a DataFrame (q_id, q_vec). Its size is checked before it is broadcast; beyond `MAX_BROADCAST` questions, blocks of questions meet
-blocks of vectors in tiles, and neither side is ever held whole. All scoring is by matrix products over blocks; no row is made for a pair.
+blocks of vectors in tiles, and neither side is ever held whole. All scoring is by matrix products over blocks; no row is made for a pair,
+except in `search_native` for up to `MAX_PAIRS` pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from quarry.operators.kernels import DIGITS, Graph, TopK, matrix
 from quarry.session import materialize
 
 MAX_BROADCAST = 10_000
+#: Pairs that may stand as rows.
+MAX_PAIRS = 1_000_000
 BLOCK = 2048
 TILE = 16
 OVERFETCH = 3
@@ -122,9 +125,17 @@ def search_exact(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
 
 
 def search_native(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """The same with JVM expressions only, a row for each pair: for tests, and for few questions to a small table."""
-    if _few(questions) is None:
-        return search_exact(vectors, questions, k)
+    """The same with JVM expressions only, a row for each pair, for up to MAX_PAIRS pairs. Beyond them blocks meet questions, as in search_exact.
+
+    Questions without a vector have no score with any vector and keep to pairs at every size.
+    """
+    if vectors.count() * questions.count() <= MAX_PAIRS:
+        return _search_pairs(vectors, questions, k)
+    known = search_exact(vectors, questions.where("q_id is not null and q_vec is not null"), k)
+    return known.unionByName(_search_pairs(vectors, questions.where("q_vec is null"), k))
+
+
+def _search_pairs(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     pairs = vectors.join(F.broadcast(questions), F.col("id") != F.col("q_id"))
     return top_k(pairs.select("q_id", "id", F.round(dot(F.col("vec"), F.col("q_vec")), DIGITS).alias("score")), k)
 

@@ -272,6 +272,20 @@ def test_loaded_chunks_are_made_once(spark):
     assert [r["chunk_count"] for r in docs.collect()] == [chunks.count()] == [1]
 
 
+def test_many_pairs_meet_in_blocks(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    questions = vectors.where("id < 5").select(F.col("id").alias("q_id"), F.when(F.col("id") != 3, F.col("vec")).alias("q_vec"))
+    key = lambda f: sorted(map(tuple, f.collect()))
+    pairs = key(search.search_native(vectors, questions, 5))
+    most, search.MAX_PAIRS = search.MAX_PAIRS, 10
+    try:
+        blocks = search.search_native(vectors, questions, 5)
+        assert "MapInArrow" in blocks._jdf.queryExecution().executedPlan().toString()
+        assert len(pairs) == 25 and key(blocks) == pairs
+    finally:
+        search.MAX_PAIRS = most
+
+
 def test_passage_range(spark):
     page = "12 Heading here. The data subject shall have the right to obtain from the controller confirmation as to whether data are processed. End."
     quote = "x The data subject  shall have the right to obtain from the controller confirmation as to whether data are processed."
