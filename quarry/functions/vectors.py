@@ -34,4 +34,5 @@ def hashed_words(text: Column, size: int = 64) -> Column:
     """The default embedding: word counts hashed into `size` places, as doubles. Not normalised."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
+    # The text is cut into words once, not again for each place.
+    return let(places, lambda all_places: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(all_places, lambda p: p == i)).cast("double")))

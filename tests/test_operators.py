@@ -286,6 +286,16 @@ def test_many_pairs_meet_in_blocks(spark, sf):
         search.MAX_PAIRS = most
 
 
+def test_words_are_cut_once_for_all_places(spark):
+    from quarry.functions import vectors
+
+    frame = spark.createDataFrame([("One two, one THREE",), ("",), (None,)], "t string").select(vectors.hashed_words(F.col("t"), 4).alias("v"))
+    plan = frame._jdf.queryExecution().analyzed().toString()
+    assert 0 < plan.index("split(") < plan.index("sequence(")  # not inside the loop over places
+    rows = [r["v"] for r in frame.collect()]
+    assert sum(rows[0]) == 4 and max(rows[0]) >= 2 and rows[1] == [0.0] * 4 and len(rows[2]) == 4
+
+
 def test_passage_range(spark):
     page = "12 Heading here. The data subject shall have the right to obtain from the controller confirmation as to whether data are processed. End."
     quote = "x The data subject  shall have the right to obtain from the controller confirmation as to whether data are processed."
